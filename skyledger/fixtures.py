@@ -171,7 +171,7 @@ def geo_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k * 7 % 18000 / F.lit(100.0) - 90.0).alias("latitude_deg"),
         (k * 13 % 36000 / F.lit(100.0) - 180.0).alias("longitude_deg"),
         (400.0 + k % 35000).cast("double").alias("altitude_km"),
-        F.col("o_orderdate").cast("timestamp").alias("at"),
+        F.col("o_orderdate").cast("timestamp").alias("seen_at"),
     )
 
 
@@ -270,7 +270,7 @@ UNION ALL SELECT -1, cast({BERLIN[0]} AS DOUBLE), cast({BERLIN[1]} AS DOUBLE), c
     "geo_points": ((), """
 SELECT o_orderkey AS point_id, (o_orderkey * 7 % 18000) / 100.0::DOUBLE - 90.0::DOUBLE AS latitude_deg,
        (o_orderkey * 13 % 36000) / 100.0::DOUBLE - 180.0::DOUBLE AS longitude_deg,
-       cast(400 + o_orderkey % 35000 AS DOUBLE) AS altitude_km, o_orderdate AS at
+       cast(400 + o_orderkey % 35000 AS DOUBLE) AS altitude_km, o_orderdate AS seen_at
 FROM orders"""),
     "track_points": ((), """
 SELECT cast(user_id AS INTEGER) AS norad_cat_id, ts, event_id AS sample_idx,

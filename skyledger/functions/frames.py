@@ -130,7 +130,11 @@ def with_geodetic_from_ecef(
         F.abs("_cphi") > F.abs("_sphi"), F.col("_p") / F.col("_cphi") - F.col("_n")
     ).otherwise(z / F.col("_sphi") - F.col("_n") * F.lit(1.0 - WGS84_E2))
     return staged.withColumns(
-        {out[0]: F.degrees("_phi"), out[1]: F.degrees(F.atan2(y, x)), out[2]: altitude}
+        {
+            out[0]: fenced(F.degrees("_phi")),
+            out[1]: fenced(F.degrees(F.atan2(y, x))),
+            out[2]: fenced(altitude),
+        }
     ).drop("_p", "_u", "_su", "_cu", "_phi", "_sphi", "_cphi", "_n")
 
 
@@ -147,6 +151,16 @@ def with_geodetic_from_teme(
     ).drop(*ecef)
 
 
+def fenced(column: Column) -> Column:
+    """Keep the optimizer from moving a filter on `column` below its computation.
+
+    A filter that is pushed through staged projections has every stage copied into its
+    condition, which grows exponentially. An expression that depends on the task is never
+    inlined; adding zero times the partition number makes it one, at no cost.
+    """
+    return column + (F.spark_partition_id() * F.lit(0)).cast("double")
+
+
 OBSERVER_FIELDS = (
     "observer_x_km", "observer_y_km", "observer_z_km",
     "observer_sin_lat", "observer_cos_lat", "observer_sin_lon", "observer_cos_lon",
@@ -195,7 +209,7 @@ def with_look_angles(
     )
     return staged.withColumns(
         {
-            "azimuth_deg": F.pmod(F.degrees(F.atan2("_east", "_north")), F.lit(360.0)),
-            "elevation_deg": F.degrees(F.asin(F.col("_up") / F.col("range_km"))),
+            "azimuth_deg": fenced(F.pmod(F.degrees(F.atan2("_east", "_north")), F.lit(360.0))),
+            "elevation_deg": fenced(F.degrees(F.asin(F.col("_up") / F.col("range_km")))),
         }
     ).drop("_dx", "_dy", "_dz", "_outward", "_east", "_north", "_up")

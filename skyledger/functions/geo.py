@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.functions.frames import WGS84_A_KM, WGS84_F
+from skyledger.functions.frames import WGS84_A_KM, WGS84_F, fenced
 
 #: Half the sum of the extreme meridian radii bounds how far a degree can stretch; used to
 #: turn a ground radius into degrees with room to spare.
@@ -76,7 +76,8 @@ def with_distance(
         / F.greatest(c("_chord"), F.lit(1e-18))
     )
     return staged.withColumn(
-        out, F.lit(WGS84_A_KM) * (c("_sigma") - F.lit(WGS84_F / 2.0) * (x + y))
+        out,
+        fenced(F.lit(WGS84_A_KM) * (c("_sigma") - F.lit(WGS84_F / 2.0) * (x + y))),
     ).drop("_b1", "_b2", "_hl", "_hb", "_chord", "_sigma", "_sp", "_cp", "_cq", "_ss")
 
 

@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyledger.functions.frames import fenced
+
 # WGS72 gravity model.
 MU_KM3_S2 = 398600.8
 EARTH_RADIUS_KM = 6378.135
@@ -152,7 +154,7 @@ def with_j2_state(df: DataFrame, elapsed_seconds: Column, velocity: bool = True)
         "_px", "_py", "_pz", "_qx", "_qy", "_qz", "_u", "_v",
     ]
     state = {
-        f"position_{axis}_km": c("_u") * c(f"_p{axis}") + c("_v") * c(f"_q{axis}")
+        f"position_{axis}_km": fenced(c("_u") * c(f"_p{axis}") + c("_v") * c(f"_q{axis}"))
         for axis in "xyz"
     }
     if velocity:
@@ -165,7 +167,9 @@ def with_j2_state(df: DataFrame, elapsed_seconds: Column, velocity: bool = True)
         )
         scratch += ["_s", "_du", "_dv"]
         state |= {
-            f"velocity_{axis}_km_s": c("_du") * c(f"_p{axis}") + c("_dv") * c(f"_q{axis}")
+            f"velocity_{axis}_km_s": fenced(
+                c("_du") * c(f"_p{axis}") + c("_dv") * c(f"_q{axis}")
+            )
             for axis in "xyz"
         }
     return moved.withColumns(state).drop(*scratch, *CONSTANT_COLUMNS)

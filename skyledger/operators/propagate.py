@@ -161,7 +161,7 @@ def propagate_all(
     ).withColumn(
         "snapshot_ts",
         at if samples == 1
-        else F.timestamp_micros(F.unix_micros(at) + F.col("sample_idx") * step_seconds * 1_000_000),
+        else F.timestamp_micros(F.unix_micros(at) + F.col("sample_idx") * F.lit(step_seconds * 1_000_000).cast("long")),
     )
     located = frames.with_geodetic_from_teme(moved, frames.julian_date(F.col("snapshot_ts")))
     return located.withColumn("epoch_age_hours", orbit.age_hours(F.col("snapshot_ts"), F.col("epoch")))

@@ -219,7 +219,8 @@ def _series(elsets, start, window_hours, step_seconds, kernel) -> DataFrame:
     ).where("error_code = 0")
     timed = moved.withColumn(
         "ts",
-        F.timestamp_micros(F.unix_micros(at) + F.col("sample_idx") * int(step_seconds * 1_000_000)),
+        F.timestamp_micros(F.unix_micros(at)
+            + F.col("sample_idx") * F.lit(int(step_seconds * 1_000_000)).cast("long")),
     )
     return frames.with_ecef_from_teme(timed, frames.julian_date(F.col("ts"))).drop(
         "position_x_km", "position_y_km", "position_z_km", "error_code"
