@@ -50,9 +50,27 @@ def gmst_radians(jd: Column) -> Column:
     return F.pmod(seconds, F.lit(86400.0)) * F.lit(2.0 * math.pi / 86400.0)
 
 
-def rotate_z(x: Column, y: Column, sin_t: Column, cos_t: Column) -> tuple[Column, Column]:
-    """Coordinates in axes turned by theta about z."""
-    return x * cos_t + y * sin_t, y * cos_t - x * sin_t
+def d(x: float) -> str:
+    """A DOUBLE literal in SQL."""
+    return f"{float(x)!r}D"
+
+
+def derive(df: DataFrame, steps: dict[str, str], keep: dict[str, str]) -> DataFrame:
+    """Add the `keep` columns, computed by way of the `steps`.
+
+    Both are SQL expressions that may refer to columns and to earlier steps. Spark resolves
+    such references into a chain of projections, so a value that is used several times is
+    computed once. Kept columns are fenced: a filter on one of them would otherwise be moved
+    below the chain by copying every step into its condition, which grows exponentially. An
+    expression that depends on the task is never inlined, and adding zero times the
+    partition number makes it one at no cost.
+    """
+    fence = "cast(spark_partition_id() * 0 AS double)"
+    kept = [f"({e}) + {fence} AS `{n}`" for n, e in keep.items()]
+    others = [c for c in df.columns if c not in keep]
+    return df.selectExpr(
+        *[f"`{c}`" for c in others], *[f"{e} AS `{n}`" for n, e in steps.items()], *kept
+    ).select(*others, *keep)
 
 
 def with_ecef_from_teme(
@@ -62,14 +80,12 @@ def with_ecef_from_teme(
     out: tuple[str, str, str] = ("ecef_x_km", "ecef_y_km", "ecef_z_km"),
 ) -> DataFrame:
     """Add Earth-fixed coordinates for TEME coordinates at Julian date `jd`."""
-    x, y, z = (F.col(c) for c in position)
-    turned = df.withColumn("_gmst", gmst_radians(jd)).withColumns(
-        {"_gmst_sin": F.sin("_gmst"), "_gmst_cos": F.cos("_gmst")}
-    )
-    ex, ey = rotate_z(x, y, F.col("_gmst_sin"), F.col("_gmst_cos"))
-    return turned.withColumns({out[0]: ex, out[1]: ey, out[2]: z}).drop(
-        "_gmst", "_gmst_sin", "_gmst_cos"
-    )
+    x, y, z = position
+    return derive(
+        df.withColumn("_gmst", gmst_radians(jd)),
+        {"_gs": "sin(_gmst)", "_gc": "cos(_gmst)"},
+        {out[0]: f"{x} * _gc + {y} * _gs", out[1]: f"{y} * _gc - {x} * _gs", out[2]: z},
+    ).drop("_gmst")
 
 
 def geodetic_to_ecef(
@@ -106,36 +122,27 @@ def with_geodetic_from_ecef(
     Bowring's closed form. Altitude uses the equatorial expression up to 45 degrees and the
     polar one beyond, so neither divisor approaches zero.
     """
-    x, y, z = (F.col(c) for c in ecef)
-    staged = (
-        df.withColumn("_p", F.sqrt(x * x + y * y))
-        .withColumn("_u", F.atan2(z * F.lit(WGS84_A_KM), F.col("_p") * F.lit(WGS84_B_KM)))
-        .withColumns({"_su": F.sin("_u"), "_cu": F.cos("_u")})
-        .withColumn(
-            "_phi",
-            F.atan2(
-                z + F.lit(WGS84_EP2 * WGS84_B_KM) * F.col("_su") * F.col("_su") * F.col("_su"),
-                F.col("_p")
-                - F.lit(WGS84_E2 * WGS84_A_KM) * F.col("_cu") * F.col("_cu") * F.col("_cu"),
-            ),
-        )
-        .withColumns({"_sphi": F.sin("_phi"), "_cphi": F.cos("_phi")})
-        .withColumn(
-            "_n",
-            F.lit(WGS84_A_KM)
-            / F.sqrt(F.lit(1.0) - F.lit(WGS84_E2) * F.col("_sphi") * F.col("_sphi")),
-        )
-    )
-    altitude = F.when(
-        F.abs("_cphi") > F.abs("_sphi"), F.col("_p") / F.col("_cphi") - F.col("_n")
-    ).otherwise(z / F.col("_sphi") - F.col("_n") * F.lit(1.0 - WGS84_E2))
-    return staged.withColumns(
+    x, y, z = ecef
+    return derive(
+        df,
+        {
+            "_p": f"sqrt({x} * {x} + {y} * {y})",
+            "_u": f"atan2({z} * {d(WGS84_A_KM)}, _p * {d(WGS84_B_KM)})",
+            "_su": "sin(_u)",
+            "_cu": "cos(_u)",
+            "_phi": f"atan2({z} + {d(WGS84_EP2 * WGS84_B_KM)} * _su * _su * _su,"
+            f" _p - {d(WGS84_E2 * WGS84_A_KM)} * _cu * _cu * _cu)",
+            "_sphi": "sin(_phi)",
+            "_cphi": "cos(_phi)",
+            "_normal": f"{d(WGS84_A_KM)} / sqrt(1D - {d(WGS84_E2)} * _sphi * _sphi)",
+        },
         {
-            out[0]: fenced(F.degrees("_phi")),
-            out[1]: fenced(F.degrees(F.atan2(y, x))),
-            out[2]: fenced(altitude),
-        }
-    ).drop("_p", "_u", "_su", "_cu", "_phi", "_sphi", "_cphi", "_n")
+            out[0]: "degrees(_phi)",
+            out[1]: f"degrees(atan2({y}, {x}))",
+            out[2]: "CASE WHEN abs(_cphi) > abs(_sphi) THEN _p / _cphi - _normal"
+            f" ELSE {z} / _sphi - _normal * {d(1.0 - WGS84_E2)} END",
+        },
+    )
 
 
 def with_geodetic_from_teme(
@@ -151,16 +158,6 @@ def with_geodetic_from_teme(
     ).drop(*ecef)
 
 
-def fenced(column: Column) -> Column:
-    """Keep the optimizer from moving a filter on `column` below its computation.
-
-    A filter that is pushed through staged projections has every stage copied into its
-    condition, which grows exponentially. An expression that depends on the task is never
-    inlined; adding zero times the partition number makes it one, at no cost.
-    """
-    return column + (F.spark_partition_id() * F.lit(0)).cast("double")
-
-
 OBSERVER_FIELDS = (
     "observer_x_km", "observer_y_km", "observer_z_km",
     "observer_sin_lat", "observer_cos_lat", "observer_sin_lon", "observer_cos_lon",
@@ -189,27 +186,23 @@ def with_look_angles(
     `with_observer_frame`. It is the difference vector that is turned into east, north and
     up, never the satellite's own position.
     """
-    ox, oy, oz, s_lat, c_lat, s_lon, c_lon = (F.col(c) for c in OBSERVER_FIELDS)
-    x, y, z = (F.col(c) for c in satellite)
-    staged = (
-        df.withColumns({"_dx": x - ox, "_dy": y - oy, "_dz": z - oz})
-        .withColumn("_outward", c_lon * F.col("_dx") + s_lon * F.col("_dy"))
-        .withColumns(
-            {
-                "_east": c_lon * F.col("_dy") - s_lon * F.col("_dx"),
-                "_north": c_lat * F.col("_dz") - s_lat * F.col("_outward"),
-                "_up": c_lat * F.col("_outward") + s_lat * F.col("_dz"),
-                "range_km": F.sqrt(
-                    F.col("_dx") * F.col("_dx")
-                    + F.col("_dy") * F.col("_dy")
-                    + F.col("_dz") * F.col("_dz")
-                ),
-            }
-        )
-    )
-    return staged.withColumns(
+    ox, oy, oz, s_lat, c_lat, s_lon, c_lon = OBSERVER_FIELDS
+    x, y, z = satellite
+    return derive(
+        df,
         {
-            "azimuth_deg": fenced(F.pmod(F.degrees(F.atan2("_east", "_north")), F.lit(360.0))),
-            "elevation_deg": fenced(F.degrees(F.asin(F.col("_up") / F.col("range_km")))),
-        }
-    ).drop("_dx", "_dy", "_dz", "_outward", "_east", "_north", "_up")
+            "_dx": f"{x} - {ox}",
+            "_dy": f"{y} - {oy}",
+            "_dz": f"{z} - {oz}",
+            "_outward": f"{c_lon} * _dx + {s_lon} * _dy",
+            "_east": f"{c_lon} * _dy - {s_lon} * _dx",
+            "_north": f"{c_lat} * _dz - {s_lat} * _outward",
+            "_up": f"{c_lat} * _outward + {s_lat} * _dz",
+            "_range": "sqrt(_dx * _dx + _dy * _dy + _dz * _dz)",
+        },
+        {
+            "azimuth_deg": "pmod(degrees(atan2(_east, _north)), 360D)",
+            "elevation_deg": "degrees(asin(_up / _range))",
+            "range_km": "_range",
+        },
+    )

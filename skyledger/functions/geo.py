@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.functions.frames import WGS84_A_KM, WGS84_F, fenced
+from skyledger.functions.frames import WGS84_A_KM, WGS84_F, d, derive
 
 #: Half the sum of the extreme meridian radii bounds how far a degree can stretch; used to
 #: turn a ground radius into degrees with room to spare.
@@ -15,70 +15,31 @@ CELL_DEG = 1.0
 LON_CELLS = 360
 
 
-def distance_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Ground distance on the WGS84 ellipsoid, Lambert's closed form (about 10 m per 1000 km)."""
-    b1 = F.atan(F.lit(1.0 - WGS84_F) * F.tan(F.radians(lat1)))
-    b2 = F.atan(F.lit(1.0 - WGS84_F) * F.tan(F.radians(lat2)))
-    half_lat = F.sin((b2 - b1) / 2.0)
-    half_lon = F.sin(F.radians(lon2 - lon1) / 2.0)
-    chord = half_lat * half_lat + F.cos(b1) * F.cos(b2) * half_lon * half_lon
-    sigma = 2.0 * F.asin(F.least(F.lit(1.0), F.sqrt(chord)))
-    sin_p, cos_p = F.sin((b1 + b2) / 2.0), F.cos((b1 + b2) / 2.0)
-    cos_q = F.cos((b2 - b1) / 2.0)
-    near = F.greatest(F.lit(1.0) - chord, F.lit(1e-12))
-    far = F.greatest(chord, F.lit(1e-18))
-    x = (sigma - F.sin(sigma)) * sin_p * sin_p * cos_q * cos_q / near
-    y = (sigma + F.sin(sigma)) * cos_p * cos_p * half_lat * half_lat / far
-    return F.lit(WGS84_A_KM) * (sigma - F.lit(WGS84_F / 2.0) * (x + y))
-
-
-def with_distance(
-    df: DataFrame,
-    here: tuple[Column, Column],
-    there: tuple[Column, Column] | None = None,
-    out: str = "distance_km",
-) -> DataFrame:
-    """Add `distance_km` with its shared parts staged."""
-    lat2, lon2 = there or (F.col("latitude_deg"), F.col("longitude_deg"))
-    lat1, lon1 = here
-    flat = F.lit(1.0 - WGS84_F)
-    staged = (
-        df.withColumns(
-            {
-                "_b1": F.atan(flat * F.tan(F.radians(lat1))),
-                "_b2": F.atan(flat * F.tan(F.radians(lat2))),
-                "_hl": F.sin(F.radians(lon2 - lon1) / 2.0),
-            }
-        )
-        .withColumn("_hb", F.sin((F.col("_b2") - F.col("_b1")) / 2.0))
-        .withColumn(
-            "_chord",
-            F.col("_hb") * F.col("_hb")
-            + F.cos("_b1") * F.cos("_b2") * F.col("_hl") * F.col("_hl"),
-        )
-        .withColumns(
-            {
-                "_sigma": 2.0 * F.asin(F.least(F.lit(1.0), F.sqrt("_chord"))),
-                "_sp": F.sin((F.col("_b1") + F.col("_b2")) / 2.0),
-                "_cp": F.cos((F.col("_b1") + F.col("_b2")) / 2.0),
-                "_cq": F.cos((F.col("_b2") - F.col("_b1")) / 2.0),
-            }
-        )
-        .withColumn("_ss", F.sin("_sigma"))
-    )
-    c = F.col
-    x = (
-        (c("_sigma") - c("_ss")) * c("_sp") * c("_sp") * c("_cq") * c("_cq")
-        / F.greatest(F.lit(1.0) - c("_chord"), F.lit(1e-12))
-    )
-    y = (
-        (c("_sigma") + c("_ss")) * c("_cp") * c("_cp") * c("_hb") * c("_hb")
-        / F.greatest(c("_chord"), F.lit(1e-18))
+def with_distance(df: DataFrame, latitude: str, longitude: str) -> DataFrame:
+    """Add `distance_km` from a place to the row's point, over the ground.
+
+    Lambert's closed form on the WGS84 ellipsoid, good to about 10 m per 1000 km. The place
+    is given by two SQL expressions.
+    """
+    flat = d(1.0 - WGS84_F)
+    return derive(
+        df,
+        {
+            "_b1": f"atan({flat} * tan(radians({latitude})))",
+            "_b2": f"atan({flat} * tan(radians(latitude_deg)))",
+            "_hl": f"sin(radians(longitude_deg - ({longitude})) / 2D)",
+            "_hb": "sin((_b2 - _b1) / 2D)",
+            "_chord": "_hb * _hb + cos(_b1) * cos(_b2) * _hl * _hl",
+            "_sigma": "2D * asin(least(1D, sqrt(_chord)))",
+            "_ss": "sin(_sigma)",
+            "_sp": "sin((_b1 + _b2) / 2D)",
+            "_cp": "cos((_b1 + _b2) / 2D)",
+            "_cq": "cos((_b2 - _b1) / 2D)",
+            "_lx": "(_sigma - _ss) * _sp * _sp * _cq * _cq / greatest(1D - _chord, 1e-12D)",
+            "_ly": "(_sigma + _ss) * _cp * _cp * _hb * _hb / greatest(_chord, 1e-18D)",
+        },
+        {"distance_km": f"{d(WGS84_A_KM)} * (_sigma - {d(WGS84_F / 2.0)} * (_lx + _ly))"},
     )
-    return staged.withColumn(
-        out,
-        fenced(F.lit(WGS84_A_KM) * (c("_sigma") - F.lit(WGS84_F / 2.0) * (x + y))),
-    ).drop("_b1", "_b2", "_hl", "_hb", "_chord", "_sigma", "_sp", "_cp", "_cq", "_ss")
 
 
 def lat_band(latitude: Column) -> Column:

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.functions.frames import fenced
+from skyledger.functions.frames import d, derive
 
 # WGS72 gravity model.
 MU_KM3_S2 = 398600.8
@@ -45,63 +45,38 @@ def age_hours(at: Column, epoch: Column) -> Column:
     return (F.unix_micros(at) - F.unix_micros(epoch)) / F.lit(3.6e9)
 
 
-def orbit_error(mean_motion: Column, eccentricity: Column) -> Column:
-    """Decline code of an element set for the J2 kernel, 0 if it can be propagated."""
-    n = mean_motion * F.lit(2.0 * math.pi / 86400.0)
-    axis = F.pow(F.lit(MU_KM3_S2) / (n * n), F.lit(1.0 / 3.0))
-    return (
-        F.when(mean_motion <= 0, F.lit(BAD_MEAN_MOTION))
-        .when((eccentricity < 0) | (eccentricity >= 1), F.lit(BAD_ECCENTRICITY))
-        .when(axis * (F.lit(1.0) - eccentricity) < EARTH_RADIUS_KM, F.lit(BELOW_GROUND))
-        .otherwise(F.lit(0))
-    )
-
-
 def with_orbit_constants(df: DataFrame) -> DataFrame:
     """Per-object constants of the J2 kernel, computed once before any time grid.
 
-    Adds `error_code` and the `_k_*` columns. Rows with a non-zero code carry NULLs there.
+    Adds `error_code` and the `_k_*` columns. Rows with a non-zero code carry NULLs in those
+    the state depends on.
     """
-    mm = F.col("mean_motion").cast("double")
-    ecc = F.col("eccentricity").cast("double")
-    coded = df.withColumns({"_k_e": ecc, "_mm": mm}).withColumn(
-        "error_code", orbit_error(F.col("_mm"), F.col("_k_e"))
-    )
-    usable = F.col("error_code") == 0
-    inc = F.radians(F.col("inclination").cast("double"))
-    return (
-        coded.withColumns(
-            {
-                "_k_n": F.when(usable, F.col("_mm") * F.lit(2.0 * math.pi / 86400.0)),
-                "_k_ci": F.cos(inc),
-                "_k_si": F.sin(inc),
-                "_k_root": F.when(usable, F.sqrt(F.lit(1.0) - F.col("_k_e") * F.col("_k_e"))),
-                "_k_node": F.radians(F.col("ra_of_asc_node").cast("double")),
-                "_k_argp": F.radians(F.col("arg_of_pericenter").cast("double")),
-                "_k_m": F.radians(F.col("mean_anomaly").cast("double")),
-            }
-        )
-        .withColumn(
-            "_k_a",
-            F.pow(F.lit(MU_KM3_S2) / (F.col("_k_n") * F.col("_k_n")), F.lit(1.0 / 3.0)),
-        )
-        .withColumn("_p", F.col("_k_a") * (F.lit(1.0) - F.col("_k_e") * F.col("_k_e")))
-        .withColumn(
-            "_rate",
-            F.lit(1.5 * J2)
-            * (F.lit(EARTH_RADIUS_KM) / F.col("_p"))
-            * (F.lit(EARTH_RADIUS_KM) / F.col("_p"))
-            * F.col("_k_n"),
-        )
-        .withColumns(
-            {
-                "_k_node_rate": -F.col("_rate") * F.col("_k_ci"),
-                "_k_argp_rate": F.col("_rate")
-                * (F.lit(2.0) - F.lit(2.5) * F.col("_k_si") * F.col("_k_si")),
-            }
-        )
-        .drop("_mm", "_p", "_rate")
-    )
+    ok = "error_code = 0"
+    steps = {
+        "_k_e": "cast(eccentricity AS double)",
+        "_mm": "cast(mean_motion AS double)",
+        "_n": f"CASE WHEN _mm > 0 THEN _mm * {d(2.0 * math.pi / 86400.0)} END",
+        "_a": f"pow({d(MU_KM3_S2)} / (_n * _n), {d(1.0 / 3.0)})",
+        "error_code": f"CASE WHEN _n IS NULL THEN {BAD_MEAN_MOTION}"
+        f" WHEN NOT coalesce(_k_e >= 0 AND _k_e < 1, false) THEN {BAD_ECCENTRICITY}"
+        f" WHEN _a * (1D - _k_e) < {d(EARTH_RADIUS_KM)} THEN {BELOW_GROUND} ELSE 0 END",
+        "_k_n": f"CASE WHEN {ok} THEN _n END",
+        "_k_a": f"CASE WHEN {ok} THEN _a END",
+        "_k_root": f"CASE WHEN {ok} THEN sqrt(1D - _k_e * _k_e) END",
+        "_k_ci": "cos(radians(cast(inclination AS double)))",
+        "_k_si": "sin(radians(cast(inclination AS double)))",
+        "_k_node": "radians(cast(ra_of_asc_node AS double))",
+        "_k_argp": "radians(cast(arg_of_pericenter AS double))",
+        "_k_m": "radians(cast(mean_anomaly AS double))",
+        "_re_p": f"{d(EARTH_RADIUS_KM)} / (_k_a * _k_root * _k_root)",
+        "_rate": f"{d(1.5 * J2)} * _re_p * _re_p * _k_n",
+        "_k_node_rate": "-_rate * _k_ci",
+        "_k_argp_rate": "_rate * (2D - 2.5D * _k_si * _k_si)",
+    }
+    columns = df.columns
+    return df.selectExpr(
+        *[f"`{c}`" for c in columns], *[f"{e} AS `{n}`" for n, e in steps.items()]
+    ).select(*columns, "error_code", *CONSTANT_COLUMNS)
 
 
 CONSTANT_COLUMNS = (
@@ -115,61 +90,37 @@ def with_j2_state(df: DataFrame, elapsed_seconds: Column, velocity: bool = True)
 
     Input carries the columns of `with_orbit_constants`; they are dropped again.
     """
-    c = F.col
-    moved = df.withColumn("_dt", elapsed_seconds).withColumns(
-        {
-            "_m": c("_k_m") + c("_k_n") * c("_dt"),
-            "_node": c("_k_node") + c("_k_node_rate") * c("_dt"),
-            "_argp": c("_k_argp") + c("_k_argp_rate") * c("_dt"),
-        }
-    )
-    moved = moved.withColumn("_ea", c("_m") + c("_k_e") * F.sin("_m"))
-    for _ in range(NEWTON_STEPS):
-        moved = moved.withColumn(
-            "_ea",
-            c("_ea")
-            - (c("_ea") - c("_k_e") * F.sin("_ea") - c("_m"))
-            / (F.lit(1.0) - c("_k_e") * F.cos("_ea")),
+    steps = {
+        "_m": "_k_m + _k_n * _dt",
+        "_node": "_k_node + _k_node_rate * _dt",
+        "_argp": "_k_argp + _k_argp_rate * _dt",
+        "_ea0": "_m + _k_e * sin(_m)",
+    }
+    for i in range(NEWTON_STEPS):
+        e = f"_ea{i}"
+        steps[f"_ea{i + 1}"] = (
+            f"{e} - ({e} - _k_e * sin({e}) - _m) / (1D - _k_e * cos({e}))"
         )
-    moved = moved.withColumns(
-        {
-            "_se": F.sin("_ea"), "_ce": F.cos("_ea"),
-            "_so": F.sin("_node"), "_co": F.cos("_node"),
-            "_sw": F.sin("_argp"), "_cw": F.cos("_argp"),
-        }
-    ).withColumns(
-        {
-            "_px": c("_co") * c("_cw") - c("_so") * c("_sw") * c("_k_ci"),
-            "_py": c("_so") * c("_cw") + c("_co") * c("_sw") * c("_k_ci"),
-            "_pz": c("_sw") * c("_k_si"),
-            "_qx": -c("_co") * c("_sw") - c("_so") * c("_cw") * c("_k_ci"),
-            "_qy": -c("_so") * c("_sw") + c("_co") * c("_cw") * c("_k_ci"),
-            "_qz": c("_cw") * c("_k_si"),
-            "_u": c("_k_a") * (c("_ce") - c("_k_e")),
-            "_v": c("_k_a") * c("_k_root") * c("_se"),
-        }
-    )
-    scratch = [
-        "_dt", "_m", "_node", "_argp", "_ea", "_se", "_ce", "_so", "_co", "_sw", "_cw",
-        "_px", "_py", "_pz", "_qx", "_qy", "_qz", "_u", "_v",
-    ]
-    state = {
-        f"position_{axis}_km": fenced(c("_u") * c(f"_p{axis}") + c("_v") * c(f"_q{axis}"))
-        for axis in "xyz"
+    steps |= {
+        "_se": f"sin(_ea{NEWTON_STEPS})", "_ce": f"cos(_ea{NEWTON_STEPS})",
+        "_so": "sin(_node)", "_co": "cos(_node)", "_sw": "sin(_argp)", "_cw": "cos(_argp)",
+        "_px": "_co * _cw - _so * _sw * _k_ci",
+        "_py": "_so * _cw + _co * _sw * _k_ci",
+        "_pz": "_sw * _k_si",
+        "_qx": "-_co * _sw - _so * _cw * _k_ci",
+        "_qy": "-_so * _sw + _co * _cw * _k_ci",
+        "_qz": "_cw * _k_si",
+        "_along": "_k_a * (_ce - _k_e)",
+        "_across": "_k_a * _k_root * _se",
     }
+    state = {f"position_{x}_km": f"_along * _p{x} + _across * _q{x}" for x in "xyz"}
     if velocity:
-        moved = moved.withColumn(
-            "_s",
-            F.sqrt(F.lit(MU_KM3_S2) * c("_k_a"))
-            / (c("_k_a") * (F.lit(1.0) - c("_k_e") * c("_ce"))),
-        ).withColumns(
-            {"_du": -c("_s") * c("_se"), "_dv": c("_s") * c("_k_root") * c("_ce")}
-        )
-        scratch += ["_s", "_du", "_dv"]
-        state |= {
-            f"velocity_{axis}_km_s": fenced(
-                c("_du") * c(f"_p{axis}") + c("_dv") * c(f"_q{axis}")
-            )
-            for axis in "xyz"
+        steps |= {
+            "_pace": f"sqrt({d(MU_KM3_S2)} * _k_a) / (_k_a * (1D - _k_e * _ce))",
+            "_du": "-_pace * _se",
+            "_dv": "_pace * _k_root * _ce",
         }
-    return moved.withColumns(state).drop(*scratch, *CONSTANT_COLUMNS)
+        state |= {f"velocity_{x}_km_s": f"_du * _p{x} + _dv * _q{x}" for x in "xyz"}
+    return derive(df.withColumn("_dt", elapsed_seconds), steps, state).drop(
+        "_dt", *CONSTANT_COLUMNS
+    )

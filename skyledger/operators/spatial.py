@@ -18,7 +18,7 @@ def small_side(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
 
 def distances_from(points: DataFrame, latitude: float, longitude: float) -> DataFrame:
     """Ground distance of every point from one place."""
-    return geo.with_distance(points, (F.lit(float(latitude)), F.lit(float(longitude))))
+    return geo.with_distance(points, geo.d(latitude), geo.d(longitude))
 
 
 def within_radius(
@@ -85,9 +85,7 @@ def _with_cell(points: DataFrame) -> DataFrame:
 
 
 def _measured(pairs: DataFrame) -> DataFrame:
-    return geo.with_distance(
-        pairs, (F.col("observer_latitude_deg"), F.col("observer_longitude_deg"))
-    )
+    return geo.with_distance(pairs, "observer_latitude_deg", "observer_longitude_deg")
 
 
 def within_radius_of(points: DataFrame, places: DataFrame, radius_km: float) -> DataFrame:

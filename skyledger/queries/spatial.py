@@ -1 +1,86 @@
-"""Placeholder."""
+"""Distance, radius and nearest-object queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from skyledger import fixtures as fx
+from skyledger.functions import geo
+from skyledger.operators import spatial
+from skyledger.queries import base
+from skyledger.queries.base import distance_sql, query, r, rounded
+
+LAT, LON, _ = fx.BERLIN
+
+
+def _from_berlin(view: str) -> str:
+    return distance_sql(
+        f"SELECT *, {base.num(LAT)} AS observer_latitude_deg, "
+        f"{base.num(LON)} AS observer_longitude_deg FROM {view}"
+    )
+
+
+_PAIRS = distance_sql(
+    "SELECT p.*, o.observer_id, o.observer_latitude_deg, o.observer_longitude_deg "
+    "FROM positions p CROSS JOIN observers o"
+)
+
+
+@query("make_point", "positions", f"""
+SELECT norad_cat_id, {r('longitude_deg', 'lon')}, {r('latitude_deg', 'lat')},
+  cast(least(floor(latitude_deg + 90), 179) AS INTEGER) * 360
+    + cast(floor(longitude_deg + 180) AS INTEGER) % 360 AS geo_cell FROM positions""")
+def make_point(spark, sf):
+    lat, lon = F.col("latitude_deg"), F.col("longitude_deg")
+    return rounded(
+        base.positions(spark, sf).select(
+            "norad_cat_id", geo.geo_point(lat, lon).alias("p"), geo.geo_cell(lat, lon).alias("geo_cell")
+        ).select("norad_cat_id", "p.lon", "p.lat", "geo_cell")
+    )
+
+
+@query("distance_km", "geo_points", f"""
+SELECT point_id, {r('distance_km', places=3)} FROM ({_from_berlin('geo_points')})""")
+def distance_km(spark, sf):
+    points = fx.geo_points(spark, sf)
+    return rounded(spatial.distances_from(points, LAT, LON).select("point_id", "distance_km"), 3)
+
+
+@query("within_radius", "geo_points", f"""
+SELECT point_id, {r('distance_km', places=3)} FROM ({_from_berlin('geo_points')}) WHERE distance_km <= 2000""")
+def within_radius(spark, sf):
+    near = spatial.within_radius(fx.geo_points(spark, sf), LAT, LON, 2000.0)
+    return rounded(near.select("point_id", "distance_km"), 3)
+
+
+@query("within_radius_many", "positions observers", f"""
+SELECT observer_id, norad_cat_id, {r('distance_km', places=3)} FROM ({_PAIRS}) WHERE distance_km <= 3000""")
+def within_radius_many(spark, sf):
+    near = spatial.within_radius_of(base.positions(spark, sf), fx.observers(spark, sf), 3000.0)
+    return rounded(near.select("observer_id", "norad_cat_id", "distance_km"), 3)
+
+
+@query("knn_observer", "positions dim_object", f"""
+SELECT norad_cat_id, object_name, orbit_regime, round(distance_km, 0) + 0e0 AS km_away, round(altitude_km, 0) + 0e0 AS alt_km
+FROM ({_from_berlin('positions')}) JOIN dim_object USING (norad_cat_id)
+ORDER BY distance_km, norad_cat_id LIMIT 10""")
+def knn_observer(spark, sf):
+    # The k nearest positions first, names for those k only.
+    near = spatial.nearest(base.positions(spark, sf), LAT, LON, 10)
+    named = near.join(base.dim(spark, sf).select("norad_cat_id", "object_name", "orbit_regime"),
+                      "norad_cat_id")
+    return rounded(
+        named.orderBy("distance_km", "norad_cat_id").select(
+            "norad_cat_id", "object_name", "orbit_regime",
+            F.col("distance_km").alias("km_away"), F.col("altitude_km").alias("alt_km"),
+        ), 0,
+    )
+
+
+@query("knn_observers_many", "positions observers", f"""
+SELECT observer_id, norad_cat_id, {r('distance_km', places=3)}, rk AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY observer_id ORDER BY distance_km, norad_cat_id) AS rk
+  FROM ({_PAIRS})) WHERE rk <= 5""")
+def knn_observers_many(spark, sf):
+    near = spatial.nearest_to(base.positions(spark, sf), fx.observers(spark, sf), 5)
+    return rounded(near.select("observer_id", "norad_cat_id", "distance_km", "rank"), 3)
