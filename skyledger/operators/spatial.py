@@ -79,9 +79,13 @@ def _cells_in_reach(places: DataFrame, reach_km: str) -> DataFrame:
 
 
 def _with_cell(points: DataFrame) -> DataFrame:
-    return points.withColumn(
-        "geo_cell", geo.geo_cell(F.col("latitude_deg"), F.col("longitude_deg"))
-    )
+    """Points with their grid cell, to be used as a join key.
+
+    The cell passes through a one-element generator: the optimizer traces join keys back
+    through projections by substitution, which would unfold a computed position.
+    """
+    cell = geo.geo_cell(F.col("latitude_deg"), F.col("longitude_deg"))
+    return points.withColumn("geo_cell", F.explode(F.array(cell)))
 
 
 def _measured(pairs: DataFrame) -> DataFrame:

@@ -47,9 +47,9 @@ def distance_km(spark, sf):
 
 
 @query("within_radius", "geo_points", f"""
-SELECT point_id, {r('distance_km', places=3)} FROM ({_from_berlin('geo_points')}) WHERE distance_km <= 2000""")
+SELECT point_id, {r('distance_km', places=3)} FROM ({_from_berlin('geo_points')}) WHERE distance_km <= 6000""")
 def within_radius(spark, sf):
-    near = spatial.within_radius(fx.geo_points(spark, sf), LAT, LON, 2000.0)
+    near = spatial.within_radius(fx.geo_points(spark, sf), LAT, LON, 6000.0)
     return rounded(near.select("point_id", "distance_km"), 3)
 
 

@@ -125,7 +125,7 @@ def _paths(name: str, globe: bool) -> None:
 
     @query(name, "fact", f"""
 SELECT norad_cat_id, object_name, cast(seg AS INTEGER) AS segment, count(*) AS n_points,
-  {r('period_minutes', places=1)}, string_agg({point}, ';' ORDER BY sample_idx) AS path
+  round_even(period_minutes, 1) + 0e0 AS period_minutes, string_agg({point}, ';' ORDER BY sample_idx) AS path
 FROM ({source}) GROUP BY norad_cat_id, object_name, seg, period_minutes""")
     def run(spark, sf):
         tracks = ops.orbit_tracks(
