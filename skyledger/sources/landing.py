@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from skyledger.operators.spatial import small_side
 from skyledger.schemas import GP_PAYLOAD, LINEAGE_COLUMNS, MANIFEST_SCHEMA, Feed
@@ -46,11 +46,13 @@ def scan_landing_csv(
     return named.select("source_file", *feed.payload)
 
 
-def scan_manifest(spark: SparkSession, path: str) -> DataFrame:
+def scan_manifest(
+    spark: SparkSession, path: str, pattern: str = "*.meta.json"
+) -> DataFrame:
     """Audit sidecars below a folder; a malformed one fails the job."""
     raw = (
         spark.read.schema(MANIFEST_SCHEMA)
-        .options(multiLine="true", mode="FAILFAST", pathGlobFilter="*.meta.json")
+        .options(multiLine="true", mode="FAILFAST", pathGlobFilter=pattern)
         .json(path)
     )
     return raw.withColumn("ingested_at", F.col("ingested_at").cast("timestamp"))
@@ -65,14 +67,11 @@ def landed_files(spark: SparkSession, path: str, pattern: str = "*.csv") -> Data
 
 
 def require_sidecars(spark: SparkSession, path: str, manifest: DataFrame) -> None:
-    """Fail if a landed file has no sidecar."""
+    """Fail if a landed file has no sidecar, or one that cannot be read."""
+    attributed = manifest.where(F.col("ingested_at").isNotNull()).select("source_file")
     try:
-        bare = landed_files(spark, path).join(
-            manifest.where(F.col("ingested_at").isNotNull()), "source_file", "left_anti"
-        ).take(5)
-    except AnalysisException:
-        raise
-    except Exception as error:
+        bare = landed_files(spark, path).join(attributed, "source_file", "left_anti").take(5)
+    except PySparkException as error:
         raise MissingSidecarError(f"a sidecar below {path} cannot be read") from error
     if bare:
         raise MissingSidecarError(f"no sidecar for {[row.source_file for row in bare]}")
