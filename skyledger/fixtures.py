@@ -150,12 +150,15 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def observers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observers from `nation`, with Berlin as number -1."""
+    """Observers from `nation`, with Berlin as number -1.
+
+    They stand off the grid of `geo_points`, where an azimuth could be exactly north.
+    """
     k = F.col("n_nationkey")
     here = table(spark, sf_dir, "nation").select(
         k.cast("int").alias("observer_id"),
-        (k * 7 - 84).cast("double").alias("observer_latitude_deg"),
-        (k * 14 - 170).cast("double").alias("observer_longitude_deg"),
+        (k * 7 - 83.9965).alias("observer_latitude_deg"),
+        (k * 14 - 169.9965).alias("observer_longitude_deg"),
         F.lit(0.0).alias("observer_altitude_km"),
     )
     return here.union(
@@ -262,8 +265,8 @@ SELECT o_orderdate AS ingested_at, cast(o_orderkey AS VARCHAR) AS ingestion_id,
        cast(o_orderkey // 4 AS VARCHAR) AS etag
 FROM orders"""),
     "observers": ((), f"""
-SELECT n_nationkey AS observer_id, cast(n_nationkey * 7 - 84 AS DOUBLE) AS observer_latitude_deg,
-       cast(n_nationkey * 14 - 170 AS DOUBLE) AS observer_longitude_deg,
+SELECT n_nationkey AS observer_id, n_nationkey * 7 - 83.9965e0 AS observer_latitude_deg,
+       n_nationkey * 14 - 169.9965e0 AS observer_longitude_deg,
        cast(0 AS DOUBLE) AS observer_altitude_km
 FROM nation
 UNION ALL SELECT -1, cast({BERLIN[0]} AS DOUBLE), cast({BERLIN[1]} AS DOUBLE), cast({BERLIN[2]} AS DOUBLE)"""),

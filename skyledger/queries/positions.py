@@ -180,9 +180,29 @@ def snapshot_names(spark, sf):
     return rounded(named.select("norad_cat_id", "object_name", "orbit_regime", "altitude_km"))
 
 
-@query("staleness", "sky", "SELECT norad_cat_id, orbit_regime, is_stale FROM sky")
+# Every element set of the tables is weeks old at the snapshot. Seen from 800 hours earlier
+# some are fresh and some lie in the future.
+_EARLIER = f"""SELECT norad_cat_id, orbit_regime, {r('age', 'epoch_age_hours')},
+  age > CASE orbit_regime WHEN 'LEO' THEN 48 WHEN 'GEO/HEO' THEN 96 WHEN 'MEO' THEN 168 ELSE 48 END AS is_stale
+FROM (SELECT *, epoch_age_hours - 800 AS age FROM sky)"""
+
+
+def _earlier(spark, sf):
+    age = F.col("epoch_age_hours") - 800
+    seen = base.sky(spark, sf).select("norad_cat_id", "orbit_regime", age.alias("epoch_age_hours"))
+    return seen.withColumn(
+        "is_stale", enrich.is_stale(F.col("epoch_age_hours"), F.col("orbit_regime"))
+    )
+
+
+@query("staleness", "sky", _EARLIER)
 def staleness(spark, sf):
-    return base.sky(spark, sf).select("norad_cat_id", "orbit_regime", "is_stale")
+    return rounded(_earlier(spark, sf))
+
+
+@query("filter_fresh", "sky", f"SELECT * FROM ({_EARLIER}) WHERE NOT is_stale")
+def filter_fresh(spark, sf):
+    return rounded(enrich.filter_positions(_earlier(spark, sf), hide_stale=True))
 
 
 SKY_OUT = ("norad_cat_id", "object_name", "object_type", "orbit_regime", "owner",
@@ -209,7 +229,6 @@ _filtered("filter_range", "altitude_km BETWEEN 500 AND 20000", altitude_range=(5
 _filtered("filter_name", "contains(lower(object_name), 'sat 1')", name_query="SAT 1")
 _filtered("filter_name_regex", "regexp_matches(lower(object_name), 'sat (1|2)[0-9]$')",
           name_query="sat (1|2)[0-9]$", regex=True)
-_filtered("filter_fresh", "NOT is_stale", hide_stale=True)
 _filtered(
     "filter_combined",
     "orbit_regime IN ('MEO', 'GEO/HEO', 'unknown') AND object_type IN ('PAY', 'R/B') "

@@ -34,9 +34,9 @@ def look_angles(spark, sf):
 
 @query("observer_cross", "geo_points observers", f"""
 SELECT point_id, observer_id, {ANGLES}
-FROM ({_looking('SELECT p.*, o.* FROM geo_points p CROSS JOIN (SELECT * FROM observers WHERE observer_id < 3) o')})""")
+FROM ({_looking('SELECT p.*, o.* FROM geo_points p CROSS JOIN (SELECT * FROM observers WHERE observer_id BETWEEN 0 AND 3) o')})""")
 def observer_cross(spark, sf):
-    listed = [BERLIN] + [(k, k * 7.0 - 84.0, k * 14.0 - 170.0, 0.0) for k in range(3)]
+    listed = [(k, k * 7 - 83.9965, k * 14 - 169.9965, 0.0) for k in range(4)]
     seen = ops.look_angles(fx.geo_points(spark, sf), listed)
     return rounded(
         seen.select("point_id", "observer_id", "azimuth_deg", "elevation_deg", "range_km")
