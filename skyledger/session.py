@@ -34,6 +34,8 @@ def local_session(cores: int = 8, app: str = "skyledger") -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        # Call-site capture for error messages doubles the cost of building a plan.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(cores))
