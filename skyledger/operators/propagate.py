@@ -138,6 +138,19 @@ def sample_states(
     )
 
 
+def spread(elsets: DataFrame, samples: int) -> DataFrame:
+    """Element sets hashed on the object id over enough tasks for their samples.
+
+    The number is explicit: it is set by what the rows will grow to, while adaptive
+    execution would merge the small element sets into a task or two before they grow.
+    """
+    spark = elsets.sparkSession
+    base = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    )
+    return elsets.repartition(base * min(16, 1 + samples // 1000), "norad_cat_id")
+
+
 def seconds_since_epoch(at: Column) -> Column:
     return (F.unix_micros(at) - F.unix_micros("epoch")) / F.lit(1e6)
 
@@ -155,7 +168,7 @@ def propagate_all(
         raise ValueError("the step must be positive")
     at = instant(start)
     moved = sample_states(
-        elsets,
+        spread(elsets, samples) if samples > 1 else elsets,
         lambda i: seconds_since_epoch(at) + i * F.lit(float(step_seconds)),
         samples=samples, kernel=kernel, carry=("norad_cat_id", "epoch"),
     ).withColumn(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skyledger.functions import frames, orbit
 from skyledger.operators.ordered import MAX_GROUP_ROWS, OrderedGroups
-from skyledger.operators.propagate import instant, sample_states, seconds_since_epoch
+from skyledger.operators.propagate import instant, sample_states, seconds_since_epoch, spread
 
 DEFAULT_SAMPLES = 90
 
@@ -38,7 +38,7 @@ def orbit_tracks(
     )
     # One exchange of the element sets; everything after it, windows over a track included,
     # stays in the task that generates the samples.
-    timed = timed.repartition("norad_cat_id")
+    timed = spread(timed, samples)
     moved = sample_states(
         timed,
         lambda i: seconds_since_epoch(at) + i * (F.col("period_minutes") * 60.0 / steps),

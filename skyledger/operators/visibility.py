@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skyledger.functions import frames
 from skyledger.operators.enrich import above
 from skyledger.operators.ordered import MAX_GROUP_ROWS, OrderedGroups
-from skyledger.operators.propagate import instant, sample_states, seconds_since_epoch
+from skyledger.operators.propagate import instant, sample_states, seconds_since_epoch, spread
 from skyledger.operators.spatial import small_side
 
 #: Observers that may be given as a literal list; longer lists go in as a table.
@@ -213,7 +213,7 @@ def _series(elsets, start, window_hours, step_seconds, kernel) -> DataFrame:
     # Only element sets are exchanged here. Samples are generated behind the exchange and
     # keep its partitioning, so the windows of the pass search need no other one.
     moved = sample_states(
-        elsets.repartition("norad_cat_id"),
+        spread(elsets, samples),
         lambda i: seconds_since_epoch(at) + i * F.lit(float(step_seconds)),
         samples=samples, kernel=kernel, velocity=False, carry=("norad_cat_id", "object_name"),
     ).where("error_code = 0")

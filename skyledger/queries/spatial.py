@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from skyledger import fixtures as fx
 from skyledger.functions import geo
+from skyledger.functions.sql import register_functions
 from skyledger.operators import spatial
 from skyledger.queries import base
 from skyledger.queries.base import distance_sql, query, r, rounded
+from skyledger.session import scratch_path
+from skyledger.sources import snapshot
 
 LAT, LON, _ = fx.BERLIN
 
@@ -82,5 +85,25 @@ SELECT observer_id, norad_cat_id, {r('distance_km', places=3)}, rk AS rank FROM
   SELECT *, row_number() OVER (PARTITION BY observer_id ORDER BY distance_km, norad_cat_id) AS rk
   FROM ({_PAIRS})) WHERE rk <= 5""")
 def knn_observers_many(spark, sf):
-    near = spatial.nearest_to(base.positions(spark, sf), fx.observers(spark, sf), 5)
+    # The positions are read several times, so they are stored first, as a snapshot is.
+    root = scratch_path(spark, "knn-snapshot")
+    snapshot.write_snapshot(base.positions(spark, sf), root)
+    stored = snapshot.read_snapshot(spark, root).drop("geo_point", "geo_cell")
+    near = spatial.nearest_to(stored, fx.observers(spark, sf), 5)
     return rounded(near.select("observer_id", "norad_cat_id", "distance_km", "rank"), 3)
+
+
+@query("sql_functions", "geo_points", f"""
+SELECT point_id, {r('distance_km', places=3)}, {r('ex', 'x')}, {r('ey', 'y')}, {r('ez', 'z')}
+FROM ({base.ecef_from_geodetic_sql(_from_berlin('geo_points'), 'latitude_deg', 'longitude_deg', 'altitude_km')})""")
+def sql_functions(spark, sf):
+    register_functions(spark)
+    fx.geo_points(spark, sf).createOrReplaceTempView("skyledger_geo_points")
+    rows = spark.sql(f"""
+        SELECT point_id, ground_distance_km({LAT}D, {LON}D, latitude_deg, longitude_deg) AS km,
+               geodetic_to_ecef(latitude_deg, longitude_deg, altitude_km) AS p
+        FROM skyledger_geo_points""")
+    return rows.select(
+        "point_id", base.rnd("km", 3).alias("distance_km"),
+        *[base.rnd(F.col(f"p.{axis}")).alias(axis) for axis in "xyz"],
+    )

@@ -58,9 +58,7 @@ def scan_manifest(spark, sf):
     path = scratch_path(spark, "manifest")
     stamped = F.date_format("ingested_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
     fx.manifest(spark, sf).withColumn("ingested_at", stamped).write.json(path)
-    # Spark writes many records per file, one per line; sidecars hold one each.
-    lines = spark.read.schema(landing.MANIFEST_SCHEMA).option("mode", "FAILFAST").json(path)
-    return lines.withColumn("ingested_at", F.col("ingested_at").cast("timestamp"))
+    return landing.scan_manifest(spark, path, compacted=True)
 
 
 @query("attach_lineage", "raw_gp", f"""

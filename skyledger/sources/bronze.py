@@ -42,7 +42,7 @@ def land_to_bronze(
 ) -> str:
     """Convert every landed CSV of a feed, in one job."""
     configure(spark)
-    manifest = landing.scan_manifest(spark, path)
+    manifest = landing.scan_manifest(spark, path, mode="PERMISSIVE")
     landing.require_sidecars(spark, path, manifest)
     rows = landing.scan_landing_csv(spark, path, feed, null_tokens=null_tokens)
     return write_bronze(landing.attach_lineage(rows, manifest, feed), root)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -42,15 +42,16 @@ def first_seen(stream: DataFrame, *, delay: str = "7 days") -> DataFrame:
     )
 
 
-#: Buckets an interval table is stored in.
+#: Buckets an interval table is stored in by default; a large table wants more of them, so
+#: that a bucket stays around a gigabyte.
 ID_BUCKETS = 64
 
 
-def bucket_of(column: str = "norad_cat_id"):
-    return F.pmod(F.xxhash64(column), F.lit(ID_BUCKETS)).cast("int")
+def bucket_of(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("norad_cat_id"), F.lit(buckets)).cast("int")
 
 
-def rebuild_touched(batch: DataFrame, table: str) -> None:
+def rebuild_touched(batch: DataFrame, table: str, *, buckets: int = ID_BUCKETS) -> None:
     """Merge new element sets into an interval table by rebuilding what they touch.
 
     A new epoch changes the interval before it, so the whole history of a touched object is
@@ -59,28 +60,32 @@ def rebuild_touched(batch: DataFrame, table: str) -> None:
     partition cannot be overwritten while it is being read.
     """
     spark = configure(batch.sparkSession)
-    schema = spark.createDataFrame([], batch.schema).transform(_tiled).schema
+    schema = _tiled(spark.createDataFrame([], batch.schema), buckets).schema
     stored = read_or_empty(spark, table, schema)
-    # At most ID_BUCKETS values, whatever the batch holds.
-    buckets = [r.bucket for r in batch.select(bucket_of().alias("bucket")).distinct().collect()]
-    if not buckets:
+    # At most `buckets` values, whatever the batch holds.
+    touched = [
+        r.bucket for r in batch.select(bucket_of(buckets).alias("bucket")).distinct().collect()
+    ]
+    if not touched:
         return
-    history = stored.where(F.col("bucket").isin(buckets)).select(*batch.columns)
+    history = stored.where(F.col("bucket").isin(touched)).select(*batch.columns)
     checkpoint_root(spark)
-    rebuilt = _tiled(dedup_earliest(history.unionByName(batch))).checkpoint()
+    rebuilt = _tiled(dedup_earliest(history.unionByName(batch)), buckets).checkpoint()
     rebuilt.write.partitionBy("bucket").mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).parquet(table)
 
 
-def _tiled(elsets: DataFrame) -> DataFrame:
-    return with_validity(elsets).withColumn("bucket", bucket_of())
+def _tiled(elsets: DataFrame, buckets: int) -> DataFrame:
+    return with_validity(elsets).withColumn("bucket", bucket_of(buckets))
 
 
-def stream_rebuild(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+def stream_rebuild(
+    stream: DataFrame, table: str, checkpoint: str, *, buckets: int = ID_BUCKETS
+) -> StreamingQuery:
     """Keep an interval table up to date with a stream of staged element sets."""
     return (
-        stream.writeStream.foreachBatch(lambda batch, _: rebuild_touched(batch, table))
+        stream.writeStream.foreachBatch(lambda batch, _: rebuild_touched(batch, table, buckets=buckets))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
