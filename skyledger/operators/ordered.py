@@ -10,6 +10,7 @@ cross a piece's edge travels through a small table with at most two rows per par
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,10 +24,22 @@ _BLOCK = "_block"
 _TIE = "_tie"
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows in the largest group; partial counts are combined before the shuffle."""
+#: Pieces per shuffle partition that spread rows may be cut into.
+_MAX_PIECES_PER_PARTITION = 16
+
+
+class GroupSizes(NamedTuple):
+    """Rows in the largest group, and in all groups together."""
+
+    largest: int
+    total: int
+
+
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> GroupSizes:
+    """Measure the groups of a DataFrame; counts are combined before the shuffle."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
+    row = counts.agg(F.max("n"), F.sum("n")).first()
+    return GroupSizes(row[0] or 0, row[1] or 0)
 
 
 class OrderedGroups:
@@ -40,15 +53,24 @@ class OrderedGroups:
         *,
         max_group_rows: int = MAX_GROUP_ROWS,
         bounded: bool = False,
+        sizes: GroupSizes | None = None,
     ) -> None:
-        """`bounded` states that the caller's parameters limit the size of a group."""
+        """`bounded` states that the caller's parameters limit the size of a group; `sizes`
+        gives sizes, or upper bounds of them, that are known already."""
         self.keys, self.order = list(keys), list(order)
-        self.spread = not bounded and largest_group(df, keys) > max_group_rows
+        if not bounded and sizes is None:
+            sizes = group_sizes(df, keys)
+        self.spread = not bounded and sizes.largest > max_group_rows
         if self.spread:
             checkpoint_root(df.sparkSession)
+            partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            pieces = min(
+                max(partitions, sizes.total // max_group_rows),
+                partitions * _MAX_PIECES_PER_PARTITION,
+            )
             df = (
                 df.withColumn(_TIE, F.monotonically_increasing_id())
-                .repartitionByRange(*self.keys, *self.order, _TIE)
+                .repartitionByRange(pieces, *self.keys, *self.order, _TIE)
                 .withColumn(_BLOCK, F.spark_partition_id())
                 .checkpoint()
             )

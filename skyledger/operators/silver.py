@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.operators.ordered import MAX_GROUP_ROWS, OrderedGroups, largest_group
+from skyledger.operators.ordered import MAX_GROUP_ROWS, GroupSizes, OrderedGroups, group_sizes
 from skyledger.schemas import LINEAGE_COLUMNS
 
 # Target type of each staged column; (source column, type) where renamed.
@@ -95,10 +95,15 @@ def dedup_latest(staged: DataFrame) -> DataFrame:
     )
 
 
-def with_validity(elsets: DataFrame, *, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def with_validity(
+    elsets: DataFrame,
+    *,
+    max_group_rows: int = MAX_GROUP_ROWS,
+    sizes: GroupSizes | None = None,
+) -> DataFrame:
     """Validity interval of each element set: from its epoch to the object's next one."""
     groups = OrderedGroups(
-        elsets, ["norad_cat_id"], ["epoch"], max_group_rows=max_group_rows
+        elsets, ["norad_cat_id"], ["epoch"], max_group_rows=max_group_rows, sizes=sizes
     ).neighbours(following={"valid_to": "epoch"})
     return groups.result().withColumns(
         {"valid_from": F.col("epoch"), "is_current": F.col("valid_to").isNull()}
@@ -114,14 +119,10 @@ def elset(staged: DataFrame, *, max_group_rows: int = MAX_GROUP_ROWS) -> DataFra
     """
     columns = [c for c in GP_TYPES] + ["valid_from", "valid_to"]
     columns += [c for c in LINEAGE_COLUMNS if c != "target"] + ["is_current"]
-    if largest_group(staged, ["norad_cat_id"]) <= max_group_rows:
-        by_object = dedup_earliest(staged.repartition("norad_cat_id"))
-        groups = OrderedGroups(by_object, ["norad_cat_id"], ["epoch"], bounded=True)
-        history = groups.neighbours(following={"valid_to": "epoch"}).result().withColumns(
-            {"valid_from": F.col("epoch"), "is_current": F.col("valid_to").isNull()}
-        )
-    else:
-        history = with_validity(dedup_earliest(staged), max_group_rows=max_group_rows)
+    sizes = group_sizes(staged, ["norad_cat_id"])
+    if sizes.largest <= max_group_rows:
+        staged = staged.repartition("norad_cat_id")
+    history = with_validity(dedup_earliest(staged), max_group_rows=max_group_rows, sizes=sizes)
     return history.select(*columns)
 
 

@@ -34,7 +34,7 @@ def test_bad_values_fail_the_job(spark, column, value):
 
 def test_history_of_spread_groups(staged):
     usual = silver.elset(staged)
-    assert same_rows(usual, silver.elset(staged, max_group_rows=2))
+    assert same_rows(usual, silver.elset(staged, max_group_rows=5))
 
 
 def test_one_object_holding_most_rows(spark, staged):
@@ -64,7 +64,7 @@ def test_asof_equals_a_range_join(spark, staged):
                "AND (e.valid_to IS NULL OR p.at < e.valid_to)"), "left",
     ).select("p.*", "e.epoch", "e.valid_to")
     assert same_rows(want, silver.asof_elset(probes, elsets))
-    assert same_rows(want, silver.asof_elset(probes, elsets, max_group_rows=2))
+    assert same_rows(want, silver.asof_elset(probes, elsets, max_group_rows=5))
 
 
 def test_flags(spark):
