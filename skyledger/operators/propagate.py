@@ -148,7 +148,7 @@ def spread(elsets: DataFrame, samples: int) -> DataFrame:
     base = max(
         int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
     )
-    return elsets.repartition(base * min(16, 1 + samples // 1000), "norad_cat_id")
+    return elsets.repartition(base * min(8, 1 + samples // 4000), "norad_cat_id")
 
 
 def seconds_since_epoch(at: Column) -> Column:
