@@ -6,14 +6,14 @@ import json
 import os
 import time
 
+from skyledger import fixtures as fx
 from skyledger.operators import spatial, tracks, visibility
 from skyledger.operators.propagate import propagate
 from skyledger.plans import warehouse
-from skyledger.queries import base
+from skyledger.queries import base, registry
 from skyledger.schemas import GP
 from skyledger.session import local_session, scratch_path
 from skyledger.sources.bronze import load_insert_if_absent
-from skyledger import fixtures as fx
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
@@ -85,8 +85,7 @@ def main() -> None:
             fact, BERLIN, base.AT, window_hours=6, step_seconds=30, kernel="sgp4"
         )
     ))
-    timed("asof", lambda: drain(base.REGISTRY["asof_elset"].run(spark, SF_DIR))
-          if "asof_elset" in base.REGISTRY else None)
+    timed("asof", lambda: drain(registry()["asof_elset"].run(spark, SF_DIR)))
     spark.stop()
     print(json.dumps({
         "metric": "headline queries, total", "value": round(sum(timings.values()), 3),
@@ -95,7 +94,4 @@ def main() -> None:
 
 
 if __name__ == "__main__":
-    from skyledger.queries import registry
-
-    registry()
     main()

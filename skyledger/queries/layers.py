@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skyledger import fixtures as fx
 from skyledger.operators import enrich, gold, silver, summaries
 from skyledger.queries import base
-from skyledger.queries.base import AT_SQL, GP_DOUBLES, LINEAGE, SATCAT_PLAIN, gp_plain, plain, query
+from skyledger.queries.base import AT_SQL, LINEAGE, SATCAT_PLAIN, gp_plain, plain, query
 
 
 @query("stg_gp", "stg_gp", f"SELECT * REPLACE ({gp_plain()}) FROM stg_gp")

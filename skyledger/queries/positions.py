@@ -10,7 +10,7 @@ from skyledger.operators import enrich, summaries
 from skyledger.operators.propagate import propagate, propagate_all, propagate_grid
 from skyledger.queries import base
 from skyledger.queries.base import (
-    AT, AT_SQL, KERNEL, STATE, ecef_from_geodetic_sql, ecef_from_teme_sql, geodetic_sql,
+    AT, AT_SQL, KERNEL, ecef_from_geodetic_sql, ecef_from_teme_sql, geodetic_sql,
     gmst_sql, j2_sql, jd_sql, query, r, rnd, rounded,
 )
 from skyledger.schemas import POSITION_COLUMNS

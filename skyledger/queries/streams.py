@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from skyledger import fixtures as fx
 from skyledger.operators import silver
-from skyledger.queries import base
 from skyledger.queries.base import query
 from skyledger.queries.storage import _LOADED
 from skyledger.schemas import GP
