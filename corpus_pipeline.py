@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import bpe, exact_dedup, mixing, quality
+from skyledger.llm import bpe, exact_dedup, mixing, ngram_join, quality
 from skyledger.llm.common import documents, stored
 from skyledger.llm.queries import tokenizer
 
@@ -33,8 +33,6 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts linked by similar shingle sets the one with the smallest doc_id stays."""
-    from skyledger.llm import ngram_join
-
     return ngram_join.keep_one(docs)
 
 

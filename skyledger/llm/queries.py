@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import bpe, exact_dedup, mixing, quality
+from skyledger.llm import bpe, exact_dedup, mixing, ngram_join, quality
 from skyledger.llm.common import documents
 
 QUERIES = {}
@@ -45,6 +45,11 @@ def bpe_encode_decode(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op2_ngram_jaccard")
+def ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.jaccard_components(documents(spark, sf)).select("doc_id", "n_shingles", "component_id")
+
+
 @query("op7_exact_dedup", r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
