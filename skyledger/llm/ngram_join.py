@@ -42,7 +42,7 @@ K = 5
 PERCENT = 80
 #: Cost model: share of a set assumed to lie in passages that many documents have, and how many
 #: times larger a one-deletion segment is than an exact one. They decide costs, never results.
-COMMON_SHARE, COMMON_SHINGLES, MOST_COMMON = 0.05, 40, 0.5
+COMMON_SHARE, COMMON_SHINGLES, MOST_COMMON = 0.05, 15, 0.4
 DELETION_SIZE = 3.0
 
 EXACT, WHOLE, DELETED = 0, 1, 2
@@ -54,10 +54,17 @@ _SALT = np.uint64(0x5851F42D4C957F2D)
 
 @lru_cache(maxsize=None)
 def band_starts(percent: int = PERCENT, largest: int = 1 << 40) -> list[int]:
-    """First size of every band: partners of a size lie in its band and the next."""
+    """First size of every band: larger partners of a size lie in its band or the next.
+
+    A band spans two steps of the size ratio; about half of its members then need its own scheme
+    alone, which costs fewer signatures than narrower or wider bands do.
+    """
     starts = [1]
     while starts[-1] <= largest:
-        starts.append(max(starts[-1] + 1, 100 * (starts[-1] - 1) // percent + 1))
+        start = starts[-1]
+        for _ in range(2):
+            start = max(start + 1, 100 * (start - 1) // percent + 1)
+        starts.append(start)
     return starts
 
 
@@ -157,7 +164,7 @@ def signatures(h: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, np.n
     return sig, kind
 
 
-def _index(doc_id: str, text: str, k: int, percent: int):
+def _index(k: int, percent: int, signed: bool):
     schema = ("doc_id bigint, n_shingles bigint, key bigint, node binary, sketch binary, "
               "sig array<bigint>, tag array<int>")
 
@@ -175,14 +182,15 @@ def _index(doc_id: str, text: str, k: int, percent: int):
                 nodes.append(node.tobytes() if n else None)
                 # Copies in one partition need neither sketch nor signatures again.
                 fresh = n > 0 and nodes[-1] not in seen
-                sketches.append(sketch(h) if fresh else None)
+                sketches.append(sketch(h) if fresh and not signed else None)
                 if fresh:
                     if len(seen) < 1_000_000:
                         seen.add(nodes[-1])
+                if fresh and signed:
                     band = int(np.searchsorted(starts, n, "right")) - 1
                     for lower in (0, 1):
-                        if band < lower:
-                            continue
+                        if lower and (n * percent + 99) // 100 >= starts[band]:
+                            continue  # its smaller partners are all of its own band
                         # Larger partner of a set of the band below, or either one in its own band.
                         most = n + (starts[band] - 1 if lower else 100 * n // percent)
                         allowed = differing(int(most), percent)
@@ -207,33 +215,36 @@ def _index(doc_id: str, text: str, k: int, percent: int):
 
 
 def index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K,
-          percent: int = PERCENT) -> DataFrame:
-    """One stored row per document: set size, node, sketch and signatures."""
-    run, schema = _index(doc_id, text, k, percent)
-    return stored(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-                  .mapInArrow(run, schema), "ngram-index")
+          percent: int = PERCENT, signed: bool = True) -> DataFrame:
+    """One row per document: set size, node, sketch and, if wanted, signatures."""
+    run, schema = _index(k, percent, signed)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 # ---- Candidates ---------------------------------------------------------------------------
 
 
 def lists(indexed: DataFrame) -> DataFrame:
-    """Stored (sig, key, kind): the shared segments that each node looks up."""
+    """Stored (sig, key, kind): the shared segments that each node looks up.
+
+    Signatures are shuffled once. A list is as long as the number of different sets that share a
+    segment; it is sorted and counted as a stream and may spill.
+    """
     rows = (
         indexed.filter(F.size("sig") > 0)
         .select("key", F.explode(F.arrays_zip("sig", "tag")).alias("s"))
         .select("key", "s.sig", "s.tag")
     )
-    shared = (
-        rows.groupBy("sig")
-        .agg(F.count(F.lit(1)).alias("n"), F.max((F.col("tag") % 4 != DELETED)).alias("whole"))
-        .filter("n > 1 and whole").select("sig", "n")
-    )
     kind = F.col("tag") % 4
+    same = Window.partitionBy("sig")
+    counted = (
+        rows.withColumn("n", F.count(F.lit(1)).over(same))
+        .withColumn("whole", F.max(kind != DELETED).over(same))
+        .filter("n > 1 and whole").dropDuplicates(["sig", "key"])
+    )
     costly = Window.partitionBy("key", F.shiftright("tag", 2)).orderBy(
         (kind != EXACT).cast("int"), F.desc("n"), "sig")
-    met = rows.join(shared, "sig").dropDuplicates(["key", "sig"])
-    looked_up = met.withColumn("rank", F.row_number().over(costly)).filter(
+    looked_up = counted.withColumn("rank", F.row_number().over(costly)).filter(
         (kind != EXACT) | (F.col("rank") > F.shiftright("tag", 3)))
     return stored(looked_up.select("sig", "key", kind.alias("kind")), "ngram-lists")
 
@@ -316,13 +327,14 @@ def _across(of_lists: DataFrame, component: DataFrame, sizes: DataFrame, percent
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K,
                        percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, node."""
-    indexed = index(docs, doc_id, text, k, percent)
+    # Signatures are many times larger than the rest and go straight into the shuffle.
+    indexed = stored(index(docs, doc_id, text, k, percent, signed=False).drop("sig", "tag"), "ngram-index")
     nodes = stored(
         indexed.filter("n_shingles > 0").groupBy("node", "key", "n_shingles")
         .agg(F.min("doc_id").alias("rep"), F.first("sketch", True).alias("sketch"), F.count(F.lit(1)).alias("copies")),
         "ngram-nodes",
     )
-    of_lists = lists(indexed)
+    of_lists = lists(index(docs, doc_id, text, k, percent).select("key", "sig", "tag"))
     tried = stored(_stars(of_lists), "ngram-stars")
     links = verified(tried, nodes, docs, doc_id, text, k, percent)
     grouped = connect(links)  # (id, component) of nodes with links
