@@ -24,12 +24,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from skyledger.llm.common import pieces
+
 #: Pre-tokens whose ids a worker remembers; beyond it the table starts anew.
-MEMORY = 400_000
+MEMORY = 200_000
+#: Bytes of text, or ids, that a worker turns at a time.
+SLICE = 1 << 20
 #: White space of the Unicode standard, as the tokenizer's pattern means it.
 SPACE = r"\t-\r \x85\xa0  -     　"
 
@@ -212,13 +216,10 @@ class Model:
                 ids += found
         return ids
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids; bytes that are not valid UTF-8 become replacement characters."""
-        return b"".join(map(self.tokens.__getitem__, ids)).decode("utf-8", "replace")
-
 
-def load(path: str) -> Model:
-    """Build the model from a byte-level BPE file of the tokenizers library."""
+def _read(path: str) -> tuple[dict, dict[str, int], dict[str, int], list[bytes]]:
+    """A byte-level BPE file of the tokenizers library: all of it, special tokens, vocabulary,
+    and the bytes of each id."""
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     alphabet = byte_alphabet()
@@ -229,6 +230,16 @@ def load(path: str) -> Model:
         tokens[i] = bytes(alphabet[c] for c in word)
     for word, i in special.items():
         tokens[i] = word.encode()
+    return spec, special, vocab, tokens
+
+
+def vocabulary(path: str) -> list[bytes]:
+    return _read(path)[3]
+
+
+def load(path: str) -> Model:
+    """Build the model from a byte-level BPE file of the tokenizers library."""
+    spec, special, vocab, tokens = _read(path)
     pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
     rank, parts = {}, {}
     for r, (a, b) in enumerate(pairs):
@@ -284,42 +295,52 @@ def _reached(model: Model, parts: tuple[int, int, int]) -> bool:
             j += 1
 
 
-def _mapped(df: DataFrame, model, name: str, kind: T.DataType, work) -> DataFrame:
-    """Append a column computed from batches in Python workers."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+def _mapped(df: DataFrame, shared, name: str, kind: T.DataType, widths, work) -> DataFrame:
+    """Append a column computed from slices of batches, so that memory doesn't follow their size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = shared.value.prepare()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, work(ready, batch)], [*batch.schema.names, name])
+            ends = np.concatenate(([0], np.cumsum(widths(batch))))
+            for a, b in pieces(ends, SLICE):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns, work(shared.value, part)], [*batch.schema.names, name])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, kind)]))
+
 
-    schema = T.StructType([f for f in df.schema.fields] + [T.StructField(name, kind)])
-    return df.mapInArrow(run, schema)
+def _lengths(column: pa.Array) -> np.ndarray:
+    return np.asarray(pc.fill_null(column, 0), np.int64)
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Append the ids of a text column as an array of integers."""
 
     def work(model: Model, batch: pa.RecordBatch) -> pa.Array:
+        model.prepare()
         out, ends = [], [0]
         for value in batch.column(text).to_pylist():
             out += model.encode(value) if value else ()
             ends.append(len(out))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(out, np.int32)))
 
-    return _mapped(df, load(path), ids, T.ArrayType(T.IntegerType()), work)
+    def widths(batch: pa.RecordBatch) -> np.ndarray:
+        return _lengths(pc.binary_length(batch.column(text)))
+
+    shared = df.sparkSession.sparkContext.broadcast(load(path))
+    return _mapped(df, shared, ids, T.ArrayType(T.IntegerType()), widths, work)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """Append the text of a column of ids; null ids give null."""
+    """Append the text of a column of ids; null ids give null. Bytes that are not valid UTF-8
+    become replacement characters."""
 
-    def work(model: Model, batch: pa.RecordBatch) -> pa.Array:
-        column = batch.column(ids)
-        flat, ends = column.flatten().to_pylist(), np.cumsum([0, *[n or 0 for n in pa.compute.list_value_length(column).to_pylist()]])
-        return pa.array(
-            [None if not valid else model.decode(flat[a:b])
-             for valid, a, b in zip(column.is_valid().to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)],
-            pa.string(),
-        )
-
-    return _mapped(df, load(path), text, T.StringType(), work)
+    def widths(batch: pa.RecordBatch) -> np.ndarray:
+        return _lengths(pc.list_value_length(batch.column(ids)))
+
+    def work(tokens: list[bytes], batch: pa.RecordBatch) -> pa.Array:
+        values = batch.column(ids).to_pylist()
+        return pa.array([None if v is None else b"".join(map(tokens.__getitem__, v)).decode("utf-8", "replace")
+                         for v in values], pa.string())
+
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary(path))
+    return _mapped(df, shared, text, T.StringType(), widths, work)
