@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 
 from skyledger.llm.common import pieces
 
-#: Pre-tokens whose ids a worker remembers; beyond it the table starts anew.
-MEMORY = 200_000
+#: Pre-tokens a worker remembers before it starts a new table; the one before is kept beside it.
+MEMORY = 100_000
 #: Bytes of text, or ids, that a worker turns at a time.
 SLICE = 1 << 20
 #: White space of the Unicode standard, as the tokenizer's pattern means it.
@@ -153,30 +153,28 @@ class Model:
             else:
                 j += 1
 
-    def encode_piece(self, piece: bytes, seen: dict[tuple[int, int], bool]) -> list[int]:
+    def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the last token of every prefix, then back-pointers."""
-        labels, first, target, link, token = self._ready[1]
-        lengths, (shorter, longest) = self._ready[2], self._ready[3]
+        _, edges, link, token, lengths, shorter, longest, _, _, pairs = self._ready
         n = len(piece)
         last, state, matched = [0] * (n + 1), 0, 0
-        for i in range(1, n + 1):
-            byte = piece[i - 1]
-            while (at := labels.find(byte, first[state], first[state + 1])) < 0:
+        for i, byte in enumerate(piece, 1):
+            while (to := edges.get(state << 8 | byte)) is None:
                 state = shorter[state]
                 matched = longest[state]
-            state = target[at]
+            state = to
             matched += 1
             # The state's own token only if the match is as long as it.
             s = state if token[state] >= 0 and lengths[token[state]] == matched else link[state]
             while True:
                 t = token[s]
-                j = i - lengths[t]
-                if not j:
+                before = i - lengths[t]
+                if not before:
                     break
-                pair = (last[j], t)
-                ok = seen.get(pair)
+                pair = last[before] << 20 | t
+                ok = pairs.get(pair)
                 if ok is None:
-                    ok = seen[pair] = self.compatible(*pair)
+                    ok = pairs[pair] = self.compatible(last[before], t)
                 if ok:
                     break
                 s = link[s]
@@ -188,15 +186,21 @@ class Model:
         return ids[::-1]
 
     def prepare(self) -> Model:
+        """Lookup tables of a worker, made once."""
         if self._ready is None:
             special = "|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))
-            arrays = (self.labels, self.first.tolist(), self.target.tolist(), self.link.tolist(), self.token.tolist())
-            self._ready = (re.compile(self.pattern), arrays, [len(t) for t in self.tokens],
-                           (self.shorter.tolist(), self.longest.tolist()), re.compile(f"({special})") if special else None, {}, {})
+            first, target = self.first.tolist(), self.target.tolist()
+            edges = {s << 8 | self.labels[i]: target[i] for s in range(len(self.link)) for i in range(first[s], first[s + 1])}
+            self._ready = (
+                re.compile(self.pattern), edges, self.link.tolist(), self.token.tolist(),
+                [len(t) for t in self.tokens], self.shorter.tolist(), self.longest.tolist(),
+                re.compile(f"({special})") if special else None, [{}, {}], {},
+            )
         return self
 
     def encode(self, text: str) -> list[int]:
-        pattern, _, _, _, special, known, pairs = self._ready
+        pattern, special, tables, pairs = self._ready[0], self._ready[7], self._ready[8], self._ready[9]
+        known, older = tables
         parts = special.split(text) if special and special.search(text) else (text,)
         ids: list[int] = []
         for k, part in enumerate(parts):
@@ -206,14 +210,16 @@ class Model:
             for piece in pattern.findall(part):
                 found = known.get(piece)
                 if found is None:
-                    if len(known) >= self.memory:
-                        known.clear()
-                    if len(pairs) >= self.memory:
-                        pairs.clear()
-                    found = self.encode_piece(piece.encode(), pairs)
+                    found = older.get(piece)
+                    if found is None:
+                        found = self.encode_piece(piece.encode())
                     if len(piece) <= 64:
                         known[piece] = found
                 ids += found
+        if len(known) >= self.memory:
+            tables[:] = {}, known  # what is still in use moves over from the older table
+        if len(pairs) >= 4 * self.memory:
+            pairs.clear()
         return ids
 
 

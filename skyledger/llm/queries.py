@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import bpe, exact_dedup, mixing, ngram_join, quality
+from skyledger.llm import bpe, exact_dedup, langid, mixing, ngram_join, quality, secrets
 from skyledger.llm.common import documents
 
 QUERIES = {}
@@ -50,6 +50,15 @@ def ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.jaccard_components(documents(spark, sf)).select("doc_id", "n_shingles", "component_id")
 
 
+@query("op5_language_id")
+def language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    learned = docs.filter(F.col("lang").isNotNull() & ~langid.held_out(F.col("doc_id")))
+    filters = langid.fit(learned.select("lang", "text"))
+    return langid.predict(docs, filters).select(
+        "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 @query("op7_exact_dedup", r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -71,6 +80,18 @@ def quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     ])
 
 
+@query("op9_secret_scan")
+def secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf))
+    base = F.filter("spans", lambda s: s["kind_no"] < 3)
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter("spans", lambda s, i=i: s["kind_no"] == i)).cast("long").alias(f"n_{k}")
+          for i, k in enumerate(secrets.KINDS[:3])],
+        F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"),
+    )
+
+
 @query("op10_mix_sources")
 def mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(documents(spark, sf))
