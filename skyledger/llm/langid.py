@@ -19,7 +19,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +36,11 @@ UNKNOWN = "und"
 SLICE = 1 << 20
 
 
-@lru_cache(maxsize=1)
-def _letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(0x110000)])
+def _letters(known: list = []) -> np.ndarray:  # noqa: B006
+    """Which code points are letters; made once in a worker."""
+    if not known:
+        known.append(np.array([chr(c).isalpha() for c in range(0x110000)]))
+    return known[0]
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

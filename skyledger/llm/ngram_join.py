@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,13 +45,14 @@ COMMON_SHARE, COMMON_SHINGLES, MOST_COMMON = 0.05, 15, 0.4
 DELETION_SIZE = 3.0
 
 EXACT, WHOLE, DELETED = 0, 1, 2
+#: Bytes of the folded sketch that goes along with candidates.
+FOLDED = 32
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
 # ---- Bands and schemes --------------------------------------------------------------------
 
 
-@lru_cache(maxsize=None)
 def band_starts(percent: int = PERCENT, largest: int = 1 << 40) -> list[int]:
     """First size of every band: larger partners of a size lie in its band or the next.
 
@@ -73,10 +73,12 @@ def differing(sizes: int, percent: int) -> int:
     return sizes * (100 - percent) // (100 + percent)
 
 
-@lru_cache(maxsize=None)
-def scheme(band: int, percent: int = PERCENT) -> tuple[int, int, int]:
+def scheme(band: int, percent: int = PERCENT, known: dict = {}) -> tuple[int, int, int]:  # noqa: B006
     """Exact segments, one-deletion segments and total weight of a band: the cheapest allocation
-    whose slack pays for the segments that documents with a common passage agree on by chance."""
+    whose slack pays for the segments that documents with a common passage agree on by chance.
+    `known` remembers them."""
+    if (band, percent) in known:
+        return known[band, percent]
     starts = band_starts(percent)
     n, largest = starts[band], starts[band + 1] - 1
     least = differing(largest + 100 * largest // percent, percent) + 1
@@ -94,6 +96,7 @@ def scheme(band: int, percent: int = PERCENT) -> tuple[int, int, int]:
             cost = rows * (1.0 + 0.2 * excess) + 30.0 * excess
             if best is None or cost < best[0]:
                 best = (cost, exact, deletion, weight)
+    known[band, percent] = best[1:]
     return best[1:]
 
 
@@ -125,19 +128,23 @@ def sets_of(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 def sketch(h: np.ndarray) -> bytes:
     """Parity of the set in each of a power of two of cells, about one for each shingle."""
-    cells = max(64, 1 << int(len(h) - 1).bit_length()) if len(h) else 64
+    cells = max(8 * FOLDED, 1 << (len(h) - 1).bit_length())
     odd = np.bincount((mix(h ^ _SALT) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def folded(x: np.ndarray, size: int) -> np.ndarray:
+    """The sketch the same set would have with fewer cells."""
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def parity_distance(a: bytes, b: bytes) -> int:
     """Never more than the number of shingles in which the two sets differ."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.unpackbits(x ^ y).sum())
+    size = min(len(x), len(y))
+    return int(np.unpackbits(folded(x, size) ^ folded(y, size)).sum())
 
 
 def signatures(h: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,13 +173,14 @@ def signatures(h: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, np.n
 
 def _index(k: int, percent: int, signed: bool):
     schema = ("doc_id bigint, n_shingles bigint, key bigint, node binary, sketch binary, "
+              "fold array<bigint>, "
               "sig array<bigint>, tag array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.array(band_starts(percent))
         seen: set[bytes] = set()
         for batch in batches:
-            sizes, keys, nodes, sketches, sigs, tags, ends = [], [], [], [], [], [], [0]
+            sizes, keys, nodes, sketches, folds, sigs, tags, ends = [], [], [], [], [], [], [], [0]
             total = 0
             for h in sets_of(batch.column(1), k):
                 n = len(h)
@@ -183,9 +191,10 @@ def _index(k: int, percent: int, signed: bool):
                 # Copies in one partition need neither sketch nor signatures again.
                 fresh = n > 0 and nodes[-1] not in seen
                 sketches.append(sketch(h) if fresh and not signed else None)
-                if fresh:
-                    if len(seen) < 1_000_000:
-                        seen.add(nodes[-1])
+                folds.append(None if sketches[-1] is None else
+                             folded(np.frombuffer(sketches[-1], np.uint8), FOLDED).view(np.int64))
+                if fresh and len(seen) < 1_000_000:
+                    seen.add(nodes[-1])
                 if fresh and signed:
                     band = int(np.searchsorted(starts, n, "right")) - 1
                     for lower in (0, 1):
@@ -206,10 +215,10 @@ def _index(k: int, percent: int, signed: bool):
             offsets = pa.array(ends, pa.int32())
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()),
-                pa.array(nodes, pa.binary()), pa.array(sketches, pa.binary()),
+                pa.array(nodes, pa.binary()), pa.array(sketches, pa.binary()), pa.array(folds, pa.list_(pa.int64())),
                 pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([none64, *sigs]))),
                 pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([none32, *tags]).astype(np.int32))),
-            ], ["doc_id", "n_shingles", "key", "node", "sketch", "sig", "tag"])
+            ], ["doc_id", "n_shingles", "key", "node", "sketch", "fold", "sig", "tag"])
 
     return run, schema
 
@@ -246,13 +255,31 @@ def lists(indexed: DataFrame) -> DataFrame:
         (kind != EXACT).cast("int"), F.desc("n"), "sig")
     looked_up = counted.withColumn("rank", F.row_number().over(costly)).filter(
         (kind != EXACT) | (F.col("rank") > F.shiftright("tag", 3)))
-    return stored(looked_up.select("sig", "key", kind.alias("kind")), "ngram-lists")
+    # Who agrees most with others: the middle of a group of near copies comes first.
+    centre = F.sum("n").over(Window.partitionBy("key")).alias("centre")
+    return stored(looked_up.select("sig", "key", kind.alias("kind"), centre), "ngram-lists")
 
 
 def _fits(a: Column, b: Column, percent: int) -> Column:
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
 
 
+def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
+    """(rep, h): the shingle hashes of the wanted documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [h.view(np.int64) for h in sets_of(batch.column(1), k)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rep", "h"])
+
+    return (
+        docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
+        .join(wanted, "rep", "left_semi").dropDuplicates(["rep"])
+        .mapInArrow(run, "rep bigint, h array<bigint>")
+    )
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int,
              percent: int) -> DataFrame:
     """Stored (a, b): pairs of nodes whose sets link. `pairs` holds keys (ka < kb)."""
@@ -273,19 +300,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, t
         "ngram-likely",
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [h.view(np.int64) for h in sets_of(batch.column(1), k)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rep", "h"])
-
     wanted = likely.select(F.explode(F.array("ra", "rb")).alias("rep")).distinct()
-    texts = (
-        docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
-        .join(wanted, "rep", "left_semi").dropDuplicates(["rep"])
-        .mapInArrow(run, "rep bigint, h array<bigint>")
-    )
-    texts = stored(texts, "ngram-sets")
+    texts = stored(_sets(docs, wanted, doc_id, text, k), "ngram-sets")
     common = F.size(F.array_intersect("ha", "hb"))
     union = F.size("ha") + F.size("hb") - common
     return stored(
@@ -296,9 +312,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, t
 
 
 def _stars(of_lists: DataFrame) -> DataFrame:
-    """Each member of a list with one whole member of it, the same in every list it is in."""
-    first = of_lists.filter(F.col("kind") != DELETED).groupBy("sig").agg(
-        F.min(F.struct(F.xxhash64("key").alias("o"), "key")).alias("hub"))
+    """Each member of a list with its most central whole member."""
+    first = of_lists.filter(F.col("kind") != DELETED).groupBy("sig").agg(F.max(F.struct("centre", "key")).alias("hub"))
     return _ordered(of_lists.join(first, "sig").select(F.col("hub.key").alias("x"), F.col("key").alias("y")))
 
 
@@ -309,18 +324,45 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _across(of_lists: DataFrame, component: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Members of one list that are in different components so far."""
-    rows = of_lists.join(component, "key").join(sizes, "key")
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows of lists whose members are in more than one component."""
     apart = rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    mixed = stored(rows.join(apart.filter("lo <> hi").select("sig"), "sig"), "ngram-mixed")
-    x = mixed.filter(F.col("kind") != DELETED).select("sig", F.col("key").alias("x"), F.col("component").alias("cx"),
-                                                      F.col("kind").alias("kx"), F.col("n_shingles").alias("nx"))
-    y = mixed.select("sig", F.col("key").alias("y"), F.col("component").alias("cy"),
-                     F.col("kind").alias("ky"), F.col("n_shingles").alias("ny"))
-    met = x.join(y, "sig").filter(
-        (F.col("cx") != F.col("cy")) & _fits(F.col("nx"), F.col("ny"), percent)
-        & ((F.col("ky") == DELETED) | (F.col("x") < F.col("y"))))
+    return rows.join(apart.filter("lo <> hi").select("sig"), "sig")
+
+
+def _across(of_lists: DataFrame, by_key: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int,
+            percent: int) -> DataFrame:
+    """Members of one list that are in different components so far and may link.
+
+    The folded sketches bound the difference, and so do shingles that no other of these documents
+    has: a document that has too many
+    of them links with nobody, and two documents differ at least in the own shingles of both.
+    """
+    mixed = stored(_mixed(of_lists.join(by_key, "key")), "ngram-mixed")
+    members = mixed.select("key", "rep").distinct()
+    shingles = _sets(docs, members.select("rep").distinct(), doc_id, text, k).join(members, "rep").select(
+        "key", F.explode("h").alias("h"))
+    own = (
+        shingles.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key")).filter("n = 1")
+        .groupBy("key").agg(F.count(F.lit(1)).alias("own"))
+    )
+    smallest = mixed.groupBy("sig").agg(F.min("n_shingles").alias("least"))
+    partner = mixed.select("sig", "key").join(smallest, "sig").groupBy("key").agg(F.min("least").alias("least"))
+    able = (
+        mixed.join(own, "key", "left").fillna(0, ["own"]).join(partner, "key")
+        .filter((F.col("n_shingles") - F.col("own")) * (100 + percent)
+                >= (F.col("n_shingles") + F.greatest("least", F.col("n_shingles") * percent / 100)) * percent)
+    )
+    left = stored(_mixed(able), "ngram-able")
+    side = lambda s: left.select(
+        "sig", F.col("key").alias(s), F.col("component").alias(f"c{s}"), F.col("kind").alias(f"kind_{s}"),
+        F.col("n_shingles").alias(f"n{s}"), F.col("own").alias(f"own_{s}"), F.col("fold").alias(f"fold_{s}"))
+    cells = sum((F.bit_count(F.col("fold_x")[i].bitwiseXOR(F.col("fold_y")[i])) for i in range(FOLDED // 8)), F.lit(0))
+    most = (F.col("nx") + F.col("ny")) * (100 - percent)
+    differ = ((F.col("own_x") + F.col("own_y")) * (100 + percent) <= most) & (cells * (100 + percent) <= most)
+    met = side("x").filter(F.col("kind_x") != DELETED).join(side("y"), "sig").filter(
+        (F.col("cx") != F.col("cy")) & _fits(F.col("nx"), F.col("ny"), percent) & differ
+        & ((F.col("kind_y") == DELETED) | (F.col("x") < F.col("y"))))
     return _ordered(met)
 
 
@@ -331,7 +373,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     indexed = stored(index(docs, doc_id, text, k, percent, signed=False).drop("sig", "tag"), "ngram-index")
     nodes = stored(
         indexed.filter("n_shingles > 0").groupBy("node", "key", "n_shingles")
-        .agg(F.min("doc_id").alias("rep"), F.first("sketch", True).alias("sketch"), F.count(F.lit(1)).alias("copies")),
+        .agg(F.min("doc_id").alias("rep"), F.first("sketch", True).alias("sketch"),
+             F.first("fold", True).alias("fold"), F.count(F.lit(1)).alias("copies")),
         "ngram-nodes",
     )
     of_lists = lists(index(docs, doc_id, text, k, percent).select("key", "sig", "tag"))
@@ -340,10 +383,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     grouped = connect(links)  # (id, component) of nodes with links
     by_key = stored(
         nodes.join(grouped, F.col("node") == F.col("id"), "left")
-        .select("key", "n_shingles", F.coalesce("component", "node").alias("component")),
+        .select("key", "n_shingles", "rep", "fold", F.coalesce("component", "node").alias("component")),
         "ngram-keys",
     )
-    rest = _across(of_lists, by_key.select("key", "component"), by_key.select("key", "n_shingles"), percent)
+    rest = _across(of_lists, by_key, docs, doc_id, text, k, percent)
     rest = stored(rest.join(tried, ["ka", "kb"], "left_anti"), "ngram-rest")
     more = verified(rest, nodes, docs, doc_id, text, k, percent)
     final = connect(links.unionByName(more))
