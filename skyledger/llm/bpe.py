@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 from skyledger.llm.common import pieces
 
 #: Pre-tokens a worker remembers before it starts a new table; the one before is kept beside it.
-MEMORY = 100_000
+MEMORY = 250_000
 #: Bytes of text, or ids, that a worker turns at a time.
 SLICE = 1 << 20
 #: White space of the Unicode standard, as the tokenizer's pattern means it.
@@ -45,11 +46,11 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def category(major: str) -> str:
-    """A character class of all code points whose general category begins with `major`."""
+def category(major: str, end: int) -> str:
+    """A character class of the code points below `end` whose general category begins with `major`."""
     ranges, start = [], None
-    for c in range(0x110001):
-        inside = c < 0x110000 and unicodedata.category(chr(c))[0] == major
+    for c in range(end + 1):
+        inside = c < end and unicodedata.category(chr(c))[0] == major
         if inside and start is None:
             start = c
         elif not inside and start is not None:
@@ -58,9 +59,10 @@ def category(major: str) -> str:
     return "".join(ranges)
 
 
-def pre_token_pattern() -> str:
-    """The byte-level pre-tokenizer's pattern, with its classes written out."""
-    letter, number = category("L"), category("N")
+def pre_token_pattern(end: int = 0x110000) -> str:
+    """The byte-level pre-tokenizer's pattern, with its classes written out, for code points
+    below `end`."""
+    letter, number = category("L", end), category("N", end)
     return (
         rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+|"
         rf" ?[^{SPACE}{letter}{number}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -155,7 +157,7 @@ class Model:
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the last token of every prefix, then back-pointers."""
-        _, edges, link, token, lengths, shorter, longest, _, _, pairs = self._ready
+        _, edges, link, token, lengths, shorter, longest, _, _, pairs, _ = self._ready
         n = len(piece)
         last, state, matched = [0] * (n + 1), 0, 0
         for i, byte in enumerate(piece, 1):
@@ -194,33 +196,51 @@ class Model:
             self._ready = (
                 re.compile(self.pattern), edges, self.link.tolist(), self.token.tolist(),
                 [len(t) for t in self.tokens], self.shorter.tolist(), self.longest.tolist(),
-                re.compile(f"({special})") if special else None, [{}, {}], {},
+                re.compile(f"({special})") if special else None, Known(self), {},
+                re.compile(pre_token_pattern(0x100)),
             )
         return self
 
-    def encode(self, text: str) -> list[int]:
-        pattern, special, tables, pairs = self._ready[0], self._ready[7], self._ready[8], self._ready[9]
-        known, older = tables
-        parts = special.split(text) if special and special.search(text) else (text,)
-        ids: list[int] = []
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as 32-bit integers in a row."""
+        special, known, narrow = self._ready[7], self._ready[8], self._ready[10]
+        try:
+            text.encode("latin-1")
+            pattern = narrow  # the same classes up to 255: a shorter table, faster to match
+        except UnicodeEncodeError:
+            pattern = self._ready[0]
+        if not (special and special.search(text)):
+            return b"".join(map(known.__getitem__, pattern.findall(text)))
+        parts = special.split(text)
         for k, part in enumerate(parts):
             if k % 2:
-                ids.append(self.special[part])
-                continue
-            for piece in pattern.findall(part):
-                found = known.get(piece)
-                if found is None:
-                    found = older.get(piece)
-                    if found is None:
-                        found = self.encode_piece(piece.encode())
-                    if len(piece) <= 64:
-                        known[piece] = found
-                ids += found
-        if len(known) >= self.memory:
-            tables[:] = {}, known  # what is still in use moves over from the older table
-        if len(pairs) >= 4 * self.memory:
-            pairs.clear()
-        return ids
+                parts[k] = self.special[part].to_bytes(4, "little")
+            else:
+                parts[k] = b"".join(map(known.__getitem__, pattern.findall(part)))
+        return b"".join(parts)
+
+
+class Known(dict):
+    """Ids of the pre-tokens met last, as 32-bit integers in a row. When it is full it starts anew,
+    and what is still in use moves over from the table before."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model, self.older = model, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            found = array("i", self.model.encode_piece(piece.encode())).tobytes()
+            pairs = self.model._ready[9]
+            if len(pairs) >= 4 * self.model.memory:
+                pairs.clear()
+        if len(piece) <= 64:
+            if len(self) >= self.model.memory:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
 
 
 def _read(path: str) -> tuple[dict, dict[str, int], dict[str, int], list[bytes]]:
@@ -323,11 +343,9 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
 
     def work(model: Model, batch: pa.RecordBatch) -> pa.Array:
         model.prepare()
-        out, ends = [], [0]
-        for value in batch.column(text).to_pylist():
-            out += model.encode(value) if value else ()
-            ends.append(len(out))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(out, np.int32)))
+        out = [model.encode(value) if value else b"" for value in batch.column(text).to_pylist()]
+        ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in out])))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(out), "<i4")))
 
     def widths(batch: pa.RecordBatch) -> np.ndarray:
         return _lengths(pc.binary_length(batch.column(text)))
@@ -343,10 +361,25 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     def widths(batch: pa.RecordBatch) -> np.ndarray:
         return _lengths(pc.list_value_length(batch.column(ids)))
 
-    def work(tokens: list[bytes], batch: pa.RecordBatch) -> pa.Array:
-        values = batch.column(ids).to_pylist()
-        return pa.array([None if v is None else b"".join(map(tokens.__getitem__, v)).decode("utf-8", "replace")
-                         for v in values], pa.string())
-
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary(path))
+    def work(tokens: tuple[np.ndarray, np.ndarray], batch: pa.RecordBatch) -> pa.Array:
+        data, first = tokens
+        column = batch.column(ids)
+        flat = np.asarray(column.flatten(), np.int64)
+        length = first[flat + 1] - first[flat]
+        ends = np.concatenate(([0], np.cumsum(length)))
+        out = data[np.repeat(first[flat] - ends[:-1], length) + np.arange(ends[-1])]
+        cut = ends[np.concatenate(([0], np.cumsum(widths(batch))))]
+        found = pa.Array.from_buffers(pa.large_string(), len(column), [None, pa.py_buffer(cut.tobytes()), pa.py_buffer(out)])
+        try:
+            found.validate(full=True)
+        except pa.ArrowInvalid:  # bytes that are not valid UTF-8
+            whole = out.tobytes()
+            found = pa.array([whole[a:b].decode("utf-8", "replace") for a, b in zip(cut[:-1], cut[1:], strict=True)],
+                             pa.large_string())
+        return pc.if_else(column.is_valid(), found, None).cast(pa.string())
+
+    tokens = vocabulary(path)
+    packed = (np.frombuffer(b"".join(tokens), np.uint8),
+              np.concatenate(([0], np.cumsum([len(t) for t in tokens]))))
+    shared = df.sparkSession.sparkContext.broadcast(packed)
     return _mapped(df, shared, text, T.StringType(), widths, work)
