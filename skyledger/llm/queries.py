@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import bpe, exact_dedup, langid, mixing, ngram_join, quality, secrets
+from skyledger.llm import bpe, exact_dedup, langid, mixing, ngram_join, quality, secrets, token_files
 from skyledger.llm.common import documents
+from skyledger.session import scratch_path
 
 QUERIES = {}
 SQL = {}
@@ -50,6 +51,13 @@ def ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.jaccard_components(documents(spark, sf)).select("doc_id", "n_shingles", "component_id")
 
 
+@query("op4_token_files")
+def token_files_query(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    token_files.write(documents(spark, sf), tokenizer(), path)
+    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 @query("op5_language_id")
 def language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf)

@@ -3,11 +3,12 @@
 A block is coded by itself, from a fresh model. Blocks are lanes of numpy arrays that advance
 together, one id a step, so the sequential work of adapting is paid once for all of them.
 
-An id is coded as binary decisions. Contexts of order 2, 1 and 0 (the last two ids, the last id,
-none) each predict an id: the one last seen in that context, or the most common so far. "Is it
-the predicted one?" is asked for each prediction in turn; the probability mixes the evidence of
-all orders in the logistic domain, with weights that learn per block. An id that nothing predicts
-is spelled out in bits, the high byte and then the low one, under adaptive bit models.
+Contexts of order 2, 1 and 0 (the last two ids, the last id, none) predict ids. Whether the id is
+the one last seen in its order-2 context, then in its order-1 context, is a binary decision each;
+the chance of a yes mixes the evidence of both orders in the logistic domain, with weights that
+learn in each block. Otherwise order 0 decides: ids are spread over 256 slots by a bijective hash;
+the slot is coded under adaptive frequencies, as two symbols of 16, and then whether the id is the
+one last seen in that slot. An id that nothing predicts gives its remaining byte.
 """
 
 from __future__ import annotations
@@ -18,13 +19,17 @@ import zlib
 import numpy as np
 
 MAGIC = b"IDB1"
-HEADER = struct.Struct("<4sIII")  # magic, ids, crc32 of the ids as 32-bit integers, payload bytes
-#: log2 of the context slots of a lane: of order 1, of order 2, and for the low byte's bits.
-SLOTS = (11, 12, 12)
-STATES = 16  # how often in a row a prediction came true, up to
-RATE = 4  # bit models move by 1 / 2**RATE of the error
+HEADER = "<4sIII"  # magic, ids, crc32 of the ids as 32-bit integers, payload bytes
+#: log2 of the context slots of a block, of order 1 and order 2.
+SLOTS = (11, 12)
+STATES = 8  # how often in a row a prediction came true, up to
+RATE = 5  # a binary model moves by 1 / 2**RATE of its error
 LEARNING = 0.02
-_TOP = np.uint32(0xFF000000)
+INCREMENT = 24  # of a symbol's frequency; frequencies halve when their sum passes LIMIT
+LIMIT = 8192
+#: An odd factor and its inverse modulo 65536: the bijection of ids to (slot, rest).
+SPREAD, GATHER = 40503, pow(40503, -1, 1 << 16)
+_WIDE, _TOP, _TIGHT = 0xFFFFFFFF, 0xFF000000, 1 << 16
 
 
 def crc(ids: np.ndarray, before: int = 0) -> int:
@@ -35,126 +40,155 @@ class Lanes:
     """The state of several blocks: coder, contexts, predictions and mixing weights."""
 
     def __init__(self, count: int, data: list[bytes] | None = None):
-        self.low = np.zeros(count, np.uint32)
-        self.high = np.full(count, 0xFFFFFFFF, np.uint32)
+        self.every = np.arange(count)
+        self.low = np.zeros(count, np.int64)
+        self.high = np.full(count, _WIDE, np.int64)
         self.position = np.zeros(count, np.int64)
         self.decoding = data is not None
         if self.decoding:
-            width = max(map(len, data)) + 8
-            self.bytes = np.zeros((count, width), np.uint8)
+            self.bytes = np.zeros((count, max(map(len, data)) + 16), np.uint8)
             for i, d in enumerate(data):
                 self.bytes[i, : len(d)] = np.frombuffer(d, np.uint8)
-            self.code = np.zeros(count, np.uint32)
+            self.code = np.zeros(count, np.int64)
             for _ in range(4):
-                self.code = self.code << np.uint32(8) | self.bytes[np.arange(count), self.position]
-                self.position += 1
+                self._shift_in(self.every)
         else:
-            self.bytes = np.zeros((count, 1 << 14), np.uint8)
-        every = np.arange(count)
-        self.every = every
-        self.context = [np.zeros(count, np.int64)] * 3
-        self.guess = [np.zeros((count, 1), np.uint16), np.zeros((count, 1 << SLOTS[0]), np.uint16),
-                      np.zeros((count, 1 << SLOTS[1]), np.uint16)]
-        self.state = [np.zeros(g.shape, np.uint8) for g in self.guess]
-        # Logits of a prediction of each order and state, and the weights that mix them.
-        self.logit = np.zeros((count, 3, STATES), np.float32)
-        self.weight = np.full((count, 3), 0.7, np.float32)
+            self.bytes = np.zeros((count, 1 << 12), np.uint8)
+        self.guess = [np.zeros((count, 1 << n), np.int32) for n in SLOTS]
+        self.state = [np.zeros((count, 1 << n), np.int8) for n in SLOTS]
+        # What each order and state says for its prediction, and the weights that mix it.
+        self.logit = np.zeros((count, 2, STATES), np.float32)
+        self.weight = np.full((count, 2), 0.7, np.float32)
         self.bias = np.full(count, -0.5, np.float32)
-        self.bits = np.full((count, 256 + (1 << SLOTS[2])), 1 << 15, np.uint16)
-        self.previous = np.zeros((2, count), np.int64)
-
-    def bit(self, lane: np.ndarray, p: np.ndarray, value: np.ndarray | None) -> np.ndarray:
-        """Code one decision of some lanes; p is the chance of 1 in 65536ths, from 32 to 65504."""
-        low, high = self.low[lane], self.high[lane]
-        middle = low + (((high - low).astype(np.uint64) * p.astype(np.uint64)) >> np.uint64(16)).astype(np.uint32)
-        if value is None:
-            value = self.code[lane] <= middle
-        high = np.where(value, middle, high)
-        low = np.where(value, low, middle + np.uint32(1))
+        self.frequency = np.ones((count, 17, 16), np.int32)  # of the first half, then by it of the second
+        self.rest = np.zeros((count, 256), np.int32)
+        self.again = np.full((count, 256), 1 << 15, np.int32)  # chance that a slot repeats its id
+        self.last = np.zeros(count, np.int64)
+        self.before = np.zeros(count, np.int64)
+
+    # ---- The coder: an interval of 32-bit numbers for each lane
+
+    def _shift_in(self, at: np.ndarray) -> None:
+        where = np.minimum(self.position[at], self.bytes.shape[1] - 1)
+        self.code[at] = (self.code[at] << 8 | self.bytes[at, where]) & _WIDE
+        self.position[at] += 1
+
+    def _narrow(self, lane: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """Set the intervals; pass on bytes that are settled. An interval that has become too
+        tight across a byte's border gives up its upper part."""
+        same = ((low ^ high) & _TOP) == 0
+        tight = ~same & (high - low < _TIGHT)
+        if tight.any():
+            high = np.where(tight, low | (_TIGHT - 1), high)
+            same |= tight
         self.low[lane], self.high[lane] = low, high
-        at = lane[((low ^ high) & _TOP) == 0]
+        at = lane[same]
         while len(at):
             if self.decoding:
-                self.code[at] = self.code[at] << np.uint32(8) | self.bytes[at, np.minimum(self.position[at], self.bytes.shape[1] - 1)]
+                self._shift_in(at)
             else:
-                if self.position[at].max() + 1 >= self.bytes.shape[1]:
+                place = self.position[at]
+                if place.max() + 8 >= self.bytes.shape[1]:
                     self.bytes = np.pad(self.bytes, ((0, 0), (0, self.bytes.shape[1])))
-                self.bytes[at, self.position[at]] = (self.high[at] >> np.uint32(24)).astype(np.uint8)
-            self.position[at] += 1
-            self.low[at] <<= np.uint32(8)
-            self.high[at] = self.high[at] << np.uint32(8) | np.uint32(255)
-            at = at[((self.low[at] ^ self.high[at]) & _TOP) == 0]
+                self.bytes[at, place] = self.low[at] >> 24
+                self.position[at] = place + 1
+            low = self.low[at] << 8 & _WIDE
+            high = self.high[at] << 8 & _WIDE | 255
+            tight = ((low ^ high) & _TOP != 0) & (high - low < _TIGHT)
+            high = np.where(tight, low | (_TIGHT - 1), high)
+            self.low[at], self.high[at] = low, high
+            at = at[(((low ^ high) & _TOP) == 0) | tight]
+
+    def bit(self, lane: np.ndarray, chance: np.ndarray, value: np.ndarray | None) -> np.ndarray:
+        """Code one decision of some lanes; `chance` of a yes in 65536ths, never 0 or all."""
+        low, high = self.low[lane], self.high[lane]
+        middle = low + ((high - low) * chance >> 16)
+        if value is None:
+            value = self.code[lane] <= middle
+        self._narrow(lane, np.where(value, low, middle + 1), np.where(value, middle, high))
         return value
 
-    def modelled(self, lane: np.ndarray, slot: np.ndarray, value: np.ndarray | None) -> np.ndarray:
-        p = self.bits[lane, slot]
-        value = self.bit(lane, np.clip(p, 32, 65504), value)
-        self.bits[lane, slot] = np.where(value, p + ((np.uint16(65535) - p) >> np.uint16(RATE)), p - (p >> np.uint16(RATE)))
+    def symbol(self, lane: np.ndarray, table: np.ndarray, value: np.ndarray | None) -> np.ndarray:
+        """Code one of 16 symbols under the frequencies of a table."""
+        frequency = self.frequency[lane, table]
+        upto = np.cumsum(frequency, axis=1)
+        low, high = self.low[lane], self.high[lane]
+        unit = (high - low + 1) // upto[:, -1]
+        if value is None:
+            target = np.minimum((self.code[lane] - low) // unit, upto[:, -1] - 1)
+            value = (upto <= target[:, None]).sum(axis=1)
+        row = np.arange(len(lane))
+        end = upto[row, value]
+        start = end - frequency[row, value]
+        self._narrow(lane, low + unit * start, np.where(value == 15, high, low + unit * end - 1))
+        self.frequency[lane, table, value] += INCREMENT
+        full = upto[:, -1] + INCREMENT > LIMIT
+        if full.any():
+            self.frequency[lane[full], table[full]] = (self.frequency[lane[full], table[full]] + 1) >> 1
         return value
 
+    # ---- The model
+
     def step(self, lane: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
         """Code one id of each lane; returns the ids."""
-        last, before = self.previous[0][lane], self.previous[1][lane]
-        slots = [np.zeros(len(lane), np.int64), (last * 40503 >> 4) & ((1 << SLOTS[0]) - 1),
-                 ((last * 40503 ^ before * 51749) >> 3) & ((1 << SLOTS[1]) - 1)]
-        guesses = [self.guess[k][lane, slots[k]] for k in range(3)]
-        states = [self.state[k][lane, slots[k]] for k in range(3)]
-        logits = np.stack([self.logit[lane, k, states[k]] for k in range(3)], 1)
-        out = np.zeros(len(lane), np.uint16) if ids is None else ids
-        open_ = np.arange(len(lane))
-        for order in (2, 1, 0):
-            if order < 2:  # what was refused before isn't asked again
-                again = guesses[order][open_] == guesses[2][open_]
-                if order < 1:
-                    again |= guesses[0][open_] == guesses[1][open_]
-                open_asked = open_[~again]
-            else:
-                open_asked = open_
-            if not len(open_asked):
-                continue
-            own, at = guesses[order][open_asked], lane[open_asked]
-            votes = np.stack([np.where(guesses[k][open_asked] == own, logits[open_asked, k], 0.0) for k in range(3)], 1)
-            weight = self.weight[at]
-            chance = 1.0 / (1.0 + np.exp(-np.clip((weight * votes).sum(1) + self.bias[at], -8.0, 8.0)))
-            hit = self.bit(at, (chance * 65536).astype(np.uint32), None if ids is None else ids[open_asked] == own)
-            error = (hit - chance).astype(np.float32) * np.float32(LEARNING)
-            self.weight[at] = weight + error[:, None] * votes
-            self.bias[at] += error
-            out[open_asked[hit]] = own[hit]
-            done = np.zeros(len(lane), bool)
-            done[open_asked[hit]] = True
-            open_ = open_[~done[open_]]
+        last, before = self.last[lane], self.before[lane]
+        slots = [(last * SPREAD >> 5) & ((1 << SLOTS[0]) - 1),
+                 ((last * SPREAD ^ before * 51749) >> 3) & ((1 << SLOTS[1]) - 1)]
+        guess = [self.guess[k][lane, slots[k]] for k in (0, 1)]
+        state = [self.state[k][lane, slots[k]] for k in (0, 1)]
+        logit = [self.logit[lane, k, state[k]] for k in (0, 1)]
+        out = np.zeros(len(lane), np.int64) if ids is None else ids
+        agree = guess[0] == guess[1]
+        open_ = self._ask(lane, np.arange(len(lane)), guess[1], [np.where(agree, logit[0], 0.0), logit[1]], out, ids)
+        other = ~agree[open_]
+        still = self._ask(lane, open_[other], guess[0], [logit[0], np.zeros(len(lane), np.float32)], out, ids)
+        open_ = np.concatenate((open_[~other], still))
         if len(open_):
-            self._spell(lane[open_], out, open_, ids)
-        self._learn(lane, slots, guesses, states, out)
+            out[open_] = self._order_0(lane[open_], None if ids is None else ids[open_])
+        for k in (0, 1):
+            hit = guess[k] == out
+            self.logit[lane, k, state[k]] = logit[k] + (hit - 1.0 / (1.0 + np.exp(-logit[k]))) * np.float32(0.1)
+            self.state[k][lane, slots[k]] = np.where(hit, np.minimum(state[k] + 1, STATES - 1), 0)
+            self.guess[k][lane, slots[k]] = out
+        self.before[lane] = last
+        self.last[lane] = out
         return out
 
-    def _spell(self, lane: np.ndarray, out: np.ndarray, open_: np.ndarray, ids: np.ndarray | None) -> None:
-        target = None if ids is None else ids[open_].astype(np.int64)
-        node = np.ones(len(lane), np.int64)
-        for i in range(15, 7, -1):
-            value = self.modelled(lane, node, None if target is None else (target >> i & 1).astype(bool))
-            node = node * 2 + value
-        first = node - 256
-        node = np.ones(len(lane), np.int64)
-        for i in range(7, -1, -1):
-            slot = 256 + ((first * 40503 + node * 193) & ((1 << SLOTS[2]) - 1))
-            value = self.modelled(lane, slot, None if target is None else (target >> i & 1).astype(bool))
-            node = node * 2 + value
-        out[open_] = (first * 256 + node - 256).astype(np.uint16)
-
-    def _learn(self, lane, slots, guesses, states, out) -> None:
-        for k in range(3):
-            hit = guesses[k] == out
-            self.logit[lane, k, states[k]] += (hit - 1.0 / (1.0 + np.exp(-self.logit[lane, k, states[k]]))) * np.float32(0.1)
-            if k:
-                self.state[k][lane, slots[k]] = np.where(hit, np.minimum(states[k] + 1, STATES - 1), 0)
-                self.guess[k][lane, slots[k]] = out
-            else:  # the majority vote of all ids so far
-                self.guess[0][lane, 0] = np.where(hit | (states[0] > 0), guesses[0], out)
-                self.state[0][lane, 0] = np.where(hit, np.minimum(states[0] + 1, STATES - 1), np.maximum(states[0], 1) - 1)
-        self.previous[1][lane] = self.previous[0][lane]
-        self.previous[0][lane] = out
+    def _ask(self, lane, which, guess, votes, out, ids) -> np.ndarray:
+        """Decide for some lanes whether the id is the predicted one; returns those it isn't."""
+        if not len(which):
+            return which
+        at, own = lane[which], guess[which]
+        a, b = votes[0][which], votes[1][which]
+        weight, bias = self.weight[at], self.bias[at]
+        mixed = np.clip(weight[:, 0] * a + weight[:, 1] * b + bias, -8.0, 8.0)
+        chance = 1.0 / (1.0 + np.exp(-mixed))
+        hit = self.bit(at, (chance * 65536).astype(np.int64), None if ids is None else ids[which] == own)
+        error = ((hit - chance) * LEARNING).astype(np.float32)
+        weight[:, 0] += error * a
+        weight[:, 1] += error * b
+        self.weight[at] = weight
+        self.bias[at] = bias + error
+        out[which[hit]] = own[hit]
+        return which[~hit]
+
+    def _order_0(self, lane: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
+        spread = None if ids is None else ids * SPREAD & 0xFFFF
+        high = self.symbol(lane, np.zeros(len(lane), np.int64), None if ids is None else spread >> 12)
+        slot = high * 16 + self.symbol(lane, 1 + high, None if ids is None else spread >> 8 & 15)
+        rest, chance = self.rest[lane, slot], self.again[lane, slot]
+        same = self.bit(lane, np.clip(chance, 64, 65472), None if ids is None else (spread & 255) == rest)
+        self.again[lane, slot] = np.where(same, chance + ((65536 - chance) >> RATE), chance - (chance >> RATE))
+        new = np.flatnonzero(~same)
+        if len(new):
+            at = lane[new]
+            unit = (self.high[at] - self.low[at] + 1) >> 8
+            value = np.minimum((self.code[at] - self.low[at]) // unit, 255) if ids is None else spread[new] & 255
+            low = self.low[at] + unit * value
+            self._narrow(at, low, np.where(value == 255, self.high[at], low + unit - 1))
+            rest[new] = value
+            self.rest[at, slot[new]] = value
+        return (slot << 8 | rest) * GATHER & 0xFFFF
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
@@ -169,12 +203,12 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     lanes = Lanes(len(blocks))
     for t in range(len(ids)):
         active = int(np.searchsorted(-length, -t, "left"))
-        lanes.step(lanes.every[:active], ids[t, :active].copy())
+        lanes.step(lanes.every[:active], ids[t, :active].astype(np.int64))
     out = [b""] * len(blocks)
     for lane, i in enumerate(order):
-        flush = int(lanes.low[lane] + (lanes.high[lane] - lanes.low[lane]) // np.uint32(2)).to_bytes(4, "big")
+        flush = int((lanes.low[lane] + lanes.high[lane]) // 2).to_bytes(4, "big")
         data = lanes.bytes[lane, : lanes.position[lane]].tobytes() + flush
-        out[i] = HEADER.pack(MAGIC, len(blocks[i]), crc(blocks[i]), len(data)) + data
+        out[i] = struct.pack(HEADER, MAGIC, len(blocks[i]), crc(blocks[i]), len(data)) + data
     return out
 
 
@@ -182,13 +216,13 @@ def decode(records: list[bytes]) -> list[np.ndarray]:
     """Decode blocks; a block that doesn't match its checksum raises ValueError."""
     if not records:
         return []
-    heads = [HEADER.unpack_from(r) for r in records]
+    heads = [struct.unpack_from(HEADER, r) for r in records]
     for record, (magic, _, _, size) in zip(records, heads, strict=True):
-        if magic != MAGIC or len(record) != HEADER.size + size:
+        if magic != MAGIC or len(record) != struct.calcsize(HEADER) + size:
             raise ValueError("not a block of ids, or cut off")
     order = sorted(range(len(records)), key=lambda i: -heads[i][1])
     length = np.array([heads[i][1] for i in order])
-    lanes = Lanes(len(records), [records[i][HEADER.size :] for i in order])
+    lanes = Lanes(len(records), [records[i][struct.calcsize(HEADER) :] for i in order])
     ids = np.zeros((int(length.max(initial=0)), len(records)), np.uint16)
     for t in range(len(ids)):
         active = int(np.searchsorted(-length, -t, "left"))
