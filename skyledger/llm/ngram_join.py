@@ -338,22 +338,29 @@ def _across(of_lists: DataFrame, by_key: DataFrame, docs: DataFrame, doc_id: str
     has: a document that has too many
     of them links with nobody, and two documents differ at least in the own shingles of both.
     """
-    mixed = stored(_mixed(of_lists.join(by_key, "key")), "ngram-mixed")
-    members = mixed.select("key", "rep").distinct()
-    shingles = _sets(docs, members.select("rep").distinct(), doc_id, text, k).join(members, "rep").select(
-        "key", F.explode("h").alias("h"))
+    mixed = stored(
+        _mixed(of_lists.select("sig", "key", "kind").join(by_key.select("key", "component"), "key")), "ngram-mixed")
+    members = by_key.drop("component", "fold").join(mixed.select("key").distinct(), "key", "left_semi")
+    members = stored(members, "ngram-members")
+    shingles = _sets(docs, members.select("rep").distinct(), doc_id, text, k).join(
+        members.select("key", "rep"), "rep").select("key", F.explode("h").alias("h"))
     own = (
         shingles.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key")).filter("n = 1")
         .groupBy("key").agg(F.count(F.lit(1)).alias("own"))
     )
-    smallest = mixed.groupBy("sig").agg(F.min("n_shingles").alias("least"))
+    sized = mixed.select("sig", "key").join(members.select("key", "n_shingles"), "key")
+    smallest = sized.groupBy("sig").agg(F.min("n_shingles").alias("least"))
     partner = mixed.select("sig", "key").join(smallest, "sig").groupBy("key").agg(F.min("least").alias("least"))
-    able = (
-        mixed.join(own, "key", "left").fillna(0, ["own"]).join(partner, "key")
+    able = stored(
+        members.join(own, "key", "left").fillna(0, ["own"]).join(partner, "key")
         .filter((F.col("n_shingles") - F.col("own")) * (100 + percent)
                 >= (F.col("n_shingles") + F.greatest("least", F.col("n_shingles") * percent / 100)) * percent)
+        .select("key", "n_shingles", "own"),
+        "ngram-able",
     )
-    left = stored(_mixed(able), "ngram-able")
+    left = stored(
+        _mixed(mixed.join(able.select("key"), "key", "left_semi")).join(able, "key")
+        .join(by_key.select("key", "fold"), "key"), "ngram-left")
     side = lambda s: left.select(
         "sig", F.col("key").alias(s), F.col("component").alias(f"c{s}"), F.col("kind").alias(f"kind_{s}"),
         F.col("n_shingles").alias(f"n{s}"), F.col("own").alias(f"own_{s}"), F.col("fold").alias(f"fold_{s}"))
