@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import bpe, exact_dedup, langid, mixing, ngram_join, quality, secrets, token_files
+from skyledger.llm import bpe, exact_dedup, html_extract, langid, mixing, ngram_join, quality, secrets, token_files
 from skyledger.llm.common import documents
 from skyledger.session import scratch_path
 
@@ -51,6 +51,11 @@ def ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.jaccard_components(documents(spark, sf)).select("doc_id", "n_shingles", "component_id")
 
 
+@query("op3_html_extract")
+def html_text(spark: SparkSession, sf: str) -> DataFrame:
+    return html_extract.extract(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
 @query("op4_token_files")
 def token_files_query(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
