@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import bpe, exact_dedup, html_extract, langid, mixing, ngram_join, quality, secrets, token_files
+from skyledger.llm import (
+    bpe,
+    exact_dedup,
+    html_extract,
+    langid,
+    mixing,
+    ngram_join,
+    quality,
+    secrets,
+    suffix_dedup,
+    token_files,
+)
 from skyledger.llm.common import documents
 from skyledger.session import scratch_path
 
@@ -72,6 +83,12 @@ def language_id(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+@query("op6_suffix_dedup")
+def suffix_dedup_query(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query("op7_exact_dedup", r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,

@@ -87,3 +87,23 @@ def base_spans(text):
 
 def base_sha(text):
     return sha(",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in base_spans(text)))
+
+
+def repeated_bytes(rows, width=50):
+    """{doc_id: (bytes, removed, spans, sha of the rest)} of (doc_id, text) rows."""
+    first = {}
+    raw = [(i, (t or "").encode()) for i, t in rows]
+    for i, b in raw:
+        for s in range(len(b) - width + 1):
+            w = b[s : s + width]
+            first[w] = min(first.get(w, i), i)
+    out = {}
+    for i, b in raw:
+        gone = bytearray(len(b))
+        for s in range(len(b) - width + 1):
+            if first[b[s : s + width]] < i:
+                gone[s : s + width] = b"\x01" * width
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        out[i] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+    return out
