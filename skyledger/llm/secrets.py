@@ -40,24 +40,32 @@ BINS_PER_DECADE = 10
 MOST_BINS = 400
 
 
+def bound(value: Column, use) -> Column:
+    """`use(value)` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def matches(text: Column, pattern: str, least_group: tuple[int, int] | None = None) -> Column:
     """Start, end and text of all matches, leftmost and not overlapping."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    group = F.regexp_extract_all(text, F.lit(pattern), F.lit(least_group[0])) if least_group else hits
-    between = F.split(text, pattern, -1)
-    steps = F.arrays_zip(F.slice(between, 1, F.size(hits)).alias("gap"), hits.alias("hit"), group.alias("part"))
+    group, least = least_group or (0, 0)
     empty = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    first = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
         found = F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit")))
-        keep = F.length(x["part"]) >= (least_group[1] if least_group else 0)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(state["out"], found)).otherwise(state["out"]).alias("out"))
+        return F.struct(end.alias("at"), F.when(F.length(x["part"]) >= least, F.concat(state["out"], found))
+                        .otherwise(state["out"]).alias("out"))
 
-    first = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    walked = F.aggregate(steps, first, step, lambda s: s["out"])
-    return F.when(text.rlike(pattern), walked).otherwise(empty)
+    def walk(hits: Column) -> Column:
+        part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(hits))
+        return F.aggregate(F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), part.alias("part")), first, step,
+                           lambda s: s["out"])
+
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.when(text.rlike(pattern), bound(hits, walk)).otherwise(empty)
 
 
 # ---- Tests --------------------------------------------------------------------------------
@@ -65,11 +73,13 @@ def matches(text: Column, pattern: str, least_group: tuple[int, int] | None = No
 
 def _upper_normal(z: Column) -> Column:
     """P(Z > z): the rational approximation of Abramowitz and Stegun, 26.2.17."""
-    a = F.abs(z)
-    t = 1.0 / (1.0 + 0.2316419 * a)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tail = F.exp(-a * a / 2.0) * 0.3989422804014327 * poly
-    return F.when(z >= 0, tail).otherwise(1.0 - tail)
+
+    def tail(a: Column) -> Column:
+        t = 1.0 / (1.0 + 0.2316419 * a)
+        poly = lambda t: t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+        return F.exp(-a * a / 2.0) * 0.3989422804014327 * bound(t, poly)
+
+    return bound(z, lambda v: F.when(v >= 0, bound(v, tail)).otherwise(1.0 - bound(-v, tail)))
 
 
 def _encoding(token: Column) -> Column:
@@ -95,37 +105,64 @@ def _sum(array: Column, what) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda total, x: total + what(x).cast("double"))
 
 
-def p_value(values: Column, letters: Column) -> Column:
-    """Three times the smallest p-value of the battery, for values drawn from so many letters."""
+def _even_use(values: Column, letters: Column) -> Column:
+    """Chi-squared against an even use of the alphabet, by the Wilson-Hilferty approximation."""
     n = F.size(values).cast("double")
-    each = _sum(F.array_distinct(values), lambda v: F.pow(F.size(F.filter(values, lambda x: x == v)).cast("double"), 2.0))
-    chi, free = letters / n * each - n, letters - 1.0
+    squares = _sum(F.array_distinct(values), lambda v: F.pow(F.size(F.filter(values, lambda x: x == v)).cast("double"), 2.0))
+    free = letters - 1.0
     spread = 2.0 / (9.0 * free)
-    chi_p = _upper_normal((F.pow(F.greatest(chi, F.lit(1e-9)) / free, 1.0 / 3.0) - (1.0 - spread)) / F.sqrt(spread))
-    middle = F.element_at(F.array_sort(values), (F.floor(n / 2) + 1).cast("int"))
-    high = F.transform(values, lambda v: (v >= middle).cast("int"))
-    ones = _sum(high, lambda x: x)
-    zeros = n - ones
-    pairs = F.arrays_zip(F.slice(high, 1, F.size(high) - 1).alias("a"), F.slice(high, 2, F.size(high) - 1).alias("b"))
-    runs = 1.0 + _sum(pairs, lambda x: (x["a"] != x["b"]))
-    mean = 1.0 + 2.0 * ones * zeros / n
-    variance = F.greatest(F.lit(1e-9), (mean - 1.0) * (mean - 2.0) / (n - 1.0))
-    runs_p = F.when((ones == 0) | (zeros == 0), F.lit(0.0)).otherwise(
-        2.0 * _upper_normal(F.abs(runs - mean) / F.sqrt(variance)))
-    average = _sum(values, lambda v: v) / n
-    square = _sum(values, lambda v: (v - average) * (v - average))
-    next_to = F.arrays_zip(F.slice(values, 1, F.size(values) - 1).alias("a"), F.slice(values, 2, F.size(values) - 1).alias("b"))
-    product = _sum(next_to, lambda x: (x["a"] - average) * (x["b"] - average))
-    serial_p = F.when(square <= 0, F.lit(0.0)).otherwise(
-        2.0 * _upper_normal(F.abs(product / F.greatest(square, F.lit(1e-9)) + 1.0 / n) * F.sqrt(n)))
-    return F.least(F.lit(1.0), 3.0 * F.least(chi_p, runs_p, serial_p))
+    chi = F.greatest(letters / n * squares - n, F.lit(1e-9))
+    return _upper_normal((F.pow(chi / free, 1.0 / 3.0) - (1.0 - spread)) / F.sqrt(spread))
+
+
+def _neighbours(values: Column) -> Column:
+    less = F.size(values) - 1
+    return F.arrays_zip(F.slice(values, 1, less).alias("a"), F.slice(values, 2, less).alias("b"))
+
+
+def _runs(values: Column) -> Column:
+    """Runs above and below the median, against the normal approximation of their number."""
+    n = F.size(values).cast("double")
+    middle = F.element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
+
+    def test(high: Column) -> Column:
+        runs = 1.0 + _sum(_neighbours(high), lambda x: x["a"] != x["b"])
+
+        def against(ones: Column) -> Column:
+            zeros = n - ones
+            more = 2.0 * ones * zeros / n
+            variance = F.greatest(F.lit(1e-9), more * (more - 1.0) / (n - 1.0))
+            z = F.abs(runs - 1.0 - more) / F.sqrt(variance)
+            return F.when((ones == 0) | (zeros == 0), F.lit(0.0)).otherwise(2.0 * _upper_normal(z))
+
+        return bound(_sum(high, lambda x: x), against)
+
+    return bound(bound(middle, lambda m: F.transform(values, lambda v: (v >= m).cast("int"))), test)
+
+
+def _serial(values: Column) -> Column:
+    """Correlation of neighbours, against the normal approximation."""
+    n = F.size(values).cast("double")
+
+    def test(centred: Column) -> Column:
+        square = _sum(centred, lambda v: v * v)
+        product = _sum(_neighbours(centred), lambda x: x["a"] * x["b"])
+        z = F.abs(product / F.greatest(square, F.lit(1e-9)) + 1.0 / n) * F.sqrt(n)
+        return F.when(square <= 0, F.lit(0.0)).otherwise(2.0 * _upper_normal(z))
+
+    return bound(bound(_sum(values, lambda v: v) / n, lambda mean: F.transform(values, lambda v: v - mean)), test)
+
+
+def p_value(values: Column, letters: Column) -> Column:
+    """Three times the smallest p-value of the battery, for values drawn from so many letters."""
+    return bound(values, lambda v: F.least(
+        F.lit(1.0), 3.0 * F.least(_even_use(v, letters), _runs(v), _serial(v))))
 
 
 def candidates(text: Column) -> Column:
     """Tokens of an inferred encoding that are long enough, with class and p-value."""
-    tokens = matches(text, TOKEN)
-    kinds = F.transform(tokens, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"),
-                                                   t["hit"].alias("hit"), _encoding(t["hit"]).alias("encoding")))
+    kinds = F.transform(matches(text, TOKEN), lambda t: F.struct(
+        t["start"].alias("start"), t["end"].alias("end"), t["hit"].alias("hit"), _encoding(t["hit"]).alias("encoding")))
     least = F.create_map(*[F.lit(x) for kv in SHORTEST.items() for x in kv])
     fit = F.filter(kinds, lambda t: t["encoding"].isNotNull() & (t["end"] - t["start"] >= least[t["encoding"]]))
     letters = F.create_map(F.lit("hex"), F.lit(16.0), F.lit("base32"), F.lit(32.0), F.lit("base64"), F.lit(64.0))
@@ -133,7 +170,7 @@ def candidates(text: Column) -> Column:
     def judge(t: Column) -> Column:
         length = t["end"] - t["start"]
         size = sum(((length >= x).cast("int") for x in LENGTH_CLASSES), F.lit(0))
-        body = F.filter(F.split(F.rtrim(F.lit("="), t["hit"]), ""), lambda c: c != "")
+        body = F.filter(F.split(F.rtrim(t["hit"], F.lit("=")), ""), lambda c: c != "")
         # Hex digits of one case are 0 to 15 in the common order, less the gap of capitals.
         values = F.transform(body, lambda c: F.when(t["encoding"] == "hex", F.conv(c, 16, 10).cast("int")).otherwise(_value(c)))
         return F.struct(t["start"].alias("start"), t["end"].alias("end"),
@@ -177,9 +214,9 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     )
     limits = rejected_from(found)
     limit = F.create_map(*[x for kv in limits.items() for x in map(F.lit, kv)]) if limits else None
-    bound = (lambda c: F.coalesce(limit[c["of"]], F.lit(MOST_BINS + 1))) if limits else (lambda c: F.lit(MOST_BINS + 1))
+    first = (lambda c: F.coalesce(limit[c["of"]], F.lit(MOST_BINS + 1))) if limits else (lambda c: F.lit(MOST_BINS + 1))
     fixed = F.concat("assign", "access", "hex")
-    random = F.filter("candidates", lambda c: (_bin(c["p"]) < bound(c)) & ~F.exists(
+    random = F.filter("candidates", lambda c: (_bin(c["p"]) < first(c)) & ~F.exists(
         fixed, lambda m: (m["start"] < c["end"]) & (c["start"] < m["end"])))
 
     def tagged(spans: Column, no: int) -> Column:
