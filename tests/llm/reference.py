@@ -1,6 +1,7 @@
 """Plain Python forms of the operators, written from their definitions alone."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -107,3 +108,7 @@ def repeated_bytes(rows, width=50):
         spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
         out[i] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
     return out
+
+
+def prose(draw: random.Random, n: int) -> str:
+    return " ".join("".join(draw.choices("abcdefgh", k=draw.randint(2, 7))) for _ in range(n))
