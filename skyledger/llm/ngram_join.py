@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import Words, join_counted, mix, pieces, stored, utf8, words
+from skyledger.llm.common import Words, join_counted, mix, pieces, small_keys, stored, utf8, words
 from skyledger.llm.components import connect
 
 #: Defaults of the contract: five words, similarity of 80 in 100.
@@ -275,7 +275,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, k: int) ->
 
     return (
         docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
-        .join(wanted, "rep", "left_semi").dropDuplicates(["rep"])
+        .join(small_keys(stored(wanted, "ngram-wanted")), "rep", "left_semi").dropDuplicates(["rep"])
         .mapInArrow(run, "rep bigint, h array<bigint>")
     )
 
