@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,42 +108,40 @@ def clean_lines(text: str, rules: LineRules) -> tuple[str, int, int]:
     return "\n".join(good) if lost else text, len(with_word) - len(set(with_word)), lost
 
 
-def measure(batch: pa.Array, rules: LineRules) -> pa.StructArray:
+def _measure(batch: pa.Array, rules: LineRules) -> pa.StructArray:
     data, offsets = utf8(batch)
-    n = len(offsets) - 1
-    out = {k: np.zeros(n, np.int64) for k in ("n_words", "word_chars", "n_symbols", "n_repeat_words")}
-    for a, b in pieces(offsets):
-        part, local = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        w = words(part, local)
-        out["n_words"][a:b] = w.counts()
-        for name, table in (("word_chars", _COUNTED), ("n_symbols", _SYMBOL)):
-            total = np.concatenate(([0], np.cumsum(table[part])))
-            out[name][a:b] = np.diff(total[local])
-        h, at = w.windows(3)
-        if len(h):
-            order = np.lexsort((h, w.doc[at]))
-            h, at = h[order], at[order]
-            same = (h[1:] == h[:-1]) & (w.doc[at[1:]] == w.doc[at[:-1]])
-            twice = np.zeros(len(h), bool)
-            twice[1:] |= same
-            twice[:-1] |= same
-            covered = np.zeros(len(w.hash), bool)
-            for i in range(3):
-                covered[at[twice] + i] = True
-            out["n_repeat_words"][a:b] = np.bincount(w.doc[covered], minlength=b - a)
-    texts = [t or "" for t in batch.to_pylist()]
-    cleaned = [clean_lines(t, rules) for t in texts]
+    w = words(data, offsets)
+    n, count = w.counts(), len(batch)
+    sums = []
+    for table in (_COUNTED, _SYMBOL):
+        total = np.concatenate(([0], np.cumsum(table[data])))
+        sums.append(np.diff(total[offsets]))
+    h, at = w.windows(3)
+    order = np.lexsort((h, w.doc[at]))
+    h, at = h[order], at[order]
+    same = (h[1:] == h[:-1]) & (w.doc[at[1:]] == w.doc[at[:-1]])
+    twice = np.zeros(len(h), bool)
+    twice[1:] |= same
+    twice[:-1] |= same
+    covered = np.zeros(len(w.hash), bool)
+    for i in range(3):
+        covered[at[twice] + i] = True
+    repeated = np.bincount(w.doc[covered], minlength=count)
+    cleaned = [clean_lines(t or "", rules) for t in batch.to_pylist()]
     lost = np.array([c[2] for c in cleaned], np.int64)
-    failed = (out["n_words"] < MIN_WORDS) | (out["n_repeat_words"] > MAX_REPEATED * out["n_words"])
-    kept = ~failed & (lost <= rules.max_lost * out["word_chars"])
-    values = {
-        "n_words": out["n_words"], "word_chars": out["word_chars"], "n_symbols": out["n_symbols"],
-        "n_dup_lines": np.array([c[1] for c in cleaned], np.int64),
-        "n_repeat_words": out["n_repeat_words"], "base_failed": failed, "lost_chars": lost,
-        "kept": kept,
-    }
-    arrays = [pa.array(v) for v in values.values()] + [pa.array([c[0] for c in cleaned], pa.string())]
-    return pa.StructArray.from_arrays(arrays, OUTPUT.names)
+    failed = (n < MIN_WORDS) | (repeated > MAX_REPEATED * n)
+    kept = ~failed & (lost <= rules.max_lost * sums[0])
+    values = [n, sums[0], sums[1], np.array([c[1] for c in cleaned], np.int64), repeated, failed, lost, kept]
+    return pa.StructArray.from_arrays(
+        [*map(pa.array, values), pa.array([c[0] for c in cleaned], pa.string())], OUTPUT.names)
+
+
+def measure(batch: pa.Array, rules: LineRules) -> pa.StructArray:
+    """Measures and verdicts of a batch, a slice of bounded size at a time."""
+    width = np.asarray(pc.fill_null(pc.binary_length(batch), 0), np.int64)
+    cuts = pieces(np.concatenate(([0], np.cumsum(width))))
+    parts = [_measure(batch.slice(a, b - a), rules) for a, b in cuts]
+    return pa.concat_arrays(parts) if parts else _measure(batch, rules)
 
 
 def with_quality(docs: DataFrame, text: str = "text", name: str = "quality",
