@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from skyledger import fixtures as fx
@@ -26,7 +27,7 @@ def drain(df) -> None:
 
 
 def main() -> None:
-    spark = local_session(CPUS, "skyledger-bench")
+    spark = local_session(CPUS, "skyledger-bench", tempfile.mkdtemp(prefix="skyledger-bench-"))
     spark.sparkContext.setLogLevel("ERROR")
     timings: dict[str, float] = {}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.operators.ordered import MAX_GROUP_ROWS, OrderedGroups
+from skyledger.operators.ordered import OrderedGroups, by_time
 from skyledger.schemas import DAILY_BYTE_BUDGET, FEED_TTL_SECONDS
 
 
@@ -35,17 +35,11 @@ def daily_volume(manifest: DataFrame) -> DataFrame:
     )
 
 
-def budget_breaches(
-    manifest: DataFrame,
-    budget: int = DAILY_BYTE_BUDGET,
-    *,
-    max_group_rows: int = MAX_GROUP_ROWS,
-) -> DataFrame:
+def budget_breaches(manifest: DataFrame, budget: int = DAILY_BYTE_BUDGET) -> DataFrame:
     """Landings fetched although the day's earlier ones had already used up the budget."""
     days = manifest.withColumn("day", F.to_date("ingested_at"))
     groups = OrderedGroups(
-        days, ["day"], ["ingested_at", "source_file", "ingestion_id"],
-        max_group_rows=max_group_rows,
+        days, ["day"], ["ingested_at", "source_file", "ingestion_id"], by_time("ingested_at", 600)
     ).running_sums({"used": F.col("bytes")})
     return (
         groups.result()
@@ -55,13 +49,11 @@ def budget_breaches(
     )
 
 
-def unchanged_payloads(
-    manifest: DataFrame, *, max_group_rows: int = MAX_GROUP_ROWS
-) -> DataFrame:
+def unchanged_payloads(manifest: DataFrame) -> DataFrame:
     """Landings whose etag equals that of the landing before, per target."""
     groups = OrderedGroups(
         manifest, ["target"], ["ingested_at", "source_file", "ingestion_id"],
-        max_group_rows=max_group_rows,
+        by_time("ingested_at", 86_400),
     ).neighbours(previous={"previous_etag": "etag"})
     return groups.result().where(F.col("previous_etag") == F.col("etag"))
 

@@ -1,85 +1,59 @@
 """Neighbour values and running totals over ordered groups of any size.
 
-A window function sorts each group inside one task. That is the right plan while groups are
-small, and it is the plan used here as long as the largest group stays under a checked
-number of rows. Beyond it, rows are range-partitioned on (group, order), so that a group of
-any size is spread over many tasks; each piece is processed on its own, and what has to
-cross a piece's edge travels through a small table with at most two rows per partition.
+A window function sorts each group inside one task, however large the group is. Here groups are
+cut into pieces along their order: a piece column, such as the month of a time, never falls from
+one row to the next. Windows run inside (group, piece). What has to cross a piece's edge is one
+row for each piece; a window over those few rows finds it, and an equality join on (group, piece)
+brings it back, on the partitioning the rows already have. It is one plan for every size, and
+building it runs no job.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from typing import NamedTuple
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.session import checkpoint_root
-
-#: Rows one task may sort for a single group before the group is spread out.
-MAX_GROUP_ROWS = 2_000_000
+#: Pieces by time and by number of sample; a group's rows in one piece meet in one task.
+DAYS_IN_PIECE = 30
+SAMPLES_IN_PIECE = 4096
 
 _BLOCK = "_block"
-_TIE = "_tie"
-
-
-#: Pieces per shuffle partition that spread rows may be cut into.
-_MAX_PIECES_PER_PARTITION = 16
+_FIRST = -(1 << 62)
 
 
-class GroupSizes(NamedTuple):
-    """Rows in the largest group, and in all groups together."""
+def by_time(column: str, seconds: int = DAYS_IN_PIECE * 86_400) -> Column:
+    """Pieces of so many seconds of a timestamp."""
+    return F.floor(F.unix_micros(column) / F.lit(seconds * 1_000_000)).cast("long")
 
-    largest: int
-    total: int
 
-
-def group_sizes(df: DataFrame, keys: Sequence[str]) -> GroupSizes:
-    """Measure the groups of a DataFrame; counts are combined before the shuffle."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    row = counts.agg(F.max("n"), F.sum("n")).first()
-    return GroupSizes(row[0] or 0, row[1] or 0)
+def by_number(column: str, rows: int = SAMPLES_IN_PIECE) -> Column:
+    """Pieces of so many steps of a number that counts up."""
+    return F.floor(F.col(column) / F.lit(rows)).cast("long")
 
 
 class OrderedGroups:
     """Ordered groups of a DataFrame, with columns added step by step to `frame`."""
 
     def __init__(
-        self,
-        df: DataFrame,
-        keys: Sequence[str],
-        order: Sequence[str],
-        *,
-        max_group_rows: int = MAX_GROUP_ROWS,
-        bounded: bool = False,
-        sizes: GroupSizes | None = None,
+        self, df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: Column | None
     ) -> None:
-        """`bounded` states that the caller's parameters limit the size of a group; `sizes`
-        gives sizes, or upper bounds of them, that are known already."""
-        self.keys, self.order = list(keys), list(order)
-        if not bounded and sizes is None:
-            sizes = group_sizes(df, keys)
-        self.spread = not bounded and sizes.largest > max_group_rows
-        if self.spread:
-            checkpoint_root(df.sparkSession)
-            partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            pieces = min(
-                max(partitions, sizes.total // max_group_rows),
-                partitions * _MAX_PIECES_PER_PARTITION,
+        """`piece` is a function of the first order column. None states that the caller's
+        parameters bound a group, so that it is one piece."""
+        self.keys, self.order, self.cut = list(keys), list(order), piece is not None
+        if self.cut:
+            # Groups with a null key are one piece: an equality join would not find their edges.
+            whole = reduce(Column.__or__, [F.col(k).isNull() for k in self.keys])
+            df = df.withColumn(
+                _BLOCK, F.when(whole, F.lit(0)).otherwise(F.coalesce(piece, F.lit(_FIRST)))
             )
-            df = (
-                df.withColumn(_TIE, F.monotonically_increasing_id())
-                .repartitionByRange(pieces, *self.keys, *self.order, _TIE)
-                .withColumn(_BLOCK, F.spark_partition_id())
-                .checkpoint()
-            )
-            self.order.append(_TIE)
         self.frame = df
 
     @property
     def _pieces(self) -> list[str]:
-        return self.keys + ([_BLOCK] if self.spread else [])
+        return self.keys + ([_BLOCK] if self.cut else [])
 
     @property
     def _window(self):
@@ -89,52 +63,47 @@ class OrderedGroups:
     def _so_far(self):
         return self._window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-    def _edges(self, aggregates: Sequence[Column], carried: Mapping[str, Column]) -> DataFrame:
-        """Per piece, what reaches it from the other pieces of its group."""
-        pieces = self.frame.groupBy(*self._pieces).agg(*aggregates)
-        found = pieces.select(*self._pieces, *[c.alias(n) for n, c in carried.items()])
-        return found.where(_any_set(carried))
-
-    def _join_edges(self, edges: DataFrame) -> None:
-        renamed = edges.withColumnsRenamed({c: f"_e{c}" for c in self._pieces})
-        condition = None
-        for c in self._pieces:
-            same = F.col(c).eqNullSafe(F.col(f"_e{c}"))
-            condition = same if condition is None else condition & same
-        # Only pieces of groups that span several partitions are left, and a partition edge
-        # cuts one group: at most two rows per partition, whatever the data.
-        self.frame = self.frame.join(F.broadcast(renamed), condition, "left").drop(
-            *[f"_e{c}" for c in self._pieces]
+    @property
+    def _before(self):
+        return (
+            Window.partitionBy(*self.keys).orderBy(_BLOCK)
+            .rowsBetween(Window.unboundedPreceding, -1)
         )
 
+    def _with_edges(
+        self,
+        inner: Mapping[str, Column],
+        aggregates: Sequence[Column],
+        carried: Mapping[str, Column],
+    ) -> None:
+        """Add `inner`, and what reaches each piece from the other pieces of its group."""
+        pieces = self.frame.groupBy(*self._pieces).agg(*aggregates)
+        edges = pieces.select(*self._pieces, *[c.alias(n) for n, c in carried.items()])
+        self.frame = self.frame.withColumns(inner).join(edges, self._pieces, "left")
+
     def neighbours(
         self,
         previous: Mapping[str, str] | None = None,
         following: Mapping[str, str] | None = None,
     ) -> OrderedGroups:
         """Add the value of a column in the row before or after: {new column: column}."""
-        previous, following = previous or {}, following or {}
         wanted = {
-            "_prev": (previous, F.lag, F.max_by, F.lag),
-            "_next": (following, F.lead, F.min_by, F.lead),
+            "_prev": (previous or {}, F.lag, F.max_by),
+            "_next": (following or {}, F.lead, F.min_by),
         }
         wanted = {k: v for k, v in wanted.items() if v[0]}
         inner = {
             name: step(_packed(columns)).over(self._window)
-            for name, (columns, step, _, _) in wanted.items()
+            for name, (columns, step, _) in wanted.items()
         }
-        if self.spread:
+        if self.cut:
             rank = F.struct(*self.order)
             across = Window.partitionBy(*self.keys).orderBy(_BLOCK)
-            edges = self._edges(
-                [end(_packed(cols), rank).alias(f"{n}_end") for n, (cols, _, end, _) in wanted.items()],
-                {
-                    f"{n}_edge": step(f"{n}_end").over(across)
-                    for n, (_, _, _, step) in wanted.items()
-                },
+            self._with_edges(
+                inner,
+                [end(_packed(cols), rank).alias(f"{n}_end") for n, (cols, _, end) in wanted.items()],
+                {f"{n}_edge": step(f"{n}_end").over(across) for n, (_, step, _) in wanted.items()},
             )
-            self.frame = self.frame.withColumns(inner)
-            self._join_edges(edges)
             self.frame = self.frame.withColumns(
                 {n: F.coalesce(F.col(n), F.col(f"{n}_edge")) for n in wanted}
             ).drop(*[f"{n}_edge" for n in wanted])
@@ -153,17 +122,12 @@ class OrderedGroups:
         """Add inclusive running sums: {new column: summed expression}."""
         self.frame = self.frame.withColumns({f"_{n}_term": e for n, e in sums.items()})
         inner = {n: F.sum(f"_{n}_term").over(self._so_far) for n in sums}
-        if self.spread:
-            before = (
-                Window.partitionBy(*self.keys).orderBy(_BLOCK)
-                .rowsBetween(Window.unboundedPreceding, -1)
-            )
-            edges = self._edges(
+        if self.cut:
+            self._with_edges(
+                inner,
                 [F.sum(f"_{n}_term").alias(f"_{n}_all") for n in sums],
-                {f"_{n}_before": F.sum(f"_{n}_all").over(before) for n in sums},
+                {f"_{n}_before": F.sum(f"_{n}_all").over(self._before) for n in sums},
             )
-            self.frame = self.frame.withColumns(inner)
-            self._join_edges(edges)
             inner = {
                 n: F.when(F.col(f"_{n}_before").isNull(), F.col(n)).otherwise(
                     F.coalesce(F.col(n) + F.col(f"_{n}_before"), F.col(f"_{n}_before"))
@@ -177,36 +141,24 @@ class OrderedGroups:
 
     def fill_forward(self, out: str, column: str) -> OrderedGroups:
         """Add the latest non-null value of a column up to and including this row."""
-        inner = F.last(column, ignorenulls=True).over(self._so_far)
-        if self.spread:
-            before = (
-                Window.partitionBy(*self.keys).orderBy(_BLOCK)
-                .rowsBetween(Window.unboundedPreceding, -1)
-            )
+        inner = {out: F.last(column, ignorenulls=True).over(self._so_far)}
+        if self.cut:
             rank = F.when(F.col(column).isNotNull(), F.struct(*self.order))
-            edges = self._edges(
+            self._with_edges(
+                inner,
                 [F.max_by(column, rank).alias("_last")],
-                {"_carried": F.last("_last", ignorenulls=True).over(before)},
+                {"_carried": F.last("_last", ignorenulls=True).over(self._before)},
             )
-            self.frame = self.frame.withColumn(out, inner)
-            self._join_edges(edges)
             self.frame = self.frame.withColumn(
                 out, F.coalesce(F.col(out), F.col("_carried"))
             ).drop("_carried")
         else:
-            self.frame = self.frame.withColumn(out, inner)
+            self.frame = self.frame.withColumns(inner)
         return self
 
     def result(self) -> DataFrame:
-        return self.frame.drop(_BLOCK, _TIE)
+        return self.frame.drop(_BLOCK)
 
 
 def _packed(columns: Mapping[str, str]) -> Column:
     return F.struct(*dict.fromkeys(columns.values()))
-
-
-def _any_set(names: Mapping[str, Column]) -> Column:
-    condition = F.lit(False)
-    for n in names:
-        condition = condition | F.col(n).isNotNull()
-    return condition

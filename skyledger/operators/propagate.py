@@ -110,7 +110,7 @@ def sample_states(
     seconds_at,
     *,
     samples: int = 1,
-    kernel: str = "sgp4",
+    kernel: str = "j2",
     carry: Sequence[str] = ("norad_cat_id",),
     velocity: bool = True,
 ) -> DataFrame:
@@ -148,7 +148,7 @@ def spread(elsets: DataFrame, samples: int) -> DataFrame:
     base = max(
         int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
     )
-    return elsets.repartition(base * min(8, 1 + samples // 4000), "norad_cat_id")
+    return elsets.repartition(base * (1 + samples // 4000), "norad_cat_id")
 
 
 def seconds_since_epoch(at: Column) -> Column:
@@ -161,7 +161,7 @@ def propagate_all(
     *,
     samples: int = 1,
     step_seconds: int = 0,
-    kernel: str = "sgp4",
+    kernel: str = "j2",
 ) -> DataFrame:
     """Positions on a regular grid, declined rows included (NULL coordinates)."""
     if samples > 1 and step_seconds <= 0:
@@ -181,7 +181,7 @@ def propagate_all(
 
 
 def propagate(
-    elsets: DataFrame, at: str | datetime | Column, *, kernel: str = "sgp4"
+    elsets: DataFrame, at: str | datetime | Column, *, kernel: str = "j2"
 ) -> DataFrame:
     """Positions of all element sets at one instant; declined ones are left out."""
     rows = propagate_all(elsets, at, kernel=kernel).where("error_code = 0")
@@ -194,7 +194,7 @@ def propagate_grid(
     *,
     samples: int,
     step_seconds: int,
-    kernel: str = "sgp4",
+    kernel: str = "j2",
 ) -> DataFrame:
     """Positions of all element sets at every instant of a regular grid."""
     rows = propagate_all(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.operators.ordered import MAX_GROUP_ROWS, GroupSizes, OrderedGroups, group_sizes
+from skyledger.operators.ordered import OrderedGroups, by_time
 from skyledger.schemas import LINEAGE_COLUMNS
 
 # Target type of each staged column; (source column, type) where renamed.
@@ -95,35 +95,25 @@ def dedup_latest(staged: DataFrame) -> DataFrame:
     )
 
 
-def with_validity(
-    elsets: DataFrame,
-    *,
-    max_group_rows: int = MAX_GROUP_ROWS,
-    sizes: GroupSizes | None = None,
-) -> DataFrame:
+def with_validity(elsets: DataFrame) -> DataFrame:
     """Validity interval of each element set: from its epoch to the object's next one."""
-    groups = OrderedGroups(
-        elsets, ["norad_cat_id"], ["epoch"], max_group_rows=max_group_rows, sizes=sizes
-    ).neighbours(following={"valid_to": "epoch"})
+    groups = OrderedGroups(elsets, ["norad_cat_id"], ["epoch"], by_time("epoch")).neighbours(
+        following={"valid_to": "epoch"}
+    )
     return groups.result().withColumns(
         {"valid_from": F.col("epoch"), "is_current": F.col("valid_to").isNull()}
     )
 
 
-def elset(staged: DataFrame, *, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def elset(staged: DataFrame) -> DataFrame:
     """Deduplicated element-set history with validity intervals.
 
-    While no object exceeds the row limit, one exchange on the object id serves both the
-    deduplication and the interval window. Otherwise copies are removed on (object, epoch),
-    with one survivor per map task, and the intervals are computed over spread-out groups.
+    Copies are removed on (object, epoch), with one survivor per map task, before the intervals
+    are computed on (object, months).
     """
     columns = [c for c in GP_TYPES] + ["valid_from", "valid_to"]
     columns += [c for c in LINEAGE_COLUMNS if c != "target"] + ["is_current"]
-    sizes = group_sizes(staged, ["norad_cat_id"])
-    if sizes.largest <= max_group_rows:
-        staged = staged.repartition("norad_cat_id")
-    history = with_validity(dedup_earliest(staged), max_group_rows=max_group_rows, sizes=sizes)
-    return history.select(*columns)
+    return with_validity(dedup_earliest(staged)).select(*columns)
 
 
 def space_object(staged: DataFrame) -> DataFrame:
@@ -138,7 +128,6 @@ def asof_elset(
     *,
     at: str = "at",
     columns: tuple[str, ...] = ("epoch", "valid_to"),
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """The element set in force at each probe's instant; NULLs before the first one.
 
@@ -158,6 +147,6 @@ def asof_elset(
         marker.alias("_elset"),
     )
     merged = OrderedGroups(
-        left.unionByName(right), ["norad_cat_id"], ["_t", "_kind"], max_group_rows=max_group_rows
+        left.unionByName(right), ["norad_cat_id"], ["_t", "_kind"], by_time("_t")
     ).fill_forward("_found", "_elset").result()
     return merged.where("_kind = 1").select("_probe.*", *[f"_found.{c}" for c in columns])

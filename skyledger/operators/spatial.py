@@ -7,15 +7,6 @@ from pyspark.sql import functions as F
 
 from skyledger.functions import geo
 
-#: Rows of a side that may be broadcast; beyond it the join shuffles.
-MAX_BROADCAST_ROWS = 100_000
-
-
-def small_side(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Mark a side for broadcast if it is measured to be small, else leave it as it is."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def distances_from(points: DataFrame, latitude: float, longitude: float) -> DataFrame:
     """Ground distance of every point from one place."""
     return geo.with_distance(points, geo.d(latitude), geo.d(longitude))
@@ -99,7 +90,7 @@ def within_radius_of(points: DataFrame, places: DataFrame, radius_km: float) ->
     touches, so only points in those cells are compared.
     """
     reach = _cells_in_reach(places.withColumn("_reach", F.lit(float(radius_km))), "_reach")
-    pairs = _with_cell(points).join(small_side(reach.drop("_reach")), "geo_cell")
+    pairs = _with_cell(points).join(reach.drop("_reach"), "geo_cell")
     return _measured(pairs).where(F.col("distance_km") <= radius_km).drop("geo_cell")
 
 
@@ -149,7 +140,7 @@ def nearest_to(points: DataFrame, places: DataFrame, k: int, *,
     )
     reach = _cells_in_reach(places.join(bound, "observer_id"), "_reach").drop("_reach")
     occupied = reach.join(cells.select("geo_cell"), "geo_cell", "left_semi")
-    pairs = _measured(_with_cell(points).join(small_side(occupied, 1_000_000), "geo_cell"))
+    pairs = _measured(_with_cell(points).join(occupied, "geo_cell"))
     w = Window.partitionBy("observer_id").orderBy("distance_km", key)
     # row_number <= k is applied in every map task before the shuffle.
     return (

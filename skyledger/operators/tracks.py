@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.functions import frames, orbit
-from skyledger.operators.ordered import MAX_GROUP_ROWS, OrderedGroups
+from skyledger.operators.ordered import OrderedGroups, by_number
 from skyledger.operators.propagate import instant, sample_states, seconds_since_epoch, spread
 
 DEFAULT_SAMPLES = 90
@@ -21,7 +21,7 @@ def orbit_tracks(
     *,
     samples: int = DEFAULT_SAMPLES,
     ground_track: bool = True,
-    kernel: str = "sgp4",
+    kernel: str = "j2",
 ) -> DataFrame:
     """One revolution of every object, one row per surviving sample.
 
@@ -81,14 +81,14 @@ def split_antimeridian(
     keys: Sequence[str] = ("norad_cat_id",),
     order: Sequence[str] = ("sample_idx",),
     bounded: bool = False,
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Number the segments of each path, cut where longitude jumps by more than 180 degrees.
 
     Segments of a single point are dropped, unless that point is the whole path.
+    `bounded` states that a path holds at most the samples of one track.
     """
     groups = OrderedGroups(
-        points, keys, order, bounded=bounded, max_group_rows=max_group_rows
+        points, keys, order, None if bounded else by_number(order[0])
     ).neighbours(previous={"_before": "longitude_deg"}, following={"_after": "longitude_deg"})
     cut = F.coalesce(F.abs(_jump("_before")) > 180.0, F.lit(False))
     groups.running_sums({"segment": F.when(cut, 1).otherwise(0)})
@@ -109,11 +109,13 @@ def unwrap_longitude(
     keys: Sequence[str] = ("norad_cat_id",),
     order: Sequence[str] = ("sample_idx",),
     bounded: bool = False,
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """Make longitudes continuous along each path with a running multiple of 360 degrees."""
+    """Make longitudes continuous along each path with a running multiple of 360 degrees.
+
+    `bounded` states that a path holds at most the samples of one track.
+    """
     groups = OrderedGroups(
-        points, keys, order, bounded=bounded, max_group_rows=max_group_rows
+        points, keys, order, None if bounded else by_number(order[0])
     ).neighbours(previous={"_before": "longitude_deg"})
     turn = (
         F.when(_jump("_before") > 180.0, F.lit(-360.0))
@@ -145,12 +147,12 @@ def tracks_to_paths(
     else:
         rows = split_antimeridian(tracks, bounded=True)
         point = F.array("longitude_deg", "latitude_deg")
-    grouped = rows.groupBy("norad_cat_id", "object_name", "period_minutes", "segment").agg(
+    grouped = rows.groupBy("norad_cat_id", "object_name", "period_minutes", "segment", "kernel_used").agg(
         F.sort_array(F.collect_list(F.struct("sample_idx", point.alias("p")))).alias("points")
     )
     return grouped.select(
         F.transform("points", lambda x: x["p"]).alias("path"),
         "norad_cat_id", "object_name",
         F.bround("period_minutes", 1).alias("period_minutes"),
-        "segment",
+        "segment", "kernel_used",
     )

@@ -5,17 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions import frames
 from skyledger.operators.enrich import above
-from skyledger.operators.ordered import MAX_GROUP_ROWS, OrderedGroups
+from skyledger.operators.ordered import OrderedGroups, by_number
 from skyledger.operators.propagate import instant, sample_states, seconds_since_epoch, spread
-from skyledger.operators.spatial import small_side
 
-#: Observers that may be given as a literal list; longer lists go in as a table.
-MAX_LITERAL_OBSERVERS = 64
 DEFAULT_WINDOW_HOURS = 72
 DEFAULT_STEP_SECONDS = 30
 DEFAULT_MINIMUM_ELEVATION = 10.0
@@ -29,8 +26,8 @@ _SCRATCH = frames.OBSERVER_FIELDS + _OBSERVER_COLUMNS[1:]
 
 def with_literal_observers(df: DataFrame, observers: Sequence[Observer]) -> DataFrame:
     """Every row once per listed observer, by a generator over a short literal list."""
-    if not 0 < len(observers) <= MAX_LITERAL_OBSERVERS:
-        raise ValueError(f"give 1 to {MAX_LITERAL_OBSERVERS} observers, or a table of them")
+    if not observers:
+        raise ValueError("give one observer at least")
     here = [
         F.struct(
             F.lit(int(i)).alias(_OBSERVER_COLUMNS[0]),
@@ -52,6 +49,17 @@ def look_angles(positions: DataFrame, observers: Sequence[Observer]) -> DataFram
     return frames.with_look_angles(frames.with_ecef_from_geodetic(seen)).drop(*_SCRATCH, *ecef)
 
 
+def observer_table(spark: SparkSession, observers: Sequence[Observer] | DataFrame) -> DataFrame:
+    """Observers as a table. A list is in the driver's memory already and is broadcast."""
+    if isinstance(observers, DataFrame):
+        return observers
+    if not observers:
+        raise ValueError("give one observer at least")
+    rows = [(int(i), *map(float, rest)) for i, *rest in observers]
+    schema = ", ".join(f"{c} {k}" for c, k in zip(_OBSERVER_COLUMNS, ("int", *["double"] * 3), strict=True))
+    return F.broadcast(spark.createDataFrame(rows, schema))
+
+
 def filter_visible(frame: DataFrame, minimum_elevation: float) -> DataFrame:
     return frame.where(above(minimum_elevation))
 
@@ -166,11 +174,10 @@ def visible_pairs(
     """Satellite and observer pairs with the satellite at or above the elevation.
 
     `satellites` carries Earth-fixed coordinates. An equality join on the grid cell brings
-    together only pairs that can see each other; the exact elevation decides. Observers are
-    broadcast if they are measured to be few.
+    together only pairs that can see each other; the exact elevation decides.
     """
     listed = with_footprint_cells(satellites, minimum_elevation)
-    pairs = listed.join(small_side(observer_cells(observers)), "_cell")
+    pairs = listed.join(observer_cells(observers), "_cell")
     return frames.with_look_angles(pairs).where(above(minimum_elevation)).drop("_cell", *_SCRATCH)
 
 
@@ -183,12 +190,11 @@ def visible_now(
 ) -> DataFrame:
     """Enriched positions that pass a filter and stand above the horizon."""
     chosen = frame if shown is None else frame.where(shown)
-    if isinstance(observers, DataFrame):
-        located = frames.with_ecef_from_geodetic(chosen)
-        return visible_pairs(located, observers, minimum_elevation).drop(
-            "ecef_x_km", "ecef_y_km", "ecef_z_km"
-        )
-    return filter_visible(look_angles(chosen, observers), minimum_elevation)
+    table = observer_table(frame.sparkSession, observers)
+    located = frames.with_ecef_from_geodetic(chosen)
+    return visible_pairs(located, table, minimum_elevation).drop(
+        "ecef_x_km", "ecef_y_km", "ecef_z_km"
+    )
 
 
 def visible_counts(
@@ -234,7 +240,7 @@ def look_angle_series(
     *,
     window_hours: float = DEFAULT_WINDOW_HOURS,
     step_seconds: int = DEFAULT_STEP_SECONDS,
-    kernel: str = "sgp4",
+    kernel: str = "j2",
 ) -> DataFrame:
     """Look angles of every object at every step of a window, one row per sample."""
     series = _series(elsets, start, window_hours, step_seconds, kernel)
@@ -259,6 +265,7 @@ def _summarise(runs: DataFrame, keys: Sequence[str], rank: str, truncated: Colum
         F.max_by("azimuth_deg", rank).alias("end_azimuth_deg"),
         peak.alias("_peak"),
         truncated.alias("truncated"),
+        *[F.max("kernel_used").alias("kernel_used")] * ("kernel_used" in runs.columns),
     ).where("_n >= 2 and end_utc > start_utc")
     minutes = (F.unix_micros("end_utc") - F.unix_micros("start_utc")) / F.lit(6e7)
     return passes.select(
@@ -268,7 +275,7 @@ def _summarise(runs: DataFrame, keys: Sequence[str], rank: str, truncated: Colum
         F.col("_peak.elevation_deg").alias("peak_elevation_deg"),
         "end_utc", "end_azimuth_deg",
         minutes.alias("duration_minutes"),
-        "truncated",
+        "truncated", *["kernel_used"] * ("kernel_used" in passes.columns),
     )
 
 
@@ -278,13 +285,11 @@ def pass_islands(
     minimum_elevation: float = DEFAULT_MINIMUM_ELEVATION,
     keys: Sequence[str] = ("norad_cat_id", "observer_id"),
     order: str = "sample_idx",
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Passes in a given look-angle series of any length: runs at or above the elevation."""
     up = above(minimum_elevation)
     groups = OrderedGroups(
-        series.withColumn("_up", F.when(up, 1).otherwise(0)), keys, [order],
-        max_group_rows=max_group_rows,
+        series.withColumn("_up", F.when(up, 1).otherwise(0)), keys, [order], by_number(order)
     ).neighbours(previous={"_was_up": "_up"}, following={"_will_be": "_up"})
     starts = (F.col("_up") == 1) & (F.coalesce("_was_up", F.lit(0)) == 0)
     groups.running_sums({"_run": F.when(starts, 1).otherwise(0)})
@@ -322,16 +327,10 @@ def find_passes(
     step_seconds: int = DEFAULT_STEP_SECONDS,
     minimum_elevation: float = DEFAULT_MINIMUM_ELEVATION,
     break_on_gap: bool = False,
-    kernel: str = "sgp4",
+    kernel: str = "j2",
 ) -> DataFrame:
     """Passes of every object over every observer within a window."""
-    if isinstance(observers, DataFrame):
-        series = _series(elsets, start, window_hours, step_seconds, kernel)
-        visible = visible_pairs(series, observers, minimum_elevation)
-    else:
-        series = look_angle_series(
-            elsets, observers, start,
-            window_hours=window_hours, step_seconds=step_seconds, kernel=kernel,
-        )
-        visible = filter_visible(series, minimum_elevation)
+    table = observer_table(elsets.sparkSession, observers)
+    series = _series(elsets, start, window_hours, step_seconds, kernel)
+    visible = visible_pairs(series, table, minimum_elevation)
     return passes_of_series(visible, break_on_gap=break_on_gap)

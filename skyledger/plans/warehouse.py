@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from skyledger.operators import checks, gold, silver
 from skyledger.operators.enrich import with_display_attributes
 from skyledger.operators.propagate import propagate
+from skyledger.schemas import GP, SATCAT
+from skyledger.sources.published import new_run, newest_run, publish
 
 #: Written once per build. Staging is recomputed where it is read, and the fact is always
 #: composed from the two tables it joins, so it cannot be older than either.
@@ -25,33 +27,51 @@ def layers(raw_gp: DataFrame, raw_satcat: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def _folder(root: str, run: str, name: str) -> str:
+    return f"{root}/{run}/{'gold' if name == 'dim_object' else 'silver'}/{name}"
+
+
 def build(
     spark: SparkSession, raw_gp: DataFrame, raw_satcat: DataFrame, root: str
 ) -> dict[str, DataFrame]:
     """Write silver, check it, then write and check gold; returns the written layers.
 
-    A failed check stops the build before the next layer is written.
+    A build has a folder of its own and is published with one marker after the last check. A
+    failed check or an interruption leaves the version before it readable.
     """
+    run = new_run()
     tables = {"raw_gp": raw_gp, "raw_satcat": raw_satcat}
     tables["stg_gp"], tables["stg_satcat"] = silver.stage_gp(raw_gp), silver.stage_satcat(raw_satcat)
 
     def store(name: str, df: DataFrame) -> DataFrame:
-        path = f"{root}/{'gold' if name == 'dim_object' else 'silver'}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        path = _folder(root, run, name)
+        df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
     tables["elset"] = store("elset", silver.elset(tables["stg_gp"]))
     tables["space_object"] = store("space_object", silver.space_object(tables["stg_satcat"]))
+    checks.require_columns(raw_gp, GP)
+    checks.require_columns(raw_satcat, SATCAT)
     checks.require_passed(checks.run_checks(tables))
     tables["dim_object"] = store("dim_object", gold.dim_object(tables["space_object"]))
     tables["fact"] = gold.fact_propagatable(tables["elset"], tables["dim_object"])
     served = {n: tables[n] for n in ("dim_object", "fact")}
     checks.require_passed(checks.run_checks(served))
+    publish(spark, root, run)
     return tables
 
 
+def read_built(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The layers of the published build; none if there is no such build."""
+    _, run = newest_run(spark, root)
+    if run is None:
+        return {}
+    tables = {n: spark.read.parquet(_folder(root, run, n)) for n in MATERIALISED}
+    return tables | {"fact": gold.fact_propagatable(tables["elset"], tables["dim_object"])}
+
+
 def sky_now(
-    fact: DataFrame, dim: DataFrame, at, *, kernel: str = "sgp4", objects=None
+    fact: DataFrame, dim: DataFrame, at, *, kernel: str = "j2", objects=None
 ) -> DataFrame:
     """Positions of the catalogue at one instant with everything a display needs.
 

@@ -139,20 +139,31 @@ def load_all(spark, sf):
     return counts[0].unionByName(counts[1])
 
 
-@query("materialise_layers", "elset space_object dim_object fact", """
-SELECT 'elset' AS layer, count(*) AS n FROM elset UNION ALL SELECT 'space_object', count(*) FROM space_object
-UNION ALL SELECT 'dim_object', count(*) FROM dim_object UNION ALL SELECT 'fact', count(*) FROM fact""")
+_ROWS = {
+    "elset": "norad_cat_id, epoch, object_name, source_file",
+    "space_object": "norad_cat_id, ingest_ts, object_name, source_file",
+    "dim_object": "norad_cat_id, ingest_ts, object_name, orbit_regime",
+    "fact": "norad_cat_id, epoch, object_name, source_file",
+}
+
+
+@query("materialise_layers", "elset space_object dim_object fact", " UNION ALL ".join(
+    f"SELECT '{layer}' AS layer, t.* FROM (SELECT {', '.join(f'{c} AS {n}' for c, n in zip(columns.split(', '), ('id', 'at', 'name', 'detail'), strict=True))} FROM {layer}) t"
+    for layer, columns in _ROWS.items()))
 def materialise_layers(spark, sf):
     # An unknown centre of motion fails its check, so those objects are left to `run_checks`.
     satcat = fx.raw_satcat(spark, sf).withColumn(
         "orbit_center", F.coalesce("orbit_center", F.lit("LU"))
     )
-    built = warehouse.build(spark, fx.raw_gp(spark, sf), satcat, scratch_path(spark, "warehouse"))
-    counts = None
-    for layer in ("elset", "space_object", "dim_object", "fact"):
-        one = built[layer].agg(F.count(F.lit(1)).alias("n")).select(F.lit(layer).alias("layer"), "n")
-        counts = one if counts is None else counts.unionByName(one)
-    return counts
+    root = scratch_path(spark, "warehouse")
+    warehouse.build(spark, fx.raw_gp(spark, sf), satcat, root)
+    built = warehouse.read_built(spark, root)
+    rows = None
+    for layer, columns in _ROWS.items():
+        one = built[layer].select(*columns.split(", ")).toDF("id", "at", "name", "detail").select(
+            F.lit(layer).alias("layer"), "*")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
 
 
 @query("write_snapshot", "positions", POSITIONS_SQL)

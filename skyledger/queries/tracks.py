@@ -9,7 +9,7 @@ from skyledger.operators import tracks as ops
 from skyledger.queries import base
 from skyledger.queries.base import AT, AT_SQL, KERNEL, geodetic_sql, gmst_sql, j2_sql, jd_sql, query, r, rounded
 
-SAMPLES = 45
+SAMPLES = 90
 
 
 def _track_sql(ground: bool) -> str:

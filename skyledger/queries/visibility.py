@@ -34,9 +34,9 @@ def look_angles(spark, sf):
 
 @query("observer_cross", "geo_points observers", f"""
 SELECT point_id, observer_id, {ANGLES}
-FROM ({_looking('SELECT p.*, o.* FROM geo_points p CROSS JOIN (SELECT * FROM observers WHERE observer_id BETWEEN 0 AND 3) o')})""")
+FROM ({_looking('SELECT p.*, o.* FROM geo_points p CROSS JOIN observers o')})""")
 def observer_cross(spark, sf):
-    listed = [(k, k * 7 - 83.9965, k * 14 - 169.9965, 0.0) for k in range(4)]
+    listed = [tuple(row) for row in fx.observers(spark, sf).collect()]
     seen = ops.look_angles(fx.geo_points(spark, sf), listed)
     return rounded(
         seen.select("point_id", "observer_id", "azimuth_deg", "elevation_deg", "range_km")
@@ -112,7 +112,7 @@ def _passes_sql(source: str, keys: str, limit: float, samples: int) -> str:
   {r('max(elevation_deg)', 'peak_elevation_deg')}, max(ts) AS end_utc,
   {r('max_by(azimuth_deg, sample_idx)', 'end_azimuth_deg')},
   {r('(epoch_us(max(ts)) - epoch_us(min(ts))) / 6e7', 'duration_minutes')},
-  min(sample_idx) = 0 OR max(sample_idx) = {samples - 1} AS truncated
+  min(sample_idx) = 0 OR max(sample_idx) = {samples - 1} AS truncated, 'j2' AS kernel_used
 FROM ({runs}) GROUP BY {keys}, run HAVING count(*) >= 2"""
 
 
@@ -133,11 +133,11 @@ def look_angle_series(spark, sf):
 KEYS = "norad_cat_id, object_name, observer_id"
 
 
-@query("find_passes", "fact observers", _passes_sql(_series_sql(BERLIN_SQL, 360, 60), KEYS, 10.0, 360))
+@query("find_passes", "fact observers", _passes_sql(_series_sql(BERLIN_SQL, 8640, 30), KEYS, 10.0, 8640))
 def find_passes(spark, sf):
     return rounded(
         ops.find_passes(
-            base.fact(spark, sf), [BERLIN], AT, window_hours=6, step_seconds=60, kernel=KERNEL
+            base.fact(spark, sf), [BERLIN], AT, kernel=KERNEL
         )
     )
 
@@ -154,11 +154,10 @@ def find_passes_many(spark, sf):
 
 @query("passes_in_time_order", "fact observers", f"""
 SELECT norad_cat_id, start_utc, duration_minutes FROM
-({_passes_sql(_series_sql(BERLIN_SQL, 360, 60), KEYS, 30.0, 360)}) ORDER BY start_utc, norad_cat_id""")
+({_passes_sql(_series_sql(BERLIN_SQL, 8640, 30), KEYS, 30.0, 8640)}) ORDER BY start_utc, norad_cat_id""")
 def passes_in_time_order(spark, sf):
     found = ops.find_passes(
-        base.fact(spark, sf), [BERLIN], AT,
-        window_hours=6, step_seconds=60, minimum_elevation=30.0, kernel=KERNEL,
+        base.fact(spark, sf), [BERLIN], AT, minimum_elevation=30.0, kernel=KERNEL,
     )
     return rounded(
         found.orderBy("start_utc", "norad_cat_id").select(

@@ -89,12 +89,7 @@ POSITION_SCHEMA = T.StructType(
     ]
 )
 
-PASS_COLUMNS = (
-    "norad_cat_id", "object_name", "start_utc", "start_azimuth_deg", "peak_utc",
-    "peak_azimuth_deg", "peak_elevation_deg", "end_utc", "end_azimuth_deg",
-    "duration_minutes", "truncated",
-)
-
+# The dimension's columns that positions are shown with.
 DIMENSION_COLUMNS = (
     "norad_cat_id", "object_name", "object_type", "orbit_regime", "owner", "launch_date",
     "launch_site",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -28,26 +27,27 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: int = 8, app: str = "skyledger") -> SparkSession:
-    """A single-machine session for tests and the bench."""
+def local_session(cores: int = 8, app: str = "skyledger", scratch: str | None = None) -> SparkSession:
+    """A single-machine session for tests and the bench, with a scratch folder of its own."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         # Call-site capture for error messages doubles the cost of building a plan.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(cores))
     )
+    if scratch:
+        builder = builder.config("spark.checkpoint.dir", scratch)
     return configure(builder.getOrCreate())
 
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    A cluster names it in `spark.checkpoint.dir`. Only where that is unset (tests on one
-    machine) a temporary folder is made, once per application.
+    A cluster names it in `spark.checkpoint.dir`, and must. Where all executors run inside the
+    driver on one machine, a folder of the application below Java's temporary one will do.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
@@ -55,8 +55,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     if configured:
         root = configured
     else:
-        current = spark.sparkContext.getCheckpointDir()
-        root = current or tempfile.mkdtemp(prefix="skyledger-")
+        context = spark.sparkContext
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        below = spark._jvm.java.lang.System.getProperty("java.io.tmpdir")
+        root = context.getCheckpointDir() or f"{below}/skyledger-{context.applicationId}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
     return root

@@ -7,14 +7,12 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from skyledger.operators.ledger import require_no_empty_landings
 from skyledger.operators.silver import first_per_key
 from skyledger.schemas import PARTITION_COLUMNS, Feed
 from skyledger.session import configure, path_exists
 from skyledger.sources import landing
 
-#: Landing files named in a pushed-down filter; longer lists scan the whole target.
-_MAX_FILES_IN_FILTER = 1_000
-
 
 def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     """A Parquet dataset under a declared schema; empty where nothing was written yet."""
@@ -44,7 +42,9 @@ def land_to_bronze(
     configure(spark)
     manifest = landing.scan_manifest(spark, path, mode="PERMISSIVE")
     landing.require_sidecars(spark, path, manifest)
+    landing.require_payload(spark, path)
     rows = landing.scan_landing_csv(spark, path, feed, null_tokens=null_tokens)
+    require_no_empty_landings(manifest, rows)
     return write_bronze(landing.attach_lineage(rows, manifest, feed), root)
 
 
@@ -60,16 +60,10 @@ def new_rows(batch: DataFrame, target: DataFrame, feed: Feed) -> DataFrame:
     """Rows of a batch whose key the target does not hold, one per key.
 
     Copies within the batch are removed first, one survivor per map task, so neither side
-    of the join has repeated keys. A batch out of few landing files reads only the row
-    groups of the target that can hold them.
+    of the join has repeated keys. Only keys of the batch's landing files are looked at.
     """
-    files = [
-        r.source_file
-        for r in batch.select("source_file").distinct().limit(_MAX_FILES_IN_FILTER + 1).collect()
-    ]
-    known = target.select(*feed.key)
-    if len(files) <= _MAX_FILES_IN_FILTER and None not in files:
-        known = known.where(F.col("source_file").isin(files)) if files else known.limit(0)
+    files = batch.select("source_file").distinct()
+    known = target.select(*feed.key).join(files, "source_file", "left_semi")
     ranked = [F.col("ingest_ts").asc_nulls_last(), F.col("ingestion_id").asc_nulls_last()]
     ranked.append(F.xxhash64(*feed.payload))
     unique = first_per_key(batch, list(feed.key), ranked)
@@ -95,11 +89,12 @@ def load_all(
 ) -> dict[str, int]:
     """Convert and load feeds given as (landing folder, bronze root, table).
 
-    Without a landing folder the conversion is skipped and existing bronze rows are loaded.
+    Without a landing folder, or where nothing has landed yet, the conversion is skipped and
+    existing bronze rows are loaded.
     """
     loaded = {}
     for feed, (path, root, table) in feeds.items():
-        if path is not None:
+        if path is not None and path_exists(spark, path):
             land_to_bronze(spark, path, feed, root)
         batch = scan_bronze(spark, root, feed, source_file=source_file)
         loaded[feed.name] = load_insert_if_absent(batch, table, feed)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyledger.operators.spatial import small_side
 from skyledger.schemas import GP_PAYLOAD, LINEAGE_COLUMNS, MANIFEST_SCHEMA, Feed
 
 
@@ -75,16 +74,29 @@ def require_sidecars(spark: SparkSession, path: str, manifest: DataFrame) -> Non
         raise MissingSidecarError(f"no readable sidecar for {[row.source_file for row in bare]}")
 
 
+#: Fixed value: what the feed answers when it has nothing to give.
+NO_DATA = "No GP data found"
+
+
+def require_payload(spark: SparkSession, path: str) -> None:
+    """Fail if a landed file holds the feed's message instead of rows."""
+    lines = spark.read.option("pathGlobFilter", "*.csv").text(path)
+    empty = lines.where(F.trim("value").startswith(NO_DATA)).select(
+        file_name(F.col("_metadata.file_path")).alias("source_file")).take(5)
+    if empty:
+        raise ValueError(f"landings without data: {[row.source_file for row in empty]}")
+
+
 def attach_lineage(rows: DataFrame, manifest: DataFrame, feed: Feed) -> DataFrame:
     """Lineage columns in front, and the partition columns derived from `ingested_at`.
 
-    One manifest record belongs to one file. It is broadcast while the manifest is small,
-    and otherwise joined with the adaptive skew split for very large files.
+    One manifest record belongs to one file. Adaptive execution broadcasts a small manifest and
+    splits very large files otherwise.
     """
     audit = manifest.select(
         F.col("ingested_at").alias("ingest_ts"), *[c for c in LINEAGE_COLUMNS if c != "ingest_ts"]
     )
-    joined = rows.join(small_side(audit), "source_file")
+    joined = rows.join(audit, "source_file")
     return joined.select(
         *feed.columns,
         F.date_format("ingest_ts", "yyyy-MM-dd").alias("ingest_date"),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,11 +9,8 @@ from pyspark.sql import types as T
 from skyledger.functions import geo
 from skyledger.operators.silver import first_per_key
 from skyledger.schemas import POSITION_COLUMNS, POSITION_SCHEMA
-from skyledger.session import configure, path_exists
+from skyledger.sources.published import new_run, newest_run, publish
 
-_MARKER = T.StructType(
-    [T.StructField("sequence", T.LongType()), T.StructField("run", T.StringType())]
-)
 STORED_SCHEMA = T.StructType(
     POSITION_SCHEMA.fields
     + [
@@ -30,14 +25,6 @@ STORED_SCHEMA = T.StructType(
 )
 
 
-def _published(spark: SparkSession, root: str) -> tuple[int, str | None]:
-    if not path_exists(spark, f"{root}/_published"):
-        return 0, None
-    markers = configure(spark).read.schema(_MARKER).json(f"{root}/_published")
-    newest = markers.agg(F.max(F.struct("sequence", "run")).alias("m")).first()["m"]
-    return (newest["sequence"], newest["run"]) if newest else (0, None)
-
-
 def with_geo_point(positions: DataFrame) -> DataFrame:
     """Point and grid cell, always derived from the coordinates they stand for."""
     lat, lon = F.col("latitude_deg"), F.col("longitude_deg")
@@ -56,20 +43,18 @@ def write_snapshot(positions: DataFrame, root: str) -> int:
     old snapshot stays. Rows are counted while they are written.
     """
     spark = positions.sparkSession
-    sequence, _ = _published(spark, root)
-    run, written = f"run={uuid.uuid4().hex}", Observation()
+    run, written = new_run(), Observation()
     with_geo_point(positions).observe(written, F.count(F.lit(1)).alias("n")).write.parquet(
         f"{root}/{run}"
     )
     if written.get["n"]:
-        marker = spark.createDataFrame([(sequence + 1, run)], _MARKER)
-        marker.coalesce(1).write.mode("append").json(f"{root}/_published")
+        publish(spark, root, run)
     return written.get["n"]
 
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
     """The published snapshot, empty if there is none."""
-    _, run = _published(spark, root)
+    _, run = newest_run(spark, root)
     if run is None:
         return spark.createDataFrame([], STORED_SCHEMA)
     return spark.read.schema(STORED_SCHEMA).parquet(f"{root}/{run}")

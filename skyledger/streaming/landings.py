@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from skyledger.operators.silver import dedup_earliest, with_validity
 from skyledger.schemas import Feed
-from skyledger.session import checkpoint_root, configure
-from skyledger.sources.bronze import load_insert_if_absent, read_or_empty
+from skyledger.session import configure
+from skyledger.sources.bronze import load_insert_if_absent
+from skyledger.sources.published import BucketedTable
+
+#: Buckets of a keyed table by default; a large table wants more of them, so that a bucket stays
+#: around a gigabyte.
+ID_BUCKETS = 64
 
 
 def stream_bronze(spark: SparkSession, root: str, feed: Feed) -> DataFrame:
@@ -17,76 +24,72 @@ def stream_bronze(spark: SparkSession, root: str, feed: Feed) -> DataFrame:
     return configure(spark).readStream.schema(feed.schema).parquet(root)
 
 
+def _each_batch(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame], None]) -> StreamingQuery:
+    return (
+        stream.writeStream.foreachBatch(lambda batch, _: work(batch))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def stream_load(stream: DataFrame, table: str, feed: Feed, checkpoint: str) -> StreamingQuery:
     """Load a stream of bronze rows into a table, skipping keys it already holds.
 
     A micro-batch that is replayed after a failure finds its own rows in the table and adds
     nothing, so the load is exactly-once by key.
     """
+    return _each_batch(
+        stream, checkpoint,
+        lambda batch: load_insert_if_absent(batch.select(*feed.columns), table, feed),
+    )
 
-    def load(batch: DataFrame, _: int) -> None:
-        load_insert_if_absent(batch.select(*feed.columns), table, feed)
 
-    return (
-        stream.writeStream.foreachBatch(load)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+def first_seen_table(
+    spark: SparkSession, schema: StructType, table: str, *, buckets: int = ID_BUCKETS
+) -> BucketedTable:
+    """The earliest landing of each (object, epoch), kept by `stream_first_seen`."""
+    return BucketedTable(spark, table, schema, ["norad_cat_id", "epoch"], buckets)
 
 
-def first_seen(stream: DataFrame, *, delay: str = "7 days") -> DataFrame:
-    """The first observation of each (object, epoch) within the watermark."""
-    return stream.withWatermark("ingest_ts", delay).dropDuplicatesWithinWatermark(
-        ["norad_cat_id", "epoch"]
-    )
+def stream_first_seen(
+    stream: DataFrame, table: str, checkpoint: str, *, buckets: int = ID_BUCKETS
+) -> StreamingQuery:
+    """Keep the earliest landing of each (object, epoch), however late it arrives.
 
+    Rows of a batch and stored rows of the same buckets go through one deduplication. It keeps
+    the least row by time of ingestion, so neither the order of batches nor a replay matters.
+    """
 
-#: Buckets an interval table is stored in by default; a large table wants more of them, so
-#: that a bucket stays around a gigabyte.
-ID_BUCKETS = 64
+    def merge(batch: DataFrame) -> None:
+        kept = first_seen_table(batch.sparkSession, batch.schema, table, buckets=buckets)
+        kept.merge(batch, lambda stored, new: dedup_earliest(stored.unionByName(new)))
 
+    return _each_batch(stream, checkpoint, merge)
 
-def bucket_of(buckets: int) -> Column:
-    return F.pmod(F.xxhash64("norad_cat_id"), F.lit(buckets)).cast("int")
+
+def interval_table(
+    spark: SparkSession, schema: StructType, table: str, *, buckets: int = ID_BUCKETS
+) -> BucketedTable:
+    """Validity intervals of staged rows of a schema, kept by `stream_rebuild`."""
+    tiled = with_validity(spark.createDataFrame([], schema)).schema
+    return BucketedTable(spark, table, tiled, ["norad_cat_id"], buckets)
 
 
 def rebuild_touched(batch: DataFrame, table: str, *, buckets: int = ID_BUCKETS) -> None:
     """Merge new element sets into an interval table by rebuilding what they touch.
 
     A new epoch changes the interval before it, so the whole history of a touched object is
-    tiled again. The table is partitioned by a hash of the object id: only the buckets of
-    touched objects are read and replaced. The rebuilt rows are checkpointed first, because a
-    partition cannot be overwritten while it is being read.
+    tiled again. Only the buckets of touched objects are read, and new versions of them are
+    published together.
     """
-    spark = configure(batch.sparkSession)
-    schema = _tiled(spark.createDataFrame([], batch.schema), buckets).schema
-    stored = read_or_empty(spark, table, schema)
-    # At most `buckets` values, whatever the batch holds.
-    touched = [
-        r.bucket for r in batch.select(bucket_of(buckets).alias("bucket")).distinct().collect()
-    ]
-    if not touched:
-        return
-    history = stored.where(F.col("bucket").isin(touched)).select(*batch.columns)
-    checkpoint_root(spark)
-    rebuilt = _tiled(dedup_earliest(history.unionByName(batch)), buckets).checkpoint()
-    rebuilt.write.partitionBy("bucket").mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).parquet(table)
-
-
-def _tiled(elsets: DataFrame, buckets: int) -> DataFrame:
-    return with_validity(elsets).withColumn("bucket", bucket_of(buckets))
+    kept = interval_table(batch.sparkSession, batch.schema, table, buckets=buckets)
+    kept.merge(batch, lambda stored, new: with_validity(
+        dedup_earliest(stored.select(*new.columns).unionByName(new))))
 
 
 def stream_rebuild(
     stream: DataFrame, table: str, checkpoint: str, *, buckets: int = ID_BUCKETS
 ) -> StreamingQuery:
     """Keep an interval table up to date with a stream of staged element sets."""
-    return (
-        stream.writeStream.foreachBatch(lambda batch, _: rebuild_touched(batch, table, buckets=buckets))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _each_batch(stream, checkpoint, lambda batch: rebuild_touched(batch, table, buckets=buckets))

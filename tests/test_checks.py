@@ -26,13 +26,12 @@ def test_every_declared_check_runs(layers):
 
 
 def test_intervals(spark):
-    t = [datetime(2026, 1, d) for d in (1, 2, 3)]
-    rows = spark.createDataFrame(
-        [(1, t[0], t[1]), (1, t[1], None), (2, t[0], t[2]), (2, t[1], None), (3, t[0], None)],
-        "norad_cat_id int, valid_from timestamp, valid_to timestamp",
-    )
-    for limit in (100, 1):
-        broken = checks.broken_intervals(rows, max_group_rows=limit).collect()
+    for t in ([datetime(2026, 1, d) for d in (1, 2, 3)], [datetime(2026, m, 1) for m in (1, 5, 9)]):
+        rows = spark.createDataFrame(
+            [(1, t[0], t[1]), (1, t[1], None), (2, t[0], t[2]), (2, t[1], None), (3, t[0], None)],
+            "norad_cat_id int, valid_from timestamp, valid_to timestamp",
+        )
+        broken = checks.broken_intervals(rows).collect()
         assert [(r.norad_cat_id, r.valid_from) for r in broken] == [(2, t[0])]
     twice = rows.withColumn("is_current", F.lit(True))
     assert {r.norad_cat_id for r in checks.many_current(twice).collect()} == {1, 2}

@@ -2,11 +2,12 @@ from datetime import datetime
 
 import pytest
 from conftest import SF, same_rows
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skyledger import fixtures as fx
 from skyledger.operators import gold, ledger, silver
-from skyledger.operators.ordered import OrderedGroups
+from skyledger.operators.ordered import OrderedGroups, by_number
 from skyledger.schemas import FEEDS, GP, SATCAT, Feed
 
 
@@ -32,17 +33,44 @@ def test_bad_values_fail_the_job(spark, column, value):
         silver.stage_gp(bad).collect()
 
 
-def test_history_of_spread_groups(staged):
-    usual = silver.elset(staged)
-    assert same_rows(usual, silver.elset(staged, max_group_rows=5))
+def plain_history(staged):
+    """The history by one window for each object."""
+    w = Window.partitionBy("norad_cat_id").orderBy("epoch")
+    first = silver.dedup_earliest(staged).withColumn("valid_to", F.lead("epoch").over(w))
+    return first.withColumns({"valid_from": F.col("epoch"), "is_current": F.col("valid_to").isNull()})
+
+
+def test_history_equals_one_window_for_each_object(staged):
+    assert same_rows(silver.elset(staged), plain_history(staged))
+
+
+def test_building_a_frame_runs_no_job(spark, staged):
+    manifest = fx.manifest(spark, SF)  # reading a schema is a job
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "lazy")
+    elsets = silver.elset(staged)
+    silver.asof_elset(elsets.select("norad_cat_id", F.col("epoch").alias("at")), elsets)
+    ledger.budget_breaches(manifest, 2_000_000)
+    spark.sparkContext.setJobGroup("others", "others")
+    assert not tracker.getJobIdsForGroup("lazy")
+
+
+def test_a_group_with_most_rows_is_split(spark):
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 10 < 9, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("i"))
+    groups = OrderedGroups(rows, ["k"], ["i"], by_number("i", 500)).neighbours(previous={"before": "i"})
+    pieces = groups.frame.groupBy(*groups._pieces).count()
+    assert pieces.where("k = 1").count() == 40 and pieces.agg(F.max("count")).first()[0] <= 500
+    w = Window.partitionBy("k").orderBy("i")
+    assert same_rows(groups.result(), rows.withColumn("before", F.lag("i").over(w)))
 
 
 def test_one_object_holding_most_rows(spark, staged):
     skewed = staged.withColumn(
         "norad_cat_id", F.when(F.col("rev_at_epoch") % 3 != 0, 7).otherwise(F.col("norad_cat_id"))
     )
-    a, b = silver.elset(skewed), silver.elset(skewed, max_group_rows=50)
-    assert same_rows(a, b) and a.where("is_current").count() == a.select("norad_cat_id").distinct().count()
+    a = silver.elset(skewed)
+    assert same_rows(a, plain_history(skewed)) and a.where("is_current").count() == a.select("norad_cat_id").distinct().count()
 
 
 def test_earliest_and_latest(spark, staged):
@@ -64,7 +92,6 @@ def test_asof_equals_a_range_join(spark, staged):
                "AND (e.valid_to IS NULL OR p.at < e.valid_to)"), "left",
     ).select("p.*", "e.epoch", "e.valid_to")
     assert same_rows(want, silver.asof_elset(probes, elsets))
-    assert same_rows(want, silver.asof_elset(probes, elsets, max_group_rows=5))
 
 
 def test_flags(spark):
@@ -100,20 +127,27 @@ def test_running_values_with_nulls_and_spread_groups(spark):
         "k int, i int, x double, n int",
     )
 
-    def columns(limit):
-        groups = OrderedGroups(rows, ["k"], ["i"], max_group_rows=limit)
+    def columns(piece):
+        groups = OrderedGroups(rows, ["k"], ["i"], piece)
         groups.neighbours(previous={"x0": "x", "n0": "n"}, following={"n1": "n"})
         groups.running_sums({"total": F.col("n"), "seen": F.col("x")}).fill_forward("last", "x")
-        assert groups.spread == (limit < 30)
         return groups.result()
 
-    assert same_rows(columns(1000), columns(4))
-
-
-def test_ledger_of_spread_groups(spark):
-    manifest = fx.manifest(spark, SF).withColumn("ingested_at", F.date_trunc("month", "ingested_at"))
-    for op in (lambda m, **o: ledger.budget_breaches(m, 2_000_000, **o), ledger.unchanged_payloads):
-        assert same_rows(op(manifest), op(manifest, max_group_rows=3))
+    whole = columns(None)
+    for size in (1, 4, 7, 100):
+        assert same_rows(whole, columns(by_number("i", size)))
+
+
+def test_ledger_equals_one_window_for_each_group(spark):
+    manifest = fx.manifest(spark, SF)
+    order = ("ingested_at", "source_file", "ingestion_id")
+    day = Window.partitionBy(F.to_date("ingested_at")).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    used = manifest.withColumn("used_before", F.coalesce(F.sum("bytes").over(day), F.lit(0)))
+    want = used.where("used_before >= 2000000").withColumn("day", F.to_date("ingested_at"))
+    assert same_rows(ledger.budget_breaches(manifest, 2_000_000), want)
+    before = F.lag("etag").over(Window.partitionBy("target").orderBy(*order))
+    want = manifest.withColumn("previous_etag", before).where("previous_etag = etag")
+    assert same_rows(ledger.unchanged_payloads(manifest), want)
 
 
 def test_cache_and_budget(spark):

@@ -8,6 +8,7 @@ import pytest
 from conftest import SF
 
 import __spark_entry__ as contract
+from skyledger.queries import registry
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -39,7 +40,7 @@ def _rows(frame):
 
 def test_oracles_belong_to_queries():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"propagate_catalogue_sgp4", "find_passes_sgp4"}
+    assert set(registry()) - set(ORACLES) == {"propagate_catalogue_sgp4", "find_passes_sgp4"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

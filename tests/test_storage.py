@@ -11,6 +11,7 @@ from skyledger.operators.propagate import propagate, propagate_grid
 from skyledger.plans import warehouse
 from skyledger.schemas import GP, POSITION_COLUMNS
 from skyledger.sources import bronze, landing, snapshot
+from skyledger.sources.published import BucketedTable
 
 HEADER = ",".join(c.upper() for c in GP.payload)
 ROWS = [
@@ -115,4 +116,44 @@ def test_build_stops_at_a_failed_check(spark, tmp_path):
     bad = raw.withColumn("eccentricity", F.lit("1.5"))
     with pytest.raises(CheckFailure, match="eccentricity"):
         warehouse.build(spark, bad, satcat, str(tmp_path / "v"))
-    assert not (tmp_path / "v" / "gold").exists()
+    assert not list((tmp_path / "v").glob("*/gold"))
+
+
+def test_a_refused_build_leaves_the_old_version(spark, tmp_path):
+    root, raw = str(tmp_path / "w"), fx.raw_gp(spark, SF)
+    satcat = fx.raw_satcat(spark, SF).fillna("LU", subset=["orbit_center"])
+    assert warehouse.read_built(spark, root) == {}
+    warehouse.build(spark, raw, satcat, root)
+    before = warehouse.read_built(spark, root)["elset"].count()
+    with pytest.raises(CheckFailure):
+        warehouse.build(spark, raw.withColumn("eccentricity", F.lit("1.5")), satcat, root)
+    published = warehouse.read_built(spark, root)
+    assert published["elset"].count() == before and published["fact"].count() > 0
+
+
+def test_missing_feeds_are_skipped_and_empty_answers_refused(spark, landed):
+    feeds = {GP: (str(landed / "nothing"), str(landed / "bronze"), str(landed / "table"))}
+    assert bronze.load_all(spark, feeds) == {"gp": 0}
+    land(landed / "in3", "c.csv", "id-c")
+    (landed / "in3" / "c.csv").write_text("No GP data found\n")
+    with pytest.raises(ValueError, match="c.csv"):
+        bronze.land_to_bronze(spark, str(landed / "in3"), GP, str(landed / "y"))
+
+
+def test_buckets_are_replaced_by_version(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i % 3) for i in range(50)], "k int, v int")
+    table = BucketedTable(spark, str(tmp_path / "t"), rows.schema, ["k"], 4)
+    assert table.read().isEmpty()
+    newest = lambda old, new: new.unionByName(old.join(new, "k", "left_anti"))
+    table.merge(rows, newest)
+    table.merge(spark.createDataFrame([(7, 99)], rows.schema), newest)
+    assert {r.k: r.v for r in table.read().collect()} == {i: 99 if i == 7 else i % 3 for i in range(50)}
+
+    def fails(old, new):
+        raise RuntimeError("interrupted")
+
+    with pytest.raises(RuntimeError):
+        table.merge(rows, fails)
+    assert table.read().count() == 50
+    with pytest.raises(ValueError, match="4 buckets"):
+        BucketedTable(spark, str(tmp_path / "t"), rows.schema, ["k"], 8).read()

@@ -1,5 +1,6 @@
 import pytest
 from conftest import ELEMENTS, ISS, ISS_EPOCH, SF, same_rows
+from pyspark.sql import functions as F
 
 from skyledger import fixtures as fx
 from skyledger.operators import tracks
@@ -21,12 +22,12 @@ def _segments(df):
 
 
 def test_split(spark):
-    assert _segments(tracks.split_antimeridian(_path(spark, [170, 178, -178, -170]))) == [
-        [170, 178], [-178, -170]
+    assert _segments(tracks.split_antimeridian(_path(spark, [161, 173, -176, -165]))) == [
+        [161, 173], [-176, -165]
     ]
     assert _segments(tracks.split_antimeridian(_path(spark, [10, 20, 30]))) == [[10, 20, 30]]
     # A segment of one point cannot be drawn, unless it is all there is.
-    assert _segments(tracks.split_antimeridian(_path(spark, [170, -170, 170, 175]))) == [[170, 175]]
+    assert _segments(tracks.split_antimeridian(_path(spark, [151, -162, 158, 164]))) == [[158, 164]]
     assert _segments(tracks.split_antimeridian(_path(spark, [5]))) == [[5]]
 
 
@@ -35,15 +36,15 @@ def test_unwrap(spark):
         rows = tracks.unwrap_longitude(_path(spark, values)).orderBy("sample_idx").collect()
         return [r.unwrapped_lon_deg for r in rows]
 
-    assert lons([178.0, 179.5, -179.0, -177.0]) == [178.0, 179.5, 181.0, 183.0]
-    assert lons([-178, 179, 177]) == [-178, -181, -183]
-    assert lons([170, -170, 170, -170]) == [170, 190, 170, 190]
+    assert lons([156.0, 171.25, -173.5, -158.0]) == [156.0, 171.25, 186.5, 202.0]
+    assert lons([-166, 172, 150]) == [-166, -188, -210]
+    assert lons([149, -151, 160, -140, -20]) == [149, 209, 160, 220, 340]
 
 
-def test_spread_groups_give_the_same_paths(spark):
-    points = fx.track_points(spark, SF)
+def test_paths_in_pieces_equal_paths_in_one_window(spark):
+    points = fx.track_points(spark, SF).withColumn("sample_idx", F.col("sample_idx") * 3000)
     for op in (tracks.split_antimeridian, tracks.unwrap_longitude):
-        assert same_rows(op(points), op(points, max_group_rows=2))
+        assert same_rows(op(points), op(points, bounded=True))
 
 
 def test_orbit_path_closes_and_ground_track_does_not(iss):
