@@ -26,10 +26,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from skyledger.llm.common import pieces
+from skyledger.llm.common import pieces, share, shared
 
 #: Pre-tokens a worker remembers before it starts a new table; the one before is kept beside it.
 MEMORY = 250_000
@@ -321,7 +322,7 @@ def _reached(model: Model, parts: tuple[int, int, int]) -> bool:
             j += 1
 
 
-def _mapped(df: DataFrame, shared, name: str, kind: T.DataType, widths, work) -> DataFrame:
+def _mapped(df: DataFrame, handle: Broadcast, name: str, kind: T.DataType, widths, work) -> DataFrame:
     """Append a column computed from slices of batches, so that memory doesn't follow their size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,7 +330,7 @@ def _mapped(df: DataFrame, shared, name: str, kind: T.DataType, widths, work) ->
             ends = np.concatenate(([0], np.cumsum(widths(batch))))
             for a, b in pieces(ends, SLICE):
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, work(shared.value, part)], [*batch.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, work(shared(handle), part)], [*batch.schema.names, name])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, kind)]))
 
@@ -350,8 +351,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     def widths(batch: pa.RecordBatch) -> np.ndarray:
         return _lengths(pc.binary_length(batch.column(text)))
 
-    shared = df.sparkSession.sparkContext.broadcast(load(path))
-    return _mapped(df, shared, ids, T.ArrayType(T.IntegerType()), widths, work)
+    return _mapped(df, share(df.sparkSession, load(path)), ids, T.ArrayType(T.IntegerType()), widths, work)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -381,5 +381,4 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     tokens = vocabulary(path)
     packed = (np.frombuffer(b"".join(tokens), np.uint8),
               np.concatenate(([0], np.cumsum([len(t) for t in tokens]))))
-    shared = df.sparkSession.sparkContext.broadcast(packed)
-    return _mapped(df, shared, text, T.StringType(), widths, work)
+    return _mapped(df, share(df.sparkSession, packed), text, T.StringType(), widths, work)

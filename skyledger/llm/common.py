@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,18 @@ def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], size: str,
     return rows.join(hot, keys).unionByName(cold)
 
 
+def share(spark: SparkSession, value) -> Broadcast:
+    """Broadcast an object together with its class, which workers may not have installed."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared(handle: Broadcast):
+    """The object of `share`, unpacked once in a worker and kept between its tasks."""
+    if not hasattr(handle, "unpacked"):
+        handle.unpacked = pickle.loads(handle.value)
+    return handle.unpacked
+
+
 #: Bytes of keys that may be broadcast.
 BROADCAST_BYTES = 64 << 20
 

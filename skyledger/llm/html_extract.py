@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.llm import crf
-from skyledger.llm.common import pieces
+from skyledger.llm.common import pieces, share, shared
 
 #: Elements that don't break a block.
 INLINE = frozenset(
@@ -260,10 +260,10 @@ def fit(pages: list[tuple[list[Block], list[int]]] | None = None) -> Extractor:
 def extract(pages: DataFrame, extractor: Extractor | None = None, html: str = "html",
             keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The kept columns, `text` and `n_chars` of every page."""
-    shared = pages.sparkSession.sparkContext.broadcast(extractor or fit())
+    handle = share(pages.sparkSession, extractor or fit())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared(handle)
         for whole in batches:
             width = np.asarray(pc.fill_null(pc.binary_length(whole.column(whole.num_columns - 1)), 0), np.int64)
             for a, b in pieces(np.concatenate(([0], np.cumsum(width)))):

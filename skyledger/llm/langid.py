@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import mix, pieces, stored
+from skyledger.llm.common import mix, pieces, share, shared, stored
 
 MIN_SHARE = 2e-5
 PROBES = 3
@@ -133,10 +133,10 @@ def fit(labelled: DataFrame, min_share: float = MIN_SHARE) -> Filters:
 def predict(docs: DataFrame, filters: Filters, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score). The score is the best language's share of its own and the
     runner-up's trigrams."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)
+    handle = share(docs.sparkSession, filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared(handle)
         for whole in batches:
             for batch in _slices(whole, 1):
                 total, count = model.corrected([t or "" for t in batch.column(1).to_pylist()])

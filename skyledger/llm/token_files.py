@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from skyledger.llm import range_coder
 from skyledger.llm.bpe import pre_token_pattern
-from skyledger.llm.common import pieces
+from skyledger.llm.common import pieces, share, shared
 
 END = 0
 BLOCK = 4096
@@ -94,10 +94,10 @@ def write(docs: DataFrame, tokenizer: str, path: str, doc_id: str = "doc_id", te
           end: int = END, block: int = BLOCK) -> None:
     """Encode documents and write their ids to `path` in ascending doc_id order."""
     with open(tokenizer, encoding="utf-8") as file:
-        shared = docs.sparkSession.sparkContext.broadcast(LibraryEncoder(file.read()))
+        handle = share(docs.sparkSession, LibraryEncoder(file.read()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = shared.value, TaskContext.get().partitionId()
+        encoder, shard = shared(handle), TaskContext.get().partitionId()
         waiting: list[bytes] = []  # ids that aren't coded yet
         begun: list[tuple[int | None, int, int]] = []  # doc_id, ids, place
         held = coded = 0  # ids waiting, and ids before them
