@@ -39,12 +39,14 @@ def _landed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _csv(spark: SparkSession, sf: str) -> str:
-    """Element sets as landed CSV files with upper-case headers."""
+    """Element sets as landed CSV files with upper-case headers, in two orders of columns."""
     path = scratch_path(spark, "landing")
     rows = fx.raw_gp(spark, sf)
-    rows.select(*[F.col(c).alias(c.upper()) for c in GP.payload]).write.option(
-        "header", True
-    ).csv(path)
+    for name, columns in (("gp_a.csv", GP.payload), ("gp_b.csv", GP.payload[::-1])):
+        landed = rows.where(F.col("source_file") == name)
+        landed.select(*[F.col(c).alias(c.upper()) for c in columns]).write.mode("append").option(
+            "header", True
+        ).csv(path)
     return path
 
 

@@ -23,19 +23,28 @@ def scan_landing_csv(
 ) -> DataFrame:
     """All landed CSV files below a folder, every column text, empty fields NULL.
 
-    Column order is taken from the first header and then enforced on every file. `null_tokens`
-    lists further texts to read as NULL.
+    Every file is read by its own header line: the line is found among the file's rows and joined
+    to them by the file's name. `null_tokens` lists further texts to read as NULL.
     """
-    options = {"header": "true", "pathGlobFilter": "*.csv", "enforceSchema": "false"}
-    header = spark.read.options(**options).csv(path).columns
-    unknown = {c.lower() for c in header} ^ set(feed.payload)
+    options = {"pathGlobFilter": "*.csv"}
+    first = spark.read.options(**options, header="true").csv(path).columns
+    unknown = {c.lower() for c in first} ^ set(feed.payload)
     if unknown:
         raise ValueError(f"feed {feed.name}: unexpected or missing columns {sorted(unknown)}")
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    rows = spark.read.options(**options, mode="FAILFAST").schema(schema).csv(path)
-    named = rows.select(
-        *[F.col(f"`{c}`").alias(c.lower()) for c in header],
-        file_name(F.col("_metadata.file_path")).alias("source_file"),
+    cells = [f"_c{i}" for i in range(len(feed.payload))]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in cells])
+    lines = spark.read.options(**options, mode="FAILFAST").schema(schema).csv(path).select(
+        file_name(F.col("_metadata.file_path")).alias("source_file"), F.array(*cells).alias("_cells"))
+    names = F.transform("_cells", F.lower)
+    is_header = F.coalesce(
+        F.array_sort(names) == F.array(*map(F.lit, sorted(feed.payload))), F.lit(False))
+    headers = lines.where(is_header).select("source_file", names.alias("_names")).distinct()
+    bare = F.raise_error(F.concat(F.lit("no header in "), F.col("source_file")))
+    values = F.map_from_arrays(F.when(F.col("_names").isNull(), bare).otherwise(F.col("_names")), "_cells")
+    named = (
+        lines.where(~is_header).join(headers, "source_file", "left")
+        .select("source_file", values.alias("_values"))
+        .select("source_file", *[F.col("_values")[c].alias(c) for c in feed.payload])
     )
     if null_tokens:
         named = named.withColumns(

@@ -43,6 +43,18 @@ def test_csv_is_all_text(spark, landed):
     assert strict.where("bstar IS NULL").count() == 1
 
 
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    cells = [line.split(",") for line in (HEADER, *ROWS)]
+    for name, turn in (("a.csv", 1), ("b.csv", -1)):
+        (tmp_path / "in" / name).write_text("\n".join(",".join(c[::turn]) for c in cells))
+    rows = landing.scan_landing_csv(spark, str(tmp_path / "in"), GP)
+    assert rows.select(*GP.payload).distinct().count() == 2 and rows.count() == 4
+    (tmp_path / "in" / "c.csv").write_text("\n".join(ROWS))
+    with pytest.raises(Exception, match="no header in c.csv"):
+        landing.scan_landing_csv(spark, str(tmp_path / "in"), GP).collect()
+
+
 def test_layout_and_rewrite(spark, landed):
     root = str(landed / "bronze")
     for _ in range(2):
