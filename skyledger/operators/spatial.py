@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions import geo
@@ -94,53 +94,78 @@ def within_radius_of(points: DataFrame, places: DataFrame, radius_km: float) ->
     return _measured(pairs).where(F.col("distance_km") <= radius_km).drop("geo_cell")
 
 
+#: Levels of the counting grid: cells of a quarter degree, doubling eight times.
+_FINEST_DEG, _LEVELS = 0.25, 9
+_KM_PER_DEGREE_MAX, _EVERYWHERE_KM = 111.8, 20_100.0
+
+
+def _grid(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """Band and column of the finest level."""
+    bands, columns = int(180 / _FINEST_DEG), int(360 / _FINEST_DEG)
+    return (
+        F.least(F.floor((lat + 90.0) / _FINEST_DEG), F.lit(bands - 1)).cast("int"),
+        F.pmod(F.floor((lon + 180.0) / _FINEST_DEG), F.lit(columns)).cast("int"),
+    )
+
+
+def _level_cell(level: int, band: Column, column: Column) -> Column:
+    return F.struct(F.lit(level).alias("level"), (band * 10_000 + column).alias("cell"))
+
+
+def _level_counts(points: DataFrame) -> DataFrame:
+    """Points of every cell on every level, rolled up from the finest."""
+    band, column = _grid(F.col("latitude_deg"), F.col("longitude_deg"))
+    finest = points.select(band.alias("b"), column.alias("c")).groupBy("b", "c").agg(
+        F.count(F.lit(1)).alias("n"))
+    levels = F.array(*[
+        _level_cell(i, F.shiftright("b", i), F.shiftright("c", i)) for i in range(_LEVELS)])
+    return (
+        finest.select("n", F.explode(levels).alias("l")).groupBy("l.level", "l.cell")
+        .agg(F.sum("n").alias("n"))
+    )
+
+
+def _cells_around() -> Column:
+    """A place's cell and those around it, on every level; bands end at the poles."""
+    b, c = _grid(F.col("observer_latitude_deg"), F.col("observer_longitude_deg"))
+    out = []
+    for i in range(_LEVELS):
+        columns = -(-int(360 / _FINEST_DEG) // (1 << i))
+        for up in (-1, 0, 1):
+            for right in (-1, 0, 1):
+                out.append(_level_cell(
+                    i, F.shiftright(b, i) + up, F.pmod(F.shiftright(c, i) + right, F.lit(columns))))
+    return F.array(*out)
+
+
 def nearest_to(points: DataFrame, places: DataFrame, k: int, *,
                key: str = "norad_cat_id") -> DataFrame:
     """The k nearest points of every place.
 
-    Points are counted per grid cell first. For each place, cells are taken in order of the
-    farthest distance they can hold until they contain k points: that distance bounds the
-    k-th neighbour, so only cells within it are joined. The answer is exact; the bound only
-    decides which points are compared. Both tables involved in finding it are bounded by
-    the grid, not by the data.
+    Points are counted per grid cell on levels of doubling cell size. For each place, the finest
+    level is taken on which its cell and the eight around it hold k points: they bound the
+    distance of the k-th neighbour, so only cells within that reach are joined. The reach shrinks
+    where points are dense. The answer is exact; the bound only decides which points are compared.
+    The counts are bounded by the grid, and a place meets nine of them on each level.
     """
-    cells = (
-        _with_cell(points).groupBy("geo_cell").agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("latitude_deg", F.floor(F.col("geo_cell") / geo.LON_CELLS) - 90.0 + 0.5)
-        .withColumn("longitude_deg", F.pmod("geo_cell", F.lit(geo.LON_CELLS)) - 180.0 + 0.5)
-    )
-    # Coarse blocks of 10 x 10 cells keep the number of pairs small: 648 per place.
-    block = (
-        F.floor(F.floor(F.col("geo_cell") / geo.LON_CELLS) / 10) * 36
-        + F.floor(F.pmod("geo_cell", F.lit(geo.LON_CELLS)) / 10)
-    ).cast("int")
-    blocks = cells.groupBy(block.alias("block")).agg(F.sum("n").alias("n"))
-    # No point of a block is farther from its centre than half its diagonal: 7.1 degrees of
-    # arc, under 800 km on the ellipsoid with room to spare.
-    spread_km = 800.0
-    around = (
-        places.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(18 * 36 - 1))))
-        .join(F.broadcast(blocks), "block")
-        .withColumn("latitude_deg", F.floor(F.col("block") / 36) * 10.0 - 85.0)
-        .withColumn("longitude_deg", F.pmod("block", F.lit(36)) * 10.0 - 175.0)
+    counts = _level_counts(points)
+    around = places.withColumn("_at", F.explode(_cells_around()))
+    found = (
+        around.select("observer_id", "_at.level", "_at.cell").join(counts, ["level", "cell"])
+        .groupBy("observer_id", "level").agg(F.sum("n").alias("n")).where(F.col("n") >= k)
+        .groupBy("observer_id").agg(F.min("level").alias("level"))
     )
-    by_reach = Window.partitionBy("observer_id").orderBy("distance_km", "block").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    everything = F.lit(20_100.0)
-    bound = (
-        _measured(around)
-        .withColumn("_seen", F.sum("n").over(by_reach))
-        .groupBy("observer_id")
-        .agg(
-            F.coalesce(
-                F.min(F.when(F.col("_seen") >= k, F.col("distance_km") + spread_km)), everything
-            ).alias("_reach")
-        )
+    # Two cells to either side in latitude and longitude, and some room for the ellipsoid.
+    side = F.lit(2.0 * _FINEST_DEG) * F.pow(F.lit(2.0), F.col("level"))
+    bound = places.select("observer_id").join(found, "observer_id", "left").select(
+        "observer_id",
+        F.least(
+            F.lit(_EVERYWHERE_KM),
+            F.coalesce(F.lit(2.0**0.5) * side * F.lit(_KM_PER_DEGREE_MAX) + 5.0, F.lit(_EVERYWHERE_KM)),
+        ).alias("_reach"),
     )
     reach = _cells_in_reach(places.join(bound, "observer_id"), "_reach").drop("_reach")
-    occupied = reach.join(cells.select("geo_cell"), "geo_cell", "left_semi")
-    pairs = _measured(_with_cell(points).join(occupied, "geo_cell"))
+    pairs = _measured(_with_cell(points).join(reach, "geo_cell"))
     w = Window.partitionBy("observer_id").orderBy("distance_km", key)
     # row_number <= k is applied in every map task before the shuffle.
     return (
