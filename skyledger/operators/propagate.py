@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from datetime import datetime
 
@@ -22,13 +23,15 @@ SAMPLE_COLUMNS = ("sample_idx", "sample_rank", "n_survived", "error_code", "kern
 
 
 def instant(at: str | datetime | Column) -> Column:
-    """An instant as a timestamp column. A datetime without a zone is refused."""
+    """An instant as a timestamp column. A datetime or text without a zone is refused."""
     if isinstance(at, Column):
         return at
     if isinstance(at, datetime):
         if at.tzinfo is None:
             raise ValueError("an instant needs a time zone")
         at = at.isoformat()
+    elif not re.search(r"(Z|[+-]\d{2}:?\d{2})$", at.strip()):
+        raise ValueError(f"an instant needs a time zone: {at!r}")
     return F.lit(at).cast("timestamp")
 
 

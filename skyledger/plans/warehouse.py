@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skyledger.operators import checks, gold, silver
 from skyledger.operators.enrich import with_display_attributes
-from skyledger.operators.propagate import propagate
+from skyledger.operators.propagate import instant, propagate
 from skyledger.schemas import GP, SATCAT
 from skyledger.sources.published import new_run, newest_run, publish
 
@@ -82,3 +83,19 @@ def sky_now(
     if objects is not None:
         fact = fact.join(chosen.select("norad_cat_id"), "norad_cat_id", "left_semi")
     return with_display_attributes(propagate(fact, at, kernel=kernel), chosen)
+
+
+def stored_sky(fact: DataFrame, dim: DataFrame, at, root: str, *, kernel: str = "j2") -> DataFrame:
+    """The whole sky at one instant, computed once and read from then on.
+
+    Filters on the result are ordinary filters on a stored table, so questions about one instant
+    don't propagate the catalogue again. A new catalogue wants a new root.
+    """
+    spark = fact.sparkSession
+    micros = spark.range(1).select(F.unix_micros(instant(at))).first()[0]
+    folder = f"{root}/kernel={kernel}/at={micros}"
+    if newest_run(spark, folder)[1] is None:
+        run = new_run()
+        sky_now(fact, dim, at, kernel=kernel).write.parquet(f"{folder}/{run}")
+        publish(spark, folder, run)
+    return spark.read.parquet(f"{folder}/{newest_run(spark, folder)[1]}")

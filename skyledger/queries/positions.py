@@ -8,12 +8,14 @@ from skyledger import fixtures as fx
 from skyledger.functions import frames, orbit
 from skyledger.operators import enrich, summaries
 from skyledger.operators.propagate import propagate, propagate_all, propagate_grid
+from skyledger.plans import warehouse
 from skyledger.queries import base
 from skyledger.queries.base import (
     AT, AT_SQL, KERNEL, ecef_from_geodetic_sql, ecef_from_teme_sql, geodetic_sql,
     gmst_sql, j2_sql, jd_sql, query, r, rnd, rounded,
 )
 from skyledger.schemas import POSITION_COLUMNS
+from skyledger.session import scratch_path
 
 POSITION_DOUBLES = POSITION_COLUMNS[3:]
 POSITIONS_SQL = "SELECT norad_cat_id, snapshot_ts, epoch, " + ", ".join(
@@ -213,7 +215,10 @@ SKY_SQL = ", ".join(r(c) if c in ("altitude_km", "speed_km_s", "epoch_age_hours"
 
 @query("sky_now", "sky", f"SELECT {SKY_SQL} FROM sky")
 def sky_now(spark, sf):
-    return rounded(base.sky(spark, sf).select(*SKY_OUT))
+    root = scratch_path(spark, "sky")
+    for _ in range(2):  # the second time it is there already
+        sky = warehouse.stored_sky(base.fact(spark, sf), base.dim(spark, sf), AT, root, kernel=KERNEL)
+    return rounded(sky.select(*SKY_OUT))
 
 
 def _filtered(name: str, where: str, **filters) -> None:

@@ -181,11 +181,12 @@ def write_snapshot(spark, sf):
 SELECT norad_cat_id, snapshot_ts, {r('CASE WHEN norad_cat_id % 3 = 0 THEN altitude_km + 1e0 ELSE altitude_km END', 'altitude_km')}
 FROM positions""")
 def snapshot_upsert(spark, sf):
-    stored = base.positions(spark, sf).select("norad_cat_id", "snapshot_ts", "altitude_km")
-    fresh = stored.where("norad_cat_id % 3 = 0").withColumn(
-        "altitude_km", F.col("altitude_km") + 1.0
-    )
-    return rounded(snapshot.upsert_positions(stored, fresh))
+    root, rows = scratch_path(spark, "upsert"), base.positions(spark, sf)
+    snapshot.write_snapshot(rows, root)
+    fresh = rows.where("norad_cat_id % 3 = 0").withColumn("altitude_km", F.col("altitude_km") + 1.0)
+    snapshot.upsert_snapshot(fresh, root)
+    stored = snapshot.read_snapshot(spark, root)
+    return rounded(stored.select("norad_cat_id", "snapshot_ts", "altitude_km"))
 
 
 @query("latest_snapshot", "fact states", f"""

@@ -66,6 +66,12 @@ def upsert_positions(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return first_per_key(both, ["norad_cat_id", "snapshot_ts"], [F.col("_age")]).drop("_age")
 
 
+def upsert_snapshot(fresh: DataFrame, root: str) -> int:
+    """Put fresh positions into the stored snapshot; returns the rows it then has."""
+    stored = read_snapshot(fresh.sparkSession, root).select(*POSITION_COLUMNS)
+    return write_snapshot(upsert_positions(stored, fresh.select(*POSITION_COLUMNS)), root)
+
+
 def latest_snapshot(positions: DataFrame) -> DataFrame:
     """Rows of the newest instant. Stored by instant, only its partition is read."""
     newest = positions.agg(F.max("snapshot_ts").alias("snapshot_ts"))

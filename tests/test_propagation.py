@@ -88,6 +88,8 @@ def test_grid_equals_single_instants(iss):
 def test_naive_instants_are_refused(iss):
     with pytest.raises(ValueError):
         propagate(iss, datetime(2021, 7, 19))
+    with pytest.raises(ValueError, match="time zone"):
+        propagate(iss, "2021-07-19T00:00:00")
     with pytest.raises(ValueError):
         propagate(iss, ISS_EPOCH, kernel="magic")
 
