@@ -20,7 +20,7 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from skyledger.llm.common import pieces, share, shared
 
 #: Pre-tokens a worker remembers before it starts a new table; the one before is kept beside it.
-MEMORY = 250_000
+MEMORY = 150_000
 #: Bytes of text, or ids, that a worker turns at a time.
 SLICE = 1 << 20
 #: White space of the Unicode standard, as the tokenizer's pattern means it.
@@ -322,25 +322,29 @@ def _reached(model: Model, parts: tuple[int, int, int]) -> bool:
             j += 1
 
 
-def _mapped(df: DataFrame, handle: Broadcast, name: str, kind: T.DataType, widths, work) -> DataFrame:
+def _mapped(df: DataFrame, handle: Broadcast, name: str, kind: T.DataType, keep: Sequence[str] | None,
+            widths, work) -> DataFrame:
     """Append a column computed from slices of batches, so that memory doesn't follow their size."""
+    kept = list(df.columns) if keep is None else list(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ends = np.concatenate(([0], np.cumsum(widths(batch))))
             for a, b in pieces(ends, SLICE):
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, work(shared(handle), part)], [*batch.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*map(part.column, kept), work(shared(handle), part)], [*kept, name])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, kind)]))
+    return df.mapInArrow(run, T.StructType([*[df.schema[c] for c in kept], T.StructField(name, kind)]))
 
 
 def _lengths(column: pa.Array) -> np.ndarray:
     return np.asarray(pc.fill_null(column, 0), np.int64)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Append the ids of a text column as an array of integers."""
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids",
+           keep: Sequence[str] | None = None) -> DataFrame:
+    """Append the ids of a text column as an array of integers. `keep` names the columns that come
+    along, all by default; what isn't needed later shouldn't travel back from the workers."""
 
     def work(model: Model, batch: pa.RecordBatch) -> pa.Array:
         model.prepare()
@@ -351,10 +355,11 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     def widths(batch: pa.RecordBatch) -> np.ndarray:
         return _lengths(pc.binary_length(batch.column(text)))
 
-    return _mapped(df, share(df.sparkSession, load(path)), ids, T.ArrayType(T.IntegerType()), widths, work)
+    return _mapped(df, share(df.sparkSession, load(path)), ids, T.ArrayType(T.IntegerType()), keep, widths, work)
 
 
-def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded",
+           keep: Sequence[str] | None = None) -> DataFrame:
     """Append the text of a column of ids; null ids give null. Bytes that are not valid UTF-8
     become replacement characters."""
 
@@ -381,4 +386,4 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     tokens = vocabulary(path)
     packed = (np.frombuffer(b"".join(tokens), np.uint8),
               np.concatenate(([0], np.cumsum([len(t) for t in tokens]))))
-    return _mapped(df, share(df.sparkSession, packed), text, T.StringType(), widths, work)
+    return _mapped(df, share(df.sparkSession, packed), text, T.StringType(), keep, widths, work)
