@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from skyledger.llm.common import pieces, share, shared
 
 #: Pre-tokens a worker remembers before it starts a new table; the one before is kept beside it.
-MEMORY = 150_000
+MEMORY = 120_000
 #: Bytes of text, or ids, that a worker turns at a time.
 SLICE = 1 << 20
 #: White space of the Unicode standard, as the tokenizer's pattern means it.
@@ -234,7 +234,7 @@ class Known(dict):
         if found is None:
             found = array("i", self.model.encode_piece(piece.encode())).tobytes()
             pairs = self.model._ready[9]
-            if len(pairs) >= 4 * self.model.memory:
+            if len(pairs) >= self.model.memory:
                 pairs.clear()
         if len(piece) <= 64:
             if len(self) >= self.model.memory:

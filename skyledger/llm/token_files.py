@@ -33,7 +33,7 @@ BLOCK = 4096
 #: Blocks that are coded together; they and their models are what a worker holds.
 LANES = 2048
 #: Pre-tokens a worker remembers before it starts a new table; the one before is kept beside it.
-MEMORY = 250_000
+MEMORY = 120_000
 SLICE = 1 << 20
 SCHEMA = ("shard int, block int, n_ids int, docs array<struct<doc_id:bigint,n:bigint>>, record binary")
 
