@@ -119,6 +119,14 @@ def pieces(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int
         start = end
 
 
+def sliced(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of up to `limit` bytes of a text column, or of one longer text."""
+    for batch in batches:
+        width = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
+        for a, b in pieces(np.concatenate(([0], np.cumsum(width))), limit):
+            yield batch.slice(a, b - a)
+
+
 @dataclass
 class Words:
     """The words of several texts: byte range, text, 64-bit hash; and the first word of each text."""

@@ -22,18 +22,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import mix, pieces, share, shared, stored
+from skyledger.llm.common import mix, share, shared, sliced, stored
 
 MIN_SHARE = 2e-5
 PROBES = 3
 CELLS_PER_GRAM = 12
 UNKNOWN = "und"
-#: Bytes of text that a worker looks at together.
-SLICE = 1 << 20
 
 
 def _letters(known: list = []) -> np.ndarray:  # noqa: B006
@@ -58,27 +55,20 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return gram, doc[at]
 
 
-def _slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    width = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64)
-    for a, b in pieces(np.concatenate(([0], np.cumsum(width))), SLICE):
-        yield batch.slice(a, b - a)
-
-
 def gram_counts(labelled: DataFrame) -> DataFrame:
     """(lang, gram, n) of (lang, text) rows, combined in each batch before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in _slices(whole, 1):
-                langs = batch.column(0).to_pylist()
-                names = sorted(set(langs))
-                gram, doc = trigrams([t or "" for t in batch.column(1).to_pylist()])
-                lang = np.array([names.index(x) for x in langs])[doc] if len(langs) else doc
-                for i, name in enumerate(names):
-                    found, n = np.unique(gram[lang == i], return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))],
-                        ["lang", "gram", "n"])
+        for batch in sliced(batches, 1):
+            langs = batch.column(0).to_pylist()
+            names = sorted(set(langs))
+            gram, doc = trigrams([t or "" for t in batch.column(1).to_pylist()])
+            lang = np.array([names.index(x) for x in langs])[doc]
+            for i, name in enumerate(names):
+                found, n = np.unique(gram[lang == i], return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))],
+                    ["lang", "gram", "n"])
 
     parts = labelled.mapInArrow(run, "lang string, gram bigint, n bigint")
     return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -137,19 +127,18 @@ def predict(docs: DataFrame, filters: Filters, doc_id: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared(handle)
-        for whole in batches:
-            for batch in _slices(whole, 1):
-                total, count = model.corrected([t or "" for t in batch.column(1).to_pylist()])
-                pred, score = [UNKNOWN] * len(total), np.zeros(len(total))
-                if model.languages:
-                    best = count.argmax(axis=1)
-                    ordered = np.sort(np.pad(count, ((0, 0), (1, 0))), axis=1)
-                    both = ordered[:, -1] + ordered[:, -2]
-                    score = np.where((total > 0) & (both > 0), ordered[:, -1] / np.maximum(both, 1e-9), 0.0)
-                    pred = [model.languages[b] if n else UNKNOWN for b, n in zip(best, total, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(pred, pa.string()), pa.array(score)],
-                    ["doc_id", "lang_pred", "score"])
+        for batch in sliced(batches, 1):
+            total, count = model.corrected([t or "" for t in batch.column(1).to_pylist()])
+            pred, score = [UNKNOWN] * len(total), np.zeros(len(total))
+            if model.languages:
+                best = count.argmax(axis=1)
+                ordered = np.sort(np.pad(count, ((0, 0), (1, 0))), axis=1)
+                both = ordered[:, -1] + ordered[:, -2]
+                score = np.where((total > 0) & (both > 0), ordered[:, -1] / np.maximum(both, 1e-9), 0.0)
+                pred = [model.languages[b] if n else UNKNOWN for b, n in zip(best, total, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(pred, pa.string()), pa.array(score)],
+                ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import Words, join_counted, mix, pieces, small_keys, stored, utf8, words
+from skyledger.llm.common import Words, join_counted, mix, pieces, sliced, small_keys, stored, utf8, words
 from skyledger.llm.components import connect
 
 #: Defaults of the contract: five words, similarity of 80 in 100.
@@ -179,7 +179,7 @@ def _index(k: int, percent: int, signed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.array(band_starts(percent))
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in sliced(batches, 1):
             sizes, keys, nodes, sketches, folds, sigs, tags, ends = [], [], [], [], [], [], [], [0]
             total = 0
             for h in sets_of(batch.column(1), k):
@@ -268,7 +268,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, k: int) ->
     """(rep, h): the shingle hashes of the wanted documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             sets = [h.view(np.int64) for h in sets_of(batch.column(1), k)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rep", "h"])
