@@ -43,8 +43,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and the text that they decode to."""
-    path = tokenizer()
-    return bpe.decode(bpe.encode(docs.select("doc_id", "text"), path, keep=["doc_id"]), path)
+    return bpe.encode(docs.select("doc_id", "text"), tokenizer(), decoded="decoded", keep=["doc_id"])
 
 
 STAGES = [

@@ -260,10 +260,6 @@ def _read(path: str) -> tuple[dict, dict[str, int], dict[str, int], list[bytes]]
     return spec, special, vocab, tokens
 
 
-def vocabulary(path: str) -> list[bytes]:
-    return _read(path)[3]
-
-
 def load(path: str) -> Model:
     """Build the model from a byte-level BPE file of the tokenizers library."""
     spec, special, vocab, tokens = _read(path)
@@ -322,40 +318,72 @@ def _reached(model: Model, parts: tuple[int, int, int]) -> bool:
             j += 1
 
 
-def _mapped(df: DataFrame, handle: Broadcast, name: str, kind: T.DataType, keep: Sequence[str] | None,
+def _mapped(df: DataFrame, handle: Broadcast, added: list[tuple[str, T.DataType]], keep: Sequence[str] | None,
             widths, work) -> DataFrame:
-    """Append a column computed from slices of batches, so that memory doesn't follow their size."""
+    """Append columns computed from slices of batches, so that memory doesn't follow their size."""
     kept = list(df.columns) if keep is None else list(keep)
+    names = [*kept, *[n for n, _ in added]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ends = np.concatenate(([0], np.cumsum(widths(batch))))
             for a, b in pieces(ends, SLICE):
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*map(part.column, kept), work(shared(handle), part)], [*kept, name])
+                yield pa.RecordBatch.from_arrays([*map(part.column, kept), *work(shared(handle), part)], names)
 
-    return df.mapInArrow(run, T.StructType([*[df.schema[c] for c in kept], T.StructField(name, kind)]))
+    return df.mapInArrow(run, T.StructType([*[df.schema[c] for c in kept], *[T.StructField(n, k) for n, k in added]]))
 
 
 def _lengths(column: pa.Array) -> np.ndarray:
     return np.asarray(pc.fill_null(column, 0), np.int64)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids",
+def _text_of(tokens: tuple[np.ndarray, np.ndarray], ids: pa.ListArray) -> pa.Array:
+    """The texts of lists of ids, from the bytes of all tokens and where each begins."""
+    data, first = tokens
+    flat = np.asarray(ids.flatten(), np.int64)
+    length = first[flat + 1] - first[flat]
+    ends = np.concatenate(([0], np.cumsum(length)))
+    out = data[np.repeat(first[flat] - ends[:-1], length) + np.arange(ends[-1])]
+    cut = ends[np.concatenate(([0], np.cumsum(_lengths(pc.list_value_length(ids)))))]
+    found = pa.Array.from_buffers(pa.large_string(), len(ids), [None, pa.py_buffer(cut.tobytes()), pa.py_buffer(out)])
+    try:
+        found.validate(full=True)
+    except pa.ArrowInvalid:  # bytes that are not valid UTF-8
+        whole = out.tobytes()
+        found = pa.array([whole[a:b].decode("utf-8", "replace") for a, b in zip(cut[:-1], cut[1:], strict=True)],
+                         pa.large_string())
+    return pc.if_else(ids.is_valid(), found, None).cast(pa.string())
+
+
+def _packed(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(tokens), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in tokens])))
+
+
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None,
            keep: Sequence[str] | None = None) -> DataFrame:
-    """Append the ids of a text column as an array of integers. `keep` names the columns that come
-    along, all by default; what isn't needed later shouldn't travel back from the workers."""
+    """Append the ids of a text column as an array of integers.
+
+    `decoded` names a further column for the text that the ids stand for, decoded in the same
+    pass. `keep` names the columns that come along, all by default; what isn't needed later
+    shouldn't travel back from the workers.
+    """
 
-    def work(model: Model, batch: pa.RecordBatch) -> pa.Array:
+    def work(known: tuple, batch: pa.RecordBatch) -> list[pa.Array]:
+        model, tokens = known
         model.prepare()
         out = [model.encode(value) if value else b"" for value in batch.column(text).to_pylist()]
         ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in out])))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(out), "<i4")))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(out), "<i4")))
+        return [lists, _text_of(tokens, lists)] if tokens else [lists]
 
     def widths(batch: pa.RecordBatch) -> np.ndarray:
         return _lengths(pc.binary_length(batch.column(text)))
 
-    return _mapped(df, share(df.sparkSession, load(path)), ids, T.ArrayType(T.IntegerType()), keep, widths, work)
+    model = load(path)
+    handle = share(df.sparkSession, (model, _packed(model.tokens) if decoded else None))
+    added = [(ids, T.ArrayType(T.IntegerType())), *[(decoded, T.StringType())] * bool(decoded)]
+    return _mapped(df, handle, added, keep, widths, work)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded",
@@ -366,24 +394,8 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded",
     def widths(batch: pa.RecordBatch) -> np.ndarray:
         return _lengths(pc.list_value_length(batch.column(ids)))
 
-    def work(tokens: tuple[np.ndarray, np.ndarray], batch: pa.RecordBatch) -> pa.Array:
-        data, first = tokens
-        column = batch.column(ids)
-        flat = np.asarray(column.flatten(), np.int64)
-        length = first[flat + 1] - first[flat]
-        ends = np.concatenate(([0], np.cumsum(length)))
-        out = data[np.repeat(first[flat] - ends[:-1], length) + np.arange(ends[-1])]
-        cut = ends[np.concatenate(([0], np.cumsum(widths(batch))))]
-        found = pa.Array.from_buffers(pa.large_string(), len(column), [None, pa.py_buffer(cut.tobytes()), pa.py_buffer(out)])
-        try:
-            found.validate(full=True)
-        except pa.ArrowInvalid:  # bytes that are not valid UTF-8
-            whole = out.tobytes()
-            found = pa.array([whole[a:b].decode("utf-8", "replace") for a, b in zip(cut[:-1], cut[1:], strict=True)],
-                             pa.large_string())
-        return pc.if_else(column.is_valid(), found, None).cast(pa.string())
-
-    tokens = vocabulary(path)
-    packed = (np.frombuffer(b"".join(tokens), np.uint8),
-              np.concatenate(([0], np.cumsum([len(t) for t in tokens]))))
-    return _mapped(df, share(df.sparkSession, packed), text, T.StringType(), keep, widths, work)
+    def work(tokens: tuple, batch: pa.RecordBatch) -> list[pa.Array]:
+        return [_text_of(tokens, batch.column(ids))]
+
+    handle = share(df.sparkSession, _packed(_read(path)[3]))
+    return _mapped(df, handle, [(text, T.StringType())], keep, widths, work)

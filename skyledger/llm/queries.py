@@ -49,9 +49,7 @@ def ids_digest(ids: Column) -> Column:
 @query("op1_bpe_encode_decode")
 def bpe_encode_decode(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf).select("doc_id", "text")
-    path = tokenizer()
-    encoded = bpe.encode(docs, path, keep=["doc_id"])
-    return bpe.decode(encoded, path).select(
+    return bpe.encode(docs, tokenizer(), decoded="decoded", keep=["doc_id"]).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )

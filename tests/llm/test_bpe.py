@@ -52,12 +52,12 @@ def test_full_memory_changes_nothing(library):
 
 
 def test_round_trip_of_documents(odd, odd_rows, library):
-    coded = bpe.encode(odd.select("doc_id", "text"), tokenizer())
+    coded = bpe.encode(odd.select("doc_id", "text"), tokenizer(), decoded="again", keep=["doc_id"])
     got = {r.doc_id: r for r in bpe.decode(coded, tokenizer()).collect()}
     for row in odd_rows:
         text = row[1] or ""
         assert got[row[0]].ids == library.encode(text, add_special_tokens=False).ids
-        assert got[row[0]].decoded == text
+        assert got[row[0]].decoded == got[row[0]].again == text
 
 
 def test_decoding_replaces_broken_bytes_and_keeps_null(spark, library):
