@@ -128,11 +128,10 @@ def with_footprint_cells(samples: DataFrame, minimum_elevation: float) -> DataFr
             }
         )
     )
-    level, size = F.lit(len(_LEVELS) - 1), F.lit(_LEVELS[-1])
-    for i in reversed(range(len(_LEVELS) - 1)):
-        fits = c("_foot") <= _LEVELS[i]
-        level, size = F.when(fits, i).otherwise(level), F.when(fits, _LEVELS[i]).otherwise(size)
-    sized = sized.withColumns({"_level": level, "_size": size})
+    # Cells double from level to level.
+    doubled = F.ceil(F.log2(F.greatest(c("_foot"), F.lit(_LEVELS[0])) / _LEVELS[0]))
+    sized = sized.withColumn("_level", F.least(doubled, F.lit(len(_LEVELS) - 1)).cast("int"))
+    sized = sized.withColumn("_size", F.pow(F.lit(2.0), c("_level")) * _LEVELS[0])
     half = F.when(
         F.abs("_lat") + c("_foot") >= 89.9, F.lit(180.0)
     ).otherwise(
