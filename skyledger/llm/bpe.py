@@ -37,7 +37,7 @@ MEMORY = 120_000
 #: Bytes of text, or ids, that a worker turns at a time.
 SLICE = 1 << 20
 #: White space of the Unicode standard, as the tokenizer's pattern means it.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def byte_alphabet() -> dict[str, int]:

@@ -192,7 +192,7 @@ INNER = [
 ]
 _SYLLABLES = "an be co de er fi go ha in ka lo me no or pa re sa ti un ve wo".split()
 #: Marks that tell the label of a block of a laid-out page; taken off before features are made.
-_MARKS = ("", "")
+_MARKS = ("\ue000", "\ue001")
 
 
 def labelled_pages(count: int = 300, seed: int = 7) -> Iterator[tuple[list[Block], list[int]]]:

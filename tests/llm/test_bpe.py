@@ -7,8 +7,8 @@ import pytest
 from skyledger.llm import bpe
 from skyledger.llm.queries import tokenizer
 
-ODD = ["a", "'s", "'re", " ", "  ", "\n", "\t", "é", "中", "१", "²", "Ⅷ", "\x1c", "\x85", " ", "😀", "!",
-       "<|endoftext|>", "\x00", "aaaa", "the", "ing", "123", "́", "​", "﻿", "ſ", "ﬁ"]
+ODD = ["a", "'s", "'re", " ", "  ", "\n", "\t", "é", "中", "१", "²", "Ⅷ", "\x1c", "\x85", "\u2003", "😀", "!",
+       "<|endoftext|>", "\x00", "aaaa", "the", "ing", "123", "\u0301", "\u200b", "\ufeff", "ſ", "ﬁ"]
 
 
 @pytest.fixture(scope="module")
