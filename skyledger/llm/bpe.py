@@ -33,9 +33,11 @@ from pyspark.sql import types as T
 from skyledger.llm.common import pieces, share, shared
 
 #: Pre-tokens a worker remembers before it starts a new table; the one before is kept beside it.
-MEMORY = 120_000
+MEMORY = 100_000
 #: Bytes of text, or ids, that a worker turns at a time.
-SLICE = 1 << 20
+SLICE = 512 << 10
+#: Later than every merge.
+NEVER = 1 << 40
 #: White space of the Unicode standard, as the tokenizer's pattern means it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -120,9 +122,9 @@ class Model:
     tokens: list[bytes]
     special: dict[str, int]
     pattern: str
-    rank: dict[tuple[int, int], int]
-    right: list[list[tuple[int, int]]]  # tokens on a token's right edge, with the rank that absorbs each
-    left: list[list[tuple[int, int]]]
+    rank: dict[int, int]  # of a pair, packed into one number
+    parts: tuple[list[int], list[int]]  # left and right token that merging makes a token of
+    made_at: list[int]  # rank of that merge, -1 for bytes
     labels: bytes  # edges of state s: labels[first[s]:first[s + 1]] to target
     first: np.ndarray
     target: np.ndarray
@@ -136,18 +138,27 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"_ready": None}
 
-    def compatible(self, a: int, b: int) -> bool:
+    def edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """Tokens on the left (0) or right (1) edge of a token, in the order in which merging makes
+        them, each with the rank of the merge that absorbs it."""
+        out = [(token, NEVER)]
+        while self.made_at[token] >= 0:
+            r, token = self.made_at[token], self.parts[side][token]
+            out.append((token, r))
+        return out[::-1]
+
+    def compatible(self, a: int, b: int, own: int = -1) -> bool:
         """Is the encoding of the two tokens' text just these two?
 
         Just before each merge, one token touches the border from the left and one from the right.
         The encoding crosses the border if that pair's rank comes before the merge that absorbs
-        either; of equal ranks the leftmost merges first.
+        either; of equal ranks the leftmost merges first. `own` is a merge to leave out.
         """
-        i, j, right, left = 0, 0, self.right[a], self.left[b]
+        i, j, right, left = 0, 0, self.edge(a, 1), self.edge(b, 0)
         while True:
             (x, x_rank), (y, y_rank) = right[i], left[j]
-            r = self.rank.get((x, y))
-            if r is not None and r < x_rank and r <= y_rank:
+            r = self.rank.get(x << 20 | y)
+            if r is not None and r < x_rank and r <= y_rank and r != own:
                 return False
             if x_rank <= y_rank:
                 i += 1
@@ -234,7 +245,7 @@ class Known(dict):
         if found is None:
             found = array("i", self.model.encode_piece(piece.encode())).tobytes()
             pairs = self.model._ready[9]
-            if len(pairs) >= self.model.memory:
+            if len(pairs) >= 2 * self.model.memory:
                 pairs.clear()
         if len(piece) <= 64:
             if len(self) >= self.model.memory:
@@ -264,27 +275,18 @@ def load(path: str) -> Model:
     """Build the model from a byte-level BPE file of the tokenizers library."""
     spec, special, vocab, tokens = _read(path)
     pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
-    rank, parts = {}, {}
+    rank: dict[int, int] = {}
+    parts = [0] * len(tokens), [0] * len(tokens)
+    made_at = [-1] * len(tokens)
     for r, (a, b) in enumerate(pairs):
-        rank[vocab[a], vocab[b]] = r
-        parts.setdefault(vocab[a + b], (vocab[a], vocab[b], r))
-    never = len(pairs)
-
-    def edge(token: int, side: int) -> list[tuple[int, int]]:
-        """From the token down to a byte, then reversed: in the order in which merging makes them."""
-        out, absorbed = [(token, never)], token
-        while absorbed in parts:
-            r, absorbed = parts[absorbed][2], parts[absorbed][side]
-            out.append((absorbed, r))
-        return out[::-1]
-
+        rank[vocab[a] << 20 | vocab[b]] = r
+        whole = vocab[a + b]
+        if made_at[whole] < 0:
+            parts[0][whole], parts[1][whole], made_at[whole] = vocab[a], vocab[b], r
     used = sorted(vocab.values())
-    right, left = [[] for _ in tokens], [[] for _ in tokens]
-    for i in used:
-        right[i], left[i] = edge(i, 1), edge(i, 0)
-    model = Model(tokens, special, pre_token_pattern(), rank, right, left, b"", *[np.zeros(0, np.int32)] * 6)
-    # Tokens that merging never makes, since it goes another way through their bytes.
-    made = [i for i in used if i not in parts or _reached(model, parts[i])]
+    model = Model(tokens, special, pre_token_pattern(), rank, parts, made_at, b"", *[np.zeros(0, np.int32)] * 6)
+    # Without the tokens that merging never makes, since it goes another way through their bytes.
+    made = [i for i in used if made_at[i] < 0 or model.compatible(parts[0][i], parts[1][i], made_at[i])]
     edges, link, length, final = suffix_automaton([tokens[i] for i in made])
     token = np.full(len(link), -1, np.int32)
     token[final] = made
@@ -301,23 +303,6 @@ def load(path: str) -> Model:
     return model
 
 
-def _reached(model: Model, parts: tuple[int, int, int]) -> bool:
-    """Does merging the bytes of a token arrive at its two parts, and so at the token?"""
-    a, b, own = parts
-    i, j, right, left = 0, 0, model.right[a], model.left[b]
-    while True:
-        (x, x_rank), (y, y_rank) = right[i], left[j]
-        r = model.rank.get((x, y))
-        if r is not None and r < x_rank and r <= y_rank and (x, y) != (a, b):
-            return False
-        if x_rank <= y_rank:
-            i += 1
-            if i == len(right):
-                return True
-        else:
-            j += 1
-
-
 def _mapped(df: DataFrame, handle: Broadcast, added: list[tuple[str, T.DataType]], keep: Sequence[str] | None,
             widths, work) -> DataFrame:
     """Append columns computed from slices of batches, so that memory doesn't follow their size."""
