@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from skyledger.llm.common import pieces, share, shared
 
 #: Pre-tokens a worker remembers before it starts a new table; the one before is kept beside it.
-MEMORY = 100_000
+MEMORY = 250_000
 #: Bytes of text, or ids, that a worker turns at a time.
 SLICE = 512 << 10
 #: Later than every merge.
@@ -346,12 +346,13 @@ def _packed(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None,
-           keep: Sequence[str] | None = None) -> DataFrame:
+           keep: Sequence[str] | None = None, memory: int = MEMORY) -> DataFrame:
     """Append the ids of a text column as an array of integers.
 
     `decoded` names a further column for the text that the ids stand for, decoded in the same
     pass. `keep` names the columns that come along, all by default; what isn't needed later
-    shouldn't travel back from the workers.
+    shouldn't travel back from the workers. `memory` bounds the table of pre-tokens in a worker,
+    about half a kilobyte each; a smaller table costs time.
     """
 
     def work(known: tuple, batch: pa.RecordBatch) -> list[pa.Array]:
@@ -366,6 +367,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
         return _lengths(pc.binary_length(batch.column(text)))
 
     model = load(path)
+    model.memory = memory
     handle = share(df.sparkSession, (model, _packed(model.tokens) if decoded else None))
     added = [(ids, T.ArrayType(T.IntegerType())), *[(decoded, T.StringType())] * bool(decoded)]
     return _mapped(df, handle, added, keep, widths, work)
