@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from skyledger.llm.common import pieces, share, shared
+from skyledger.llm.common import give_back, pieces, share, shared
 
 #: Pre-tokens a worker remembers before it starts a new table; the one before is kept beside it.
 MEMORY = 250_000
@@ -315,6 +315,7 @@ def _mapped(df: DataFrame, handle: Broadcast, added: list[tuple[str, T.DataType]
             for a, b in pieces(ends, SLICE):
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*map(part.column, kept), *work(shared(handle), part)], names)
+        give_back()
 
     return df.mapInArrow(run, T.StructType([*[df.schema[c] for c in kept], *[T.StructField(n, k) for n, k in added]]))
 

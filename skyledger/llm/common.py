@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -119,12 +120,22 @@ def pieces(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int
         start = end
 
 
+def give_back() -> None:
+    """Return freed memory to the system, at the end of a task: workers outlive their tasks, and
+    idle ones share the executor's memory with those at work."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim is not None:
+        trim(0)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of up to `limit` bytes of a text column, or of one longer text."""
     for batch in batches:
         width = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
         for a, b in pieces(np.concatenate(([0], np.cumsum(width))), limit):
             yield batch.slice(a, b - a)
+    give_back()
 
 
 @dataclass

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import Words, join_counted, mix, pieces, sliced, small_keys, stored, utf8, words
+from skyledger.llm.common import Words, give_back, join_counted, mix, pieces, sliced, small_keys, stored, utf8, words
 from skyledger.llm.components import connect
 
 #: Defaults of the contract: five words, similarity of 80 in 100.
@@ -285,7 +285,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, t
     """Stored (a, b): pairs of nodes whose sets link. `pairs` holds keys (ka < kb)."""
 
     def near(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([parity_distance(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int64())
+        apart = [parity_distance(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
+        give_back()
+        return pa.array(apart, pa.int64())
 
     side = lambda s: nodes.select(
         F.col("key").alias(f"k{s}"), F.col("node").alias(s), F.col("n_shingles").alias(f"n{s}"),

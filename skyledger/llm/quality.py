@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyledger.llm.common import SEPARATORS, pieces, utf8, words
+from skyledger.llm.common import SEPARATORS, give_back, pieces, utf8, words
 
 #: Fixed values of the contract.
 SYMBOLS = "#*$%&|<>"
@@ -149,6 +149,8 @@ def with_quality(docs: DataFrame, text: str = "text", name: str = "quality",
     """Add a struct column with the measures, the verdict and the cleaned text."""
 
     def judge(batch: pa.Array) -> pa.Array:
-        return measure(batch, rules)
+        measured = measure(batch, rules)
+        give_back()
+        return measured
 
     return docs.withColumn(name, F.arrow_udf(judge, OUTPUT)(F.col(text)))
