@@ -45,7 +45,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and the text that they decode to."""
     # Workers of the stages before may still hold memory.
     return bpe.encode(
-        docs.select("doc_id", "text"), tokenizer(), decoded="decoded", keep=["doc_id"], memory=100_000)
+        docs.select("doc_id", "text"), tokenizer(), decoded="decoded", keep=["doc_id"], memory=30_000)
 
 
 STAGES = [
