@@ -9,8 +9,9 @@ about a second; it is broadcast, and its size is that of its feature list.
 Character references are decoded, white space inside a block becomes one space, blocks are joined
 by newlines in page order. Null and empty html, and pages without an article, give empty text.
 Whatever is not well formed is read as far as it goes: open elements end with the page, and end
-tags without a start are ignored. Pages are read whole; repeated rows are treated alike; an empty
-table gives an empty result.
+tags without a start are ignored. The content of raw-text elements (scripts, styles, titles, text
+areas, frames) is no markup: it goes up to the element's end tag, or to the end of the page. Pages
+are read whole; repeated rows are treated alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ INLINE = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements without text for readers; their content is skipped up to the end tag.
 RAW = frozenset("script style noscript template textarea title svg iframe object select button".split())
+#: Those of them whose content has no tags or comments but their own end tag, and where it ends.
+RAW_TEXT = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in "script style title textarea iframe".split()}
 #: A start tag that ends an open element of the same group.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -49,11 +52,29 @@ ENDS_P = frozenset(
     "h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
 _PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[^<]*|[^<]+", re.S)
+#: What decides where a script ends: inside `<!--` and `-->` it may hold scripts of its own.
+_SCRIPT = re.compile(r"<!--(?:-?>)?|-->|<(/?)script(?=[\s/>])", re.I)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
+def _script_end(page: str, at: int) -> int | None:
+    """Where the end tag starts of a script whose content starts at `at`; None if it has none."""
+    hidden = inner = False
+    for m in _SCRIPT.finditer(page, at):
+        if m[1] is None:
+            hidden = m[0] == "<!--"
+            inner = inner and hidden
+        elif not m[1]:
+            inner = hidden
+        elif inner:
+            inner = False
+        else:
+            return m.start()
+    return None
+
+
 @dataclass
 class Block:
     text: str
@@ -69,7 +90,8 @@ def blocks(page: str) -> list[Block]:
     run: list[str] = []
     linked = link = 0
     skip = None
-    deep = 0
+    deep = place = 0
+    nested = True  # scripts end as a browser ends them, until one would take the rest of the page
 
     def close_block() -> None:
         nonlocal linked
@@ -86,8 +108,19 @@ def blocks(page: str) -> list[Block]:
         close_block()
         del stack[i:]
 
-    for match in _PIECE.finditer(page):
-        piece = match[0]
+    def after_raw(tag: str, start: int) -> int:
+        """The place behind the end tag of a raw-text element whose content starts at `start`."""
+        nonlocal nested
+        if tag == "script" and nested:
+            end = _script_end(page, start)
+            nested = end is not None
+            start = end if nested else start
+        end = RAW_TEXT[tag].search(page, start)
+        return end.end() if end else len(page)
+
+    while place < len(page):
+        piece = _PIECE.match(page, place)[0]
+        place += len(piece)
         if piece[0] != "<" or not (name := _NAME.match(piece)) or piece[-1] != ">":
             if not skip and not piece.startswith(("<!--", "<!", "<?")):
                 run.append(piece)
@@ -95,14 +128,17 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = name[1].lower()
         ends = piece[1] == "/"
+        raw = tag in RAW_TEXT and not ends and not piece.endswith("/>")
+        if raw:
+            place = after_raw(tag, place)
         if skip:
             if tag == skip:
-                deep += -1 if ends else (tag not in ("script", "style", "title", "textarea"))
+                deep += -1 if ends else 1
                 if deep == 0:
                     skip = None
             continue
         if tag in RAW:
-            if not ends and not piece.endswith("/>"):
+            if not (raw or ends or piece.endswith("/>")):
                 skip, deep = tag, 1
             if tag not in ("button",):
                 run.append(" ")

@@ -20,6 +20,24 @@ def test_one_page():
     assert text == "A title\nFirst éé part, second line.\nNext <one> is here, and it goes on.\nLast of all the paragraphs."
 
 
+def test_raw_text_is_no_markup():
+    """Whatever a raw-text element holds, the page around it stays as it is."""
+    model = html_extract.fit()
+    for raw in ("<script>for(i=0;i<n;i++){a();}</script>", "<script>var s='<!--';</script>", "<SCRIPT async>if(a<b && c>d)x('<p>')</Script >",
+                "<script>s='</scripty><article>'</script\n>", "<style>a<b{content:'<!--'}</style>", "<title>a <b c <!-- d</title>",
+                "<textarea>x <y <!-- z</textarea>", "<iframe src='/'>a<b</iframe>", "<script>'<b title=\"'</script>",
+                "<script><!--\nwrite('<script>x()</script>')\n//--></script>", "<script>'<!-->';'<script>'</script>",
+                "<noscript><style>a<b</style></noscript>", "<script>'<!--<script>'</script><script>i<n</script>"):
+        for page in (PAGE.replace("</head>", raw + "</head>"), PAGE.replace("<p><b>First", raw + "<p><b>First"),
+                     PAGE.replace("<article>", raw + "<article>"), PAGE.replace("</article>", raw + "</article>")):
+            assert model.text(page) == model.text(PAGE), raw
+
+
+def test_scripts_take_linear_time():
+    page = "<script><!--<script></script>" * 40_000 + "<article><p>A text that goes on and on, to the end."
+    assert len(html_extract.blocks(page)) == 1
+
+
 def test_held_out_pages():
     model = html_extract.fit()
     wrong = total = 0
