@@ -31,9 +31,11 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
 
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
-#: Shortest token a test can tell from words, for each encoding.
-SHORTEST = {"hex": 24, "base32": 24, "base64": 20}
+#: `=` belongs to a token as padding at its end only: in NAME=value the value is a token of its own.
+TOKEN = r"[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?"
+#: Shortest token a test can tell from words, and letters, for each encoding.
+SHORTEST = {"hex": 24, "base32": 24, "base36": 24, "base64": 20}
+LETTERS = {"hex": 16.0, "base32": 32.0, "base36": 36.0, "base64": 64.0}
 LENGTH_CLASSES = (24, 32, 48, 64, 128)
 FALSE_DISCOVERY = 0.05
 BINS_PER_DECADE = 10
@@ -88,6 +90,7 @@ def _encoding(token: Column) -> Column:
         F.when(~mixed, F.lit(None).cast("string"))
         .when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex")
         .when(token.rlike("^[A-Z2-7]+=*$"), "base32")
+        .when(token.rlike("^([0-9a-z]+|[0-9A-Z]+)=*$"), "base36")
         .when(token.rlike("[a-z]") & token.rlike("[A-Z]") & token.rlike("^[A-Za-z0-9+/_-]+=*$"), "base64")
     )
 
@@ -165,14 +168,15 @@ def candidates(text: Column) -> Column:
         t["start"].alias("start"), t["end"].alias("end"), t["hit"].alias("hit"), _encoding(t["hit"]).alias("encoding")))
     least = F.create_map(*[F.lit(x) for kv in SHORTEST.items() for x in kv])
     fit = F.filter(kinds, lambda t: t["encoding"].isNotNull() & (t["end"] - t["start"] >= least[t["encoding"]]))
-    letters = F.create_map(F.lit("hex"), F.lit(16.0), F.lit("base32"), F.lit(32.0), F.lit("base64"), F.lit(64.0))
+    letters = F.create_map(*[F.lit(x) for kv in LETTERS.items() for x in kv])
 
     def judge(t: Column) -> Column:
         length = t["end"] - t["start"]
         size = sum(((length >= x).cast("int") for x in LENGTH_CLASSES), F.lit(0))
         body = F.filter(F.split(F.rtrim(t["hit"], F.lit("=")), ""), lambda c: c != "")
-        # Hex digits of one case are 0 to 15 in the common order, less the gap of capitals.
-        values = F.transform(body, lambda c: F.when(t["encoding"] == "hex", F.conv(c, 16, 10).cast("int")).otherwise(_value(c)))
+        # Digits and letters of one case are 0 to 35 in the common order, less the gap of capitals.
+        values = F.transform(body, lambda c: F.when(
+            t["encoding"].isin("hex", "base36"), F.conv(c, 36, 10).cast("int")).otherwise(_value(c)))
         return F.struct(t["start"].alias("start"), t["end"].alias("end"),
                         F.concat(t["encoding"], F.lit("-"), size.cast("string")).alias("of"),
                         p_value(values, letters[t["encoding"]]).alias("p"))

@@ -35,6 +35,33 @@ def test_random_strings_are_found_and_others_not(spark):
     assert len([i for i in hit if i < 60]) >= 54 and max(hit) < 60
 
 
+def test_assigned_values_are_tested_apart_from_their_names(spark):
+    draw = random.Random(11)
+    forms = ["AWS_ACCESS_KEY={}", "Endpoint=x;AccountKey={}==;Suffix=net", "https://a.b/c?sv=1&sig={}=&se=2",
+             "a_long_name_of_a_setting_2={}", "A==B=={}"]
+    rows, want = [], {}
+    for i in range(80):
+        form, value = forms[i % len(forms)], "".join(draw.choices(BASE64[:62], k=40))
+        at = form.index("{}")
+        rows.append((i, "é " + form.format(value)))
+        want[i] = (2 + at, 42 + at + (form[at + 2 :] + ";").index(next(c for c in form[at + 2 :] + ";" if c != "=")))
+    rows += [(100 + i, f"key_{i}=HelloWorld2000HelloWorld2000HelloWorld") for i in range(20)]
+    got = scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    hits = {i: [(s.start, s.end) for s in spans if s.kind == "random"] for i, spans in got.items()}
+    assert sum(hits[i] == [want[i]] for i in range(80)) >= 72
+    assert all(x in ([], [want.get(i)]) for i, x in hits.items())
+
+
+def test_letters_of_one_case_and_digits(spark):
+    draw = random.Random(12)
+    lower = "0123456789abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, "key " + "".join(draw.choices(lower.upper() if i % 2 else lower, k=draw.choice([25, 32, 40])))) for i in range(60)]
+    rows += [(i, "the " + "helloworld2000" * 3) for i in range(60, 80)] + [(i, lower) for i in range(80, 85)]
+    got = scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    hit = {i for i, spans in got.items() if any(s.kind == "random" for s in spans)}
+    assert len([i for i in hit if i < 60]) >= 54 and max(hit) < 60
+
+
 def test_digest_and_odd_tables(odd, twice, none):
     got = secrets.scan(odd).select("doc_id", F.sha2(secrets.joined(F.col("spans")), 256).alias("s")).collect()
     assert {r.s for r in got} == {reference.sha("")} and len(got) == odd.count()
