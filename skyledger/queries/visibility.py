@@ -118,11 +118,9 @@ FROM ({runs}) GROUP BY {keys}, run HAVING count(*) >= 2"""
 
 @query("look_angle_series", "fact observers", f"""
 SELECT norad_cat_id, cast(sample_idx AS INTEGER) AS sample_idx, ts, {ANGLES}
-FROM ({_series_sql(BERLIN_SQL, 60, 300)})""")
+FROM ({_series_sql(BERLIN_SQL, 8640, 30)})""")
 def look_angle_series(spark, sf):
-    series = ops.look_angle_series(
-        base.fact(spark, sf), [BERLIN], AT, window_hours=5, step_seconds=300, kernel=KERNEL
-    )
+    series = ops.look_angle_series(base.fact(spark, sf), [BERLIN], AT, kernel=KERNEL)
     return rounded(
         series.select(
             "norad_cat_id", "sample_idx", "ts", "azimuth_deg", "elevation_deg", "range_km"
@@ -142,12 +140,11 @@ def find_passes(spark, sf):
     )
 
 
-@query("find_passes_many", "fact observers", _passes_sql(_series_sql("observers", 36, 300), KEYS, 10.0, 36))
+@query("find_passes_many", "fact observers", _passes_sql(_series_sql("observers", 8640, 30), KEYS, 10.0, 8640))
 def find_passes_many(spark, sf):
     return rounded(
         ops.find_passes(
-            base.fact(spark, sf), fx.observers(spark, sf), AT,
-            window_hours=3, step_seconds=300, kernel=KERNEL,
+            base.fact(spark, sf), fx.observers(spark, sf), AT, kernel=KERNEL
         )
     )
 
@@ -169,7 +166,7 @@ def passes_in_time_order(spark, sf):
 @query("find_passes_sgp4")
 def find_passes_sgp4(spark, sf):
     return rounded(
-        ops.find_passes(base.fact(spark, sf), [BERLIN], AT, window_hours=6, step_seconds=60)
+        ops.find_passes(base.fact(spark, sf), [BERLIN], AT, kernel="sgp4")
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skyledger import fixtures as fx
 from skyledger.operators import visibility as v
 from skyledger.operators.propagate import propagate
+from skyledger.queries import base, registry
 
 BERLIN = [(0, 52.52, 13.40, 0.0)]
 OBSERVER = "observer_id int, observer_latitude_deg double, observer_longitude_deg double, observer_altitude_km double"
@@ -132,3 +133,29 @@ def test_bad_windows_are_refused(iss):
 def test_j2_pass_search_shuffles_element_sets_only(iss):
     plan = _find(iss, kernel="j2")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") + plan.count("REPARTITION_BY_COL") <= 2
+
+
+@pytest.mark.parametrize("name, kernel", [("find_passes_many", "j2"), ("find_passes_sgp4", "sgp4")])
+def test_registered_passes_equal_a_walk_over_the_default_window(spark, name, kernel):
+    found = {}
+    for p in registry()[name].run(spark, SF).collect():
+        found.setdefault((p.norad_cat_id, p.observer_id), []).append((p.start_utc, p.end_utc, p.truncated))
+    observers = [tuple(o) for o in fx.observers(spark, SF).where("observer_id in (-1, 3, 17)").collect()]
+    observers = [o for o in observers if o[0] == -1 or name == "find_passes_many"]
+    some = base.fact(spark, SF).where("norad_cat_id % 12 = 1 or mean_motion > 14")
+    rows = {}
+    for r in v.look_angle_series(some, observers, base.AT, kernel=kernel).orderBy("sample_rank").collect():
+        rows.setdefault((r.norad_cat_id, r.observer_id), []).append(r)
+    walked = {key: _walk(one, 10.0) for key, one in rows.items()}
+    assert {key: sorted(found.get(key, [])) for key in rows} == {key: sorted(w) for key, w in walked.items()}
+    first = min(one[0].ts for one in rows.values())
+    passes = [w for one in walked.values() for w in one]
+    assert any(end - start < timedelta(minutes=5) for start, end, _ in passes)
+    assert any(start - first > timedelta(hours=48) for start, _, _ in passes)
+    assert {r.kernel_used for one in rows.values() for r in one} >= {kernel}
+
+
+def test_registered_series_covers_the_default_window(spark):
+    got = registry()["look_angle_series"].run(spark, SF).groupBy("norad_cat_id").agg(
+        F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b")).collect()
+    assert got and all(r.n == 8640 and r.b - r.a == timedelta(hours=72, seconds=-30) for r in got)
