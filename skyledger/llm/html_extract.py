@@ -212,6 +212,12 @@ FURNITURE = [
     ('<section id="comments">{}</section>', '<div class="comment"><p>{}</p></div>', 1, 6, (3, 60)),
     ('<div class="comments reply thread">{}</div>', "<p>{}</p>", 1, 6, (3, 60)),
     ('<ol class="commentlist">{}</ol>', '<li class="comment">{}</li>', 1, 6, (3, 60)),
+    ('<div class="pagination pager">{}</div>', '<a href="/">{}</a> ', 2, 6, (1, 2)),
+    ('<div class="login search toolbar topbar">{}</div>', "<div>{}</div>", 1, 4, (1, 4)),
+    ('<div class="tags categories meta byline author">{}</div>', '<a href="/">{}</a> ', 1, 5, (1, 3)),
+    ('<ul class="links recent popular">{}</ul>', '<li><a href="/">{}</a></li>', 2, 8, (2, 10)),
+    ('<table class="navbar"><tr>{}</tr></table>', '<td><a href="/">{}</a></td>', 2, 6, (1, 3)),
+    ('<div class="legal disclaimer privacy">{}</div>', "<p>{}</p>", 1, 2, (3, 40)),
     ("<footer>{}</footer>", "&copy; {} &middot; {}", 1, 1, (2, 25)),
     ('<div class="footer copyright">{}</div>', "<p>&copy; {}</p>", 1, 3, (2, 25)),
 ]
@@ -256,7 +262,7 @@ def labelled_pages(count: int = 300, seed: int = 7) -> Iterator[tuple[list[Block
             inner, span = draw.choice(INNER[:4] if draw.random() < 0.7 else INNER)
             article.append(inner.replace("{}", text(span, 1, draw.random() < 0.9)))
             if draw.random() < 0.06:
-                article.append(part(draw.choice(FURNITURE[5:16])))
+                article.append(part(draw.choice(FURNITURE[5:22])))
         top = "".join(part(p) for p in draw.sample(FURNITURE[:13], draw.randint(0, 4)))
         bottom = "".join(part(p) for p in draw.sample(FURNITURE[6:], draw.randint(0, 4)))
         page = f"<html><body>{top}{draw.choice(ARTICLES).replace('{}', ''.join(article))}{bottom}"

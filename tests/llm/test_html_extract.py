@@ -1,4 +1,5 @@
 import html
+import random
 import re
 
 import numpy as np
@@ -48,6 +49,58 @@ def test_held_out_pages():
     assert wrong <= 0.01 * total
 
 
+#: Layouts whose tags, classes and ids the training pages don't have: (furniture, article).
+OTHER = [
+    ('<div class="masthead"><dl><dt><a href="/">{}</a><dd><a href="/">{}</a></dl></div>', '<div class="prose"><h3>{}</h3><p>{}</p><p>{}</p></div>'),
+    ('<div class="toc"><a href="/">{}</a><p><a href="/">{}</a></p></div>', '<div itemprop="articleBody"><h4>{}</h4><p>{}</p><dl><dt>{}<dd>{}</dl></div>'),
+    ('<center><table><tr><td><a href="/">{}</a><td><a href="/">{}</a></table></center>', '<td class="copytext"><h3>{}</h3><p>{}</p><p>{}</p></td>'),
+    ('<div class="disqus"><h5>{}</h5><div>{}</div></div>', '<div class="hentry"><h3>{}</h3><p>{}</p><p>{}</p><p>{}</p></div>'),
+    ('<div class="colophon"><small>{}</small><div>{}</div></div>', '<div id="bodytext"><p>{}</p><p>{}</p><p>{}</p></div>'),
+    ('<dialog class="gdpr"><p>{}</p><div>{}</div></dialog>', '<div class="richtext"><h3>{}</h3><p>{}</p><p>{}</p></div>'),
+]
+
+
+def other_layouts(count, seed):
+    """HTML with the texts of its article and of its furniture; every text has a word of its own."""
+    draw = random.Random(seed)
+    words = "the of river market one house from light city under paper before green road winter small".split()
+    for n in range(count):
+        texts = [[], []]
+
+        def text(label, low, high):
+            texts[label].append(f"{'fa'[label]}{n}x{len(texts[label])} " + " ".join(draw.choices(words, k=draw.randint(low, high))))
+            return texts[label][-1] + ("." if high > 10 else "")
+
+        def fill(part, label):
+            while "{}" in part:
+                at = part.index("{}")
+                short = not label or part[:at].endswith(("<h3>", "<h4>", "<dt>"))
+                part = part.replace("{}", text(label, *((1, 7) if short else (15, 90))), 1)
+            return part
+
+        tops = [fill(draw.choice(OTHER)[0], 0) for _ in range(draw.randint(1, 3))]
+        body = fill(draw.choice(OTHER)[1], 1)
+        yield f"<html><body>{''.join(tops)}{body}{fill(draw.choice(OTHER)[0], 0)}", texts
+
+
+def wrong_on_other_layouts(model, count=200, seed=5):
+    """Share of blocks of other layouts that get the wrong label."""
+    wrong = total = 0
+    for page, (furniture, article) in other_layouts(count, seed):
+        got = set(model.text(page).split())
+        wrong += sum(t.split()[0] in got for t in furniture) + sum(t.split()[0] not in got for t in article)
+        total += len(furniture) + len(article)
+    return wrong / total
+
+
+def test_layouts_kept_out_of_training():
+    model = html_extract.fit()
+    unknown = "masthead toc prose copytext disqus hentry colophon bodytext gdpr richtext".split()
+    tags = "h3 h4 h5 dl dt dd center dialog".split()
+    assert not {f"word:{w}" for w in unknown} & set(model.number) and not {f"in:{t}" for t in tags} & set(model.number)
+    assert wrong_on_other_layouts(model) <= 0.08
+
+
 def test_viterbi_finds_the_best_path():
     draw = np.random.default_rng(0)
     chain = crf.Chain(draw.normal(size=(5, 2)), draw.normal(size=(2, 2)), draw.normal(size=2))
