@@ -1,7 +1,7 @@
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import SF
+from support import SF
 from pyspark.sql import functions as F
 
 from skyledger import fixtures as fx

@@ -1,7 +1,7 @@
 from datetime import datetime
 
 import pytest
-from conftest import SF, same_rows
+from support import SF, same_rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 

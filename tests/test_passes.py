@@ -1,7 +1,7 @@
 from datetime import timedelta
 
 import pytest
-from conftest import ELEMENTS, GEO, ISS_EPOCH, SF, same_rows
+from support import ELEMENTS, GEO, ISS_EPOCH, SF, same_rows
 from pyspark.sql import functions as F
 
 from skyledger import fixtures as fx

@@ -2,7 +2,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
-from conftest import ELEMENTS, GEO, ISS, ISS_EPOCH
+from support import ELEMENTS, GEO, ISS, ISS_EPOCH
 from pyspark.sql import functions as F
 
 from skyledger.functions import sgp4

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pandas as pd
 import pytest
-from conftest import SF
+from support import SF
 
 import __spark_entry__ as contract
 from skyledger.queries import registry

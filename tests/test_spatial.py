@@ -1,5 +1,5 @@
 import pytest
-from conftest import same_rows
+from support import same_rows
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 

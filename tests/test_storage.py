@@ -2,7 +2,7 @@ import json
 from pathlib import Path
 
 import pytest
-from conftest import ISS_EPOCH, SF
+from support import ISS_EPOCH, SF
 from pyspark.sql import functions as F
 
 from skyledger import fixtures as fx

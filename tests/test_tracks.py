@@ -1,5 +1,5 @@
 import pytest
-from conftest import ELEMENTS, ISS, ISS_EPOCH, SF, same_rows
+from support import ELEMENTS, ISS, ISS_EPOCH, SF, same_rows
 from pyspark.sql import functions as F
 
 from skyledger import fixtures as fx
