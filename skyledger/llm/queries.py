@@ -12,6 +12,7 @@ from skyledger.llm import (
     langid,
     mixing,
     ngram_join,
+    phrase_dedup,
     quality,
     secrets,
     suffix_dedup,
@@ -123,3 +124,23 @@ def secret_scan(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_mix_sources")
 def mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(documents(spark, sf))
+
+
+@query("op12_phrase_dedup", r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT doc_id, s, array_to_string(words[s:s + 19], ' ') AS win
+  FROM (SELECT *, unnest(range(1, len(words) - 18)) AS s FROM d WHERE len(words) >= 20)),
+late AS (SELECT doc_id, s FROM windows QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest(range(s, s + 20)) AS i FROM late)),
+each AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
+kept AS (
+  SELECT e.doc_id, count(g.i) AS n_removed, string_agg(e.word, ' ' ORDER BY e.i) FILTER (g.i IS NULL) AS rest
+  FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY e.doc_id)
+SELECT d.doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(rest, '')) AS kept_sha256
+FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id
+""")
+def phrase_dedup_query(spark: SparkSession, sf: str) -> DataFrame:
+    return phrase_dedup.remove_phrases(documents(spark, sf)).select("doc_id", "n_words", "n_removed", "kept_sha256")

@@ -110,5 +110,25 @@ def repeated_bytes(rows, width=50):
     return out
 
 
+def repeated_windows(rows, width=20):
+    """{row index: (words, removed, sha of the rest)} of (doc_id, text) rows."""
+    first, split = {}, [WORD.findall(t or "") for _, t in rows]
+    last = 1 << 63
+    own = [last if i is None else i for i, _ in rows]
+    for doc, words in zip(own, split, strict=True):
+        for s in range(len(words) - width + 1):
+            w = tuple(words[s : s + width])
+            first[w] = min(first.get(w, (doc, s)), (doc, s))
+    out = {}
+    for row, (doc, words) in enumerate(zip(own, split, strict=True)):
+        gone = [False] * len(words)
+        for s in range(len(words) - width + 1):
+            if first[tuple(words[s : s + width])] < (doc, s):
+                gone[s : s + width] = [True] * width
+        kept = " ".join(w for w, g in zip(words, gone, strict=True) if not g)
+        out[row] = (len(words), sum(gone), sha(kept))
+    return out
+
+
 def prose(draw: random.Random, n: int) -> str:
     return " ".join("".join(draw.choices("abcdefgh", k=draw.randint(2, 7))) for _ in range(n))
