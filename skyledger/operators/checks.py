@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.operators.ordered import OrderedGroups, by_time
+from skyledger.operators.ordered import OrderedGroups
 from skyledger.schemas import FRESHNESS_HOURS, OBJECT_TYPES, ORBIT_REGIMES, Feed
 
 
@@ -121,7 +121,7 @@ def broken_intervals(elsets: DataFrame) -> DataFrame:
     """Intervals that do not end where the object's next one starts, or run backwards."""
     intervals = elsets.select("norad_cat_id", "valid_from", "valid_to")
     groups = OrderedGroups(
-        intervals, ["norad_cat_id"], ["valid_from"], by_time("valid_from")
+        intervals, ["norad_cat_id"], ["valid_from"]
     ).neighbours(following={"next_valid_from": "valid_from"})
     return groups.result().where(
         ~F.col("valid_to").eqNullSafe(F.col("next_valid_from"))

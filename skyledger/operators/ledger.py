@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.operators.ordered import OrderedGroups, by_time
+from skyledger.operators.ordered import OrderedGroups
 from skyledger.schemas import DAILY_BYTE_BUDGET, FEED_TTL_SECONDS
 
 
@@ -39,7 +39,7 @@ def budget_breaches(manifest: DataFrame, budget: int = DAILY_BYTE_BUDGET) -> Dat
     """Landings fetched although the day's earlier ones had already used up the budget."""
     days = manifest.withColumn("day", F.to_date("ingested_at"))
     groups = OrderedGroups(
-        days, ["day"], ["ingested_at", "source_file", "ingestion_id"], by_time("ingested_at", 600)
+        days, ["day"], ["ingested_at", "source_file", "ingestion_id"]
     ).running_sums({"used": F.col("bytes")})
     return (
         groups.result()
@@ -52,8 +52,7 @@ def budget_breaches(manifest: DataFrame, budget: int = DAILY_BYTE_BUDGET) -> Dat
 def unchanged_payloads(manifest: DataFrame) -> DataFrame:
     """Landings whose etag equals that of the landing before, per target."""
     groups = OrderedGroups(
-        manifest, ["target"], ["ingested_at", "source_file", "ingestion_id"],
-        by_time("ingested_at", 86_400),
+        manifest, ["target"], ["ingested_at", "source_file", "ingestion_id"]
     ).neighbours(previous={"previous_etag": "etag"})
     return groups.result().where(F.col("previous_etag") == F.col("etag"))
 

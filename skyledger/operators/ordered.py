@@ -1,54 +1,88 @@
 """Neighbour values and running totals over ordered groups of any size.
 
-A window function sorts each group inside one task, however large the group is. Here groups are
-cut into pieces along their order: a piece column, such as the month of a time, never falls from
-one row to the next. Windows run inside (group, piece). What has to cross a piece's edge is one
-row for each piece; a window over those few rows finds it, and an equality join on (group, piece)
-brings it back, on the partitioning the rows already have. It is one plan for every size, and
-building it runs no job.
+A window function sorts each group inside one task, however large the group is. Here a group that
+holds more than a share of all rows is cut into pieces of about that share along its order. The
+borders are quantiles of the order column, from a summary that tasks merge, so pieces are even
+wherever the rows lie. Windows run inside (group, piece). What has to cross a piece's edge is one
+row for each piece; a window over those few rows finds it, and a join with them brings it back.
+All other groups, and so most tables as a whole, stay in one piece: one scan, one exchange, one
+window.
+
+To know large groups, their keys are counted when the frame is built. Only the largest count and
+the borders reach the driver; groups above a share of 1 / PIECES are fewer than PIECES.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Pieces by time and by number of sample; a group's rows in one piece meet in one task.
-DAYS_IN_PIECE = 30
-SAMPLES_IN_PIECE = 4096
-
-_BLOCK = "_block"
-_FIRST = -(1 << 62)
-
-
-def by_time(column: str, seconds: int = DAYS_IN_PIECE * 86_400) -> Column:
-    """Pieces of so many seconds of a timestamp."""
-    return F.floor(F.unix_micros(column) / F.lit(seconds * 1_000_000)).cast("long")
-
-
-def by_number(column: str, rows: int = SAMPLES_IN_PIECE) -> Column:
-    """Pieces of so many steps of a number that counts up."""
-    return F.floor(F.col(column) / F.lit(rows)).cast("long")
+#: A group with more than this part of all rows is cut into pieces of about that many rows; as
+#: many pieces as a large cluster has tasks. Groups of up to ROWS_IN_PIECE stay whole anyway.
+PIECES = 5000
+ROWS_IN_PIECE = 100_000
+
+_BLOCK, _CUT = "_block", "_cut"
+
+
+def _number(df: DataFrame, column: str) -> Column:
+    """The order column as a number; times in microseconds."""
+    if df.schema[column].dataType.typeName().startswith("timestamp"):
+        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    return F.col(column).cast("double")
+
+
+def _same(keys: Sequence[str], a: str, b: str) -> Column:
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"{a}.`{k}`").eqNullSafe(F.col(f"{b}.`{k}`"))
+    return same
+
+
+def borders(measured: DataFrame, keys: Sequence[str], order: str) -> DataFrame | None:
+    """(keys, _borders) of the groups that are cut, at most PIECES numbers in all; None if none is."""
+    rows = measured.select(*keys, _number(measured, order).alias("_at"))
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total, largest = counts.agg(F.sum("_n"), F.max("_n")).first()
+    limit = max(ROWS_IN_PIECE, (total or 0) // PIECES)
+    if not largest or largest <= limit:
+        return None
+    most = -(-largest // limit)
+    large = counts.where(F.col("_n") > limit)
+    found = (
+        rows.alias("r").join(F.broadcast(large).alias("l"), _same(keys, "r", "l"))
+        .select(*[F.col(f"r.`{k}`") for k in keys], "_at", "_n")
+        .groupBy(*keys, "_n").agg(F.percentile_approx("_at", [i / most for i in range(1, most)], 10 * most).alias("_all"))
+    )
+    # Every so many of the finest borders, so that a piece has about `limit` rows.
+    each = F.greatest(F.lit(1), F.floor(F.lit(float(most * limit)) / F.col("_n"))).cast("int")
+    thinned = F.filter("_all", lambda _, i: (i + 1) % each == 0)
+    cut = found.select(*keys, F.array_distinct(thinned).alias("_borders"))
+    return measured.sparkSession.createDataFrame(cut.collect(), cut.schema)
 
 
 class OrderedGroups:
     """Ordered groups of a DataFrame, with columns added step by step to `frame`."""
 
     def __init__(
-        self, df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: Column | None
+        self, df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
+        measured: DataFrame | None = None, bounded: bool = False,
     ) -> None:
-        """`piece` is a function of the first order column. None states that the caller's
-        parameters bound a group, so that it is one piece."""
-        self.keys, self.order, self.cut = list(keys), list(order), piece is not None
+        """`measured` has the keys and the first order column of the rows, or of somewhat more, and
+        is cheaper to read than `df`. `bounded` states that the caller's parameters bound a group."""
+        self.keys, self.order = list(keys), list(order)
+        large = None if bounded else borders(df if measured is None else measured, self.keys, self.order[0])
+        self.cut = large is not None
         if self.cut:
-            # Groups with a null key are one piece: an equality join would not find their edges.
-            whole = reduce(Column.__or__, [F.col(k).isNull() for k in self.keys])
-            df = df.withColumn(
-                _BLOCK, F.when(whole, F.lit(0)).otherwise(F.coalesce(piece, F.lit(_FIRST)))
-            )
+            place = F.size(F.filter("_borders", lambda b: b <= _number(df, self.order[0])))
+            df = df.alias("f").join(F.broadcast(large).alias("l"), _same(self.keys, "f", "l"), "left").select(
+                "f.*", "_borders"
+            ).withColumns({
+                _CUT: F.col("_borders").isNotNull(),
+                _BLOCK: F.when(F.col("_borders").isNull() | F.col(self.order[0]).isNull(), 0).otherwise(place),
+            }).drop("_borders")
         self.frame = df
 
     @property
@@ -76,10 +110,15 @@ class OrderedGroups:
         aggregates: Sequence[Column],
         carried: Mapping[str, Column],
     ) -> None:
-        """Add `inner`, and what reaches each piece from the other pieces of its group."""
-        pieces = self.frame.groupBy(*self._pieces).agg(*aggregates)
+        """Add `inner`, and what reaches each piece from the other pieces of its group.
+
+        Only groups that are cut have edges, fewer than 2 * PIECES rows in all.
+        """
+        pieces = self.frame.where(_CUT).groupBy(*self._pieces).agg(*aggregates)
         edges = pieces.select(*self._pieces, *[c.alias(n) for n, c in carried.items()])
-        self.frame = self.frame.withColumns(inner).join(edges, self._pieces, "left")
+        self.frame = self.frame.withColumns(inner).alias("f").join(
+            F.broadcast(edges).alias("e"), _same(self._pieces, "f", "e"), "left"
+        ).select("f.*", *[f"e.{n}" for n in carried])
 
     def neighbours(
         self,
@@ -157,7 +196,7 @@ class OrderedGroups:
         return self
 
     def result(self) -> DataFrame:
-        return self.frame.drop(_BLOCK)
+        return self.frame.drop(_BLOCK, _CUT)
 
 
 def _packed(columns: Mapping[str, str]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.operators.ordered import OrderedGroups, by_time
+from skyledger.operators.ordered import OrderedGroups
 from skyledger.schemas import LINEAGE_COLUMNS
 
 # Target type of each staged column; (source column, type) where renamed.
@@ -95,9 +95,12 @@ def dedup_latest(staged: DataFrame) -> DataFrame:
     )
 
 
-def with_validity(elsets: DataFrame) -> DataFrame:
-    """Validity interval of each element set: from its epoch to the object's next one."""
-    groups = OrderedGroups(elsets, ["norad_cat_id"], ["epoch"], by_time("epoch")).neighbours(
+def with_validity(elsets: DataFrame, measured: DataFrame | None = None) -> DataFrame:
+    """Validity interval of each element set: from its epoch to the object's next one.
+
+    `measured` are rows to count objects in, if `elsets` is dear to compute.
+    """
+    groups = OrderedGroups(elsets, ["norad_cat_id"], ["epoch"], measured=measured).neighbours(
         following={"valid_to": "epoch"}
     )
     return groups.result().withColumns(
@@ -109,11 +112,11 @@ def elset(staged: DataFrame) -> DataFrame:
     """Deduplicated element-set history with validity intervals.
 
     Copies are removed on (object, epoch), with one survivor per map task, before the intervals
-    are computed on (object, months).
+    are computed; objects are counted in the staged rows.
     """
     columns = [c for c in GP_TYPES] + ["valid_from", "valid_to"]
     columns += [c for c in LINEAGE_COLUMNS if c != "target"] + ["is_current"]
-    return with_validity(dedup_earliest(staged)).select(*columns)
+    return with_validity(dedup_earliest(staged), measured=staged).select(*columns)
 
 
 def space_object(staged: DataFrame) -> DataFrame:
@@ -128,12 +131,14 @@ def asof_elset(
     *,
     at: str = "at",
     columns: tuple[str, ...] = ("epoch", "valid_to"),
+    measured: DataFrame | None = None,
 ) -> DataFrame:
     """The element set in force at each probe's instant; NULLs before the first one.
 
     Probes and element sets are merged in time order per object and the latest element set
     is carried forward: linear in the rows, where a range join would compare every probe of
-    an object with every one of its intervals.
+    an object with every one of its intervals. `measured` (norad_cat_id, epoch) are rows to
+    count objects in instead of `elsets`, if these are dear to compute.
     """
     marker = F.struct(*columns)
     left = probes.select(
@@ -146,7 +151,9 @@ def asof_elset(
         F.lit(None).cast(left.schema["_probe"].dataType).alias("_probe"),
         marker.alias("_elset"),
     )
+    counted = (elsets if measured is None else measured).select("norad_cat_id", F.col("epoch").alias("_t"))
     merged = OrderedGroups(
-        left.unionByName(right), ["norad_cat_id"], ["_t", "_kind"], by_time("_t")
+        left.unionByName(right), ["norad_cat_id"], ["_t", "_kind"],
+        measured=left.select("norad_cat_id", "_t").union(counted),
     ).fill_forward("_found", "_elset").result()
     return merged.where("_kind = 1").select("_probe.*", *[f"_found.{c}" for c in columns])

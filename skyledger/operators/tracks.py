@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.functions import frames, orbit
-from skyledger.operators.ordered import OrderedGroups, by_number
+from skyledger.operators.ordered import OrderedGroups
 from skyledger.operators.propagate import instant, sample_states, seconds_since_epoch, spread
 
 DEFAULT_SAMPLES = 90
@@ -88,7 +88,7 @@ def split_antimeridian(
     `bounded` states that a path holds at most the samples of one track.
     """
     groups = OrderedGroups(
-        points, keys, order, None if bounded else by_number(order[0])
+        points, keys, order, bounded=bounded
     ).neighbours(previous={"_before": "longitude_deg"}, following={"_after": "longitude_deg"})
     cut = F.coalesce(F.abs(_jump("_before")) > 180.0, F.lit(False))
     groups.running_sums({"segment": F.when(cut, 1).otherwise(0)})
@@ -115,7 +115,7 @@ def unwrap_longitude(
     `bounded` states that a path holds at most the samples of one track.
     """
     groups = OrderedGroups(
-        points, keys, order, None if bounded else by_number(order[0])
+        points, keys, order, bounded=bounded
     ).neighbours(previous={"_before": "longitude_deg"})
     turn = (
         F.when(_jump("_before") > 180.0, F.lit(-360.0))

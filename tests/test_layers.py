@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skyledger import fixtures as fx
-from skyledger.operators import gold, ledger, silver
-from skyledger.operators.ordered import OrderedGroups, by_number
+from skyledger.operators import gold, ledger, ordered, silver
+from skyledger.operators.ordered import OrderedGroups
 from skyledger.schemas import FEEDS, GP, SATCAT, Feed
 
 
@@ -44,25 +44,42 @@ def test_history_equals_one_window_for_each_object(staged):
     assert same_rows(silver.elset(staged), plain_history(staged))
 
 
-def test_building_a_frame_runs_no_job(spark, staged):
-    manifest = fx.manifest(spark, SF)  # reading a schema is a job
-    tracker = spark.sparkContext.statusTracker()
-    spark.sparkContext.setJobGroup("lazy", "lazy")
-    elsets = silver.elset(staged)
-    silver.asof_elset(elsets.select("norad_cat_id", F.col("epoch").alias("at")), elsets)
-    ledger.budget_breaches(manifest, 2_000_000)
-    spark.sparkContext.setJobGroup("others", "others")
-    assert not tracker.getJobIdsForGroup("lazy")
+def test_usual_groups_stay_whole(spark):
+    """No group holds a large share: one scan, one window, no join with edges."""
+    rows = spark.range(5000).select((F.col("id") % 50).cast("int").alias("norad_cat_id"), F.timestamp_seconds("id").alias("epoch"))
+    plan = silver.with_validity(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Window ") == 1 and plan.count("Range ") == 1
 
 
-def test_a_group_with_most_rows_is_split(spark):
+@pytest.mark.parametrize("crowded", [False, True])
+def test_a_group_with_most_rows_is_split_evenly(spark, monkeypatch, crowded):
+    """Pieces follow the rows: nine tenths of them may lie close together."""
+    monkeypatch.setattr(ordered, "ROWS_IN_PIECE", 500)
+    i = F.col("id") if not crowded else F.when(F.col("id") % 10 == 5, F.col("id") * 10_000).otherwise(F.col("id"))
     rows = spark.range(20_000).select(
-        F.when(F.col("id") % 10 < 9, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("i"))
-    groups = OrderedGroups(rows, ["k"], ["i"], by_number("i", 500)).neighbours(previous={"before": "i"})
+        F.when(F.col("id") % 10 < 9, 1).when(F.col("id") % 40 == 9, None).otherwise(F.col("id")).alias("k"), i.alias("i"))
+    groups = OrderedGroups(rows, ["k"], ["i"]).neighbours(previous={"before": "i"})
     pieces = groups.frame.groupBy(*groups._pieces).count()
-    assert pieces.where("k = 1").count() == 40 and pieces.agg(F.max("count")).first()[0] <= 500
+    assert pieces.where("k = 1").count() >= 30 and pieces.where("k = 1").agg(F.max("count")).first()[0] <= 1000
+    assert pieces.where("k <> 1").agg(F.max("_block")).first()[0] == 0
     w = Window.partitionBy("k").orderBy("i")
     assert same_rows(groups.result(), rows.withColumn("before", F.lag("i").over(w)))
+    none = groups.frame.where("not _cut").groupBy("_block").count().collect()
+    assert [r._block for r in none] == [0]
+
+
+def test_an_object_with_all_its_rows_in_one_month(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS_IN_PIECE", 300)
+    start = datetime(2024, 5, 1)
+    rows = spark.range(3000).select(
+        F.when(F.col("id") < 2000, 7).otherwise(F.col("id")).cast("int").alias("norad_cat_id"),
+        F.timestamp_seconds(F.lit(int(start.timestamp())) + F.col("id") * 60).alias("epoch"))
+    cut = ordered.borders(rows, ["norad_cat_id"], "epoch").collect()
+    assert [r.norad_cat_id for r in cut] == [7] and len(cut[0]._borders) >= 5
+    w = Window.partitionBy("norad_cat_id").orderBy("epoch")
+    want = rows.withColumns({"valid_to": F.lead("epoch").over(w), "valid_from": F.col("epoch")}).withColumn(
+        "is_current", F.col("valid_to").isNull())
+    assert same_rows(silver.with_validity(rows), want)
 
 
 def test_one_object_holding_most_rows(spark, staged):
@@ -121,21 +138,23 @@ def test_descriptors():
         Feed("x", ("object_name",))
 
 
-def test_running_values_with_nulls_and_spread_groups(spark):
+def test_running_values_with_nulls_and_spread_groups(spark, monkeypatch):
     rows = spark.createDataFrame(
         [(k, i, None if i % 4 else float(i), i) for k in (1, 2, None) for i in range(30)],
         "k int, i int, x double, n int",
     )
 
-    def columns(piece):
-        groups = OrderedGroups(rows, ["k"], ["i"], piece)
+    def columns(rows_in_piece):
+        monkeypatch.setattr(ordered, "ROWS_IN_PIECE", rows_in_piece)
+        groups = OrderedGroups(rows, ["k"], ["i"])
+        assert groups.cut == (rows_in_piece < 30)
         groups.neighbours(previous={"x0": "x", "n0": "n"}, following={"n1": "n"})
         groups.running_sums({"total": F.col("n"), "seen": F.col("x")}).fill_forward("last", "x")
         return groups.result()
 
-    whole = columns(None)
-    for size in (1, 4, 7, 100):
-        assert same_rows(whole, columns(by_number("i", size)))
+    whole = columns(100)
+    for size in (1, 4, 7):
+        assert same_rows(whole, columns(size))
 
 
 def test_ledger_equals_one_window_for_each_group(spark):
