@@ -8,9 +8,9 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyledger.functions import frames
+from skyledger.functions import frames, orbit
 from skyledger.operators.enrich import above
-from skyledger.operators.ordered import OrderedGroups, by_number
+from skyledger.operators.ordered import OrderedGroups
 from skyledger.operators.propagate import instant, sample_states, seconds_since_epoch, spread
 
 DEFAULT_WINDOW_HOURS = 72
@@ -100,15 +100,21 @@ def observer_cells(observers: DataFrame) -> DataFrame:
     return centred.withColumn("_cell", F.explode(F.array(*entries))).drop("_lat", "_lon")
 
 
-def with_footprint_cells(samples: DataFrame, minimum_elevation: float) -> DataFrame:
-    """List satellites under every cell from which they can stand above the elevation.
+def footprint_degrees(distance_km: Column, minimum_elevation: float) -> Column:
+    """Central angle within which an object at a distance from the centre can be seen.
 
-    At elevation e an object at distance r from the centre is seen at most
-    acos(R cos e / r) - e away, for an observer at distance R. The lowest possible R and an
-    elevation lowered by the slack make that a safe bound on the ellipsoid.
+    At elevation e an object at distance r is seen at most acos(R cos e / r) - e away, for an
+    observer at distance R. The lowest possible R and an elevation lowered by the slack make
+    that a safe bound on the ellipsoid.
     """
     floor = minimum_elevation - _VERTICAL_SLACK
-    cos_floor, c = F.cos(F.radians(F.lit(floor))), F.col
+    ratio = F.lit(_LOWEST_OBSERVER_KM) * F.cos(F.radians(F.lit(floor))) / distance_km
+    return F.degrees(F.acos(F.least(F.lit(1.0), ratio))) - F.lit(floor) + 0.01
+
+
+def with_footprint_cells(samples: DataFrame, foot: Column) -> DataFrame:
+    """List satellites under every cell that has a point within `foot` degrees of them."""
+    c = F.col
     x, y, z = c("ecef_x_km"), c("ecef_y_km"), c("ecef_z_km")
     sized = (
         samples.withColumn("_rho", F.sqrt(x * x + y * y))
@@ -116,15 +122,7 @@ def with_footprint_cells(samples: DataFrame, minimum_elevation: float) -> DataFr
             {
                 "_lat": F.degrees(F.atan2(z, c("_rho"))),
                 "_lon": F.degrees(F.atan2(y, x)),
-                "_foot": F.degrees(
-                    F.acos(
-                        F.least(
-                            F.lit(1.0),
-                            F.lit(_LOWEST_OBSERVER_KM) * cos_floor
-                            / F.sqrt(c("_rho") * c("_rho") + z * z),
-                        )
-                    )
-                ) - F.lit(floor) + 0.01,
+                "_foot": foot,
             }
         )
     )
@@ -175,7 +173,9 @@ def visible_pairs(
     `satellites` carries Earth-fixed coordinates. An equality join on the grid cell brings
     together only pairs that can see each other; the exact elevation decides.
     """
-    listed = with_footprint_cells(satellites, minimum_elevation)
+    x, y, z = F.col("ecef_x_km"), F.col("ecef_y_km"), F.col("ecef_z_km")
+    foot = footprint_degrees(F.sqrt(x * x + y * y + z * z), minimum_elevation)
+    listed = with_footprint_cells(satellites, foot)
     pairs = listed.join(observer_cells(observers), "_cell")
     return frames.with_look_angles(pairs).where(above(minimum_elevation)).drop("_cell", *_SCRATCH)
 
@@ -207,14 +207,22 @@ def visible_counts(
     return observers.select("observer_id").join(counted, "observer_id", "left").na.fill(0)
 
 
-def _series(elsets, start, window_hours, step_seconds, kernel) -> DataFrame:
-    """Earth-fixed positions of every object over the window, one row per surviving sample."""
+def _samples(window_hours: float, step_seconds: int) -> int:
     if window_hours <= 0 or step_seconds <= 0:
         raise ValueError("window and step must be positive")
     samples = int(window_hours * 3600 / step_seconds)
     if samples < 1:
         raise ValueError("the window holds no sample")
-    at = instant(start)
+    return samples
+
+
+def _sample_ts(at: Column, step_seconds: int, index: Column) -> Column:
+    return F.timestamp_micros(F.unix_micros(at) + (index * F.lit(int(step_seconds * 1_000_000)).cast("long")).cast("long"))
+
+
+def _series(elsets, start, window_hours, step_seconds, kernel) -> DataFrame:
+    """Earth-fixed positions of every object over the window, one row per surviving sample."""
+    samples, at = _samples(window_hours, step_seconds), instant(start)
     # Only element sets are exchanged here. Samples are generated behind the exchange and
     # keep its partitioning, so the windows of the pass search need no other one.
     moved = sample_states(
@@ -222,11 +230,7 @@ def _series(elsets, start, window_hours, step_seconds, kernel) -> DataFrame:
         lambda i: seconds_since_epoch(at) + i * F.lit(float(step_seconds)),
         samples=samples, kernel=kernel, velocity=False, carry=("norad_cat_id", "object_name"),
     ).where("error_code = 0")
-    timed = moved.withColumn(
-        "ts",
-        F.timestamp_micros(F.unix_micros(at)
-            + F.col("sample_idx") * F.lit(int(step_seconds * 1_000_000)).cast("long")),
-    )
+    timed = moved.withColumn("ts", _sample_ts(at, step_seconds, F.col("sample_idx")))
     return frames.with_ecef_from_teme(timed, frames.julian_date(F.col("ts"))).drop(
         "position_x_km", "position_y_km", "position_z_km", "error_code"
     )
@@ -250,6 +254,102 @@ def look_angle_series(
     )
 
 
+#: Samples in an interval of each level of the search for passes, coarse to fine.
+INTERVALS = (32, 8)
+#: Rotation of the Earth, and a margin on angular speeds.
+_EARTH_RATE, _RATE_MARGIN = 7.2921159e-5, 1.001
+#: Beyond this eccentricity the kernel's fixed number of Newton steps bounds no speed.
+_BOUNDED_ECCENTRICITY = 0.9
+
+
+def _reaching(elsets: DataFrame, at: Column, minimum_elevation: float) -> DataFrame:
+    """Objects with what the search needs: orbit constants, footprint at apogee in degrees, and
+    a bound on how fast they move over the turning Earth, in degrees a second."""
+    objects = orbit.with_orbit_constants(elsets).where("error_code = 0")
+    e = F.col("_k_e")
+    sweep = F.col("_k_n") * (1 + e) * (1 + e) / F.pow(1 - e * e, F.lit(1.5))
+    rate = sweep + F.abs("_k_node_rate") + F.abs("_k_argp_rate") + _EARTH_RATE
+    return objects.select(
+        "norad_cat_id", "object_name",
+        seconds_since_epoch(at).alias("_since"),
+        F.struct(*orbit.CONSTANT_COLUMNS).alias("_orbit"),
+        footprint_degrees(F.col("_k_a") * (1 + e) * _RATE_MARGIN, minimum_elevation).alias("_apogee_foot"),
+        F.when(e > _BOUNDED_ECCENTRICITY, F.lit(360.0)).otherwise(F.degrees(rate * _RATE_MARGIN)).alias("_rate"),
+        F.degrees(F.asin(F.least(F.lit(1.0), F.abs("_k_si")))).alias("_turns_at"),
+    )
+
+
+def _located(rows: DataFrame, at: Column, step_seconds: int, index: Column) -> DataFrame:
+    """Earth-fixed positions of rows of `_reaching` at a sample, whole or between two."""
+    opened = rows.withColumns({c: F.col(f"_orbit.{c}") for c in orbit.CONSTANT_COLUMNS} | {"_index": index})
+    moved = orbit.with_j2_state(opened, F.col("_since") + F.col("_index") * F.lit(float(step_seconds)), False)
+    ts = _sample_ts(at, step_seconds, F.col("_index"))
+    return frames.with_ecef_from_teme(moved.withColumn("ts", ts), frames.julian_date(F.col("ts"))).drop(
+        *orbit.STATE_COLUMNS[:3], "_index")
+
+
+def _within(reach: Column) -> Column:
+    """Is the observer's geocentric direction within so many degrees of the object's?"""
+    ecef = [F.col(f"ecef_{c}_km") for c in "xyz"]
+    site = [F.col(c) for c in frames.OBSERVER_FIELDS[:3]]
+    dot = sum((a * b for a, b in zip(ecef[1:], site[1:], strict=True)), ecef[0] * site[0])
+    length = lambda v: F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+    return dot >= length(ecef) * length(site) * (F.cos(F.radians(F.least(reach, F.lit(180.0)))) - 1e-9)
+
+
+def risen(
+    elsets: DataFrame,
+    observers: Sequence[Observer] | DataFrame,
+    start: str | datetime | Column,
+    window_hours: float,
+    step_seconds: int,
+    minimum_elevation: float,
+) -> DataFrame:
+    """Samples of the J2 kernel at which an object stands above an observer, by interval pruning.
+
+    An interval of samples is kept for a pair only if the object, from where it is at the middle,
+    can come within its footprint of the observer before the interval ends: its angular speed over
+    the ground has a bound. Coarse intervals are cut into finer ones, and single samples are
+    computed only inside those left. Objects whose inclination keeps them below the latitude of
+    every observer are left out before.
+    """
+    samples, at = _samples(window_hours, step_seconds), instant(start)
+    listed = not isinstance(observers, DataFrame)
+    sites = frames.with_observer_frame(observer_table(elsets.sparkSession, observers))
+    x, y, z = (F.col(c) for c in frames.OBSERVER_FIELDS[:3])
+    nearest = sites.agg(F.min(F.abs(F.degrees(F.atan2(z, F.sqrt(x * x + y * y)))))).first()[0]
+    objects = _reaching(spread(elsets, samples), at, minimum_elevation).where(
+        F.col("_turns_at") + F.col("_apogee_foot") >= (180.0 if nearest is None else nearest))
+
+    def reach(span: int) -> Column:
+        return F.col("_apogee_foot") + F.col("_rate") * ((span - 1) / 2 * step_seconds)
+
+    for level, span in enumerate(INTERVALS):
+        if level == 0:
+            cut = F.sequence(F.lit(0), F.lit((samples - 1) // span))
+        else:
+            ratio = INTERVALS[level - 1] // span
+            first = F.col("_interval") * ratio
+            cut = F.sequence(first, F.least(first + ratio - 1, F.lit((samples - 1) // span)))
+        objects = objects.withColumn("_interval", F.explode(cut))
+        placed = _located(objects, at, step_seconds, F.col("_interval") * span + (span - 1) / 2)
+        if level == 0 and listed:
+            placed = frames.with_observer_frame(with_literal_observers(placed, observers))
+        elif level == 0:
+            placed = with_footprint_cells(placed, reach(span)).join(observer_cells(observers), "_cell").drop("_cell")
+        objects = placed.where(_within(reach(span))).drop("ecef_x_km", "ecef_y_km", "ecef_z_km", "ts")
+    span = INTERVALS[-1]
+    first = F.col("_interval") * span
+    each = objects.withColumn("sample_idx", F.explode(F.sequence(first, F.least(first + span - 1, F.lit(samples - 1)))))
+    placed = _located(each, at, step_seconds, F.col("sample_idx"))
+    seen = frames.with_look_angles(placed).where(above(minimum_elevation))
+    return seen.select(
+        "norad_cat_id", "object_name", "observer_id", "sample_idx", F.col("sample_idx").alias("sample_rank"),
+        F.lit(samples).alias("n_survived"), "ts", "azimuth_deg", "elevation_deg", "range_km",
+        F.lit("j2").alias("kernel_used"),
+    )
+
+
 def _summarise(runs: DataFrame, keys: Sequence[str], rank: str, truncated: Column) -> DataFrame:
     """One row per run of samples above the threshold; a run needs two samples."""
     peak = F.max_by(
@@ -288,7 +388,7 @@ def pass_islands(
     """Passes in a given look-angle series of any length: runs at or above the elevation."""
     up = above(minimum_elevation)
     groups = OrderedGroups(
-        series.withColumn("_up", F.when(up, 1).otherwise(0)), keys, [order], by_number(order)
+        series.withColumn("_up", F.when(up, 1).otherwise(0)), keys, [order], measured=series
     ).neighbours(previous={"_was_up": "_up"}, following={"_will_be": "_up"})
     starts = (F.col("_up") == 1) & (F.coalesce("_was_up", F.lit(0)) == 0)
     groups.running_sums({"_run": F.when(starts, 1).otherwise(0)})
@@ -329,7 +429,10 @@ def find_passes(
     kernel: str = "j2",
 ) -> DataFrame:
     """Passes of every object over every observer within a window."""
-    table = observer_table(elsets.sparkSession, observers)
-    series = _series(elsets, start, window_hours, step_seconds, kernel)
-    visible = visible_pairs(series, table, minimum_elevation)
+    if kernel == "j2":
+        visible = risen(elsets, observers, start, window_hours, step_seconds, minimum_elevation)
+    else:
+        table = observer_table(elsets.sparkSession, observers)
+        series = _series(elsets, start, window_hours, step_seconds, kernel)
+        visible = visible_pairs(series, table, minimum_elevation)
     return passes_of_series(visible, break_on_gap=break_on_gap)
