@@ -13,10 +13,12 @@ from skyledger.llm import (
     mixing,
     ngram_join,
     phrase_dedup,
+    prefix_trie,
     quality,
     secrets,
     suffix_dedup,
     token_files,
+    whitening,
 )
 from skyledger.llm.common import documents
 from skyledger.session import scratch_path
@@ -126,6 +128,11 @@ def mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(documents(spark, sf))
 
 
+@query("op11_whitening")
+def whitening_query(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
 @query("op12_phrase_dedup", r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
@@ -144,3 +151,43 @@ FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """)
 def phrase_dedup_query(spark: SparkSession, sf: str) -> DataFrame:
     return phrase_dedup.remove_phrases(documents(spark, sf)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op13_prefix_trie", r"""
+WITH RECURSIVE bits AS (
+  -- CRC-32 of decimal ids, one bit a row: 8 for each character.
+  SELECT c, c::VARCHAR AS s, 0 AS k, 4294967295::BIGINT AS r FROM (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL)
+  UNION ALL
+  SELECT c, s, k + 1, CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END
+  FROM (SELECT *, CASE WHEN k % 8 = 0 THEN xor(r, ascii(s[k // 8 + 1])::BIGINT) ELSE r END AS x
+        FROM bits WHERE k < 8 * length(s))),
+ids AS (SELECT c, c - c % 20 AS base, xor(r, 4294967295::BIGINT) % 4 AS h FROM bits WHERE k = 8 * length(s)),
+own AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos,
+         coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (
+  SELECT i.c, 0 AS late, o.pos, role, text FROM ids i JOIN own o ON o.c = i.base AND o.pos < i.h
+  UNION ALL SELECT i.c, 1, o.pos, role, text FROM ids i JOIN own o ON o.c = i.c AND o.pos >= i.h),
+seq AS (
+  SELECT c, row_number() OVER w AS d, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+         sha256(string_agg(length(role)::VARCHAR || ':' || length(text)::VARCHAR || ':' || role || text, '') OVER w) AS node
+  FROM placed WINDOW w AS (PARTITION BY c ORDER BY late, pos ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT c, 0, 0, '' FROM ids),
+nodes AS (SELECT node, min(d) AS d, min(words) AS words, min(c) AS c, count(*) AS n FROM seq GROUP BY node),
+kids AS (
+  SELECT p.node, count(*) AS kids FROM nodes k JOIN seq p ON p.c = k.c AND p.d = k.d - 1 GROUP BY p.node),
+above AS (
+  SELECT k.node, r.c AS parent FROM nodes k JOIN seq p ON p.c = k.c AND p.d = k.d - 1 JOIN nodes r ON r.node = p.node),
+sums AS (
+  SELECT a.node, count(*) FILTER (g.kids IS NULL) AS leaves, sum((u.n - 1) * u.words) AS saved
+  FROM nodes u LEFT JOIN kids g ON g.node = u.node JOIN seq a ON a.c = u.c AND a.d <= u.d GROUP BY a.node),
+ends AS (
+  SELECT node, string_agg(c::VARCHAR, ',' ORDER BY c) AS list
+  FROM seq s JOIN (SELECT c, max(d) AS d FROM seq GROUP BY c) USING (c, d) GROUP BY node)
+SELECT n.c AS conv_id, n.d AS depth, parent AS parent_conv_id, n.n AS n_convs, coalesce(kids, 0) AS n_children,
+       leaves AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(list, '')) AS ends_sha256
+FROM nodes n LEFT JOIN kids USING (node) LEFT JOIN above USING (node) JOIN sums USING (node) LEFT JOIN ends USING (node)
+""")
+def prefix_trie_query(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.conversation_trie(spark.read.parquet(f"{sf}/conversations.parquet"))

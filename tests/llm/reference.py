@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -130,5 +131,34 @@ def repeated_windows(rows, width=20):
     return out
 
 
+def conversation_trie(rows):
+    """Node rows by definition, of (conv_id, turn, role, text) rows."""
+    own = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            own.setdefault(c, []).append(((turn is not None, turn or 0), role or "", text or ""))
+    own = {c: [x[1:] for x in sorted(v)] for c, v in own.items()}
+    members = {}
+    full = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        base = own.get(c - c % 20 if c >= 0 else c + -c % 20, [])
+        full[c] = tuple(base[:h] + turns[h:])
+        for d in range(len(full[c]) + 1):
+            members.setdefault(full[c][:d], []).append(c)
+    out = []
+    for node, convs in members.items():
+        below = [n for n in members if n[: len(node)] == node]
+        kids = [n for n in below if len(n) == len(node) + 1]
+        has_kid = {n[:-1] for n in below if n}
+        ends = sorted(c for c in convs if len(full[c]) == len(node))
+        out.append((
+            min(convs), len(node), min(members[node[:-1]]) if node else None, len(convs), len(kids),
+            sum(n not in has_kid for n in below),
+            sum((len(members[n]) - 1) * len(WORD.findall(n[-1][1])) for n in below if n),
+            sha(",".join(map(str, ends)))))
+    return sorted(out, key=str)
+
+
 def prose(draw: random.Random, n: int) -> str:
     return " ".join("".join(draw.choices("abcdefgh", k=draw.randint(2, 7))) for _ in range(n))
