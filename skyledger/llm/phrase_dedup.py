@@ -47,6 +47,7 @@ PART_BYTES = 4 << 20
 AUTOMATON = 25_000
 #: A null doc_id counts as larger than all others.
 LAST = (1 << 63) - 1
+_SALT = np.uint64(0x6A09E667F3BCC909)
 _PLACE = 23  # bits of a place in a piece
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -213,34 +214,54 @@ def _fetched(slim: DataFrame, forms: DataFrame, width: int) -> DataFrame:
     )
 
 
+def _windows(forms: DataFrame, width: int) -> DataFrame:
+    """(anchor, content, k, d1, d2, n, doc, at): every window of the forms, with a 128-bit digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 5):
+            w = words(*utf8(batch.column(5)))
+            starts = np.flatnonzero(w.doc[: len(w.doc) - width + 1] == w.doc[width - 1 :])
+            row = w.doc[starts]
+            k = (starts - w.first[row]).astype(np.int32)
+            digests = []
+            for h in (w.hash, mix(w.hash ^ _SALT)):
+                prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * _powers(len(h), _BASE)[: len(h)])))
+                total = (prefix[starts + width] - prefix[starts]) * _powers(len(h), _INVERSE)[starts]
+                digests.append(pa.array(mix(total).view(np.int64)))
+            anchor, content, n, doc, start = (batch.column(c).to_numpy(zero_copy_only=False)[row] for c in range(5))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchor), pa.array(content), pa.array(k), *digests, pa.array(n), pa.array(doc),
+                 pa.array(start + k)], ["anchor", "content", "k", "d1", "d2", "n", "doc", "at"])
+
+    return forms.select("anchor", "content", "n", "doc", "start", "words").mapInArrow(
+        run, "anchor bigint, content bigint, k int, d1 bigint, d2 bigint, n bigint, doc bigint, at int")
+
+
 def phrases(forms: DataFrame, width: int = WIDTH) -> DataFrame:
     """(anchor, content, offset, src, at, phrase): for each form of context the phrases in it that
     recur, with the first place of each: word `at` of document `src`."""
     whole = forms.filter("not several").select(
         "anchor", "content", F.lit(0).alias("offset"), F.col("doc").alias("src"), F.col("start").alias("at"),
         F.col("words").alias("phrase"))
-    listed = (
-        forms.filter("several")
-        .select("*", F.split("words", " ").alias("w"), F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("k"))
-        .select("anchor", "content", "k", "n", F.struct("doc", (F.col("start") + F.col("k")).alias("at")).alias("place"),
-                F.unhex(F.md5(F.array_join(F.slice("w", F.col("k") + 1, width), " "))).alias("digest"))
+    listed = _windows(forms.filter("several"), width)
+    first = (
+        listed.groupBy("d1", "d2").agg(F.min(F.struct("doc", "at")).alias("first"), F.sum("n").alias("n"))
+        .filter("n > 1").select("d1", "d2", F.col("first.doc").alias("src"), F.col("first.at").alias("at"))
     )
-    first = listed.groupBy("digest").agg(F.min("place").alias("first"), F.sum("n").alias("n")).filter("n > 1").drop("n")
     # At most as many rows meet in this window as a context has windows.
     inside = Window.partitionBy("anchor", "content").orderBy("k")
-    apart = F.struct("first.doc", (F.col("first.at") - F.col("k")).alias("shift"))
     runs = (
-        listed.select("anchor", "content", "k", "digest").join(first, "digest")
-        .withColumn("apart", apart)
-        .withColumn("new", F.when((F.lag("apart").over(inside) == F.col("apart"))
+        listed.select("anchor", "content", "k", "d1", "d2").join(first, ["d1", "d2"])
+        .select("anchor", "content", "k", "src", "at", (F.col("at") - F.col("k")).alias("shift"))
+        .withColumn("new", F.when((F.lag("src").over(inside) == F.col("src")) & (F.lag("shift").over(inside) == F.col("shift"))
                                   & (F.lag("k").over(inside) == F.col("k") - 1), 0).otherwise(1))
         .withColumn("run", F.sum("new").over(inside))
         .groupBy("anchor", "content", "run").agg(F.min("k").alias("offset"), F.max("k").alias("until"),
-                                                 F.min("first").alias("first"))
+                                                 F.min("src").alias("src"), F.min("at").alias("at"))
     )
     cut = F.array_join(F.slice(F.split("words", " "), F.col("offset") + 1, F.col("until") - F.col("offset") + width), " ")
     some = runs.join(forms.filter("several").select("anchor", "content", "words"), ["anchor", "content"]).select(
-        "anchor", "content", "offset", F.col("first.doc").alias("src"), F.col("first.at").alias("at"), cut.alias("phrase"))
+        "anchor", "content", "offset", "src", "at", cut.alias("phrase"))
     return whole.unionByName(some)
 
 
@@ -322,15 +343,16 @@ def remove_phrases(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     rows = _anchored(slim, width)
     recurring = stored(
-        rows.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi"))
-        .filter("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("several")),
-        "phrase-anchors",
-    )
+        rows.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor"), "phrase-anchors")
     met = stored(rows.join(recurring, "anchor"), "phrase-met")
-    forms = met.groupBy("anchor", "content").agg(
-        F.min(F.struct("doc", "start", "part")).alias("first"), F.sum("n").alias("n"), F.first("several").alias("several"),
-    ).select("anchor", "content", "several", "n", "first.*")
-    confirmed = stored(phrases(stored(_fetched(slim, forms, width), "phrase-forms"), width), "phrase-list")
+    forms = stored(
+        met.groupBy("anchor", "content").agg(F.min(F.struct("doc", "start", "part")).alias("first"), F.sum("n").alias("n"))
+        .select("anchor", "content", "n", "first.*"),
+        "phrase-firsts",
+    )
+    several = forms.groupBy("anchor").agg((F.count(F.lit(1)) > 1).alias("several"))
+    forms = forms.join(several, "anchor")
+    confirmed = phrases(stored(_fetched(slim, forms, width), "phrase-forms"), width)
 
     # A part needs a phrase if one of its documents has it later than its first place. Only whether
     # a later one exists counts, so parts are combined before the shuffle.
@@ -341,7 +363,7 @@ def remove_phrases(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     routed = (
         needs.join(confirmed, ["anchor", "content"])
         .filter((F.col("most") > 1) | (here > F.struct(F.col("src").alias("doc"), "at")))
-        .select("part", "src", "at", "phrase").distinct()
+        .select("part", "src", "at", "phrase")
     )
     sent = routed.select(
         "part", F.lit(0).alias("kind"), F.col("src").alias("doc"), "at", F.lit(None).cast("long").alias("doc_id"),
@@ -350,7 +372,7 @@ def remove_phrases(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "part", F.lit(1).alias("kind"), "doc", F.lit(None).cast("int").alias("at"), "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, listed, held, size = None, [], [], 0
+        part, listed, held = None, {}, []
         for batch in batches:
             place, kind = (batch.column(i).to_numpy() for i in (0, 1))
             cuts = np.flatnonzero((place[1:] != place[:-1]) | (kind[1:] != kind[:-1])) + 1
@@ -359,16 +381,17 @@ def remove_phrases(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     continue
                 if place[a] != part:
                     if held:
-                        yield _cleaned(pa.Table.from_batches(held).combine_chunks().to_batches()[0], listed, shard)
-                    part, listed, held = place[a], [], []
+                        yield _cleaned(pa.Table.from_batches(held).combine_chunks().to_batches()[0], list(listed), shard)
+                    part, listed, held = place[a], {}, []
                 rows = batch.slice(a, b - a)
                 if kind[a] == 0:
-                    listed += zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(),
-                                  [x.encode() for x in rows.column(5).to_pylist()], strict=True)
+                    # Contexts that differ may hold the same phrase.
+                    listed |= dict.fromkeys(zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(),
+                                                [x.encode() for x in rows.column(5).to_pylist()], strict=True))
                 else:
                     held.append(rows.select(["doc", "doc_id", "text"]))
         if held:
-            yield _cleaned(pa.Table.from_batches(held).combine_chunks().to_batches()[0], listed, shard)
+            yield _cleaned(pa.Table.from_batches(held).combine_chunks().to_batches()[0], list(listed), shard)
         give_back()
 
     return (
