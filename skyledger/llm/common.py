@@ -61,18 +61,6 @@ def shared(handle: Broadcast):
     return handle.unpacked
 
 
-#: Bytes of keys that may be broadcast.
-BROADCAST_BYTES = 64 << 20
-
-
-def small_keys(keys: DataFrame) -> DataFrame:
-    """A stored table of one number a row, broadcast in joins if its measured size allows.
-
-    Beyond that the join shuffles both sides; only the way differs.
-    """
-    return F.broadcast(keys) if keys.count() * 16 <= BROADCAST_BYTES else keys
-
-
 # ---- Text in Python workers ---------------------------------------------------------------
 
 _SEPARATOR = np.zeros(256, bool)

@@ -32,14 +32,25 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return own.union(others).distinct()
 
 
+def _state(edges: DataFrame) -> tuple[int, int]:
+    """Number of edges and the sum of their hashes, which tell whether a round changed any."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
+
+
 def connect(edges: DataFrame) -> DataFrame:
-    """Stored (id, component) of every node of (a, b): the smallest id that edges lead to."""
+    """Stored (id, component) of every node of (a, b): the smallest id that edges lead to.
+
+    Raises if MAX_ROUNDS do not suffice, rather than return parts of components.
+    """
     now = stored(edges.select("a", "b").filter("a <> b").distinct(), "edges")
+    state = _state(now)
     for _ in range(MAX_ROUNDS):
-        after = stored(_small_star(_large_star(now)), "edges")
-        if after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty():
+        now = stored(_small_star(_large_star(now)), "edges")
+        before, state = state, _state(now)
+        if state == before:
             break
-        now = after
+    else:
+        raise RuntimeError(f"components are not complete after {MAX_ROUNDS} rounds")
     once = now.select(F.col("b").alias("id"), F.col("a").alias("component"))
     roots = now.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct()
     return stored(once.union(roots), "components")

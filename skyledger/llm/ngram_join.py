@@ -15,11 +15,14 @@ link is lost, whatever the counts.
 
 Candidates are checked against a parity sketch, which bounds the difference from below, then
 exactly. Inside a list of equal segments all members are compared with one of them first; those
-that land in one component need no further comparison, and the others are compared across
-components only. So a large group of near copies costs its size, not its square.
+that land in one component need no further comparison. The others meet by a prefix filter: of its
+n shingles, rarest first, each of two linked sets has one of the other's in the first
+n - ceil(similarity * n) + 1. What many documents share stands last, so members of a list that
+only share a passage never meet, and a large group of near copies costs its size, not its square.
 
 Text without words has an empty set and links with nothing. Null text is empty. Repeated rows and
-ties are one node. Null doc_ids take part and never name a component that has another id. Texts
+ties are one node. A row is known by its id and a hash of its text, so rows with a null or a reused
+doc_id take part with their own text; a null never names a component that has another id. Texts
 are shingled whole; an empty table gives an empty result.
 """
 
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import Words, give_back, join_counted, mix, pieces, sliced, small_keys, stored, utf8, words
+from skyledger.llm.common import Words, give_back, join_counted, mix, pieces, sliced, stored, utf8, words
 from skyledger.llm.components import connect
 
 #: Defaults of the contract: five words, similarity of 80 in 100.
@@ -47,6 +50,8 @@ DELETION_SIZE = 3.0
 EXACT, WHOLE, DELETED = 0, 1, 2
 #: Bytes of the folded sketch that goes along with candidates.
 FOLDED = 32
+#: A null doc_id counts as larger than all others.
+LAST = (1 << 63) - 1
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -172,17 +177,17 @@ def signatures(h: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, np.n
 
 
 def _index(k: int, percent: int, signed: bool):
-    schema = ("doc_id bigint, n_shingles bigint, key bigint, node binary, sketch binary, "
+    schema = ("doc_id bigint, fp bigint, n_shingles bigint, key bigint, node binary, sketch binary, "
               "fold array<bigint>, "
               "sig array<bigint>, tag array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.array(band_starts(percent))
         seen: set[bytes] = set()
-        for batch in sliced(batches, 1):
+        for batch in sliced(batches, 2):
             sizes, keys, nodes, sketches, folds, sigs, tags, ends = [], [], [], [], [], [], [], [0]
             total = 0
-            for h in sets_of(batch.column(1), k):
+            for h in sets_of(batch.column(2), k):
                 n = len(h)
                 node = np.array([mix(h).sum(dtype=np.uint64), mix(h ^ _SALT).sum(dtype=np.uint64)], ">u8")
                 sizes.append(n)
@@ -214,20 +219,28 @@ def _index(k: int, percent: int, signed: bool):
             none64, none32 = np.zeros(0, np.int64), np.zeros(0, np.int32)
             offsets = pa.array(ends, pa.int32())
             yield pa.RecordBatch.from_arrays([
-                batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()),
+                batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()),
                 pa.array(nodes, pa.binary()), pa.array(sketches, pa.binary()), pa.array(folds, pa.list_(pa.int64())),
                 pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([none64, *sigs]))),
                 pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([none32, *tags]).astype(np.int32))),
-            ], ["doc_id", "n_shingles", "key", "node", "sketch", "fold", "sig", "tag"])
+            ], ["doc_id", "fp", "n_shingles", "key", "node", "sketch", "fold", "sig", "tag"])
 
     return run, schema
 
 
 def index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K,
           percent: int = PERCENT, signed: bool = True) -> DataFrame:
-    """One row per document: set size, node, sketch and, if wanted, signatures."""
+    """One row per document: id, hash of the text, set size, node, sketch and, if wanted, signatures."""
     run, schema = _index(k, percent, signed)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(_id(doc_id).alias("doc_id"), _fp(text).alias("fp"), F.col(text).alias("text")).mapInArrow(run, schema)
+
+
+def _id(doc_id: str) -> Column:
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
+
+
+def _fp(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 # ---- Candidates ---------------------------------------------------------------------------
@@ -265,18 +278,18 @@ def _fits(a: Column, b: Column, percent: int) -> Column:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
-    """(rep, h): the shingle hashes of the wanted documents."""
+    """(rep, fp, h): the shingle hashes of the wanted (rep, fp), a document and its text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 1):
-            sets = [h.view(np.int64) for h in sets_of(batch.column(1), k)]
+        for batch in sliced(batches, 2):
+            sets = [h.view(np.int64) for h in sets_of(batch.column(2), k)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rep", "h"])
+                [batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], ["rep", "fp", "h"])
 
     return (
-        docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
-        .join(small_keys(stored(wanted, "ngram-wanted")), "rep", "left_semi").dropDuplicates(["rep"])
-        .mapInArrow(run, "rep bigint, h array<bigint>")
+        docs.select(_id(doc_id).alias("rep"), _fp(text).alias("fp"), F.col(text).alias("text"))
+        .join(stored(wanted, "ngram-wanted"), ["rep", "fp"], "left_semi").dropDuplicates(["rep", "fp"])
+        .mapInArrow(run, "rep bigint, fp bigint, h array<bigint>")
     )
 
 
@@ -291,23 +304,23 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, t
 
     side = lambda s: nodes.select(
         F.col("key").alias(f"k{s}"), F.col("node").alias(s), F.col("n_shingles").alias(f"n{s}"),
-        F.col("sketch").alias(f"s{s}"), F.col("rep").alias(f"r{s}"))
+        F.col("sketch").alias(f"s{s}"), F.col("rep").alias(f"r{s}"), F.col("fp").alias(f"f{s}"))
     close = F.arrow_udf(near, "bigint")
     likely = stored(
         pairs.join(side("a"), "ka").join(side("b"), "kb")
         .filter(_fits(F.col("na"), F.col("nb"), percent))
         .withColumn("apart", close("sa", "sb"))
         .filter(F.col("apart") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
-        .select("a", "b", "ra", "rb"),
+        .select("a", "b", "ra", "fa", "rb", "fb"),
         "ngram-likely",
     )
 
-    wanted = likely.select(F.explode(F.array("ra", "rb")).alias("rep")).distinct()
+    wanted = likely.select("ra", "fa").union(likely.select("rb", "fb")).toDF("rep", "fp").distinct()
     texts = stored(_sets(docs, wanted, doc_id, text, k), "ngram-sets")
     common = F.size(F.array_intersect("ha", "hb"))
     union = F.size("ha") + F.size("hb") - common
     return stored(
-        likely.join(texts.toDF("ra", "ha"), "ra").join(texts.toDF("rb", "hb"), "rb")
+        likely.join(texts.toDF("ra", "fa", "ha"), ["ra", "fa"]).join(texts.toDF("rb", "fb", "hb"), ["rb", "fb"])
         .filter(common * 100 >= union * percent).select("a", "b"),
         "ngram-links",
     )
@@ -326,64 +339,74 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
+def _of_more(rows: DataFrame, by: str) -> DataFrame:
     """Rows of lists whose members are in more than one component."""
-    apart = rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    return rows.join(apart.filter("lo <> hi").select("sig"), "sig")
+    apart = rows.groupBy(by).agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return rows.join(apart.filter("lo <> hi").select(by), by)
 
 
 def _across(of_lists: DataFrame, by_key: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int,
             percent: int) -> DataFrame:
-    """Members of one list that are in different components so far and may link.
+    """Pairs of members of lists that are in different components so far and may link.
 
-    The folded sketches bound the difference, and so do shingles that no other of these documents
-    has: a document that has too many
-    of them links with nobody, and two documents differ at least in the own shingles of both.
+    Only shingles in the prefix of both bring two sets together: the rarest n - ceil(percent * n) + 1
+    of each, of which linked sets have one in common. Shingles that no other of these documents
+    has come first; a document that fills its prefix with them links with nobody. Pairs that met are
+    bounded by sizes, own shingles and folded sketches before their sets are compared.
     """
-    mixed = stored(
-        _mixed(of_lists.select("sig", "key", "kind").join(by_key.select("key", "component"), "key")), "ngram-mixed")
-    members = by_key.drop("component", "fold").join(mixed.select("key").distinct(), "key", "left_semi")
-    members = stored(members, "ngram-members")
-    shingles = _sets(docs, members.select("rep").distinct(), doc_id, text, k).join(
-        members.select("key", "rep"), "rep").select("key", F.explode("h").alias("h"))
-    own = (
-        shingles.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key")).filter("n = 1")
-        .groupBy("key").agg(F.count(F.lit(1)).alias("own"))
+    mixed = _of_more(of_lists.select("sig", "key").join(by_key.select("key", "component"), "key"), "sig")
+    members = stored(by_key.join(mixed.select("key").distinct(), "key", "left_semi"), "ngram-members")
+    shingles = stored(
+        _sets(docs, members.select("rep", "fp").distinct(), doc_id, text, k)
+        .join(members.select("key", "rep", "fp", "n_shingles"), ["rep", "fp"])
+        .select("key", "n_shingles", F.explode("h").alias("h")),
+        "ngram-shingles",
     )
-    sized = mixed.select("sig", "key").join(members.select("key", "n_shingles"), "key")
-    smallest = sized.groupBy("sig").agg(F.min("n_shingles").alias("least"))
-    partner = mixed.select("sig", "key").join(smallest, "sig").groupBy("key").agg(F.min("least").alias("least"))
-    able = stored(
-        members.join(own, "key", "left").fillna(0, ["own"]).join(partner, "key")
-        .filter((F.col("n_shingles") - F.col("own")) * (100 + percent)
-                >= (F.col("n_shingles") + F.greatest("least", F.col("n_shingles") * percent / 100)) * percent)
-        .select("key", "n_shingles", "own"),
-        "ngram-able",
+    # A shingle's count here is its rank everywhere; ties go by the hash.
+    counted = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    common = shingles.join(counted.filter("n > 1"), "h")
+    shared = common.groupBy("key").agg(F.count(F.lit(1)).alias("shared"))
+    room = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / F.lit(100)) + 1
+    able = (
+        members.join(shared, "key").withColumn("own", F.col("n_shingles") - F.col("shared"))
+        .withColumn("room", room - F.col("own")).filter("room > 0")
+        .select("key", "component", "n_shingles", "own", "room", "fold")
     )
-    left = stored(
-        _mixed(mixed.join(able.select("key"), "key", "left_semi")).join(able, "key")
-        .join(by_key.select("key", "fold"), "key"), "ngram-left")
-    side = lambda s: left.select(
-        "sig", F.col("key").alias(s), F.col("component").alias(f"c{s}"), F.col("kind").alias(f"kind_{s}"),
-        F.col("n_shingles").alias(f"n{s}"), F.col("own").alias(f"own_{s}"), F.col("fold").alias(f"fold_{s}"))
+    able = stored(able, "ngram-able")
+    rarest = Window.partitionBy("key").orderBy("n", "h")
+    prefix = stored(
+        common.drop("n_shingles").join(able.select("key", "room"), "key")
+        .withColumn("rank", F.row_number().over(rarest)).filter("rank <= room").select("h", "key"),
+        "ngram-prefix",
+    )
+    met = stored(_meeting(prefix.join(able.select("key", "component"), "key")), "ngram-met")
+    side = lambda s, k: able.select(
+        F.col("key").alias(k), F.col("n_shingles").alias(f"n{s}"), F.col("own").alias(f"own_{s}"), F.col("fold").alias(f"fold_{s}"))
     cells = sum((F.bit_count(F.col("fold_x")[i].bitwiseXOR(F.col("fold_y")[i])) for i in range(FOLDED // 8)), F.lit(0))
     most = (F.col("nx") + F.col("ny")) * (100 - percent)
     differ = ((F.col("own_x") + F.col("own_y")) * (100 + percent) <= most) & (cells * (100 + percent) <= most)
-    met = side("x").filter(F.col("kind_x") != DELETED).join(side("y"), "sig").filter(
-        (F.col("cx") != F.col("cy")) & _fits(F.col("nx"), F.col("ny"), percent) & differ
-        & ((F.col("kind_y") == DELETED) | (F.col("x") < F.col("y"))))
-    return _ordered(met)
+    return met.join(side("x", "ka"), "ka").join(side("y", "kb"), "kb").filter(
+        _fits(F.col("nx"), F.col("ny"), percent) & differ).select("ka", "kb")
+
+
+def _meeting(prefix: DataFrame) -> DataFrame:
+    """(ka, kb): keys of different components with a prefix shingle in common."""
+    lists = _of_more(prefix, "h")
+    side = lambda s: lists.select("h", F.col("key").alias(s), F.col("component").alias(f"c{s}"))
+    return _ordered(side("x").join(side("y"), "h").filter((F.col("cx") != F.col("cy")) & (F.col("x") < F.col("y"))))
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K,
                        percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, node."""
+    """One row per document: doc_id, n_shingles, component_id, node, and `kept`, whether it is the
+    first row of its component by id and hash of the text; rows without words all are."""
     # Signatures are many times larger than the rest and go straight into the shuffle.
     indexed = stored(index(docs, doc_id, text, k, percent, signed=False).drop("sig", "tag"), "ngram-index")
     nodes = stored(
         indexed.filter("n_shingles > 0").groupBy("node", "key", "n_shingles")
-        .agg(F.min("doc_id").alias("rep"), F.first("sketch", True).alias("sketch"),
-             F.first("fold", True).alias("fold"), F.count(F.lit(1)).alias("copies")),
+        .agg(F.min(F.struct("doc_id", "fp")).alias("rep"), F.first("sketch", True).alias("sketch"),
+             F.first("fold", True).alias("fold"), F.count(F.lit(1)).alias("copies"))
+        .withColumns({"fp": F.col("rep.fp"), "rep": F.col("rep.doc_id")}),
         "ngram-nodes",
     )
     of_lists = lists(index(docs, doc_id, text, k, percent).select("key", "sig", "tag"))
@@ -392,7 +415,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     grouped = connect(links)  # (id, component) of nodes with links
     by_key = stored(
         nodes.join(grouped, F.col("node") == F.col("id"), "left")
-        .select("key", "n_shingles", "rep", "fold", F.coalesce("component", "node").alias("component")),
+        .select("key", "n_shingles", "rep", "fp", "fold", F.coalesce("component", "node").alias("component")),
         "ngram-keys",
     )
     rest = _across(of_lists, by_key, docs, doc_id, text, k, percent)
@@ -403,19 +426,23 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         nodes.join(final, F.col("node") == F.col("id"), "left")
         .withColumn("component", F.coalesce("component", "node"))
     )
-    names = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_node = stored(named.join(names, "component").select("node", "component_id", "copies"), "ngram-names")
-    rows = indexed.select("doc_id", "n_shingles", "node")
+    names = named.groupBy("component").agg(F.min(F.struct("rep", "fp")).alias("first"))
+    by_node = stored(named.join(names, "component").select("node", "first", "copies"), "ngram-names")
+    rows = indexed.select("doc_id", "fp", "n_shingles", "node")
     found = join_counted(rows.filter("node is not null"), by_node, ["node"], "copies", indexed.count())
-    alone = rows.filter("node is null").withColumn("component_id", F.col("doc_id"))
-    columns = ["doc_id", "n_shingles", "component_id", "node"]
-    return found.select(*columns).unionByName(alone.select(*columns))
+    found = found.withColumn("kept", F.struct("doc_id", "fp") == F.struct(F.col("first.rep").alias("doc_id"), F.col("first.fp").alias("fp")))
+    alone = rows.filter("node is null").withColumn("kept", F.lit(True))
+    known = lambda c: F.nullif(c, F.lit(LAST))
+    columns = ["n_shingles", "node", "fp", "kept"]
+    return found.select(known(F.col("doc_id")).alias("doc_id"), known(F.col("first.rep")).alias("component_id"), *columns).unionByName(
+        alone.select(known(F.col("doc_id")).alias("doc_id"), known(F.col("doc_id")).alias("component_id"), *columns))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K,
              percent: int = PERCENT) -> DataFrame:
     """Of each component the row with the smallest doc_id, with all its columns; rows without
-    words all stay."""
+    words all stay. Of rows that share this id the one with the smallest hash of its text stays;
+    rows alike in both are one document and stay together."""
     found = jaccard_components(docs, doc_id, text, k, percent)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["gone"], "left_anti")
+    gone = found.filter("not kept").select(F.coalesce("doc_id", F.lit(LAST)).alias("gone"), F.col("fp").alias("gone_fp")).distinct()
+    return docs.join(gone, (_id(doc_id) == gone["gone"]) & (_fp(text) == gone["gone_fp"]), "left_anti")

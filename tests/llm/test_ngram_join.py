@@ -74,6 +74,65 @@ def test_shingles_of_long_and_short_texts(odd_rows):
         assert len(h) == len(reference.shingles(t))
 
 
+def near_copies(draw, base, n):
+    """Texts of which any two are similar: one word differs from the base in each."""
+    out = []
+    for _ in range(n):
+        words = base.split()
+        words[draw.randrange(5, 95)] = reference.prose(draw, 1) + "x"
+        out.append(" ".join(words))
+    return out
+
+
+def test_null_and_reused_ids_keep_their_links(spark):
+    draw = random.Random(8)
+    one, two, three = (reference.prose(draw, 100) for _ in range(3))
+    a, b, c = near_copies(draw, one, 3)
+    d, e = near_copies(draw, two, 2)
+    f, g = near_copies(draw, three, 2)
+    rows = [(5, a), (None, b), (7, c), (7, d), (8, e), (None, f), (None, g), (None, ""), (9, None)]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got if r.doc_id is not None) == [
+        (5, 5, True), (7, 5, False), (7, 7, True), (8, 7, False), (9, 9, True)]
+    assert sorted(((r.component_id, r.n_shingles > 0) for r in got if r.doc_id is None), key=str) == [
+        (5, True), (None, False), (None, True), (None, True)]
+    stay = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in stay if r.doc_id is not None) == [5, 7, 9]
+    assert sum(r.doc_id is None for r in stay) == 2
+
+
+def test_a_passage_in_thousands_of_different_documents(spark):
+    """Members of one long list that do not link are never paired."""
+    draw = random.Random(12)
+    passage = reference.prose(draw, 60)
+    rows = [(i, f"{passage} {reference.prose(draw, 50)}") for i in range(4000)]
+    rows += [(4000 + i, t) for i, t in enumerate(near_copies(draw, rows[17][1], 3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    met = []
+    plain = ngram_join._meeting
+    ngram_join._meeting = lambda prefix: met.append(plain(prefix).count()) or plain(prefix)
+    try:
+        got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs).collect()}
+    finally:
+        ngram_join._meeting = plain
+    assert {i: c for i, c in got.items() if i != c} == {4000: 17, 4001: 17, 4002: 17}
+    assert met[0] < 100
+
+
+def test_prefixes_bring_linked_sets_together():
+    """The rarest shingle that two linked sets share is in the prefix of both, for any counts."""
+    draw = random.Random(4)
+    for _ in range(300):
+        n = draw.randint(1, 60)
+        x = set(range(n))
+        y = set(draw.sample(sorted(x), draw.randint(0, n))) | {1000 + i for i in range(draw.randint(0, 8))}
+        if 100 * len(x & y) < 80 * len(x | y):
+            continue
+        rank = {h: (draw.randint(1, 5), h) for h in x | y}
+        prefix = [set(sorted(s, key=rank.get)[: len(s) - -(-80 * len(s) // 100) + 1]) for s in (x, y)]
+        assert prefix[0] & prefix[1]
+
+
 def test_repeated_rows_and_empty_tables(twice, none):
     got = ngram_join.jaccard_components(twice).collect()
     assert len(got) == 141
