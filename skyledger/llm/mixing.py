@@ -73,11 +73,17 @@ def _rate(multiplier: Column, size: Column, mean: Column, cap: float) -> Column:
     return F.when(multiplier >= FULL, F.lit(cap)).otherwise(F.lit(cap) / (1.0 + F.exp(-tilt)))
 
 
+def _fixed_sum(term: Column) -> Column:
+    """A sum whose digits do not depend on the order in which tasks add."""
+    return F.sum(term.cast("decimal(38,12)")).cast("double")
+
+
 def solve(histogram: DataFrame, goals: DataFrame, cap: float = MAX_COPIES) -> DataFrame:
     """Add the multiplier of each source: safeguarded Newton steps on the dual's gradient.
 
     `histogram` has (source, size, n), `goals` (source, source_size, target, mean_size). Each step
-    is one distributed sum; only the largest relative error reaches the driver.
+    is one distributed sum, of which the driver learns whether it was the last. Raises if MAX_STEPS do
+    not suffice.
     """
     state = stored(
         goals.withColumn("multiplier", F.when(F.col("target") >= F.col("source_size") * cap, F.lit(FULL)).otherwise(F.lit(0.0)))
@@ -92,8 +98,8 @@ def solve(histogram: DataFrame, goals: DataFrame, cap: float = MAX_COPIES) -> Da
         sums = (
             histogram.alias("h").join(state.alias("s"), same)
             .groupBy(*[F.col(f"s.{c}") for c in columns])
-            .agg(F.sum(F.col("n") * F.col("size") * rate).alias("value"),
-                 F.sum(F.col("n") * F.col("size") * slope).alias("slope"))
+            .agg(_fixed_sum(F.col("n") * F.col("size") * rate).alias("value"),
+                 _fixed_sum(F.col("n") * F.col("size") * slope).alias("slope"))
         )
         error = F.col("value") - F.col("target")
         low = F.when(error < 0, F.col("multiplier")).otherwise(F.col("low"))
@@ -111,8 +117,8 @@ def solve(histogram: DataFrame, goals: DataFrame, cap: float = MAX_COPIES) -> Da
         )
         state = moved.select(*columns)
         if moved.filter("not done").isEmpty():
-            break
-    return state
+            return state
+    raise RuntimeError(f"multipliers are not found after {MAX_STEPS} steps")
 
 
 def plan_mix(rows: DataFrame, weights=WEIGHTS, ratio: float = TOTAL_RATIO,
