@@ -1,10 +1,13 @@
 """Exact deduplication by an extendible-hash index on shared files. DataFrame operations only.
 
 Texts are equal when identical after deleting white space. Each distinct text is an entry of the
-index, which lies on the shared file system: entries are spread over buckets by the leading bits
-of a 64-bit hash. The directory doubles until no bucket holds more than `capacity` entries, and a
-bucket splits only where it is overfull. Owner tasks process key ranges of whole buckets; entries
-whose hashes collide form a chain and are told apart by their bytes.
+index, which lies on the shared file system: a directory leads from the leading bits of a 64-bit
+hash to a bucket. It doubles until no bucket holds more than `capacity` hashes, and a bucket splits
+only where it is overfull. Rows go to the bucket of their hash; there owner tasks, each with whole
+buckets, compare the bytes of texts of one hash. Texts that differ form a chain behind the hash.
+
+A row is answered by probing its bucket for its hash. Where the chain has one entry, every text of
+the hash has been found equal to it by bytes; along a longer chain the digest of the entry decides.
 
 Copies are combined before the shuffle, so a text that makes up a third of all rows costs one row
 per map task. Null text counts as empty; a null doc_id comes after all others; of repeated rows
@@ -13,15 +16,15 @@ per map task. Null text counts as empty; a null doc_id comes after all others; o
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.llm.common import SEPARATORS, join_counted, stored
 
-#: Entries of a bucket before it splits, and the directory's largest depth (65,536 slots).
-#: A bucket that is still overfull at that depth grows: only its size is affected.
+#: Hashes of a bucket before it splits. The directory has some slots for each bucket.
 CAPACITY = 50_000
-MAX_DEPTH = 16
 
 
 def normalised(text: Column) -> Column:
@@ -53,67 +56,94 @@ def directory(counts: dict[int, int], capacity: int, max_depth: int) -> tuple[in
     return deepest, slots
 
 
-def _keys(docs: DataFrame, text: str) -> list[Column]:
-    clean = normalised(F.col(text))
-    return [F.xxhash64(clean).alias("h"), F.sha2(clean, 256).alias("text_sha256")]
+def _hash(clean: Column) -> Column:
+    return F.xxhash64(clean)
+
+
+def build_directory(hashes: DataFrame, capacity: int) -> tuple[int, DataFrame]:
+    """Global depth and (slot, bucket) of an index for distinct hashes h, a stored table."""
+    depth = max(0, math.ceil(math.log2(max(1, hashes.count()) / capacity)) + 2)
+    while True:
+        counted = hashes.groupBy(_slot(F.col("h"), depth).alias("slot")).count()
+        counts = {r["slot"]: r["count"] for r in counted.collect()}  # a few rows for each bucket
+        if max(counts.values(), default=0) <= capacity or depth >= 30:
+            break
+        depth += 2
+    depth, slots = directory(counts, capacity, depth)
+    rows = [(slot, bucket) for slot, bucket, _ in slots]
+    return depth, hashes.sparkSession.createDataFrame(rows, "slot int, bucket int")
+
 
+def _in_buckets(rows: DataFrame, found: tuple[int, DataFrame]) -> DataFrame:
+    """Rows with the bucket that the directory leads to."""
+    depth, slots = found
+    return rows.withColumn("slot", _slot(F.col("h"), depth)).join(slots, "slot").drop("slot")
 
-def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """The index, stored: bucket, h, chain, text_sha256, keep_id, keep_order, group_size."""
-    spark = docs.sparkSession
+
+def build_index(docs: DataFrame, found: tuple[int, DataFrame], doc_id: str = "doc_id",
+                text: str = "text") -> DataFrame:
+    """The index, stored: bucket, h, chain, chain_length, text_sha256, keep_id, group_size."""
     clean = normalised(F.col(text))
     order = F.struct(
         (-F.coalesce(F.length(text), F.lit(0))).alias("longer"),
         F.col(doc_id).isNull().alias("missing"), F.col(doc_id).alias("id"),
     )
-    # Grouping by the text itself compares bytes; the hash only decides where.
-    entries = stored(
-        docs.select(F.xxhash64(clean).alias("h"), clean.alias("clean"), order.alias("o"))
-        .groupBy("h", "clean").agg(F.min("o").alias("best"), F.count(F.lit(1)).alias("group_size"))
-        .select("h", F.sha2("clean", 256).alias("text_sha256"), F.col("best.id").alias("keep_id"),
-                "group_size"),
-        "dedup-entries",
-    )
-    counted = entries.groupBy(_slot(F.col("h"), max_depth).alias("slot")).count().collect()
-    depth, slots = directory({r["slot"]: r["count"] for r in counted}, capacity, max_depth)
-    table = spark.createDataFrame(slots, "slot int, bucket int, local_depth int")
-    chain = F.row_number().over(Window.partitionBy("bucket", "h").orderBy("text_sha256")) - 1
-    owned = (
-        entries.withColumn("slot", _slot(F.col("h"), depth))
-        .join(F.broadcast(table), "slot").drop("slot")
-        .repartition("bucket").withColumn("chain", chain)
-        .sortWithinPartitions("bucket", "h", "chain")
+    # Grouping by the text itself compares bytes, within its bucket and hash.
+    entries = (
+        _in_buckets(docs.select(_hash(clean).alias("h"), clean.alias("clean"), order.alias("o")), found)
+        .groupBy("bucket", "h", "clean").agg(F.min("o").alias("best"), F.count(F.lit(1)).alias("group_size"))
+        .select("bucket", "h", F.sha2("clean", 256).alias("text_sha256"), F.col("best.id").alias("keep_id"), "group_size")
     )
-    return stored(owned, "dedup-index")
+    behind = Window.partitionBy("bucket", "h")
+    owned = entries.repartition("bucket").withColumns({
+        "chain": F.row_number().over(behind.orderBy("text_sha256")) - 1,
+        "chain_length": F.count(F.lit(1)).over(behind),
+    })
+    return stored(owned.sortWithinPartitions("bucket", "h", "chain"), "dedup-index")
+
 
+def _probed(rows: DataFrame, index: DataFrame, total: int) -> DataFrame:
+    """Rows (bucket, h, text_sha256, ...) with keep_id and group_size of their entry."""
+    sought = ["keep_id", "group_size"]
+    alone = index.filter("chain_length = 1").select("bucket", "h", *sought)
+    chained = index.filter("chain_length > 1").select("bucket", "h", F.col("text_sha256").alias("entry"), *sought)
+    first = join_counted(rows, alone, ["bucket", "h"], "group_size", total)
+    along = rows.join(chained, ["bucket", "h"]).filter("text_sha256 = entry").drop("entry")
+    return first.unionByName(along)
 
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **layout) -> DataFrame:
+
+def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    index = build_index(docs, doc_id, text, **layout)
-    rows = stored(docs.select(F.col(doc_id).alias("doc_id"), *_keys(docs, text)), "dedup-keys")
-    found = join_counted(
-        rows, index.select("h", "text_sha256", "keep_id", "group_size"), ["h", "text_sha256"],
-        "group_size", rows.count(),
+    clean = normalised(F.col(text))
+    keys = stored(
+        docs.select(F.col(doc_id).alias("doc_id"), _hash(clean).alias("h"), F.sha2(clean, 256).alias("text_sha256")),
+        "dedup-keys",
     )
+    found = build_directory(stored(keys.select("h").distinct(), "dedup-hashes"), capacity)
+    index = build_index(docs, found, doc_id, text)
+    answered = _probed(_in_buckets(keys, found), index, keys.count())
     again = F.row_number().over(Window.partitionBy("doc_id", "h", "text_sha256").orderBy("h"))
-    return found.select(
+    return answered.select(
         "doc_id", "keep_id", "group_size",
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (again == 1)).alias("kept"), "text_sha256",
     )
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **layout) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """The rows that stay, with all their columns."""
-    index = build_index(docs, doc_id, text, **layout)
-    h, sha = _keys(docs, text)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), h, sha,
-                       F.col(doc_id).alias("id"))
-    winners = index.select("h", "text_sha256", F.col("keep_id"))
+    clean = normalised(F.col(text))
+    hashes = stored(docs.select(_hash(clean).alias("h")).distinct(), "dedup-hashes")
+    found = build_directory(hashes, capacity)
+    winners = build_index(docs, found, doc_id, text).select(
+        F.col("bucket").alias("b"), F.col("h").alias("g"), "chain_length", F.col("text_sha256").alias("entry"), "keep_id")
+    rows = _in_buckets(
+        docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _hash(clean).alias("h"),
+                    F.sha2(clean, 256).alias("text_sha256"), F.col(doc_id).alias("id")), found)
+    # The row of an entry has its id; along a chain the digest tells entries apart.
     same = (
-        (rows["h"] == winners["h"]) & (rows["text_sha256"] == winners["text_sha256"])
-        & rows["id"].eqNullSafe(winners["keep_id"])
+        (F.col("bucket") == F.col("b")) & (F.col("h") == F.col("g")) & F.col("id").eqNullSafe(F.col("keep_id"))
+        & ((F.col("chain_length") == 1) | (F.col("text_sha256") == F.col("entry")))
     )
     kept = rows.join(winners, same, "left_semi")
-    again = F.row_number().over(Window.partitionBy("h", "text_sha256", "id").orderBy("h"))
+    again = F.row_number().over(Window.partitionBy("bucket", "h", "text_sha256", "id").orderBy("h"))
     return kept.withColumn("again", again).filter("again = 1").select("row.*")
