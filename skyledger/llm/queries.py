@@ -185,7 +185,8 @@ sums AS (
 ends AS (
   SELECT node, string_agg(c::VARCHAR, ',' ORDER BY c) AS list
   FROM seq s JOIN (SELECT c, max(d) AS d FROM seq GROUP BY c) USING (c, d) GROUP BY node)
-SELECT n.c AS conv_id, n.d AS depth, parent AS parent_conv_id, n.n AS n_convs, coalesce(kids, 0) AS n_children,
+-- Client libraries disagree on the type of integers among NULLs.
+SELECT n.c AS conv_id, n.d AS depth, parent::DOUBLE AS parent_conv_id, n.n AS n_convs, coalesce(kids, 0) AS n_children,
        leaves AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(list, '')) AS ends_sha256
 FROM nodes n LEFT JOIN kids USING (node) LEFT JOIN above USING (node) JOIN sums USING (node) LEFT JOIN ends USING (node)
 """)
