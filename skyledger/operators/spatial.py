@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions import geo
 
+
 def distances_from(points: DataFrame, latitude: float, longitude: float) -> DataFrame:
     """Ground distance of every point from one place."""
     return geo.with_distance(points, geo.d(latitude), geo.d(longitude))
@@ -17,14 +21,32 @@ def within_radius(
 ) -> DataFrame:
     """Points whose ground distance from a place is at most `radius_km`.
 
-    A latitude range that certainly contains the circle comes first: it reaches the Parquet
-    scan and prunes row groups, and only what is left pays for the exact distance.
+    A box that certainly contains the circle comes first. On a stored snapshot it becomes ranges
+    of the curve the snapshot is sorted by, which reach the Parquet scan and leave out the files
+    and row groups elsewhere; only what is left pays for the exact distance.
     """
-    reach = radius_km / geo.KM_PER_DEGREE_MIN
-    near = points.where(F.col("latitude_deg").between(latitude - reach, latitude + reach))
+    south, north, west, east = _box(latitude, longitude, radius_km)
+    near = points.where(F.col("latitude_deg").between(south, north))
+    if "geo_curve" in points.columns:
+        ranges = [F.col("geo_curve").between(a, b) for a, b in geo.curve_ranges(south, north, west, east)]
+        near = near.where(reduce(Column.__or__, ranges))
     return distances_from(near, latitude, longitude).where(F.col("distance_km") <= radius_km)
 
 
+def _box(latitude: float, longitude: float, radius_km: float) -> tuple[float, float, float, float]:
+    """South, north, west and east of a box around a circle on the ground, in degrees.
+
+    West and east may leave -180..180. The angle is widened by the difference between geodetic and
+    geocentric latitude.
+    """
+    reach = min(radius_km / geo.KM_PER_DEGREE_MIN + 0.3, 180.0)
+    south, north = max(latitude - reach, -90.0), min(latitude + reach, 90.0)
+    if abs(latitude) + reach >= 89.9:
+        return south, north, -180.0, 180.0
+    half = math.degrees(math.asin(min(1.0, math.sin(math.radians(reach)) / math.cos(math.radians(latitude))))) + 0.3
+    return south, north, longitude - half, longitude + half
+
+
 def nearest(points: DataFrame, latitude: float, longitude: float, k: int, *,
             key: str = "norad_cat_id") -> DataFrame:
     """The k points nearest to a place; ties by key. Each task keeps k rows at most."""

@@ -56,6 +56,16 @@ def within_radius(spark, sf):
     return rounded(near.select("point_id", "distance_km"), 3)
 
 
+@query("within_radius_stored", "positions", f"""
+SELECT norad_cat_id, {r('distance_km', places=3)} FROM ({_from_berlin('positions')}) WHERE distance_km <= 2500""")
+def within_radius_stored(spark, sf):
+    """Around a place in a stored snapshot: files and row groups elsewhere are not read."""
+    root = scratch_path(spark, "radius-snapshot")
+    snapshot.write_snapshot(base.positions(spark, sf), root)
+    near = spatial.within_radius(snapshot.read_snapshot(spark, root), LAT, LON, 2500.0)
+    return rounded(near.select("norad_cat_id", "distance_km"), 3)
+
+
 @query("within_radius_many", "positions observers", f"""
 SELECT observer_id, norad_cat_id, {r('distance_km', places=3)} FROM ({_PAIRS}) WHERE distance_km <= 3000""")
 def within_radius_many(spark, sf):
@@ -88,7 +98,7 @@ def knn_observers_many(spark, sf):
     # The positions are read several times, so they are stored first, as a snapshot is.
     root = scratch_path(spark, "knn-snapshot")
     snapshot.write_snapshot(base.positions(spark, sf), root)
-    stored = snapshot.read_snapshot(spark, root).drop("geo_point", "geo_cell")
+    stored = snapshot.read_snapshot(spark, root).drop("geo_point", "geo_curve")
     near = spatial.nearest_to(stored, fx.observers(spark, sf), 5)
     return rounded(near.select("observer_id", "norad_cat_id", "distance_km", "rank"), 3)
 
@@ -107,3 +117,28 @@ def sql_functions(spark, sf):
         "point_id", base.rnd("km", 3).alias("distance_km"),
         *[base.rnd(F.col(f"p.{axis}")).alias(axis) for axis in "xyz"],
     )
+
+
+_TEME = "SELECT point_id, seen_at, ex AS position_x_km, ey AS position_y_km, ez AS position_z_km FROM ({})".format(
+    base.ecef_from_geodetic_sql("geo_points", "latitude_deg", "longitude_deg", "altitude_km"))
+_FIXED = base.ecef_from_teme_sql(_TEME, base.jd_sql("seen_at"))
+
+
+@query("sql_frames", "geo_points", f"""
+SELECT point_id, {r('latitude_deg')}, {r('altitude_km')}, {r('sin(radians(longitude_deg))', 'sin_lon')},
+  {r('sin(radians(azimuth_deg))', 'sin_az')}, {r('elevation_deg')}, {r('range_km')}
+FROM ({base.look_sql(f"""SELECT *, {base.num(LAT)} AS observer_latitude_deg, {base.num(LON)} AS observer_longitude_deg,
+  0e0 AS observer_altitude_km FROM ({base.geodetic_sql(_FIXED)})""")})""")
+def sql_frames(spark, sf):
+    """Frame conversions and look angles, called from SQL. The points stand for inertial positions."""
+    register_functions(spark)
+    fx.geo_points(spark, sf).createOrReplaceTempView("skyledger_geo_points")
+    rows = spark.sql(f"""
+        SELECT point_id, ecef_to_geodetic(f.x, f.y, f.z) AS g,
+               look_angles({LAT}D, {LON}D, 0D, f.x, f.y, f.z) AS a
+        FROM (SELECT *, teme_to_ecef(p.x, p.y, p.z, jd) AS f FROM (
+          SELECT point_id, geodetic_to_ecef(latitude_deg, longitude_deg, altitude_km) AS p,
+                 {base.num(base.frames.UNIX_EPOCH_JD)[:-2]}D + unix_micros(seen_at) / 8.64e10D AS jd FROM skyledger_geo_points))""")
+    return rounded(rows.select(
+        "point_id", "g.latitude_deg", "g.altitude_km", F.sin(F.radians("g.longitude_deg")).alias("sin_lon"),
+        F.sin(F.radians("a.azimuth_deg")).alias("sin_az"), "a.elevation_deg", "a.range_km"))

@@ -20,18 +20,18 @@ STORED_SCHEMA = T.StructType(
                 [T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())]
             ),
         ),
-        T.StructField("geo_cell", T.IntegerType()),
+        T.StructField("geo_curve", T.IntegerType()),
     ]
 )
 
 
 def with_geo_point(positions: DataFrame) -> DataFrame:
-    """Point and grid cell, always derived from the coordinates they stand for."""
+    """Point and place on the curve, always derived from the coordinates they stand for."""
     lat, lon = F.col("latitude_deg"), F.col("longitude_deg")
     return positions.select(
         *POSITION_COLUMNS,
         geo.geo_point(lat, lon).alias("geo_point"),
-        geo.geo_cell(lat, lon).alias("geo_cell"),
+        geo.geo_curve(lat, lon).alias("geo_curve"),
     )
 
 
@@ -41,12 +41,14 @@ def write_snapshot(positions: DataFrame, root: str) -> int:
     Rows go to a folder of their own and become visible with one small marker file, so a
     reader sees the old snapshot or the new one, never a mixture. If there are no rows the
     old snapshot stays. Rows are counted while they are written.
+
+    Files are ranges of the curve and sorted along it, so a search around a place reads the row
+    groups near it. The ranges come from a sample, for which `positions` is computed once more.
     """
     spark = positions.sparkSession
     run, written = new_run(), Observation()
-    with_geo_point(positions).observe(written, F.count(F.lit(1)).alias("n")).write.parquet(
-        f"{root}/{run}"
-    )
+    laid_out = with_geo_point(positions).repartitionByRange("geo_curve").sortWithinPartitions("geo_curve")
+    laid_out.observe(written, F.count(F.lit(1)).alias("n")).write.parquet(f"{root}/{run}")
     if written.get["n"]:
         publish(spark, root, run)
     return written.get["n"]

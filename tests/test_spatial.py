@@ -34,6 +34,24 @@ def _pairs(points, places):
     return spatial._measured(points.withColumn("o", listed).select("*", "o.*").drop("o"))
 
 
+def test_ranges_of_the_curve_hold_every_point_of_a_box(spark, points):
+    from skyledger.functions import geo
+
+    placed = [(r.latitude_deg, r.longitude_deg, r.c) for r in points.withColumn(
+        "c", geo.geo_curve(F.col("latitude_deg"), F.col("longitude_deg"))).collect()]
+    assert len({c for *_, c in placed}) > 2500
+    for south, north, west, east in ((40, 60, 0, 30), (-90, -80, -180, 180), (-10, 10, 170, 200), (80, 90, -180, 180),
+                                     (0, 0.1, 12, 12.1), (-20, 5, -200, -150)):
+        ranges = geo.curve_ranges(south, north, west, east)
+        assert len(ranges) <= 34
+        within = lambda lon: any(west <= lon + t <= east for t in (-360, 0, 360))
+        for lat, lon, c in placed:
+            if south <= lat <= north and within(lon):
+                assert any(a <= c <= b for a, b in ranges), (lat, lon, south, north, west, east)
+        share = sum(b - a + 1 for a, b in ranges) / 4 ** geo.CURVE_BITS
+        assert share <= 4 * (north - south + 2) * min(360, east - west + 4) / 64800
+
+
 def test_known_distances(spark):
     rows = spark.createDataFrame(
         [(52.52, 13.40), (48.8566, 2.3522), (-52.52, -166.6), (0.0, 1.0)],
