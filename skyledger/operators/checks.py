@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.operators.ordered import OrderedGroups
@@ -75,11 +75,37 @@ UNIQUE_KEYS: tuple[tuple[str, tuple[str, ...]], ...] = (
 )
 
 _RESULT = ("model", "check", "column", "severity", "failures")
+_RESULT_SCHEMA = "model string, check string, column string, severity string, failures long"
+
+
+def row_checks_of(model: str) -> list[RowCheck]:
+    return [c for c in ROW_CHECKS if c.model == model]
+
+
+class Watched:
+    """Row checks of a table, counted while it is written or read for something else."""
+
+    def __init__(self, model: str) -> None:
+        self.checks, self.counts = row_checks_of(model), Observation()
+
+    def over(self, df: DataFrame) -> DataFrame:
+        """The rows, unchanged; their violations are counted as they pass."""
+        return df.observe(self.counts, *_counts(self.checks))
+
+    def results(self, spark: SparkSession) -> DataFrame:
+        """Violation counts, once the rows have passed."""
+        found = self.counts.get
+        rows = [(c.model, c.name, c.column, c.severity, found[f"_{i}"]) for i, c in enumerate(self.checks)]
+        return spark.createDataFrame(rows, _RESULT_SCHEMA)
+
+
+def _counts(checks: list[RowCheck]) -> list[Column]:
+    return [F.count_if(c.violated).alias(f"_{i}") for i, c in enumerate(checks)]
 
 
 def row_check_counts(df: DataFrame, checks: list[RowCheck]) -> DataFrame:
     """Violations of all row checks of one table, in a single aggregation over it."""
-    counts = df.agg(*[F.count_if(c.violated).alias(f"_{i}") for i, c in enumerate(checks)])
+    counts = df.agg(*_counts(checks))
     rows = [
         F.struct(
             F.lit(c.model).alias("model"), F.lit(c.name).alias("check"),
@@ -129,6 +155,44 @@ def broken_intervals(elsets: DataFrame) -> DataFrame:
     )
 
 
+def history_counts(elsets: DataFrame) -> DataFrame:
+    """Violations of the three checks on an object's history, behind one exchange on the object.
+
+    Repeated (object, epoch), several current rows, and intervals that do not meet: a row and its
+    neighbours in time decide all of them.
+    """
+    rows = elsets.select("norad_cat_id", "epoch", "valid_from", "valid_to", "is_current")
+    groups = OrderedGroups(rows, ["norad_cat_id"], ["valid_from", "epoch"]).neighbours(
+        previous={"_epoch_before": "epoch"}, following={"_epoch_after": "epoch", "_next_from": "valid_from"})
+    known = F.col("norad_cat_id").isNotNull()
+    repeats = known & (F.col("epoch") == F.col("_epoch_after")) & ~F.coalesce(
+        F.col("epoch") == F.col("_epoch_before"), F.lit(False))
+    broken = ~F.col("valid_to").eqNullSafe(F.col("_next_from")) | (F.col("valid_to") <= F.col("valid_from"))
+    total = groups.result().groupBy("norad_cat_id").agg(
+        F.count_if(repeats).alias("repeats"), F.count_if(F.coalesce(broken, F.lit(False))).alias("broken"),
+        F.count_if("is_current").alias("current"),
+    ).agg(F.sum("repeats").alias("repeats"), F.sum("broken").alias("broken"), F.count_if(F.col("current") > 1).alias("current"))
+    each = [("unique", "norad_cat_id,epoch", "repeats"), ("one_current", "norad_cat_id", "current"),
+            ("contiguous", "valid_to", "broken")]
+    return total.select(F.inline(F.array(*[
+        F.struct(F.lit("elset").alias("model"), F.lit(name).alias("check"), F.lit(column).alias("column"),
+                 F.lit("error").alias("severity"), F.coalesce(F.col(count), F.lit(0)).alias("failures"))
+        for name, column, count in each])))
+
+
+def feed_results(raw_gp: DataFrame, raw_satcat: DataFrame, now: Column) -> DataFrame:
+    """Freshness of both feeds and their coupling, as results that `require_passed` can refuse."""
+    aged = freshness(raw_gp, "gp", now).unionByName(freshness(raw_satcat, "satcat", now)).select(
+        F.concat(F.lit("raw_"), "feed").alias("model"), F.lit("freshness").alias("check"),
+        F.lit("ingest_ts").alias("column"), F.when(F.col("status") == "error", "error").otherwise("warn").alias("severity"),
+        (F.col("status") != "pass").cast("long").alias("failures"))
+    coupled = decay_coupling(raw_gp, raw_satcat).select(
+        F.lit("raw_satcat").alias("model"), F.lit("coupling").alias("check"), F.lit("ingest_ts").alias("column"),
+        F.lit("warn").alias("severity"),
+        F.coalesce(F.col("decay_gate_may_be_stale"), F.lit(True)).cast("long").alias("failures"))
+    return aged.unionByName(coupled)
+
+
 def _counted(df: DataFrame, model: str, check: str, column: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("failures")).select(
         F.lit(model).alias("model"), F.lit(check).alias("check"), F.lit(column).alias("column"),
@@ -178,15 +242,19 @@ def require_columns(df: DataFrame, feed: Feed) -> None:
         raise CheckFailure(f"{feed.name}: expected {feed.columns}, found {tuple(df.columns)}")
 
 
-def run_checks(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Violation counts of every check whose tables are given."""
-    results = []
+def run_checks(tables: Mapping[str, DataFrame], watched: Sequence[DataFrame] = ()) -> DataFrame:
+    """Violation counts of every check whose tables are given.
+
+    `watched` are results of row checks that were counted before; their tables are not read for
+    these again.
+    """
+    results = list(watched)
     for model, df in tables.items():
-        checks = [c for c in ROW_CHECKS if c.model == model]
-        if checks:
+        checks = row_checks_of(model)
+        if checks and not watched:
             results.append(row_check_counts(df, checks))
     for model, keys in UNIQUE_KEYS:
-        if model in tables:
+        if model in tables and model != "elset":
             results.append(
                 _counted(repeated_keys(tables[model], keys), model, "unique", ",".join(keys))
             )
@@ -194,12 +262,7 @@ def run_checks(tables: Mapping[str, DataFrame]) -> DataFrame:
         orphans = missing_parents(tables["fact"], tables["dim_object"])
         results.append(_counted(orphans, "fact", "relationship", "norad_cat_id"))
     if "elset" in tables:
-        results.append(
-            _counted(many_current(tables["elset"]), "elset", "one_current", "norad_cat_id")
-        )
-        results.append(
-            _counted(broken_intervals(tables["elset"]), "elset", "contiguous", "valid_to")
-        )
+        results.append(history_counts(tables["elset"]))
     merged = results[0]
     for other in results[1:]:
         merged = merged.unionByName(other)

@@ -108,15 +108,15 @@ def with_validity(elsets: DataFrame, measured: DataFrame | None = None) -> DataF
     )
 
 
-def elset(staged: DataFrame) -> DataFrame:
+def elset(staged: DataFrame, measured: DataFrame | None = None) -> DataFrame:
     """Deduplicated element-set history with validity intervals.
 
     Copies are removed on (object, epoch), with one survivor per map task, before the intervals
-    are computed; objects are counted in the staged rows.
+    are computed; objects are counted in the staged rows, or in `measured`.
     """
     columns = [c for c in GP_TYPES] + ["valid_from", "valid_to"]
     columns += [c for c in LINEAGE_COLUMNS if c != "target"] + ["is_current"]
-    return with_validity(dedup_earliest(staged), measured=staged).select(*columns)
+    return with_validity(dedup_earliest(staged), staged if measured is None else measured).select(*columns)
 
 
 def space_object(staged: DataFrame) -> DataFrame:

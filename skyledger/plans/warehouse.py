@@ -33,31 +33,44 @@ def _folder(root: str, run: str, name: str) -> str:
 
 
 def build(
-    spark: SparkSession, raw_gp: DataFrame, raw_satcat: DataFrame, root: str
+    spark: SparkSession, raw_gp: DataFrame, raw_satcat: DataFrame, root: str, now=None
 ) -> dict[str, DataFrame]:
     """Write silver, check it, then write and check gold; returns the written layers.
 
     A build has a folder of its own and is published with one marker after the last check. A
-    failed check or an interruption leaves the version before it readable.
+    failed check or an interruption leaves the version before it readable. Row checks are counted
+    while rows pass on their way into a table, raw and staged ones included. With `now` the feeds
+    have to be fresh at that instant, too.
     """
     run = new_run()
+    checks.require_columns(raw_gp, GP)
+    checks.require_columns(raw_satcat, SATCAT)
+    if now is not None:
+        checks.require_passed(checks.feed_results(raw_gp, raw_satcat, instant(now)))
     tables = {"raw_gp": raw_gp, "raw_satcat": raw_satcat}
     tables["stg_gp"], tables["stg_satcat"] = silver.stage_gp(raw_gp), silver.stage_satcat(raw_satcat)
+    seen = {n: checks.Watched(n) for n in ("raw_gp", "raw_satcat", "stg_gp", "stg_satcat", *MATERIALISED)}
 
     def store(name: str, df: DataFrame) -> DataFrame:
         path = _folder(root, run, name)
-        df.write.parquet(path)
+        seen[name].over(df).write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    tables["elset"] = store("elset", silver.elset(tables["stg_gp"]))
-    tables["space_object"] = store("space_object", silver.space_object(tables["stg_satcat"]))
-    checks.require_columns(raw_gp, GP)
-    checks.require_columns(raw_satcat, SATCAT)
-    checks.require_passed(checks.run_checks(tables))
+    def results(*names: str) -> list[DataFrame]:
+        return [seen[n].results(spark) for n in names]
+
+    staged_gp = seen["stg_gp"].over(silver.stage_gp(seen["raw_gp"].over(raw_gp)))
+    staged_satcat = seen["stg_satcat"].over(silver.stage_satcat(seen["raw_satcat"].over(raw_satcat)))
+    tables["elset"] = store("elset", silver.elset(staged_gp, measured=tables["stg_gp"]))
+    tables["space_object"] = store("space_object", silver.space_object(staged_satcat))
+    silver_tables = {n: tables[n] for n in ("elset", "space_object")}
+    checks.require_passed(checks.run_checks(
+        silver_tables, results("raw_gp", "raw_satcat", "stg_gp", "stg_satcat", "elset", "space_object")))
     tables["dim_object"] = store("dim_object", gold.dim_object(tables["space_object"]))
     tables["fact"] = gold.fact_propagatable(tables["elset"], tables["dim_object"])
     served = {n: tables[n] for n in ("dim_object", "fact")}
-    checks.require_passed(checks.run_checks(served))
+    fact_rows = checks.row_check_counts(tables["fact"], checks.row_checks_of("fact"))
+    checks.require_passed(checks.run_checks(served, [*results("dim_object"), fact_rows]))
     publish(spark, root, run)
     return tables
 
@@ -85,17 +98,53 @@ def sky_now(
     return with_display_attributes(propagate(fact, at, kernel=kernel), chosen)
 
 
+def _sky_folder(spark: SparkSession, at, root: str, kernel: str) -> str:
+    micros = spark.range(1).select(F.unix_micros(instant(at))).first()[0]
+    return f"{root}/kernel={kernel}/at={micros}"
+
+
+def _store_sky(sky: DataFrame, folder: str) -> DataFrame:
+    spark, run = sky.sparkSession, new_run()
+    sky.write.parquet(f"{folder}/{run}")
+    publish(spark, folder, run)
+    return spark.read.schema(sky.schema).parquet(f"{folder}/{run}")
+
+
 def stored_sky(fact: DataFrame, dim: DataFrame, at, root: str, *, kernel: str = "j2") -> DataFrame:
     """The whole sky at one instant, computed once and read from then on.
 
     Filters on the result are ordinary filters on a stored table, so questions about one instant
-    don't propagate the catalogue again. A new catalogue wants a new root.
+    don't propagate the catalogue again. `refresh_sky` brings it up to a new catalogue.
     """
     spark = fact.sparkSession
-    micros = spark.range(1).select(F.unix_micros(instant(at))).first()[0]
-    folder = f"{root}/kernel={kernel}/at={micros}"
-    if newest_run(spark, folder)[1] is None:
-        run = new_run()
-        sky_now(fact, dim, at, kernel=kernel).write.parquet(f"{folder}/{run}")
-        publish(spark, folder, run)
-    return spark.read.parquet(f"{folder}/{newest_run(spark, folder)[1]}")
+    folder = _sky_folder(spark, at, root, kernel)
+    _, run = newest_run(spark, folder)
+    if run is None:
+        return _store_sky(sky_now(fact, dim, at, kernel=kernel), folder)
+    return spark.read.parquet(f"{folder}/{run}")
+
+
+def changed_elsets(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows of a fact whose object had another element set in force before, or none."""
+    elements = [c for c in silver.GP_TYPES if c in after.columns]
+    same = lambda df: df.select("norad_cat_id", F.xxhash64(*elements).alias("_in_force"))
+    stamped = after.withColumn("_in_force", F.xxhash64(*elements))
+    return stamped.join(same(before), ["norad_cat_id", "_in_force"], "left_anti").select(*after.columns)
+
+
+def refresh_sky(
+    before: DataFrame, fact: DataFrame, dim: DataFrame, at, root: str, *, kernel: str = "j2"
+) -> DataFrame:
+    """Bring a stored sky from the fact `before` to a new one.
+
+    Only objects whose element set in force has changed are propagated. The positions of the others
+    stay, those of objects no longer in the fact go; attributes are those of `dim`, as a whole.
+    """
+    spark = fact.sparkSession
+    stored = stored_sky(before, dim, at, root, kernel=kernel)
+    changed = changed_elsets(before, fact)
+    unchanged = fact.select("norad_cat_id").join(changed.select("norad_cat_id"), "norad_cat_id", "left_anti")
+    fresh = propagate(changed, at, kernel=kernel)
+    kept = stored.select(*fresh.columns).join(unchanged, "norad_cat_id", "left_semi")
+    sky = with_display_attributes(kept.unionByName(fresh), dim)
+    return _store_sky(sky, _sky_folder(spark, at, root, kernel))

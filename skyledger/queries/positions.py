@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skyledger import fixtures as fx
 from skyledger.functions import frames, orbit
-from skyledger.operators import enrich, summaries
+from skyledger.operators import enrich, gold, silver, summaries
 from skyledger.operators.propagate import propagate, propagate_all, propagate_grid
 from skyledger.plans import warehouse
 from skyledger.queries import base
@@ -161,17 +161,14 @@ def speed(spark, sf):
     )
 
 
-@query("attach_dimension", "positions dim_object", f"""
-SELECT p.norad_cat_id, {r('altitude_km')}, object_name, object_type, orbit_regime, owner,
+@query("attach_dimension", "elset dim_object", """
+SELECT e.norad_cat_id, e.epoch, cast(e.inclination AS DOUBLE) AS inclination, d.object_name, object_type, orbit_regime, owner,
   cast(launch_date AS VARCHAR) AS launch_date, launch_site
-FROM positions p LEFT JOIN (SELECT * FROM dim_object WHERE norad_cat_id % 5 <> 0) d USING (norad_cat_id)""")
+FROM elset e LEFT JOIN dim_object d USING (norad_cat_id)""")
 def attach_dimension(spark, sf):
-    # A dimension with gaps: positions without an object must stay.
-    partial = base.dim(spark, sf).where("norad_cat_id % 5 <> 0")
-    joined = enrich.attach_dimension(
-        base.positions(spark, sf).select("norad_cat_id", "altitude_km"), partial
-    )
-    return rounded(base.plain(joined))
+    # Some element sets are of objects that the catalogue does not list: they must stay.
+    rows = base.elset(spark, sf).select("norad_cat_id", "epoch", "inclination")
+    return base.plain(enrich.attach_dimension(rows, base.dim(spark, sf)))
 
 
 @query("snapshot_names", "positions dim_object", f"""
@@ -182,6 +179,33 @@ def snapshot_names(spark, sf):
     return rounded(named.select("norad_cat_id", "object_name", "orbit_regime", "altitude_km"))
 
 
+@query("sky_stored", "sky", f"""
+SELECT norad_cat_id, object_name, orbit_regime, owner, is_stale, {r('altitude_km')}, {r('speed_km_s')} FROM sky
+WHERE orbit_regime = 'MEO' AND altitude_km BETWEEN 300 AND 40000""")
+def sky_stored(spark, sf):
+    """Two questions about one instant: the second reads what the first has stored."""
+    root, shown = scratch_path(spark, "sky"), enrich.dashboard_filter(regimes=["MEO"], altitude_range=(300.0, 40000.0))
+    fact, dim = base.fact(spark, sf), base.dim(spark, sf)
+    warehouse.stored_sky(fact, dim, AT, root)
+    sky = warehouse.stored_sky(fact, dim, AT, root).where(shown)
+    return rounded(sky.select("norad_cat_id", "object_name", "orbit_regime", "owner", "is_stale", "altitude_km", "speed_km_s"))
+
+
+@query("sky_refreshed", "sky", f"""
+SELECT norad_cat_id, object_name, orbit_regime, {r('latitude_deg')}, {r('altitude_km')} FROM sky""")
+def sky_refreshed(spark, sf):
+    """The sky of an older catalogue, in which every fiftieth object had other elements, brought up
+    to date: changed objects alone are propagated."""
+    root, dim = scratch_path(spark, "sky"), base.dim(spark, sf)
+    first = base.staged_gp(spark, sf).withColumn(
+        "mean_motion", F.when(F.col("norad_cat_id") % 50 == 0, F.col("mean_motion") + 1)
+        .otherwise(F.col("mean_motion")).cast("decimal(12,8)"))
+    before = gold.fact_propagatable(silver.elset(first), dim)
+    warehouse.stored_sky(before, dim, AT, root)
+    sky = warehouse.refresh_sky(before, base.fact(spark, sf), dim, AT, root)
+    return rounded(sky.select("norad_cat_id", "object_name", "orbit_regime", "latitude_deg", "altitude_km"))
+
+
 # Every element set of the tables is weeks old at the snapshot. Seen from 800 hours earlier
 # some are fresh and some lie in the future.
 _EARLIER = f"""SELECT norad_cat_id, orbit_regime, {r('age', 'epoch_age_hours')},

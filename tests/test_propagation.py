@@ -2,11 +2,13 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
-from support import ELEMENTS, GEO, ISS, ISS_EPOCH
+from support import ELEMENTS, GEO, ISS, ISS_EPOCH, SF, same_rows
 from pyspark.sql import functions as F
 
 from skyledger.functions import sgp4
 from skyledger.operators.propagate import propagate, propagate_all, propagate_grid
+from skyledger.plans import warehouse
+from skyledger.queries import base
 from skyledger.schemas import POSITION_COLUMNS
 
 # Published verification ephemerides (AIAA 2006-6753): object, elements, minutes, state.
@@ -103,3 +105,19 @@ def test_filters_do_not_unfold_the_kernel(iss):
     rows = propagate(iss, ISS_EPOCH, kernel="j2").where("altitude_km > 100 AND latitude_deg < 90")
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 60_000
+
+
+def test_a_refreshed_sky_propagates_what_changed(spark, tmp_path):
+    sf, root = SF, str(tmp_path / "sky")
+    fact, dim = base.fact(spark, sf), base.dim(spark, sf)
+    before = fact.where("norad_cat_id % 31 <> 4").withColumn(
+        "mean_anomaly", F.when(F.col("norad_cat_id") % 29 == 3, F.col("mean_anomaly") + 1)
+        .otherwise(F.col("mean_anomaly")).cast(fact.schema["mean_anomaly"].dataType))
+    changed = {r.norad_cat_id for r in warehouse.changed_elsets(before, fact).collect()}
+    ids = [r.norad_cat_id for r in fact.select("norad_cat_id").collect()]
+    assert changed == {i for i in ids if i % 31 == 4 or i % 29 == 3} and 0 < len(changed) < 0.2 * len(ids)
+    fewer = fact.where("norad_cat_id % 37 <> 5")
+    warehouse.stored_sky(before, dim, base.AT, root)
+    sky = warehouse.refresh_sky(before, fewer, dim, base.AT, root)
+    assert same_rows(sky, warehouse.sky_now(fewer, dim, base.AT))
+    assert same_rows(sky, warehouse.stored_sky(fewer, dim, base.AT, root))
