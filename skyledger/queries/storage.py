@@ -6,6 +6,8 @@ back through the operators under test.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,18 +65,77 @@ def scan_manifest(spark, sf):
     return landing.scan_manifest(spark, path, compacted=True)
 
 
+#: What the ingest records of each landed file.
+_RECORDS = {
+    "gp_a.csv": ("2001-08-31T02:00:00.000000+00:00", "ingestion-a", "active"),
+    "gp_b.csv": ("2001-08-31T14:00:00.000000+00:00", "ingestion-b", "active"),
+    "satcat_1.csv": ("2001-08-30T06:00:00.000000+00:00", "cat-1", "catalogue"),
+    "satcat_2a.csv": ("2001-08-31T06:00:00.000000+00:00", "cat-2a", "catalogue"),
+    "satcat_2b.csv": ("2001-08-31T06:00:00.000000+00:00", "cat-2b", "catalogue"),
+}
+
+
+def _landing(spark: SparkSession, rows: DataFrame, columns: list[str]) -> str:
+    """Landed files as a feed leaves them: one CSV for each `source_file`, every second one with its
+    columns in reverse, each with a JSON sidecar."""
+    path, hadoop = scratch_path(spark, "landed"), spark._jvm.org.apache.hadoop.fs
+    store = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [n for n in _RECORDS if n.split("_")[0] == ("gp" if "epoch" in columns else "satcat")]
+    for i, name in enumerate(names):
+        part = f"{path}-parts/{name}"
+        ordered = columns[::-1] if i % 2 else columns
+        landed = rows.where(F.col("source_file") == name).select(*[F.col(c).alias(c.upper()) for c in ordered])
+        landed.coalesce(1).write.option("header", True).csv(part)
+        written = store.globStatus(hadoop.Path(f"{part}/part-*.csv"))[0].getPath()
+        store.mkdirs(hadoop.Path(path))
+        store.rename(written, hadoop.Path(f"{path}/{name}"))
+        at, ingestion, target = _RECORDS[name]
+        record = {"ingested_at": at, "ingestion_id": ingestion, "source": "feed", "source_file": name, "target": target,
+                  "bytes": store.getFileStatus(hadoop.Path(f"{path}/{name}")).getLen(), "etag": ingestion}
+        out = store.create(hadoop.Path(f"{path}/{name}.meta.json"))
+        out.write(bytearray(json.dumps(record).encode()))
+        out.close()
+    return path
+
+
+def _recorded(columns: str, view: str) -> str:
+    """Rows as the records of their landings attribute them."""
+    case = lambda i: " ".join(f"WHEN '{n}' THEN '{r[i]}'" for n, r in _RECORDS.items())
+    stamp = " ".join(f"WHEN '{n}' THEN TIMESTAMP '{r[0][:19].replace('T', ' ')}'" for n, r in _RECORDS.items())
+    return f"""SELECT CASE source_file {stamp} END AS ingest_ts, CASE source_file {case(1)} END AS ingestion_id, 'feed' AS source,
+  source_file, CASE source_file {case(2)} END AS target, {columns} FROM {view}"""
+
+
+_ATTRIBUTED = _recorded(PAYLOAD, "raw_gp")
+
+
 @query("attach_lineage", "raw_gp", f"""
-SELECT TIMESTAMP '2001-08-31 07:30:00' AS ingest_ts, 'ingestion-c' AS ingestion_id, 'feed' AS source,
-  'active' AS target, {PAYLOAD}, '2001-08-31' AS ingest_date, '07' AS hour FROM raw_gp""")
+SELECT *, strftime(ingest_ts, '%Y-%m-%d') AS ingest_date, strftime(ingest_ts, '%H') AS hour FROM ({_ATTRIBUTED})""")
 def attach_lineage(spark, sf):
-    path = _csv(spark, sf)
-    manifest = landing.landed_files(spark, path).select(
-        F.lit("2001-08-31T07:30:00Z").cast("timestamp").alias("ingested_at"),
-        F.lit("ingestion-c").alias("ingestion_id"), F.lit("feed").alias("source"),
-        "source_file", F.lit("active").alias("target"),
-    )
+    path = _landing(spark, fx.raw_gp(spark, sf), GP.payload)
     rows = landing.scan_landing_csv(spark, path, GP)
-    return landing.attach_lineage(rows, manifest, GP).drop("source_file")
+    return landing.attach_lineage(rows, landing.scan_manifest(spark, path), GP)
+
+
+#: A landing is a snapshot: one element set for each object, the newest.
+_SNAPSHOT = """(SELECT * FROM raw_gp QUALIFY row_number() OVER (
+  PARTITION BY source_file, norad_cat_id ORDER BY epoch DESC, ingestion_id DESC) = 1)"""
+
+
+def _snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    newest = [F.desc("epoch"), F.desc("ingestion_id")]
+    return silver.first_per_key(fx.raw_gp(spark, sf), ["source_file", "norad_cat_id"], newest)
+
+
+@query("land_and_load", "raw_gp", _recorded(PAYLOAD, _SNAPSHOT))
+def land_and_load(spark, sf):
+    """CSV and sidecars to a table, one landing after another, the first one twice."""
+    bronze_root, table = scratch_path(spark, "land-bronze"), scratch_path(spark, "land-table")
+    rows = _snapshots(spark, sf)
+    path = _landing(spark, rows, GP.payload)
+    bronze.load_all(spark, {GP: (path, bronze_root, table)}, source_file="gp_a.csv")
+    bronze.load_all(spark, {GP: (path, bronze_root, table)})
+    return bronze.scan_bronze(spark, table, GP)
 
 
 def _bronze(spark: SparkSession, sf: str) -> str:
@@ -123,22 +184,31 @@ def conflict_anti_join(spark, sf):
     )
 
 
+_LINEAGE = "ingest_ts, ingestion_id, source, source_file, target"
+
+
+def _as_text(payload: list[str]) -> str:
+    return " || '|' || ".join(f"coalesce({c}, '~')" for c in payload)
+
+
 @query("load_all", "raw_gp raw_satcat", f"""
-SELECT 'gp' AS feed, count(*) AS n FROM ({_LOADED})
-UNION ALL SELECT 'satcat', count(*) FROM raw_satcat""")
+SELECT 'gp' AS feed, {_LINEAGE}, {_as_text(GP.payload)} AS payload FROM ({_recorded(PAYLOAD, _SNAPSHOT)})
+UNION ALL SELECT 'satcat', {_LINEAGE}, {_as_text(SATCAT.payload)}
+FROM ({_recorded(', '.join(SATCAT.payload), 'raw_satcat')})""")
 def load_all(spark, sf):
-    roots = {feed: scratch_path(spark, f"bronze-{feed.name}") for feed in (GP, SATCAT)}
-    tables = {feed: scratch_path(spark, f"table-{feed.name}") for feed in roots}
-    fx.raw_gp(spark, sf).select(*GP.columns).write.parquet(roots[GP])
-    fx.raw_satcat(spark, sf).select(*SATCAT.columns).write.parquet(roots[SATCAT])
-    feeds = {feed: (None, roots[feed], tables[feed]) for feed in roots}
+    """Both feeds from landed files with sidecars to tables, twice; every column of every row."""
+    feeds = {}
+    for feed, rows in ((GP, _snapshots(spark, sf)), (SATCAT, fx.raw_satcat(spark, sf))):
+        feeds[feed] = (_landing(spark, rows, feed.payload), scratch_path(spark, "all-bronze"), scratch_path(spark, "all-table"))
     bronze.load_all(spark, feeds)
     bronze.load_all(spark, feeds)
-    counts = [
-        bronze.scan_bronze(spark, tables[f], f).agg(F.count(F.lit(1)).alias("n"))
-        .select(F.lit(f.name).alias("feed"), "n") for f in roots
-    ]
-    return counts[0].unionByName(counts[1])
+    loaded = None
+    for feed, (_, _, table) in feeds.items():
+        text = F.concat_ws("|", *[F.coalesce(c, F.lit("~")) for c in feed.payload])
+        one = bronze.scan_bronze(spark, table, feed).select(
+            F.lit(feed.name).alias("feed"), *_LINEAGE.split(", "), text.alias("payload"))
+        loaded = one if loaded is None else loaded.unionByName(one)
+    return loaded
 
 
 _ROWS = {

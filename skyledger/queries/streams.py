@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skyledger import fixtures as fx
 from skyledger.operators import silver
 from skyledger.queries.base import gp_plain, plain, query
-from skyledger.queries.storage import _LOADED
+from skyledger.queries.storage import _LOADED, _SNAPSHOT, _landing, _recorded, _snapshots
 from skyledger.schemas import GP
 from skyledger.session import scratch_path
 from skyledger.sources.bronze import scan_bronze
@@ -26,6 +26,20 @@ def stream_landings(spark, sf):
     return scan_bronze(spark, table, GP)
 
 
+@query("stream_land", "raw_gp", _recorded(", ".join(GP.payload), _SNAPSHOT))
+def stream_land(spark, sf):
+    """CSV files and sidecars as streams; the second file's sidecar comes a batch late."""
+    folder, table = _landing(spark, _snapshots(spark, sf), GP.payload), scratch_path(spark, "land-table")
+    checkpoint, hadoop = scratch_path(spark, "land-state"), spark._jvm.org.apache.hadoop.fs
+    store = hadoop.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    late, away = hadoop.Path(f"{folder}/gp_b.csv.meta.json"), hadoop.Path(f"{folder}-parts/late.json")
+    store.rename(late, away)
+    landings.stream_land(spark, folder, table, GP, checkpoint).awaitTermination()
+    store.rename(away, late)
+    landings.stream_land(spark, folder, table, GP, checkpoint).awaitTermination()
+    return scan_bronze(spark, table, GP)
+
+
 @query("stream_dedup_first_seen", "elset_first", f"SELECT * REPLACE ({gp_plain()}) FROM elset_first")
 def stream_dedup_first_seen(spark, sf):
     """Three batches, the newest landings first."""

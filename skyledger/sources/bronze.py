@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -70,14 +71,58 @@ def new_rows(batch: DataFrame, target: DataFrame, feed: Feed) -> DataFrame:
     return unique.join(known, list(feed.key), "left_anti").select(*feed.columns)
 
 
+#: Which landing files each load of a table has rows of; hidden from readers of the table.
+_SUMMARY = "_landings"
+_SUMMARY_SCHEMA = "loaded string, source_file string"
+
+
+def _loads(spark: SparkSession, table: str) -> set[str]:
+    """Loads that a table holds, from the names of its folders."""
+    if not path_exists(spark, table):
+        return set()
+    where = spark._jvm.org.apache.hadoop.fs.Path(table)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [status.getPath().getName() for status in store.listStatus(where)]
+    return {n.removeprefix("loaded=") for n in names if n.startswith("loaded=")}
+
+
+def loads_in_question(batch: DataFrame, table: str) -> list[str]:
+    """Loads of a table that may hold a key of the batch.
+
+    A key names its landing file, so only loads with rows of the batch's landing files count. Each
+    load has written down its files; one that was interrupted before it could is in question too.
+    """
+    spark = batch.sparkSession
+    held = _loads(spark, table)
+    if not held or not path_exists(spark, f"{table}/{_SUMMARY}"):
+        return sorted(held)
+    known = spark.read.schema(_SUMMARY_SCHEMA).json(f"{table}/{_SUMMARY}")
+    files = batch.select("source_file").distinct()
+    marked = known.join(files.withColumn("_here", F.lit(True)), "source_file", "left").groupBy("loaded").agg(
+        F.coalesce(F.bool_or("_here"), F.lit(False)).alias("here"))
+    marks = {r["loaded"]: r["here"] for r in marked.collect()}  # one row for each load
+    return sorted(load for load in held if marks.get(load, True))
+
+
 def load_insert_if_absent(batch: DataFrame, table: str, feed: Feed) -> int:
-    """Append the rows whose key is not in the table yet; returns how many there were."""
+    """Append the rows whose key is not in the table yet; returns how many there were.
+
+    Every load has a folder of its own. Of the table only the loads that have rows of the batch's
+    landing files are read, so a load costs what it brings, however large the table is.
+    """
     spark = batch.sparkSession
-    target = read_or_empty(spark, table, feed.schema)
-    inserted = Observation()
-    new_rows(batch, target, feed).observe(inserted, F.count(F.lit(1)).alias("n")).write.mode(
-        "append"
-    ).parquet(table)
+    folders = [f"{table}/loaded={load}" for load in loads_in_question(batch, table)]
+    if folders:
+        target = configure(spark).read.schema(feed.schema).parquet(*folders)
+    else:
+        target = spark.createDataFrame([], feed.schema)
+    load, inserted = uuid.uuid4().hex, Observation()
+    # Names of landing files: the scan of the batch has listed them on the driver already.
+    counted = new_rows(batch, target, feed).observe(
+        inserted, F.count(F.lit(1)).alias("n"), F.collect_set("source_file").alias("files"))
+    counted.write.parquet(f"{table}/loaded={load}")
+    rows = [(load, name) for name in inserted.get["files"]] or [(load, None)]
+    spark.createDataFrame(rows, _SUMMARY_SCHEMA).coalesce(1).write.mode("append").json(f"{table}/{_SUMMARY}")
     return inserted.get["n"]
 
 

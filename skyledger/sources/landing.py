@@ -19,9 +19,9 @@ def file_name(path) -> F.Column:
 
 
 def scan_landing_csv(
-    spark: SparkSession, path: str, feed: Feed, *, null_tokens: tuple[str, ...] = ()
+    spark: SparkSession, path: str | list[str], feed: Feed, *, null_tokens: tuple[str, ...] = ()
 ) -> DataFrame:
-    """All landed CSV files below a folder, every column text, empty fields NULL.
+    """All landed CSV files below a folder, or those listed; every column text, empty fields NULL.
 
     Every file is read by its own header line: the line is found among the file's rows and joined
     to them by the file's name. `null_tokens` lists further texts to read as NULL.
@@ -38,13 +38,16 @@ def scan_landing_csv(
     names = F.transform("_cells", F.lower)
     is_header = F.coalesce(
         F.array_sort(names) == F.array(*map(F.lit, sorted(feed.payload))), F.lit(False))
-    headers = lines.where(is_header).select("source_file", names.alias("_names")).distinct()
+    # The place of every column in the file, once for each file.
+    places = F.array(*[F.array_position(names, c).cast("int") for c in feed.payload])
+    headers = lines.where(is_header).select("source_file", places.alias("_places")).distinct()
     bare = F.raise_error(F.concat(F.lit("no header in "), F.col("source_file")))
-    values = F.map_from_arrays(F.when(F.col("_names").isNull(), bare).otherwise(F.col("_names")), "_cells")
+    known = F.when(F.col("_places").isNull(), bare).otherwise(F.col("_places"))
     named = (
         lines.where(~is_header).join(headers, "source_file", "left")
-        .select("source_file", values.alias("_values"))
-        .select("source_file", *[F.col("_values")[c].alias(c) for c in feed.payload])
+        .select("source_file", "_cells", known.alias("_places"))
+        .select("source_file", *[
+            F.element_at("_cells", F.col("_places")[i]).alias(c) for i, c in enumerate(feed.payload)])
     )
     if null_tokens:
         named = named.withColumns(

@@ -1,16 +1,25 @@
-"""Incremental ingest with Structured Streaming."""
+"""Incremental ingest with Structured Streaming.
+
+Landed files and their sidecars are two streams, paired by the file's name: what comes first waits
+in the state for the other, so a sidecar may be late, or early. Only names and records are in the
+state; rows are read once their file is attributed.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from skyledger.operators.silver import dedup_earliest, with_validity
-from skyledger.schemas import Feed
+from skyledger.schemas import MANIFEST_SCHEMA, Feed
 from skyledger.session import configure
+from skyledger.sources import landing
 from skyledger.sources.bronze import load_insert_if_absent
 from skyledger.sources.published import BucketedTable
 
@@ -33,6 +42,64 @@ def _each_batch(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame],
     )
 
 
+_PAIR = "source_file string, path string, record string"
+
+
+def stream_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """(source_file, path, record): landed CSV files with their sidecar's record as JSON text.
+
+    A file is put out once. A sidecar that cannot be read leaves its file waiting.
+    """
+
+    def paired(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """A landed file with its record, once both are there. Later copies of either are ignored."""
+        path, record, done = state.get if state.exists else (None, None, False)
+        for part in parts:
+            path = path or next(iter(part["path"].dropna()), None)
+            record = record or next(iter(part["record"].dropna()), None)
+        if path and record and not done:
+            yield pd.DataFrame({"source_file": [key[0]], "path": [path], "record": [record]})
+            path, record, done = None, None, True
+        state.update((path, record, done))
+
+    configure(spark)
+    # Only the path is read; a stream wants the whole schema of the source.
+    listed = spark.readStream.format("binaryFile").schema(
+        "path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.csv")
+    files = listed.load(folder).select(
+        landing.file_name(F.col("path")).alias("source_file"), "path", F.lit(None).cast("string").alias("record"))
+    records = spark.readStream.schema(MANIFEST_SCHEMA).options(
+        multiLine="true", mode="PERMISSIVE", pathGlobFilter="*.meta.json").json(folder)
+    whole = F.to_json(F.struct(*[F.col(c) for c in records.columns]))
+    sidecars = records.where("source_file IS NOT NULL AND ingested_at IS NOT NULL").select(
+        "source_file", F.lit(None).cast("string").alias("path"), whole.alias("record"))
+    return files.unionByName(sidecars).groupBy("source_file").applyInPandasWithState(
+        paired, _PAIR, "path string, record string, done boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def load_pairs(pairs: DataFrame, table: str, feed: Feed) -> int:
+    """Read the files of a batch of pairs, attribute their rows and load them."""
+    spark = pairs.sparkSession
+    pairs = pairs.persist()  # else the state is consulted once for each use
+    listed = [r["path"] for r in pairs.select("path").collect()]  # the files of one micro-batch
+    if not listed:
+        return 0
+    manifest = pairs.select(F.from_json("record", MANIFEST_SCHEMA).alias("r")).select("r.*").withColumn(
+        "ingested_at", F.col("ingested_at").cast("timestamp"))
+    rows = landing.attach_lineage(landing.scan_landing_csv(spark, listed, feed), manifest, feed)
+    loaded = load_insert_if_absent(rows.select(*feed.columns), table, feed)
+    pairs.unpersist()
+    return loaded
+
+
+def stream_land(spark: SparkSession, folder: str, table: str, feed: Feed, checkpoint: str) -> StreamingQuery:
+    """Load landed CSV files as they come, each with its sidecar.
+
+    A replayed micro-batch finds its own rows in the table and adds nothing.
+    """
+    return _each_batch(stream_pairs(spark, folder), checkpoint, lambda pairs: load_pairs(pairs, table, feed))
+
+
 def stream_load(stream: DataFrame, table: str, feed: Feed, checkpoint: str) -> StreamingQuery:
     """Load a stream of bronze rows into a table, skipping keys it already holds.
 

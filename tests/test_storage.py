@@ -6,10 +6,11 @@ from support import ISS_EPOCH, SF
 from pyspark.sql import functions as F
 
 from skyledger import fixtures as fx
+from skyledger.operators import spatial
 from skyledger.operators.checks import CheckFailure
 from skyledger.operators.propagate import propagate, propagate_grid
 from skyledger.plans import warehouse
-from skyledger.schemas import GP, POSITION_COLUMNS
+from skyledger.schemas import GP, POSITION_COLUMNS, POSITION_SCHEMA
 from skyledger.sources import bronze, landing, snapshot
 from skyledger.sources.published import BucketedTable
 
@@ -99,6 +100,63 @@ def test_load_is_idempotent(spark, landed):
     assert bronze.scan_bronze(spark, str(landed / "table"), GP).count() == 4
 
 
+def test_a_load_reads_only_the_loads_it_may_repeat(spark, tmp_path):
+    table, rows = str(tmp_path / "table"), fx.raw_gp(spark, SF).select(*GP.columns)
+    days = [rows.withColumn("source_file", F.concat(F.lit(f"day{d}_"), "source_file")) for d in range(3)]
+    n = [bronze.load_insert_if_absent(day, table, GP) for day in days]
+    assert n[0] == n[1] == n[2] > 0
+    first, = bronze.loads_in_question(days[0].where("source_file = 'day0_gp_b.csv'"), table)
+    assert spark.read.parquet(f"{table}/loaded={first}").where("source_file not like 'day0%'").isEmpty()
+    assert bronze.loads_in_question(rows, table) == []
+    assert bronze.load_insert_if_absent(days[1].unionByName(rows), table, GP) == n[0]
+    assert len(bronze.loads_in_question(days[1], table)) == 1
+    assert bronze.scan_bronze(spark, table, GP).count() == 4 * n[0]
+
+
+def test_an_interrupted_load_is_looked_at_again(spark, tmp_path, monkeypatch):
+    table, rows = tmp_path / "table", fx.raw_gp(spark, SF).select(*GP.columns)
+    n = bronze.load_insert_if_absent(rows, str(table), GP)
+    bronze.load_insert_if_absent(rows.withColumn("source_file", F.lit("other.csv")), str(table), GP)
+    monkeypatch.setattr(bronze, "_SUMMARY", "_never_written")
+    assert len(bronze.loads_in_question(rows, str(table))) == 2
+    assert bronze.load_insert_if_absent(rows, str(table), GP) == 0 and n > 0
+
+
+def test_a_radius_reads_the_row_groups_around_it(spark, tmp_path):
+    """Counted rows: a circle of 1000 km holds under 1 % of the ground."""
+    root = str(tmp_path / "snapshot")
+    k = F.col("id")
+    rows = spark.range(200_000).select(
+        k.cast("int").alias("norad_cat_id"), F.lit(ISS_EPOCH).alias("snapshot_ts"),
+        F.degrees(F.asin((k * 7919 % 200_003) / F.lit(100_002.0) - 1.0)).alias("latitude_deg"),
+        (k * 104_729 % 360_007 / F.lit(1000.0) - 180.0).alias("longitude_deg"),
+    )
+    rows = rows.select(*[
+        F.col(c) if c in rows.columns else F.lit(1.0).cast(POSITION_SCHEMA[c].dataType).alias(c) for c in POSITION_COLUMNS])
+    spark.conf.set("parquet.block.size", str(64 << 10))
+    spark.conf.set("spark.sql.parquet.aggregatePushdown", "false")
+    try:
+        assert snapshot.write_snapshot(rows, root) == 200_000
+    finally:
+        spark.conf.unset("parquet.block.size")
+    stored = snapshot.read_snapshot(spark, root)
+    for lat, lon in ((52.52, 13.40), (0.0, 179.9), (-89.5, 0.0)):
+        near = spatial.within_radius(stored, lat, lon, 1000.0)
+        found = near.count()
+        plain = spatial.within_radius(stored.drop("geo_curve"), lat, lon, 1000.0)
+        assert found == plain.count() == spatial.distances_from(stored, lat, lon).where("distance_km <= 1000").count() > 0
+        read = scanned(near)
+        assert read < 0.05 * 200_000
+        assert abs(lat) > 80 or read < 0.5 * scanned(plain)  # near a pole latitude alone does it
+
+
+def scanned(df) -> int:
+    """Rows that the scan of a plan without exchange puts out."""
+    df._jdf.queryExecution().toRdd().count()
+    scan = df._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    return scan.metrics().apply("numOutputRows").value()
+
+
 def test_missing_roots_are_empty(spark, tmp_path):
     assert bronze.scan_bronze(spark, str(tmp_path / "nowhere"), GP).isEmpty()
     assert snapshot.read_snapshot(spark, str(tmp_path / "nowhere")).isEmpty()
