@@ -15,7 +15,10 @@ from skyledger.session import configure
 
 #: The instant every snapshot is computed for; never the wall clock.
 SNAPSHOT = "2001-09-01T00:00:00Z"
-BERLIN = (52.52, 13.40, 0.0)
+#: Off the hundredths of a degree that `geo_points` stand on.
+BERLIN = (52.5205, 13.4053, 0.0)
+#: Added to the ids of objects that have element sets but no catalogue entry.
+UNLISTED = 90_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +38,10 @@ def _scaled(number: Column, step: str) -> Column:
 
 
 def raw_gp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Element-set landings: every order in landing A, every third one again in landing B."""
+    """Element-set landings: every order in landing A, every third one again in landing B.
+
+    Every 101st is of an object that the catalogue does not list.
+    """
     k = F.col("o_orderkey")
     at = F.col("o_orderdate").cast("timestamp")
     first = F.struct(F.lit("gp_a.csv").alias("source_file"), F.lit(2).alias("lag_hours"))
@@ -61,7 +67,7 @@ def raw_gp(spark: SparkSession, sf_dir: str) -> DataFrame:
             _scaled(k * 29 % 36000, "0.01").alias("mean_anomaly"),
             F.lit("0").alias("ephemeris_type"),
             F.lit("U").alias("classification_type"),
-            F.col("o_custkey").cast("string").alias("norad_cat_id"),
+            (F.col("o_custkey") + F.when(k % 101 == 0, UNLISTED).otherwise(0)).cast("string").alias("norad_cat_id"),
             F.lit("999").alias("element_set_no"),
             (k % 90000).cast("string").alias("rev_at_epoch"),
             F.concat((k % 100).cast("string"), F.lit("e-06")).alias("bstar"),
@@ -209,7 +215,7 @@ _TYPE_CASE = " ".join(f"WHEN '{s}' THEN '{c}'" for s, c in _TYPE_OF_SEGMENT.item
 _SITE_CASE = " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_SITES))
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
-    "raw_gp": ((), """
+    "raw_gp": ((), f"""
 SELECT o_orderdate + to_hours(l.lag_hours) AS ingest_ts,
        cast(o_orderkey AS VARCHAR) AS ingestion_id, 'feed' AS source, l.source_file,
        'active' AS target,
@@ -223,7 +229,8 @@ SELECT o_orderdate + to_hours(l.lag_hours) AS ingest_ts,
        cast(cast(o_orderkey * 17 % 36000 AS DECIMAL(10,0)) * 0.01 AS VARCHAR) AS arg_of_pericenter,
        cast(cast(o_orderkey * 29 % 36000 AS DECIMAL(10,0)) * 0.01 AS VARCHAR) AS mean_anomaly,
        '0' AS ephemeris_type, 'U' AS classification_type,
-       cast(o_custkey AS VARCHAR) AS norad_cat_id, '999' AS element_set_no,
+       cast(o_custkey + CASE WHEN o_orderkey % 101 = 0 THEN {UNLISTED} ELSE 0 END AS VARCHAR) AS norad_cat_id,
+       '999' AS element_set_no,
        cast(o_orderkey % 90000 AS VARCHAR) AS rev_at_epoch,
        cast(o_orderkey % 100 AS VARCHAR) || 'e-06' AS bstar,
        '1.4e-05' AS mean_motion_dot, '0' AS mean_motion_ddot

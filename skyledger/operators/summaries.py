@@ -121,14 +121,32 @@ def declined_instants(samples: DataFrame, keys: list[str], expected: Column) ->
 
 
 def id_algebra(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Sizes of union, intersection and difference of two id sets, in one aggregation."""
-    sides = left.select("norad_cat_id", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
-        right.select("norad_cat_id", F.lit(0).alias("l"), F.lit(1).alias("r"))
-    )
-    ids = sides.groupBy("norad_cat_id").agg(F.max("l").alias("l"), F.max("r").alias("r"))
-    return ids.agg(
-        F.count(F.lit(1)).alias("n_union"),
-        F.count_if((F.col("l") == 1) & (F.col("r") == 1)).alias("n_both"),
-        F.count_if((F.col("l") == 1) & (F.col("r") == 0)).alias("n_left_only"),
-        F.count_if((F.col("l") == 0) & (F.col("r") == 1)).alias("n_right_only"),
+    """Sizes of union, intersection and difference of two id sets, over bitmaps of 32,768 ids.
+
+    Each side's ids become one bitmap for each range that has any, built before the shuffle, so
+    what moves is bits and not rows. NULL is an id of its own, as it is in SQL's set operations.
+    """
+    ids = id_bitmaps(left).select(F.lit("l").alias("side"), "bucket", "ids").unionByName(
+        id_bitmaps(right).select(F.lit("r").alias("side"), "bucket", "ids"))
+    one_side = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.bitmap_count("ids"))), F.lit(0))
+    buckets = ids.groupBy("bucket").agg(
+        one_side("l").alias("l"), one_side("r").alias("r"), F.bitmap_count(F.bitmap_or_agg("ids")).alias("u"))
+    total = {c: F.coalesce(F.sum(c), F.lit(0)) for c in "lru"}
+    return buckets.agg(
+        total["u"].alias("n_union"),
+        (total["l"] + total["r"] - total["u"]).alias("n_both"),
+        (total["u"] - total["r"]).alias("n_left_only"),
+        (total["u"] - total["l"]).alias("n_right_only"),
     )
+
+
+def id_bitmaps(rows: DataFrame) -> DataFrame:
+    """(bucket, ids): the distinct ids of a table as bitmaps, one for each range of 32,768."""
+    bucket = F.coalesce(F.bitmap_bucket_number(F.col("norad_cat_id").cast("long")), F.lit(_NULL_BUCKET))
+    place = F.coalesce(F.bitmap_bit_position(F.col("norad_cat_id").cast("long")), F.lit(0).cast("long"))
+    return rows.select(bucket.alias("bucket"), place.alias("place")).groupBy("bucket").agg(
+        F.bitmap_construct_agg("place").alias("ids"))
+
+
+#: The range that stands for ids that are NULL.
+_NULL_BUCKET = -(1 << 62)

@@ -42,9 +42,17 @@ def with_literal_observers(df: DataFrame, observers: Sequence[Observer]) -> Data
     )
 
 
-def look_angles(positions: DataFrame, observers: Sequence[Observer]) -> DataFrame:
-    """Azimuth, elevation and range of geodetic positions, for each listed observer."""
-    seen = frames.with_observer_frame(with_literal_observers(positions, observers))
+def look_angles(positions: DataFrame, observers: Sequence[Observer] | DataFrame) -> DataFrame:
+    """Azimuth, elevation and range of geodetic positions, for each observer of a list or table.
+
+    The result has a row for every position and observer, above the horizon or not. For those
+    above it use `visible_pairs`, which compares only what can see each other.
+    """
+    if isinstance(observers, DataFrame):
+        paired = positions.crossJoin(observers.select(*_OBSERVER_COLUMNS))
+    else:
+        paired = with_literal_observers(positions, observers)
+    seen = frames.with_observer_frame(paired)
     ecef = ("ecef_x_km", "ecef_y_km", "ecef_z_km")
     return frames.with_look_angles(frames.with_ecef_from_geodetic(seen)).drop(*_SCRATCH, *ecef)
 

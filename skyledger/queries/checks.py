@@ -10,9 +10,13 @@ from skyledger.plans import warehouse
 from skyledger.queries import base
 from skyledger.queries.base import AT_SQL, query, rounded
 
-_CONTIGUITY = """SELECT norad_cat_id, valid_from, valid_to, next_valid_from FROM (
-  SELECT *, lead(valid_from) OVER (PARTITION BY norad_cat_id ORDER BY valid_from) AS next_valid_from
-  FROM {source}) WHERE valid_to IS DISTINCT FROM next_valid_from OR (valid_to IS NOT NULL AND valid_to <= valid_from)"""
+_CONTIGUITY = """SELECT later.norad_cat_id FROM (
+  SELECT norad_cat_id, valid_from, lag(valid_to) OVER w AS ended, row_number() OVER w AS place
+  FROM {source} WINDOW w AS (PARTITION BY norad_cat_id ORDER BY valid_from)) later
+WHERE place > 1 AND ended IS DISTINCT FROM valid_from
+UNION ALL SELECT norad_cat_id FROM {source} WHERE valid_to <= valid_from
+UNION ALL SELECT norad_cat_id FROM {source} s WHERE valid_to IS NOT NULL AND valid_from =
+  (SELECT max(valid_from) FROM {source} m WHERE m.norad_cat_id = s.norad_cat_id)"""
 _REPEATED = "SELECT {keys}, count(*) AS n FROM {source} GROUP BY {keys} HAVING count(*) > 1"
 
 
@@ -69,12 +73,9 @@ def check_accepted_values(spark, sf):
 
 
 @query("check_relationship", "elset dim_object", """
-SELECT DISTINCT norad_cat_id FROM elset WHERE norad_cat_id NOT IN
-  (SELECT norad_cat_id FROM dim_object WHERE orbit_regime <> 'LEO')""")
+SELECT DISTINCT norad_cat_id FROM elset WHERE norad_cat_id NOT IN (SELECT norad_cat_id FROM dim_object)""")
 def check_relationship(spark, sf):
-    return ops.missing_parents(
-        base.elset(spark, sf), base.dim(spark, sf).where("orbit_regime <> 'LEO'")
-    )
+    return ops.missing_parents(base.elset(spark, sf), base.dim(spark, sf))
 
 
 @query("check_expression", "elset", """
@@ -109,16 +110,23 @@ def check_one_current(spark, sf):
     return ops.many_current(spoiled)
 
 
-_GAPS = "(SELECT * FROM elset WHERE NOT (norad_cat_id % 7 = 0 AND month(epoch) = 6))"
+# Some intervals end an hour late, and some current ones are closed at their start.
+_SPOILED = """(SELECT * REPLACE (CASE WHEN rev_at_epoch % 7 = 0 THEN valid_to + to_hours(1)
+  WHEN rev_at_epoch % 7 = 1 AND is_current THEN valid_from ELSE valid_to END AS valid_to) FROM elset)"""
 
 
-@query("check_contiguity", "elset", _CONTIGUITY.format(source=_GAPS))
+@query("check_contiguity", "elset", f"""
+SELECT a.norad_cat_id, a.valid_from, a.valid_to, min(b.valid_from) AS next_valid_from
+FROM {_SPOILED} a LEFT JOIN elset b ON b.norad_cat_id = a.norad_cat_id AND b.valid_from > a.valid_from
+GROUP BY ALL HAVING a.valid_to IS DISTINCT FROM min(b.valid_from) OR a.valid_to <= a.valid_from""")
 def check_contiguity(spark, sf):
-    # Some objects lose the element sets of a month, which leaves gaps.
-    gaps = base.elset(spark, sf).where(
-        ~((F.col("norad_cat_id") % 7 == 0) & (F.month("epoch") == 6))
+    turn = F.col("rev_at_epoch") % 7
+    spoiled = base.elset(spark, sf).withColumn(
+        "valid_to",
+        F.when(turn == 0, F.col("valid_to") + F.make_interval(hours=F.lit(1)))
+        .when((turn == 1) & F.col("is_current"), F.col("valid_from")).otherwise(F.col("valid_to")),
     )
-    return ops.broken_intervals(gaps)
+    return ops.broken_intervals(spoiled)
 
 
 def _freshness_sql(feed: str, view: str, warn: float, error: float) -> str:
@@ -147,14 +155,25 @@ def check_decay_coupling(spark, sf):
     return ops.decay_coupling(fx.raw_gp(spark, sf), fx.raw_satcat(spark, sf))
 
 
-@query("check_schema_order", "raw_gp", """
-SELECT 'gp' AS feed, count(*) AS n FROM raw_gp""")
+@query("check_schema_order", "raw_gp raw_satcat", """
+SELECT 'gp' AS feed, row_number() OVER () AS place, column_name AS "column", count AS n_filled
+FROM (SELECT * FROM (SELECT count(COLUMNS(*)) FROM raw_gp) UNPIVOT INCLUDE NULLS (count FOR column_name IN (COLUMNS(*))))
+UNION ALL
+SELECT 'satcat', row_number() OVER (), column_name, count
+FROM (SELECT * FROM (SELECT count(COLUMNS(*)) FROM raw_satcat) UNPIVOT INCLUDE NULLS (count FOR column_name IN (COLUMNS(*))))""")
 def check_schema_order(spark, sf):
-    from skyledger.schemas import GP
-
-    rows = fx.raw_gp(spark, sf)
-    ops.require_columns(rows, GP)
-    return rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit("gp").alias("feed"), "n")
+    """Both feeds have their declared columns in order; and how many rows fill each of them."""
+    from skyledger.schemas import GP, SATCAT
+
+    out = None
+    for feed, rows in ((GP, fx.raw_gp(spark, sf)), (SATCAT, fx.raw_satcat(spark, sf))):
+        ops.require_columns(rows, feed)
+        counts = rows.agg(F.array(*[
+            F.struct(F.lit(i).cast("long").alias("place"), F.lit(c).alias("column"), F.count(c).alias("n_filled"))
+            for i, c in enumerate(rows.columns, 1)]).alias("each"))
+        one = counts.select(F.lit(feed.name).alias("feed"), F.inline("each"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("check_above_ground", "positions fact", """

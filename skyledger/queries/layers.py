@@ -115,12 +115,9 @@ def scan_dimension(spark, sf):
 
 
 @query("orphan_keys", "elset dim_object", """
-SELECT DISTINCT norad_cat_id FROM elset WHERE norad_cat_id NOT IN
-  (SELECT norad_cat_id FROM dim_object WHERE norad_cat_id % 7 <> 3)""")
+SELECT DISTINCT norad_cat_id FROM elset WHERE norad_cat_id NOT IN (SELECT norad_cat_id FROM dim_object)""")
 def orphan_keys(spark, sf):
-    # A dimension with every seventh object missing, so that there are orphans to find.
-    partial = base.dim(spark, sf).where("norad_cat_id % 7 <> 3")
-    return gold.orphan_keys(base.elset(spark, sf), partial)
+    return gold.orphan_keys(base.elset(spark, sf), base.dim(spark, sf))
 
 
 @query("coverage_by_type", "dim_object fact", """
@@ -146,7 +143,7 @@ def asof_elset(spark, sf):
         (F.col("o_orderdate").cast("timestamp")
          + F.make_dt_interval((k % 400 - 200).cast("int"))).alias("at"),
     )
-    return silver.asof_elset(probes, base.elset(spark, sf))
+    return silver.asof_elset(probes, base.elset(spark, sf), measured=base.staged_gp(spark, sf))
 
 
 # ---- Counts over the layers --------------------------------------------------------------
@@ -209,12 +206,10 @@ SELECT (SELECT count(*) FROM ({l} UNION {r})) AS n_union,
   (SELECT count(*) FROM ({l} EXCEPT {r})) AS n_left_only,
   (SELECT count(*) FROM ({r} EXCEPT {l})) AS n_right_only""".format(
     l="SELECT norad_cat_id FROM elset",
-    r="SELECT norad_cat_id FROM dim_object WHERE orbit_regime = 'MEO'",
+    r="SELECT norad_cat_id FROM dim_object",
 ))
 def id_set_algebra(spark, sf):
-    return summaries.id_algebra(
-        base.elset(spark, sf), base.dim(spark, sf).where("orbit_regime = 'MEO'")
-    )
+    return summaries.id_algebra(base.elset(spark, sf), base.dim(spark, sf))
 
 
 @query("rename_to_omm", "fact", """

@@ -36,8 +36,7 @@ def look_angles(spark, sf):
 SELECT point_id, observer_id, {ANGLES}
 FROM ({_looking('SELECT p.*, o.* FROM geo_points p CROSS JOIN observers o')})""")
 def observer_cross(spark, sf):
-    listed = [tuple(row) for row in fx.observers(spark, sf).collect()]
-    seen = ops.look_angles(fx.geo_points(spark, sf), listed)
+    seen = ops.look_angles(fx.geo_points(spark, sf), fx.observers(spark, sf))
     return rounded(
         seen.select("point_id", "observer_id", "azimuth_deg", "elevation_deg", "range_km")
     )
