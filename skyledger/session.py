@@ -72,6 +72,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(conf).exists(where)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if it does not exist."""
+    if not path_exists(spark, path):
+        return []
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [status.getPath().getName() for status in store.listStatus(where)]
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; nothing is created yet."""
     return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

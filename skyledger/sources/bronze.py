@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skyledger.operators.ledger import require_no_empty_landings
 from skyledger.operators.silver import first_per_key
 from skyledger.schemas import PARTITION_COLUMNS, Feed
-from skyledger.session import configure, path_exists
+from skyledger.session import configure, folders, path_exists
 from skyledger.sources import landing
 
 
@@ -78,12 +78,7 @@ _SUMMARY_SCHEMA = "loaded string, source_file string"
 
 def _loads(spark: SparkSession, table: str) -> set[str]:
     """Loads that a table holds, from the names of its folders."""
-    if not path_exists(spark, table):
-        return set()
-    where = spark._jvm.org.apache.hadoop.fs.Path(table)
-    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [status.getPath().getName() for status in store.listStatus(where)]
-    return {n.removeprefix("loaded=") for n in names if n.startswith("loaded=")}
+    return {n.removeprefix("loaded=") for n in folders(spark, table) if n.startswith("loaded=")}
 
 
 def loads_in_question(batch: DataFrame, table: str) -> list[str]:
@@ -111,9 +106,9 @@ def load_insert_if_absent(batch: DataFrame, table: str, feed: Feed) -> int:
     landing files are read, so a load costs what it brings, however large the table is.
     """
     spark = batch.sparkSession
-    folders = [f"{table}/loaded={load}" for load in loads_in_question(batch, table)]
-    if folders:
-        target = configure(spark).read.schema(feed.schema).parquet(*folders)
+    in_question = [f"{table}/loaded={load}" for load in loads_in_question(batch, table)]
+    if in_question:
+        target = configure(spark).read.schema(feed.schema).parquet(*in_question)
     else:
         target = spark.createDataFrame([], feed.schema)
     load, inserted = uuid.uuid4().hex, Observation()

@@ -1,4 +1,4 @@
-"""Versions of a dataset that become visible with one small marker file.
+"""Versions of a dataset that become visible with one small marker file, and keyed tables.
 
 A writer puts rows into folders of their own and then appends a marker. A reader takes the newest
 marker, so it sees the old version or the new one, never a mixture; an interrupted or refused
@@ -14,14 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyledger.session import path_exists
+from skyledger.session import folders, path_exists
 
 _MARKER = T.StructType(
     [T.StructField("sequence", T.LongType()), T.StructField("run", T.StringType())]
 )
-_BUCKETS = T.StructType(
-    [*_MARKER.fields, T.StructField("bucket", T.IntegerType()), T.StructField("buckets", T.IntegerType())]
-)
 
 
 def new_run() -> str:
@@ -44,53 +41,51 @@ def publish(spark: SparkSession, root: str, run: str) -> None:
     marker.coalesce(1).write.mode("append").json(f"{root}/_published")
 
 
-class BucketedTable:
-    """A table in a fixed number of buckets by a hash of its key, replaced bucket by bucket.
+class KeyedTable:
+    """Rows in buckets by a hash of their key, kept up to date batch by batch.
 
-    The marker lists the folder of every bucket, one row for each. The number of buckets is kept
-    with the table, and another one is refused.
+    A bucket is a partition, and each of its versions a partition below it. A merge writes the next
+    version of the buckets it touches, with dynamic overwrite; a reader takes the newest of each. A
+    merge has to be idempotent, as deduplication is: then a batch that is replayed after a failure,
+    with some of its buckets written and some not, leaves what it would have left at once.
     """
 
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType, keys: Sequence[str],
                  buckets: int):
-        self.spark, self.root, self.schema = spark, root, schema
-        self.keys, self.buckets = list(keys), buckets
+        self.spark, self.schema, self.keys, self.buckets = spark, schema, list(keys), buckets
+        others = [n for n in folders(spark, root) if n.startswith("buckets=") and n != f"buckets={buckets}"]
+        if others:
+            raise ValueError(f"{root} is stored in {others[0].removeprefix('buckets=')} buckets, not {buckets}")
+        self.root = f"{root}/buckets={buckets}"
 
     def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int").alias("bucket")
-
-    def _current(self) -> tuple[int, dict[int, str]]:
-        """Sequence number, and the folder of every bucket: one row a bucket reaches the driver."""
-        if not path_exists(self.spark, f"{self.root}/_published"):
-            return 0, {}
-        markers = self.spark.read.schema(_BUCKETS).json(f"{self.root}/_published")
-        last = markers.agg(F.max("sequence").alias("s")).first()["s"] or 0
-        rows = markers.where(F.col("sequence") == last).collect()
-        if any(r["buckets"] != self.buckets for r in rows):
-            raise ValueError(f"{self.root} is stored in {rows[0]['buckets']} buckets, not {self.buckets}")
-        return last, {r["bucket"]: r["run"] for r in rows}
-
-    def _read(self, folders: dict[int, str]) -> DataFrame:
-        if not folders:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def _newest(self, buckets: Sequence[int]) -> dict[int, int]:
+        """The newest version of each bucket that has any."""
+        found = {}
+        for b in buckets:
+            versions = [int(n.removeprefix("version=")) for n in folders(self.spark, f"{self.root}/bucket={b}")
+                        if n.startswith("version=")]
+            if versions:
+                found[b] = max(versions)
+        return found
+
+    def _read(self, newest: dict[int, int]) -> DataFrame:
+        if not newest:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(
-            *[f"{self.root}/{run}/bucket={b}" for b, run in folders.items()]
-        )
+            *[f"{self.root}/bucket={b}/version={v}" for b, v in newest.items()])
 
     def read(self) -> DataFrame:
-        """The published rows, empty if there are none."""
-        return self._read(self._current()[1])
+        """All rows, empty if there are none."""
+        return self._read(self._newest(range(self.buckets)))
 
     def merge(self, batch: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
         """Replace the buckets of the batch's keys by `combine(their stored rows, batch)`."""
-        last, folders = self._current()
-        touched = [r["bucket"] for r in batch.select(self._bucket()).distinct().collect()]
-        if not touched:
-            return
-        stored = self._read({b: folders[b] for b in touched if b in folders})
-        run = new_run()
-        merged = combine(stored, batch).withColumn("bucket", self._bucket())
-        merged.write.partitionBy("bucket").parquet(f"{self.root}/{run}")
-        folders |= dict.fromkeys(touched, run)
-        rows = [(last + 1, r, b, self.buckets) for b, r in folders.items()]
-        self.spark.createDataFrame(rows, _BUCKETS).coalesce(1).write.mode("append").json(f"{self.root}/_published")
+        touched = [r[0] for r in batch.select(self._bucket()).distinct().collect()]
+        newest = self._newest(touched)
+        after = max(newest.values(), default=0) + 1
+        merged = combine(self._read(newest), batch)
+        merged.withColumns({"bucket": self._bucket(), "version": F.lit(after)}).write.partitionBy(
+            "bucket", "version").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.root)

@@ -21,7 +21,7 @@ from skyledger.schemas import MANIFEST_SCHEMA, Feed
 from skyledger.session import configure
 from skyledger.sources import landing
 from skyledger.sources.bronze import load_insert_if_absent
-from skyledger.sources.published import BucketedTable
+from skyledger.sources.published import KeyedTable
 
 #: Buckets of a keyed table by default; a large table wants more of them, so that a bucket stays
 #: around a gigabyte.
@@ -114,9 +114,9 @@ def stream_load(stream: DataFrame, table: str, feed: Feed, checkpoint: str) -> S
 
 def first_seen_table(
     spark: SparkSession, schema: StructType, table: str, *, buckets: int = ID_BUCKETS
-) -> BucketedTable:
+) -> KeyedTable:
     """The earliest landing of each (object, epoch), kept by `stream_first_seen`."""
-    return BucketedTable(spark, table, schema, ["norad_cat_id", "epoch"], buckets)
+    return KeyedTable(spark, table, schema, ["norad_cat_id", "epoch"], buckets)
 
 
 def stream_first_seen(
@@ -137,18 +137,17 @@ def stream_first_seen(
 
 def interval_table(
     spark: SparkSession, schema: StructType, table: str, *, buckets: int = ID_BUCKETS
-) -> BucketedTable:
+) -> KeyedTable:
     """Validity intervals of staged rows of a schema, kept by `stream_rebuild`."""
     tiled = with_validity(spark.createDataFrame([], schema)).schema
-    return BucketedTable(spark, table, tiled, ["norad_cat_id"], buckets)
+    return KeyedTable(spark, table, tiled, ["norad_cat_id"], buckets)
 
 
 def rebuild_touched(batch: DataFrame, table: str, *, buckets: int = ID_BUCKETS) -> None:
     """Merge new element sets into an interval table by rebuilding what they touch.
 
     A new epoch changes the interval before it, so the whole history of a touched object is
-    tiled again. Only the buckets of touched objects are read, and new versions of them are
-    published together.
+    tiled again. Only the buckets of touched objects are read and written.
     """
     kept = interval_table(batch.sparkSession, batch.schema, table, buckets=buckets)
     kept.merge(batch, lambda stored, new: with_validity(

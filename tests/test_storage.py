@@ -12,7 +12,7 @@ from skyledger.operators.propagate import propagate, propagate_grid
 from skyledger.plans import warehouse
 from skyledger.schemas import GP, POSITION_COLUMNS, POSITION_SCHEMA
 from skyledger.sources import bronze, landing, snapshot
-from skyledger.sources.published import BucketedTable
+from skyledger.sources.published import KeyedTable
 
 HEADER = ",".join(c.upper() for c in GP.payload)
 ROWS = [
@@ -212,11 +212,15 @@ def test_missing_feeds_are_skipped_and_empty_answers_refused(spark, landed):
 
 def test_buckets_are_replaced_by_version(spark, tmp_path):
     rows = spark.createDataFrame([(i, i % 3) for i in range(50)], "k int, v int")
-    table = BucketedTable(spark, str(tmp_path / "t"), rows.schema, ["k"], 4)
+    table = KeyedTable(spark, str(tmp_path / "t"), rows.schema, ["k"], 4)
     assert table.read().isEmpty()
     newest = lambda old, new: new.unionByName(old.join(new, "k", "left_anti"))
     table.merge(rows, newest)
+    files = {str(f) for f in tmp_path.rglob("*.parquet")}
     table.merge(spark.createDataFrame([(7, 99)], rows.schema), newest)
+    fresh = {f.split("bucket=")[1][0] for f in map(str, tmp_path.rglob("*.parquet")) if f not in files}
+    assert len(fresh) == 1 and files <= {str(f) for f in tmp_path.rglob("*.parquet")}
+    table.merge(spark.createDataFrame([(7, 99)], rows.schema), newest)  # a replay
     assert {r.k: r.v for r in table.read().collect()} == {i: 99 if i == 7 else i % 3 for i in range(50)}
 
     def fails(old, new):
@@ -226,4 +230,4 @@ def test_buckets_are_replaced_by_version(spark, tmp_path):
         table.merge(rows, fails)
     assert table.read().count() == 50
     with pytest.raises(ValueError, match="4 buckets"):
-        BucketedTable(spark, str(tmp_path / "t"), rows.schema, ["k"], 8).read()
+        KeyedTable(spark, str(tmp_path / "t"), rows.schema, ["k"], 8).read()
