@@ -72,6 +72,7 @@ MANIFEST_SCHEMA = T.StructType(
     ]
 )
 
+# Columns of a position, in the order they are stored.
 POSITION_COLUMNS = (
     "norad_cat_id", "snapshot_ts", "epoch", "epoch_age_hours", "latitude_deg",
     "longitude_deg", "altitude_km", "position_x_km", "position_y_km", "position_z_km",
@@ -99,6 +100,7 @@ DIMENSION_COLUMNS = (
 STALENESS_HOURS = {"LEO": 48.0, "GEO/HEO": 96.0, "MEO": 168.0, "unknown": 48.0}
 DEFAULT_STALENESS_HOURS = 48.0
 
+# Object types of the catalogue feed.
 OBJECT_TYPES = ("PAY", "R/B", "DEB", "UNK")
 ORBIT_REGIMES = ("LEO", "MEO", "GEO/HEO", "unknown")
 
@@ -136,6 +138,7 @@ LAUNCH_SITE_NAMES = {
     "YSLA": "Yellow Sea launch platform",
 }
 
+# Policies of the feeds.
 #: Seconds a landed copy of each feed may be reused before it is fetched again.
 FEED_TTL_SECONDS = {"gp": 2 * 3600, "satcat": 24 * 3600}
 #: Bytes that may be fetched per UTC day.
