@@ -32,3 +32,20 @@ def test_clashing_columns_and_empty_tables(twice, none):
     got = quality.with_quality(twice, name="llm_quality")
     assert got.columns == [*twice.columns, "llm_quality"] and got.count() == 141
     assert quality.with_quality(none).count() == 0
+
+
+def test_lost_characters_and_verdicts_by_definition(odd, odd_rows):
+    """Failing lines are those of `line_fails`; what they lose and leave is counted plainly."""
+    rules = quality.LineRules()
+    got = {r.doc_id: r.quality for r in quality.with_quality(odd).collect()}
+    lost_some = 0
+    for row in odd_rows:
+        text = row[1] or ""
+        bad = [line for line in text.split("\n") if quality.line_fails(line, rules)]
+        q, base = got[row[0]], reference.quality_base(row[1])
+        lost = sum(len("".join(line.split())) for line in bad)
+        assert q.lost_chars == lost
+        assert q.kept == (not base["base_failed"] and lost <= 0.5 * base["word_chars"])
+        assert q.clean_text == "\n".join(x for x in text.split("\n") if x not in bad)
+        lost_some += lost > 0
+    assert lost_some > 3

@@ -1,4 +1,7 @@
+import math
 import random
+from collections import Counter
+from statistics import NormalDist
 
 import reference
 from pyspark.sql import functions as F
@@ -62,6 +65,54 @@ def test_letters_of_one_case_and_digits(spark):
     assert len([i for i in hit if i < 60]) >= 54 and max(hit) < 60
 
 
+def plain_p_value(values, letters):
+    """The battery by its definitions, with exact normal tails."""
+    n, tail = len(values), NormalDist().cdf
+    counts = Counter(values)
+    chi = max(letters / n * sum(c * c for c in counts.values()) - n, 1e-9)
+    free = letters - 1
+    even = tail(-(((chi / free) ** (1 / 3)) - (1 - 2 / (9 * free))) / (2 / (9 * free)) ** 0.5)
+    middle = sorted(values)[n // 2]
+    high = [v >= middle for v in values]
+    ones, zeros = sum(high), n - sum(high)
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:], strict=False))
+    more = 2 * ones * zeros / n
+    variance = max(1e-9, more * (more - 1) / (n - 1))
+    run = 2 * tail(-abs(runs - 1 - more) / variance**0.5) if ones and zeros else 0.0
+    mean = sum(values) / n
+    square = sum((v - mean) ** 2 for v in values)
+    product = sum((a - mean) * (b - mean) for a, b in zip(values, values[1:], strict=False))
+    serial = 2 * tail(-abs(product / max(square, 1e-9) + 1 / n) * n**0.5) if square > 0 else 0.0
+    return min(1.0, 3 * min(even, run, serial)), even, chi, free
+
+
+def chi_squared_tail(x, free):
+    """P(chi-squared > x) by the series of the lower incomplete gamma function."""
+    a, h = free / 2, x / 2
+    term = total = 1 / a
+    for i in range(1, 2000):
+        term *= h / (a + i)
+        total += term
+    return 1 - total * math.exp(-h + a * math.log(h) - math.lgamma(a))
+
+
+def test_p_values_against_plain_formulas(spark):
+    draw = random.Random(5)
+    rows = []
+    for letters in (16, 32, 36, 64):
+        for n in (20, 33, 64, 200):
+            rows += [([draw.randrange(letters) for _ in range(n)], letters), ([i % letters for i in range(n)], letters),
+                     ([0] * n, letters), ([draw.randrange(letters // 4) for _ in range(n)], letters)]
+    df = spark.createDataFrame(rows, "v array<int>, letters int")
+    got = df.select("v", "letters", secrets.p_value(F.col("v"), F.col("letters").cast("double")).alias("p")).collect()
+    for r in got:
+        p, even, chi, free = plain_p_value(r.v, r.letters)
+        assert abs(r.p - p) < 1e-6, (r.v, r.letters)
+        if 0.5 * free < chi < 2 * free:
+            assert abs(even - chi_squared_tail(chi, free)) < 0.005
+    assert min(r.p for r in got) < 1e-6 < 0.5 < max(r.p for r in got)
+
+
 def test_digest_and_odd_tables(odd, twice, none):
     got = secrets.scan(odd).select("doc_id", F.sha2(secrets.joined(F.col("spans")), 256).alias("s")).collect()
     assert {r.s for r in got} == {reference.sha("")} and len(got) == odd.count()
