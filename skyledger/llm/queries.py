@@ -58,7 +58,22 @@ def bpe_encode_decode(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("op2_ngram_jaccard")
+@query("op2_ngram_jaccard", r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+each AS (
+  SELECT doc_id, array_to_string(w, ' ') AS s FROM d WHERE len(w) BETWEEN 1 AND 4
+  UNION SELECT doc_id, array_to_string(w[i:i + 4], ' ')
+  FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+sizes AS (SELECT doc_id, count(*) AS n FROM each GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM each a JOIN each b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(y) AS component_id
+FROM d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN reach ON x = d.doc_id GROUP BY d.doc_id, n
+""")
 def ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.jaccard_components(documents(spark, sf)).select("doc_id", "n_shingles", "component_id")
 
@@ -84,7 +99,26 @@ def language_id(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-@query("op6_suffix_dedup")
+@query("op6_suffix_dedup", r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (
+  SELECT doc_id, s, substr(h, 2 * s + 1, 100) AS w
+  FROM (SELECT *, unnest(range(0, length(h) // 2 - 49)) AS s FROM d WHERE length(h) >= 100)),
+late AS (SELECT doc_id, s FROM windows QUALIFY doc_id > min(doc_id) OVER (PARTITION BY w)),
+runs AS (
+  SELECT doc_id, min(s) AS a, max(s) + 50 AS b
+  FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run
+        FROM (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 50 THEN 0 ELSE 1 END AS new FROM late))
+  GROUP BY doc_id, run),
+gaps AS (
+  SELECT r.doc_id, a, substr(h, 2 * coalesce(lag(b) OVER w, 0) + 1, 2 * (a - coalesce(lag(b) OVER w, 0))) AS piece
+  FROM runs r JOIN d ON d.doc_id = r.doc_id WINDOW w AS (PARTITION BY r.doc_id ORDER BY a)),
+kept AS (SELECT doc_id, string_agg(piece, '' ORDER BY a) AS front FROM gaps GROUP BY doc_id),
+cut AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS spans, max(b) AS upto FROM runs GROUP BY doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(upto, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN cut c ON c.doc_id = d.doc_id
+""")
 def suffix_dedup_query(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf)).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
