@@ -215,7 +215,8 @@ def _fetched(slim: DataFrame, forms: DataFrame, width: int) -> DataFrame:
 
 
 def _windows(forms: DataFrame, width: int) -> DataFrame:
-    """(anchor, content, k, d1, d2, n, doc, at): every window of the forms, with a 128-bit digest."""
+    """(anchor, content, k, digest, n, doc, at): every window of the forms. Equal windows have one
+    anchor, so it tells windows apart with the digest, by 128 bits together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 5):
@@ -223,18 +224,16 @@ def _windows(forms: DataFrame, width: int) -> DataFrame:
             starts = np.flatnonzero(w.doc[: len(w.doc) - width + 1] == w.doc[width - 1 :])
             row = w.doc[starts]
             k = (starts - w.first[row]).astype(np.int32)
-            digests = []
-            for h in (w.hash, mix(w.hash ^ _SALT)):
-                prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * _powers(len(h), _BASE)[: len(h)])))
-                total = (prefix[starts + width] - prefix[starts]) * _powers(len(h), _INVERSE)[starts]
-                digests.append(pa.array(mix(total).view(np.int64)))
+            h = mix(w.hash ^ _SALT)
+            prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * _powers(len(h), _BASE)[: len(h)])))
+            digest = mix((prefix[starts + width] - prefix[starts]) * _powers(len(h), _INVERSE)[starts])
             anchor, content, n, doc, start = (batch.column(c).to_numpy(zero_copy_only=False)[row] for c in range(5))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor), pa.array(content), pa.array(k), *digests, pa.array(n), pa.array(doc),
-                 pa.array(start + k)], ["anchor", "content", "k", "d1", "d2", "n", "doc", "at"])
+                [pa.array(anchor), pa.array(content), pa.array(k), pa.array(digest.view(np.int64)), pa.array(n),
+                 pa.array(doc), pa.array(start + k)], ["anchor", "content", "k", "digest", "n", "doc", "at"])
 
     return forms.select("anchor", "content", "n", "doc", "start", "words").mapInArrow(
-        run, "anchor bigint, content bigint, k int, d1 bigint, d2 bigint, n bigint, doc bigint, at int")
+        run, "anchor bigint, content bigint, k int, digest bigint, n bigint, doc bigint, at int")
 
 
 def phrases(forms: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -245,13 +244,13 @@ def phrases(forms: DataFrame, width: int = WIDTH) -> DataFrame:
         F.col("words").alias("phrase"))
     listed = _windows(forms.filter("several"), width)
     first = (
-        listed.groupBy("d1", "d2").agg(F.min(F.struct("doc", "at")).alias("first"), F.sum("n").alias("n"))
-        .filter("n > 1").select("d1", "d2", F.col("first.doc").alias("src"), F.col("first.at").alias("at"))
+        listed.groupBy("anchor", "digest").agg(F.min(F.struct("doc", "at")).alias("first"), F.sum("n").alias("n"))
+        .filter("n > 1").select("anchor", "digest", F.col("first.doc").alias("src"), F.col("first.at").alias("at"))
     )
     # At most as many rows meet in this window as a context has windows.
     inside = Window.partitionBy("anchor", "content").orderBy("k")
     runs = (
-        listed.select("anchor", "content", "k", "d1", "d2").join(first, ["d1", "d2"])
+        listed.select("anchor", "content", "k", "digest").join(first, ["anchor", "digest"])
         .select("anchor", "content", "k", "src", "at", (F.col("at") - F.col("k")).alias("shift"))
         .withColumn("new", F.when((F.lag("src").over(inside) == F.col("src")) & (F.lag("shift").over(inside) == F.col("shift"))
                                   & (F.lag("k").over(inside) == F.col("k") - 1), 0).otherwise(1))
@@ -352,7 +351,9 @@ def remove_phrases(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     several = forms.groupBy("anchor").agg((F.count(F.lit(1)) > 1).alias("several"))
     forms = forms.join(several, "anchor")
-    confirmed = phrases(stored(_fetched(slim, forms, width), "phrase-forms"), width)
+    # Tables of text lie packed, and between them the shuffles before can go.
+    confirmed = stored(
+        phrases(stored(_fetched(slim, forms, width), "phrase-forms", "zstd"), width), "phrase-list", "zstd")
 
     # A part needs a phrase if one of its documents has it later than its first place. Only whether
     # a later one exists counts, so parts are combined before the shuffle.
