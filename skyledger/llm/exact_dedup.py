@@ -75,9 +75,10 @@ def build_directory(hashes: DataFrame, capacity: int) -> tuple[int, DataFrame]:
 
 
 def _in_buckets(rows: DataFrame, found: tuple[int, DataFrame]) -> DataFrame:
-    """Rows with the bucket that the directory leads to."""
+    """Rows with the bucket that the directory leads to. The driver has built the directory, a few
+    slots for each bucket, so it goes to the rows."""
     depth, slots = found
-    return rows.withColumn("slot", _slot(F.col("h"), depth)).join(slots, "slot").drop("slot")
+    return rows.withColumn("slot", _slot(F.col("h"), depth)).join(F.broadcast(slots), "slot").drop("slot")
 
 
 def build_index(docs: DataFrame, found: tuple[int, DataFrame], doc_id: str = "doc_id",
