@@ -49,7 +49,7 @@ DELETION_SIZE = 3.0
 
 EXACT, WHOLE, DELETED = 0, 1, 2
 #: Bytes of the folded sketch that goes along with candidates.
-FOLDED = 32
+FOLDED = 64
 #: A null doc_id counts as larger than all others.
 LAST = (1 << 63) - 1
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -379,21 +379,22 @@ def _across(of_lists: DataFrame, by_key: DataFrame, docs: DataFrame, doc_id: str
         .withColumn("rank", F.row_number().over(rarest)).filter("rank <= room").select("h", "key"),
         "ngram-prefix",
     )
-    met = stored(_meeting(prefix.join(able.select("key", "component"), "key")), "ngram-met")
-    side = lambda s, k: able.select(
-        F.col("key").alias(k), F.col("n_shingles").alias(f"n{s}"), F.col("own").alias(f"own_{s}"), F.col("fold").alias(f"fold_{s}"))
+    return _meeting(prefix, able, percent)
+
+
+def _meeting(prefix: DataFrame, able: DataFrame, percent: int) -> DataFrame:
+    """(ka, kb): keys of different components with a prefix shingle in common whose sizes, own
+    shingles and folded sketches do not exclude a link."""
+    lists = _of_more(prefix.join(able.select("key", "component"), "key"), "h").drop("component")
+    met = stored(lists.join(able.drop("room"), "key"), "ngram-lists-met")
+    side = lambda s: met.select(
+        "h", F.col("key").alias(s), F.col("component").alias(f"c{s}"), F.col("n_shingles").alias(f"n{s}"),
+        F.col("own").alias(f"own_{s}"), F.col("fold").alias(f"fold_{s}"))
     cells = sum((F.bit_count(F.col("fold_x")[i].bitwiseXOR(F.col("fold_y")[i])) for i in range(FOLDED // 8)), F.lit(0))
     most = (F.col("nx") + F.col("ny")) * (100 - percent)
     differ = ((F.col("own_x") + F.col("own_y")) * (100 + percent) <= most) & (cells * (100 + percent) <= most)
-    return met.join(side("x", "ka"), "ka").join(side("y", "kb"), "kb").filter(
-        _fits(F.col("nx"), F.col("ny"), percent) & differ).select("ka", "kb")
-
-
-def _meeting(prefix: DataFrame) -> DataFrame:
-    """(ka, kb): keys of different components with a prefix shingle in common."""
-    lists = _of_more(prefix, "h")
-    side = lambda s: lists.select("h", F.col("key").alias(s), F.col("component").alias(f"c{s}"))
-    return _ordered(side("x").join(side("y"), "h").filter((F.col("cx") != F.col("cy")) & (F.col("x") < F.col("y"))))
+    return _ordered(side("x").join(side("y"), "h").filter(
+        (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & _fits(F.col("nx"), F.col("ny"), percent) & differ))
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K,
